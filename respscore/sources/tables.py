@@ -72,3 +72,16 @@ def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("location"),
         F.col("html").alias("body"),
     )
+
+
+def requests_with_raw(history: DataFrame) -> DataFrame:
+    """(id, raw): a raw HTTP/1.1 request text per record, for cURL export.
+
+    Request line, Host and X-Id headers, an empty line, then a body."""
+    from ..functions.url import url_host
+
+    crlf = "\r\n"
+    raw = F.concat(F.col("method"), F.lit(" / HTTP/1.1" + crlf + "Host: "), url_host("url"),
+                   F.lit(crlf + "X-Id: "), F.col("id").cast("string"),
+                   F.lit(crlf + crlf + "body"))
+    return history.select("id", raw.alias("raw"))
