@@ -27,8 +27,6 @@ from .constants import FNV64_OFFSET, FNV64_PRIME, HASH_BITS
 from .text import _col, tokens
 
 _MASK64 = (1 << 64) - 1
-# tokens gathered per vote chunk; bounds worker memory to ~64 MB per chunk
-_VOTE_CHUNK = 1 << 20
 
 
 # ---------------------------------------------------------------- reference
@@ -85,11 +83,21 @@ def fnv1a64_array(words: pa.Array) -> np.ndarray:
     return out
 
 
+# bit j of byte value v, for v in 0..255 (rows) and j in 0..7 (columns)
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1,
+                           bitorder="little").astype(np.int64)
+
+
 def simhash_token_lists(lists: pa.Array) -> np.ndarray:
     """SimHash (as int64 bit pattern) of each row of a list<string> array.
 
     A null or empty list gives 0.  Bit i is set iff more than half of the
-    row's token occurrences have bit i set (vote > 0, ties give 0)."""
+    row's token occurrences have bit i set (vote > 0, ties give 0).
+
+    Votes are counted a byte at a time: for byte position k of the token
+    hashes, a bincount over (row, byte value) gives a rows x 256 histogram,
+    and histogram @ bit-table(256 x 8) gives the set-bit counts of bits
+    8k..8k+7 for every row.  Work is a few linear passes over the tokens."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     n_rows = len(lists)
@@ -106,20 +114,15 @@ def simhash_token_lists(lists: pa.Array) -> np.ndarray:
         return result.view(np.int64)
     enc = pc.dictionary_encode(flat)
     codes = enc.indices.to_numpy(zero_copy_only=False)
-    uniq = enc.dictionary
-    hashes = fnv1a64_array(uniq).astype("<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row_of = np.repeat(np.arange(n_rows, dtype=np.int64), counts)
-    ones = np.zeros((n_rows, HASH_BITS), dtype=np.int64)
-    for t0 in range(0, total, _VOTE_CHUNK):
-        t1 = min(total, t0 + _VOTE_CHUNK)
-        rows = row_of[t0:t1]
-        seg = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        ones[rows[seg]] += np.add.reduceat(bits[codes[t0:t1]], seg, axis=0, dtype=np.int64)
+    hash_bytes = fnv1a64_array(enc.dictionary).astype("<u8").view(np.uint8).reshape(-1, 8)
+    row_base = np.repeat(np.arange(n_rows, dtype=np.int64) * 256, counts)
+    ones = np.empty((n_rows, HASH_BITS), dtype=np.int64)
+    for k in range(8):
+        hist = np.bincount(row_base + hash_bytes[codes, k], minlength=n_rows * 256)
+        ones[:, 8 * k: 8 * k + 8] = hist.reshape(n_rows, 256) @ _BYTE_BITS
     set_bits = (2 * ones > counts[:, None]).astype(np.uint8)
     packed = np.packbits(set_bits, axis=1, bitorder="little")
-    result = packed.view("<u8").reshape(-1)
-    return result.astype(np.uint64).view(np.int64)
+    return packed.view("<u8").reshape(-1).astype(np.uint64).view(np.int64)
 
 
 def simhash_texts(texts: list[str | None]) -> list[int]:
@@ -171,27 +174,32 @@ def fnv1a64_col(token: Column | str) -> Column:
     return F.aggregate(chars, F.lit(to_signed(FNV64_OFFSET)).cast("bigint"), _fnv_step)
 
 
-def simhash_frame(df: DataFrame, keys: str | list[str], text: Column | str) -> DataFrame:
-    """``df`` plus a ``fingerprint`` column, computed with a pure DataFrame plan.
+def simhash_frame(df: DataFrame, keys: str | list[str], text: str) -> DataFrame:
+    """``df`` (minus the ``text`` column) plus ``fingerprint``, computed with a
+    pure DataFrame plan.
 
-    ``keys`` must be unique per row.  Rows are hash-partitioned by the keys
-    once; the per-(row, token) counts, the per-row vote sums and the join
-    back all reuse that partitioning, so a token never leaves its row's
-    partition and there is exactly one shuffle (of the input rows)."""
+    ``keys`` must be unique per row.  Every token occurrence is born in its
+    row's partition, so the plan is: explode_outer the tokens, hash each one
+    (native FNV-1a expression), and group by the row's remaining columns
+    with 64 conditional vote sums.  The map-side partial aggregate is
+    already complete per row, so the only shuffle carries one narrow row
+    per input row; the text never moves and no token is shuffled.  A row
+    with no token keeps its place (explode_outer) and gets 0."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    base = df.withColumn("_toks", tokens(text)).repartition(*keys)
-    per_token = (base.select(*keys, F.explode("_toks").alias("_t"))
-                 .groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_c"))
-                 .withColumn("_h", fnv1a64_col("_t")))
+    carry = [c for c in df.columns if c != text]
+    missing = [k for k in keys if k not in carry]
+    if missing:
+        raise ValueError(f"key columns not in frame: {missing}")
+    occ = (df.select(*carry, F.explode_outer(tokens(text)).alias("_t"))
+           .withColumn("_h", fnv1a64_col("_t")))
+    one = F.when(F.col("_t").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))
-    votes = per_token.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        *[F.sum(F.when(bit(i) == 1, F.col("_c")).otherwise(F.lit(0))).alias(f"_o{i}")
+    votes = occ.groupBy(*carry).agg(
+        F.sum(one).alias("_n"),
+        *[F.sum(F.when(bit(i) == 1, F.lit(1)).otherwise(F.lit(0))).alias(f"_o{i}")
           for i in range(HASH_BITS)])
     fp = F.lit(0).cast("bigint")
     for i in range(HASH_BITS):
         fp = fp.bitwiseOR(F.when(2 * F.col(f"_o{i}") > F.col("_n"),
                                  F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0)))
-    votes = votes.select(*keys, fp.alias("_fp"))
-    return (base.drop("_toks").join(votes, keys, "left")
-            .withColumn("fingerprint", F.coalesce("_fp", F.lit(0).cast("bigint"))).drop("_fp"))
+    return votes.select(*carry, fp.alias("fingerprint"))

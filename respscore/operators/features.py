@@ -61,5 +61,5 @@ def response_features(history: DataFrame, order: Sequence[str] = ("created_at",
         return base.withColumn("fingerprint", simhash64("_text")).drop("_text")
     if fingerprint == "frame":
         okeys = list(order) if list(order) else ["id"]
-        return simhash_frame(base, okeys, "_text").drop("_text")
+        return simhash_frame(base, okeys, "_text")
     raise ValueError(f"unknown fingerprint implementation: {fingerprint!r}")

@@ -21,7 +21,7 @@ from ..operators.lookup import lookup_join
 from ..operators.profile import (collect_stats, length_moments, majority_centroid, mode_centroid,
                                  profile_frame, status_frequency, type_frequency)
 from ..operators.score import rank_order, score_columns
-from ..session import materialize
+from ..session import materialize, spread
 from ..sinks.export import csv_projection, curl_lines, wordlist
 from ..sinks.runs import id_set_key
 from ..sources.history import (SCAN_ORDER, keyset_page, page_cursor, scan_history,
@@ -101,25 +101,29 @@ def q_mime_normalise(spark, sf):
             .select("content_type_header", mime_type("content_type_header").alias("content_type"), "n"))
 
 
+def _documents(spark, sf):
+    return spread(read_table(spark, sf, "documents"))
+
+
 def q_tokens(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = _documents(spark, sf)
     t = tokens("text")
     return d.select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
 def q_fnv64(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = _documents(spark, sf)
     words = d.select(F.explode(tokens("text")).alias("token")).distinct()
     return words.select("token", fingerprint_hex(fnv1a64_col("token")).alias("fnv"))
 
 
 def q_simhash_udf(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = _documents(spark, sf)
     return d.select("doc_id", fingerprint_hex(simhash64("text")).alias("fingerprint"))
 
 
 def q_simhash_native(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = _documents(spark, sf).select("doc_id", "text")
     return simhash_frame(d, "doc_id", "text").select("doc_id", fingerprint_hex("fingerprint").alias("fingerprint"))
 
 

@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     n = os.cpu_count() if cores == "*" else int(cores)
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or max(2, 2 * n)))
          .config("spark.sql.adaptive.enabled", "true")
@@ -69,3 +70,12 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
+    parallelism) when its scan yields fewer partitions - e.g. a small file
+    with few row groups feeding per-row heavy work.  A large input already
+    has more splits than that and is returned unchanged (no shuffle)."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -27,15 +27,18 @@ def history_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     status_code, content_type_header, location, body).
 
     events LEFT JOIN documents is a key-to-key join of two tables that grow
-    together, so it is left to the planner (sort-merge, or broadcast when
-    AQE measures the documents side small).  The pages side is cut to
+    together, so it is planned as a sort-merge join (hint): both sides are
+    hash-partitioned by id, which spreads the per-row fingerprint work over
+    all shuffle partitions instead of the input file splits, never
+    broadcasts a side that grows with the data, spills when partitions are
+    large, and lets AQE split a skewed key.  The pages side is cut to
     page_id in [0, PAGE_SLOTS) before the join - at most PAGE_SLOTS rows
     for a keyed table - and only that bounded side is broadcast."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     p = (read_table(spark, sf_dir, "pages").select("page_id", "url")
          .where((F.col("page_id") >= 0) & (F.col("page_id") < PAGE_SLOTS)))
-    j = (e.join(d, e.event_id == d.doc_id, "left")
+    j = (e.join(d.hint("merge"), e.event_id == d.doc_id, "left")
          .join(F.broadcast(p), F.col("page_id") == F.col("event_id") % PAGE_SLOTS, "inner"))
     et = F.col("event_type")
     status = (F.when(et.isin("view", "click"), 200).when(et == "signup", 201)
@@ -60,8 +63,12 @@ def history_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as one 200 text/html response (id = page_id)."""
-    p = read_table(spark, sf_dir, "pages")
+    """Every page as one 200 text/html response (id = page_id).  A scan with
+    fewer splits than the cluster's parallelism is spread first, since each
+    row carries a whole page to fingerprint."""
+    from ..session import spread
+
+    p = spread(read_table(spark, sf_dir, "pages"))
     return p.select(
         F.col("page_id").alias("id"),
         F.lit("GET").alias("method"),
