@@ -29,7 +29,7 @@ def _field(df: DataFrame, name: str, header: str | None = None) -> Column:
 
 def response_features(history: DataFrame, order: Sequence[str] = ("created_at", "id"),
                       max_body_units: int | None = MAX_BODY_UNITS,
-                      fingerprint: str = "udf") -> DataFrame:
+                      fingerprint: str = "udf", carry: Sequence[str] = ()) -> DataFrame:
     """Feature rows for the records of ``history`` that have a response.
 
     Columns: id, the ``order`` columns, method, url, location, status_code,
@@ -39,14 +39,15 @@ def response_features(history: DataFrame, order: Sequence[str] = ("created_at",
     has_response, status_code, content_type_header, location, body) or the
     wide form with ``headers MAP<STRING, ARRAY<STRING>>`` (lower-case keys).
     ``fingerprint`` is ``udf`` (Arrow UDF, default) or ``frame`` (pure
-    DataFrame plan keyed by the unique ``order`` columns)."""
+    DataFrame plan keyed by the unique ``order`` columns).  ``carry`` names
+    extra history columns to keep (e.g. a group key)."""
     h = history
     if "has_response" in h.columns:
         h = h.where(F.col("has_response"))
     body_type = h.schema["body"].dataType if "body" in h.columns else None
     body = F.col("body") if body_type is not None else F.lit(None).cast("string")
     text = js_slice(body_text(body, body_type), max_body_units)
-    keys = list(dict.fromkeys(["id", *order]))
+    keys = list(dict.fromkeys(["id", *order, *carry]))
     base = h.select(
         *[F.col(c) for c in keys],
         F.coalesce(_field(h, "method"), F.lit("")).alias("method"),

@@ -25,11 +25,27 @@ def measured_size(small: DataFrame) -> tuple[int, int]:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
-                max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
+                null_safe: bool = False) -> DataFrame:
     """Join ``big`` to ``small``; broadcast ``small`` only when measured to be
     within bounds, else a shuffle join that AQE may still re-plan (and split
-    skewed keys of ``big`` with the skew-join rule)."""
+    skewed keys of ``big`` with the skew-join rule).
+
+    ``null_safe`` matches null keys to null keys (``<=>``), as grouping
+    does; the small side's key columns are dropped from the result."""
+    keys = [on] if isinstance(on, str) else list(on)
+    if not keys:
+        raise ValueError("lookup_join needs at least one key column")
     rows, nbytes = measured_size(small)
-    if rows <= max_rows and nbytes <= max_bytes:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    fits = rows <= max_rows and nbytes <= max_bytes
+    if not null_safe:
+        return big.join(F.broadcast(small) if fits else small, keys, how)
+    renamed = small.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in small.columns])
+    if fits:
+        renamed = F.broadcast(renamed)
+    cond = None
+    for k in keys:
+        c = big[k].eqNullSafe(renamed[f"__k_{k}"])
+        cond = c if cond is None else cond & c
+    out = big.join(renamed, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__k_{k}" for k in keys])

@@ -17,6 +17,7 @@ from ..functions.text import fingerprint_hex, mime_type, tokens
 from ..functions.url import path_ext, url_host, url_path, url_port, url_query, url_scheme
 from ..operators.annotate import annotate, row_slice, targets, user_sort
 from ..operators.features import response_features
+from ..operators.grouped import rank_by
 from ..operators.lookup import lookup_join
 from ..operators.profile import (collect_stats, length_moments, majority_centroid, mode_centroid,
                                  profile_frame, status_frequency, type_frequency)
@@ -220,6 +221,11 @@ def q_rank_scan_limit(spark, sf):
     return scan_and_rank(_history(spark, sf), limit=300, filter="has_response AND method = 'GET'")
 
 
+def q_rank_by_host(spark, sf):
+    h = _history(spark, sf).withColumn("host", url_host("url"))
+    return rank_by(h, ["host"])
+
+
 # ------------------------------------------------------------ result views
 def q_row_category(spark, sf):
     r = annotate(rank(_history(spark, sf), sort=False))
@@ -300,6 +306,7 @@ QUERIES: dict[str, Builder] = {
     "rank_pages": q_rank_pages,
     "rank_ids": q_rank_ids,
     "rank_scan_limit": q_rank_scan_limit,
+    "rank_by_host": q_rank_by_host,
     "row_category": q_row_category,
     "high_rank": q_high_rank,
     "user_sort_page": q_user_sort_page,

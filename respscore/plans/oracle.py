@@ -263,4 +263,29 @@ h AS (SELECT CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15)) AS BIGINT) A
 SELECT 'ids:' || sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(CAST(sum(v::HUGEINT) AS HUGEINT) AS VARCHAR)
   || ':' || CAST(bit_xor(v) AS VARCHAR)) AS run_key FROM h"""
 
+# ------------------------------------------------------------ grouped rank (E1)
+_NS = "IS NOT DISTINCT FROM"
+Q["rank_by_host"] = (
+    f"WITH {HISTORY},\nhsrc AS (SELECT *, {_host_sql('url')} AS host FROM history),\n"
+    f"{features_ctes('id, created_at, host', 'id')},\n"
+    """cen AS (SELECT host, fp AS cen FROM (SELECT host, fp, count(*) AS c, min((created_at, id)) AS l FROM f GROUP BY host, fp)
+    QUALIFY row_number() OVER (PARTITION BY host ORDER BY c DESC, l DESC) = 1),
+st AS (SELECT host, count(*) AS n, sum(content_length)::DOUBLE / count(*) AS mean,
+    sqrt((count(*)::HUGEINT * sum(content_length::HUGEINT * content_length)
+          - sum(content_length)::HUGEINT * sum(content_length)::HUGEINT)::DOUBLE) / count(*) AS sd0 FROM f GROUP BY host),
+sf AS (SELECT host, status_code, count(*) AS status_count FROM f GROUP BY host, status_code),
+tf AS (SELECT host, content_type, count(*) AS type_count FROM f GROUP BY host, content_type),
+x AS (SELECT f.*,
+    least(abs(content_length - mean) / ((CASE WHEN sd0 = 0 THEN 1.0::DOUBLE ELSE sd0 END) * 3.0::DOUBLE), 1.0::DOUBLE) AS lo,
+    1.0::DOUBLE - status_count / n::DOUBLE AS sr, 1.0::DOUBLE - type_count / n::DOUBLE AS tr,
+    bit_count(xor(fp, cen)::BIT) AS hd
+  FROM f JOIN st ON f.host IS NOT DISTINCT FROM st.host
+         JOIN cen ON f.host IS NOT DISTINCT FROM cen.host
+         JOIN sf ON f.host IS NOT DISTINCT FROM sf.host AND f.status_code = sf.status_code
+         JOIN tf ON f.host IS NOT DISTINCT FROM tf.host AND f.content_type = tf.content_type),
+ranked AS (SELECT *, CAST(round(((lo + sr + tr) / 3.0::DOUBLE * 0.5::DOUBLE
+    + hd / 64.0::DOUBLE * 0.5::DOUBLE) * 100.0::DOUBLE) AS INTEGER) AS rank FROM x)
+"""
+    f"SELECT host, {RESULT}, created_at FROM ranked")
+
 ORACLE_SQL: dict[str, str] = dict(Q)

@@ -175,3 +175,29 @@ def test_created_at_ties_broken_by_id(spark):
     data = [(f"z{i}", base, "GET", "u", True, 200, "text/html", None, "same") for i in range(4)]
     out = rank(spark.createDataFrame(data, HISTORY_SCHEMA)).collect()
     assert [r.id for r in out] == ["z3", "z2", "z1", "z0"]
+
+
+def test_rank_by_constant_group_equals_rank(spark):
+    from respscore.operators.grouped import rank_by
+    from respscore.sources.tables import history_from_tables
+
+    h = history_from_tables(spark, SF001)
+    a = {r.id: r["rank"] for r in rank(h).collect()}
+    g = h.withColumn("g", F.lit("all"))
+    b = {r.id: r["rank"] for r in rank_by(g, ["g"]).collect()}
+    m = {r.id: r["rank"] for r in rank_by(g, ["g"], centroid="majority").collect()}
+    am = {r.id: r["rank"] for r in rank(h, centroid="majority").collect()}
+    assert a == b and m == am
+
+
+def test_rank_by_groups_are_independent(spark):
+    from respscore.operators.grouped import rank_by
+
+    h = make_history(spark, SIX).withColumn("g", F.lit(None).cast("string"))
+    t = make_history(spark, [("t1", 200, "a/b", "alpha"), ("t2", 200, "a/b", "beta"),
+                             ("t3", 200, "a/b", "beta"), ("t4", 200, "a/b", "alpha")]).withColumn("g", F.lit("tie"))
+    out = rank_by(h.unionByName(t), ["g"]).collect()
+    got = {r.id: r["rank"] for r in out}
+    assert {k: got[k] for k in SIX_RANK} == SIX_RANK          # null group key is a group too
+    assert [got[k] for k in ("t1", "t2", "t3", "t4")] == [23, 6, 6, 23]
+    assert [r.id for r in out][:6] == SIX_ORDER                 # nulls first, rank order inside
