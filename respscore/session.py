@@ -29,15 +29,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     if checkpoint_dir and not configured_checkpoint_dir(spark):
         spark.conf.set("spark.checkpoint.dir", checkpoint_dir)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a Spark Connect session (no context)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # pragma: no cover - Spark Connect
+        return None
+
+
 def configured_checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d
     try:
@@ -64,8 +75,9 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     if how == "checkpoint" or (how == "auto" and cdir):
         if not cdir:
             raise ValueError("checkpoint requested but spark.checkpoint.dir is not set")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(cdir)
+        sc = _context(spark)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(cdir)
         return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
@@ -77,5 +89,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     parallelism) when its scan yields fewer partitions - e.g. a small file
     with few row groups feeding per-row heavy work.  A large input already
     has more splits than that and is returned unchanged (no shuffle)."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    sc = _context(df.sparkSession)
+    if sc is None:  # pragma: no cover - Spark Connect: leave partitioning to the server
+        return df
+    n = min_partitions or sc.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
