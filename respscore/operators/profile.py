@@ -31,6 +31,34 @@ def length_moments(feats: DataFrame) -> DataFrame:
                      F.sum(ln * ln).alias("sum_length_sq"))
 
 
+# grouping_id() of each grouping set of ``summary`` (bit set = column aggregated away)
+GID_STATUS, GID_TYPE, GID_ALL = 1, 2, 3
+
+
+def summary(feats: DataFrame) -> DataFrame:
+    """One aggregation pass for status counts, MIME counts and the exact
+    length moments: GROUPING SETS ((status_code), (content_type), ()).
+
+    Plans as Expand + a map-side-combined HashAggregate, so the shuffle
+    carries one row per (task, group).  Rows: ``_gid``, status_code,
+    content_type, cnt, sum_length, sum_length_sq."""
+    ln = F.col("content_length").cast(_D)
+    return (feats.groupingSets([["status_code"], ["content_type"], []], "status_code", "content_type")
+            .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("cnt"),
+                 F.sum(ln).alias("sum_length"), F.sum(ln * ln).alias("sum_length_sq")))
+
+
+def split_summary(summ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(moments row, status frequency table, MIME frequency table) of a summary."""
+    moments = summ.where(F.col("_gid") == GID_ALL).select(
+        F.col("cnt").alias("n"), "sum_length", "sum_length_sq")
+    sfreq = summ.where(F.col("_gid") == GID_STATUS).select(
+        "status_code", F.col("cnt").alias("status_count"))
+    tfreq = summ.where(F.col("_gid") == GID_TYPE).select(
+        "content_type", F.col("cnt").alias("type_count"))
+    return moments, sfreq, tfreq
+
+
 def status_frequency(feats: DataFrame) -> DataFrame:
     return feats.groupBy("status_code").agg(F.count(F.lit(1)).alias("status_count"))
 
@@ -111,9 +139,11 @@ class Stats:
 
 
 def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
-                  centroid: str = "mode") -> Stats:
-    m = length_moments(feats).first()
-    n = int(m["n"] or 0)
+                  centroid: str = "mode", moments: DataFrame | None = None) -> Stats:
+    """Driver-side scalars; ``moments`` (a one-row n/sum_length/sum_length_sq
+    frame, e.g. from ``split_summary``) saves a pass when already computed."""
+    m = (moments if moments is not None else length_moments(feats)).first()
+    n = int(m["n"] or 0) if m is not None else 0
     if n == 0:
         return Stats(0, 0, 0, 0)
     c = centroid_frame(feats, order, descending, centroid).first()

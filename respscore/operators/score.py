@@ -4,13 +4,15 @@ Plan shape (see ``rank_responses``):
 
 1. features  - one scan of history, F2 filter, fingerprint; materialised
                once (checkpoint when a shared checkpoint folder is set,
-               else MEMORY_AND_DISK) because five consumers read it.
-2. scalars   - n, exact length moments and the centroid: three global
-               aggregates whose one-row results become literals, so the
-               scoring projection needs no join for them.
-3. lookups   - status and MIME frequency tables (map-side combined),
-               joined back by key; broadcast only after measuring them.
-4. score     - one projection; then a global range sort, or top-k.
+               else MEMORY_AND_DISK) because several consumers read it.
+2. summary   - ONE aggregation pass (GROUPING SETS) for status counts, MIME
+               counts and the exact length moments; a few hundred rows,
+               persisted and sliced into the two lookup tables.
+3. centroid  - fingerprint frequencies (map-side combined) and a top-1.
+4. scalars   - n, moments and centroid become literals, so the scoring
+               projection needs no join for them.
+5. score     - measured broadcast lookups of the two frequency tables, one
+               projection; then a global range sort, or top-k.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
 from .lookup import lookup_join
-from .profile import Stats, collect_stats, status_frequency, type_frequency
+from .profile import (Stats, collect_stats, split_summary, status_frequency, summary,
+                      type_frequency)
 
 RESULT_COLUMNS = ["id", "rank", "method", "url", "status_code", "content_length",
                   "content_type", "location"]
@@ -49,10 +52,13 @@ def score_columns(stats: Stats) -> dict[str, Column]:
 
 
 def score_features(feats: DataFrame, stats: Stats, order: Sequence[str],
-                   details: bool = False) -> DataFrame:
-    """Attach frequencies and score every feature row (no ordering)."""
-    with_freq = lookup_join(lookup_join(feats, status_frequency(feats), "status_code"),
-                            type_frequency(feats), "content_type")
+                   details: bool = False, sfreq: DataFrame | None = None,
+                   tfreq: DataFrame | None = None) -> DataFrame:
+    """Attach frequencies and score every feature row (no ordering).
+    ``sfreq``/``tfreq`` default to fresh aggregates of ``feats``."""
+    sfreq = sfreq if sfreq is not None else status_frequency(feats)
+    tfreq = tfreq if tfreq is not None else type_frequency(feats)
+    with_freq = lookup_join(lookup_join(feats, sfreq, "status_code"), tfreq, "content_type")
     sc = score_columns(stats)
     extra = [c for c in order if c not in RESULT_COLUMNS]
     cols = [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS]
@@ -87,8 +93,11 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
     order = list(order)
     feats = materialize(response_features(history, order, max_body_units, fingerprint),
                         materialize_how)
-    stats = collect_stats(feats, order, descending, centroid)
-    scored = score_features(feats, stats, order, details)
+    # one pass: status counts, MIME counts, length moments (a few hundred rows)
+    summ = materialize(summary(feats), "none" if materialize_how == "none" else "persist")
+    moments, sfreq, tfreq = split_summary(summ)
+    stats = collect_stats(feats, order, descending, centroid, moments)
+    scored = score_features(feats, stats, order, details, sfreq, tfreq)
     if top is not None:
         return scored.orderBy(*rank_order(order, descending)).limit(int(top))
     return scored.orderBy(*rank_order(order, descending)) if sort else scored
