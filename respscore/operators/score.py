@@ -94,7 +94,7 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
     feats = materialize(response_features(history, order, max_body_units, fingerprint),
                         materialize_how)
     # one pass: status counts, MIME counts, length moments (a few hundred rows)
-    summ = materialize(summary(feats), "none" if materialize_how == "none" else "persist")
+    summ = materialize(summary(feats), materialize_how)
     moments, sfreq, tfreq = split_summary(summ)
     stats = collect_stats(feats, order, descending, centroid, moments)
     scored = score_features(feats, stats, order, details, sfreq, tfreq)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import fnv1a64_col, simhash64, simhash_frame
 from ..functions.text import fingerprint_hex, mime_type, tokens
-from ..functions.url import path_ext, url_host, url_path, url_port, url_query, url_scheme
+from ..functions.url import (body_contains, path_ext, url_host, url_path, url_port, url_query,
+                             url_scheme)
 from ..operators.annotate import annotate, row_slice, targets, user_sort
 from ..operators.features import response_features
 from ..operators.grouped import rank_by
@@ -65,6 +66,14 @@ def q_scan_limit(spark, sf):
     return rows.select("id", "created_at", "status_code")
 
 
+def q_scan_body_filter(spark, sf):
+    """F1 ``body:`` and ``ext:``-style predicates: responses whose body holds
+    a word, newest first, limit 200."""
+    rows = scan_history(_history(spark, sf), limit=200,
+                        filter=body_contains("body", "the") & F.col("has_response"))
+    return rows.select("id", "created_at", "status_code")
+
+
 def q_keyset_page(spark, sf):
     h = _history(spark, sf)
     first = keyset_page(h, 1000)
@@ -260,6 +269,10 @@ def q_curl_lines(spark, sf):
     return curl_lines(r, requests_with_raw(h))
 
 
+def q_url_list(spark, sf):
+    return rank(_history(spark, sf), sort=False).select("id", "url")
+
+
 def q_wordlist(spark, sf):
     return wordlist(rank(_history(spark, sf), sort=False))
 
@@ -280,6 +293,7 @@ QUERIES: dict[str, Builder] = {
     "scan_recent": q_scan_recent,
     "scan_filtered": q_scan_filtered,
     "scan_limit": q_scan_limit,
+    "scan_body_filter": q_scan_body_filter,
     "keyset_page": q_keyset_page,
     "selection_union": q_selection_union,
     "scope_filter": q_scope_filter,
@@ -313,6 +327,7 @@ QUERIES: dict[str, Builder] = {
     "targets_selected": q_targets_selected,
     "export_csv_projection": q_export_csv_projection,
     "curl_lines": q_curl_lines,
+    "url_list": q_url_list,
     "wordlist": q_wordlist,
     "run_summary": q_run_summary,
     "id_set_key": q_id_set_key,

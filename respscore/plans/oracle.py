@@ -111,6 +111,10 @@ Q["scan_limit"] = f"""WITH {HISTORY}
 SELECT id, created_at, status_code FROM history WHERE status_code >= 400
 ORDER BY created_at DESC, id DESC LIMIT 1000"""
 
+Q["scan_body_filter"] = f"""WITH {HISTORY}
+SELECT id, created_at, status_code FROM history WHERE coalesce(contains(body, 'the'), FALSE) AND has_response
+ORDER BY created_at DESC, id DESC LIMIT 200"""
+
 Q["keyset_page"] = f"""WITH {HISTORY},
 first_page AS (SELECT created_at, id FROM history ORDER BY created_at DESC, id DESC LIMIT 1000),
 cursor AS (SELECT min((created_at, id)) AS k FROM first_page)
@@ -252,6 +256,7 @@ SELECT id, 'curl -X ' || split_part(lines[1], ' ', 1) || ' '
                                     lambda h: '-H "' || h || '"'), ' ')
   || ' "' || url || '"' AS curl FROM k""".replace("\n, raw AS", ",\nraw AS")
 
+Q["url_list"] = SCAN_RANK + "SELECT id, url FROM ranked"
 Q["wordlist"] = SCAN_RANK + "SELECT DISTINCT url FROM ranked WHERE url <> ''"
 
 Q["run_summary"] = SCAN_RANK + """SELECT count(*) AS total_requests,

@@ -88,3 +88,19 @@ def test_scope_filter(spark, hist):
     assert scope_filter(hist, scope).count() == 0
     one = hist.select(F.regexp_extract("url", "//([^/:?#]+)", 1).alias("host")).limit(1)
     assert scope_filter(hist, one).count() > 0
+
+
+def test_header_and_body_predicates(spark):
+    from respscore.functions.url import body_contains, header_contains
+    from respscore.operators.features import response_features
+
+    df = spark.createDataFrame(
+        [(1, True, 200, {"content-type": ["Text/HTML; x=1", "ignored"], "x-a": ["1"]}, "hello there"),
+         (2, True, 404, {"location": ["/next"]}, None)],
+        "id long, has_response boolean, status_code int, headers map<string,array<string>>, body string")
+    got = {r.id for r in df.where(header_contains("headers", "x-a: 1")).collect()}
+    assert got == {1}
+    assert {r.id for r in df.where(body_contains("body", "there")).collect()} == {1}
+    f = {r.id: r for r in response_features(df, ["id"]).collect()}
+    assert f[1].content_type == "text/html" and f[1].location is None
+    assert f[2].content_type == "unknown" and f[2].location == "/next" and f[2].content_length == 0
