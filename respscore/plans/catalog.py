@@ -118,7 +118,8 @@ def _documents(spark, sf):
 def q_tokens(spark, sf):
     d = _documents(spark, sf)
     t = tokens("text")
-    return d.select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    return d.select("doc_id", F.size(t).cast("bigint").alias("n_tokens"),
+                    F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
 def q_fnv64(spark, sf):

@@ -192,7 +192,7 @@ Q["profile"] = SCAN_RANK + f"""SELECT n, mean AS mean_length, CASE WHEN sd0 = 0
   {hex_sql('cen')} AS centroid FROM st, cen"""
 
 # ------------------------------------------------------------ scoring parts
-Q["hamming_to_centroid"] = SCAN_RANK + f"SELECT id, {hex_sql('fp')} AS fingerprint, hd AS hamming FROM ranked"
+Q["hamming_to_centroid"] = SCAN_RANK + f"SELECT id, {hex_sql('fp')} AS fingerprint, CAST(hd AS INTEGER) AS hamming FROM ranked"
 Q["length_outlier"] = SCAN_RANK + "SELECT id, lo AS length_outlier FROM ranked"
 Q["rarity"] = SCAN_RANK + "SELECT id, sr AS status_rarity, tr AS type_rarity FROM ranked"
 
