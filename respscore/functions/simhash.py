@@ -16,9 +16,12 @@ pattern); Hamming distance is ``bit_count(a ^ b)``.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -135,6 +138,11 @@ def simhash_texts(texts: list[str | None]) -> list[int]:
     return [int(v) for v in simhash_token_lists(lists)]
 
 
+# Ship this module's code with the UDF (pickled by value), so executors need
+# only numpy and pyarrow, not this package on their import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.arrow_udf(LongType())
 def _simhash_tokens_udf(token_lists: pa.Array) -> pa.Array:
     return pa.array(simhash_token_lists(token_lists), type=pa.int64())
