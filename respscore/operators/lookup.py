@@ -26,17 +26,18 @@ def measured_size(small: DataFrame) -> tuple[int, int]:
 
 def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
                 max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
-                null_safe: bool = False) -> DataFrame:
+                null_safe: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
     """Join ``big`` to ``small``; broadcast ``small`` only when measured to be
     within bounds, else a shuffle join that AQE may still re-plan (and split
     skewed keys of ``big`` with the skew-join rule).
 
     ``null_safe`` matches null keys to null keys (``<=>``), as grouping
-    does; the small side's key columns are dropped from the result."""
+    does; the small side's key columns are dropped from the result.
+    ``size`` passes an already measured (rows, bytes) of ``small``."""
     keys = [on] if isinstance(on, str) else list(on)
     if not keys:
         raise ValueError("lookup_join needs at least one key column")
-    rows, nbytes = measured_size(small)
+    rows, nbytes = size if size is not None else measured_size(small)
     fits = rows <= max_rows and nbytes <= max_bytes
     if not null_safe:
         return big.join(F.broadcast(small) if fits else small, keys, how)

@@ -59,6 +59,34 @@ def split_summary(summ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return moments, sfreq, tfreq
 
 
+@dataclass(frozen=True)
+class SummaryInfo:
+    """Moments and lookup-table sizes of a summary, from one tiny collect."""
+    n: int
+    sum_length: int
+    sum_length_sq: int
+    status_size: tuple[int, int]    # (rows, bytes) of the status frequency table
+    type_size: tuple[int, int]      # (rows, bytes) of the MIME frequency table
+
+
+def summary_info(summ: DataFrame) -> SummaryInfo:
+    """One aggregate over the summary (at most three result rows)."""
+    width = (F.coalesce(F.octet_length(F.col("status_code").cast("string")), F.lit(0))
+             + F.coalesce(F.octet_length("content_type"), F.lit(0)) + F.lit(8))
+    rows = {r["_gid"]: r for r in summ.groupBy("_gid").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"), F.max("cnt").alias("cnt"),
+        F.max("sum_length").alias("s1"), F.max("sum_length_sq").alias("s2")).collect()}
+
+    def size(gid: int) -> tuple[int, int]:
+        r = rows.get(gid)
+        return (0, 0) if r is None else (int(r["rows"]), int(r["bytes"]) + 32 * int(r["rows"]))
+
+    tot = rows.get(GID_ALL)
+    if tot is None or not tot["cnt"]:
+        return SummaryInfo(0, 0, 0, size(GID_STATUS), size(GID_TYPE))
+    return SummaryInfo(int(tot["cnt"]), int(tot["s1"]), int(tot["s2"]), size(GID_STATUS), size(GID_TYPE))
+
+
 def status_frequency(feats: DataFrame) -> DataFrame:
     return feats.groupBy("status_code").agg(F.count(F.lit(1)).alias("status_count"))
 
@@ -139,15 +167,19 @@ class Stats:
 
 
 def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
-                  centroid: str = "mode", moments: DataFrame | None = None) -> Stats:
-    """Driver-side scalars; ``moments`` (a one-row n/sum_length/sum_length_sq
-    frame, e.g. from ``split_summary``) saves a pass when already computed."""
-    m = (moments if moments is not None else length_moments(feats)).first()
-    n = int(m["n"] or 0) if m is not None else 0
+                  centroid: str = "mode", info: SummaryInfo | None = None) -> Stats:
+    """Driver-side scalars; ``info`` (from ``summary_info``) saves the
+    moments pass when already computed."""
+    if info is None:
+        m = length_moments(feats).first()
+        n = int(m["n"] or 0) if m is not None else 0
+        s1, s2 = (int(m["sum_length"]), int(m["sum_length_sq"])) if n else (0, 0)
+    else:
+        n, s1, s2 = info.n, info.sum_length, info.sum_length_sq
     if n == 0:
         return Stats(0, 0, 0, 0)
     c = centroid_frame(feats, order, descending, centroid).first()
-    return Stats(n, int(m["sum_length"]), int(m["sum_length_sq"]), int(c["centroid"] or 0))
+    return Stats(n, s1, s2, int(c["centroid"] or 0))
 
 
 def profile_frame(feats: DataFrame, order: Sequence[str], descending: bool,

@@ -29,8 +29,8 @@ from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
 from .lookup import lookup_join
-from .profile import (Stats, collect_stats, split_summary, status_frequency, summary,
-                      type_frequency)
+from .profile import (Stats, SummaryInfo, collect_stats, split_summary, status_frequency,
+                      summary, summary_info, type_frequency)
 
 RESULT_COLUMNS = ["id", "rank", "method", "url", "status_code", "content_length",
                   "content_type", "location"]
@@ -53,12 +53,14 @@ def score_columns(stats: Stats) -> dict[str, Column]:
 
 def score_features(feats: DataFrame, stats: Stats, order: Sequence[str],
                    details: bool = False, sfreq: DataFrame | None = None,
-                   tfreq: DataFrame | None = None) -> DataFrame:
+                   tfreq: DataFrame | None = None, info: SummaryInfo | None = None) -> DataFrame:
     """Attach frequencies and score every feature row (no ordering).
-    ``sfreq``/``tfreq`` default to fresh aggregates of ``feats``."""
+    ``sfreq``/``tfreq`` default to fresh aggregates of ``feats``; ``info``
+    carries their measured sizes."""
     sfreq = sfreq if sfreq is not None else status_frequency(feats)
     tfreq = tfreq if tfreq is not None else type_frequency(feats)
-    with_freq = lookup_join(lookup_join(feats, sfreq, "status_code"), tfreq, "content_type")
+    with_freq = lookup_join(feats, sfreq, "status_code", size=info.status_size if info else None)
+    with_freq = lookup_join(with_freq, tfreq, "content_type", size=info.type_size if info else None)
     sc = score_columns(stats)
     extra = [c for c in order if c not in RESULT_COLUMNS]
     cols = [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS]
@@ -95,9 +97,10 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
                         materialize_how)
     # one pass: status counts, MIME counts, length moments (a few hundred rows)
     summ = materialize(summary(feats), materialize_how)
-    moments, sfreq, tfreq = split_summary(summ)
-    stats = collect_stats(feats, order, descending, centroid, moments)
-    scored = score_features(feats, stats, order, details, sfreq, tfreq)
+    _, sfreq, tfreq = split_summary(summ)
+    info = summary_info(summ)
+    stats = collect_stats(feats, order, descending, centroid, info)
+    scored = score_features(feats, stats, order, details, sfreq, tfreq, info)
     if top is not None:
         return scored.orderBy(*rank_order(order, descending)).limit(int(top))
     return scored.orderBy(*rank_order(order, descending)) if sort else scored

@@ -32,14 +32,18 @@ def history_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     all shuffle partitions instead of the input file splits, never
     broadcasts a side that grows with the data, spills when partitions are
     large, and lets AQE split a skewed key.  The pages side is cut to
-    page_id in [0, PAGE_SLOTS) before the join - at most PAGE_SLOTS rows
-    for a keyed table - and only that bounded side is broadcast."""
+    page_id in [0, PAGE_SLOTS) before the join and joined through
+    ``lookup_join``, which broadcasts it only after measuring its size."""
+    from ..operators.lookup import lookup_join
+
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    p = (read_table(spark, sf_dir, "pages").select("page_id", "url")
-         .where((F.col("page_id") >= 0) & (F.col("page_id") < PAGE_SLOTS)))
-    j = (e.join(d.hint("merge"), e.event_id == d.doc_id, "left")
-         .join(F.broadcast(p), F.col("page_id") == F.col("event_id") % PAGE_SLOTS, "inner"))
+    p = (read_table(spark, sf_dir, "pages")
+         .where((F.col("page_id") >= 0) & (F.col("page_id") < PAGE_SLOTS))
+         .select(F.col("page_id").alias("_slot"), "url"))
+    j = e.join(d.hint("merge"), e.event_id == d.doc_id, "left") \
+        .withColumn("_slot", F.col("event_id") % PAGE_SLOTS)
+    j = lookup_join(j, p, "_slot")
     et = F.col("event_type")
     status = (F.when(et.isin("view", "click"), 200).when(et == "signup", 201)
               .when(et == "purchase", 302)
