@@ -39,6 +39,18 @@ def apply_filter(history: DataFrame, filter: Column | str | None = None,
     return history if pred is None else history.where(pred)
 
 
+def with_filter_fields(history: DataFrame) -> DataFrame:
+    """Add the filter fields a user writes predicates on: scheme, host, port,
+    path, query, ext (from the URL) and length (body bytes).  method,
+    status_code, created_at, headers and body are already columns; e.g.
+    ``scan_history(with_filter_fields(h), filter="length > 1000 AND ext = 'js'")``."""
+    from ..functions.text import content_length
+    from ..functions.url import with_url_parts
+
+    h = with_url_parts(history, "url")
+    return h.withColumn("length", content_length("body")) if "body" in h.columns else h
+
+
 def check_limit(limit: int) -> int:
     if not isinstance(limit, int) or not SCAN_MIN_LIMIT <= limit <= SCAN_MAX_LIMIT:
         raise ValueError(f"limit must be between {SCAN_MIN_LIMIT} and {SCAN_MAX_LIMIT}")

@@ -104,3 +104,12 @@ def test_header_and_body_predicates(spark):
     f = {r.id: r for r in response_features(df, ["id"]).collect()}
     assert f[1].content_type == "text/html" and f[1].location is None
     assert f[2].content_type == "unknown" and f[2].location == "/next" and f[2].content_length == 0
+
+
+def test_filter_fields_helper(hist):
+    from respscore.sources.history import with_filter_fields
+
+    h = with_filter_fields(hist)
+    n = scan_history(h, scan_all=True, filter="length > 1000 AND scheme = 'https' AND method = 'GET'").count()
+    m = h.where((F.col("length") > 1000) & (F.col("scheme") == "https") & (F.col("method") == "GET")).count()
+    assert n == m > 0
