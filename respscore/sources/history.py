@@ -69,21 +69,27 @@ def scan_history(history: DataFrame, limit: int = SCAN_DEFAULT_LIMIT, scan_all:
     bodies are read where they lie and never funnel through one task."""
     check_limit(limit)
     rows = apply_filter(history, filter, presets)
-    if scan_all:
-        return rows
+    return rows if scan_all else newest(rows, limit)
+
+
+def newest(rows: DataFrame, k: int) -> DataFrame:
+    """The k newest rows (created_at desc, id desc), unordered.
+
+    Top-k runs on the two key columns only; the k <= 100,000 chosen keys
+    (a proven bound) are broadcast back in a semi-join."""
     keys = (rows.select(*SCAN_ORDER)
-            .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit))
+            .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(check_limit(k)))
     return rows.join(F.broadcast(keys), list(SCAN_ORDER), "left_semi")
 
 
 def keyset_page(history: DataFrame, page_size: int = 1000,
                 after: Column | None = None, filter: Column | str | None = None) -> DataFrame:
     """One page of the recency order strictly after the cursor ``after``
-    (a struct(created_at, id) value; None = first page)."""
+    (a struct(created_at, id) value; None = first page), in page order."""
     rows = apply_filter(history, filter)
     if after is not None:
         rows = rows.where(F.struct("created_at", "id") < after)
-    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(int(page_size))
+    return newest(rows, int(page_size)).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def page_cursor(page: DataFrame) -> Column:
