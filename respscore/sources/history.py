@@ -3,7 +3,7 @@ keyset paging and scope restriction."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,7 +139,3 @@ def scope_filter(history: DataFrame, scope: DataFrame, host_col: str = "host") -
     h = history.withColumn("_host", url_host("url"))
     s = scope.select(F.lower(F.col(host_col)).alias("_host")).distinct()
     return lookup_join(h, s, "_host", "left_semi").drop("_host")
-
-
-def order_columns(ids: DataFrame, exclude: Sequence[str] = ("id",)) -> list[str]:
-    return [c for c in ids.columns if c not in exclude]
