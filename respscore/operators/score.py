@@ -93,8 +93,16 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
     fingerprint, reference behaviour) or ``majority`` (bitwise majority).
     ``top`` keeps the first k rows of the rank order (top-k report)."""
     order = list(order)
-    feats = materialize(response_features(history, order, max_body_units, fingerprint),
-                        materialize_how)
+    feats = response_features(history, order, max_body_units, fingerprint)
+    return rank_features(feats, order, descending, centroid, details, sort, top, materialize_how)
+
+
+def rank_features(feats: DataFrame, order: Sequence[str], descending: bool = True,
+                  centroid: str = "mode", details: bool = False, sort: bool = True,
+                  top: int | None = None, materialize_how: str = "auto") -> DataFrame:
+    """``rank_responses`` from already built feature rows (see ``response_features``)."""
+    order = list(order)
+    feats = materialize(feats, materialize_how)
     # one pass: status counts, MIME counts, length moments (a few hundred rows)
     summ = materialize(summary(feats), materialize_how)
     _, sfreq, tfreq = split_summary(summ)

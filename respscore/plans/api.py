@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import MAX_BODY_UNITS, SCAN_DEFAULT_LIMIT
 from ..operators.features import response_features
 from ..operators.profile import profile_frame
-from ..operators.score import rank_responses
+from ..operators.lookup import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, measured_size
+from ..operators.score import rank_features, rank_responses
 from ..session import materialize
 from ..sources.history import SCAN_ORDER, fetch_by_ids, scan_history
 
@@ -38,8 +39,17 @@ def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = N
     if not order:
         raise ValueError("ids needs a position column (e.g. from posexplode)")
     hist = history.drop(*[c for c in order if c in history.columns])
-    rows = fetch_by_ids(hist, ids.select("id", *order))
-    return rank_responses(rows, order=order, descending=False, centroid=centroid, **kw)
+    ids = ids.select("id", *order)
+    size = measured_size(ids)
+    if size[0] <= BROADCAST_MAX_ROWS and size[1] <= BROADCAST_MAX_BYTES:
+        # small list: broadcast it, fetch only the listed records, then fingerprint
+        rows = fetch_by_ids(hist, ids, size=size)
+        return rank_responses(rows, order=order, descending=False, centroid=centroid, **kw)
+    # large list: fingerprint in place first, so the join moves ~80-byte
+    # feature rows instead of response bodies
+    fkw = {k: kw.pop(k) for k in ("max_body_units", "fingerprint") if k in kw}
+    feats = response_features(hist, ["id"], **fkw).join(ids, "id")
+    return rank_features(feats, order, descending=False, centroid=centroid, **kw)
 
 
 def scan_and_rank(history: DataFrame, limit: int = SCAN_DEFAULT_LIMIT, scan_all: bool = False,

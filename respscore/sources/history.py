@@ -97,13 +97,14 @@ def page_cursor(page: DataFrame) -> Column:
     return page.select(F.min(F.struct("created_at", "id"))).scalar()
 
 
-def fetch_by_ids(history: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+def fetch_by_ids(history: DataFrame, ids: DataFrame, on: str = "id",
+                 size: tuple[int, int] | None = None) -> DataFrame:
     """Records for an id list (``ids`` has ``id`` plus position columns).
 
     Ids without a record drop out; an id listed twice is fetched twice (the
     list's position columns keep the two apart).  The id list is broadcast
     only after its size is measured; a large selection shuffle-joins."""
-    return lookup_join(history, ids, on, "inner")
+    return lookup_join(history, ids, on, "inner", size=size)
 
 
 def selection_ids(*frames: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:

@@ -201,3 +201,15 @@ def test_rank_by_groups_are_independent(spark):
     assert {k: got[k] for k in SIX_RANK} == SIX_RANK          # null group key is a group too
     assert [got[k] for k in ("t1", "t2", "t3", "t4")] == [23, 6, 6, 23]
     assert [r.id for r in out][:6] == SIX_ORDER                 # nulls first, rank order inside
+
+
+def test_rank_ids_large_list_path_matches(spark, monkeypatch):
+    """Past the broadcast bound the list joins narrow feature rows instead."""
+    import respscore.plans.api as api
+
+    h = make_history(spark, SIX).drop("created_at")
+    ids = ids_from_list(spark, [r[0] for r in SIX] + ["r1"])
+    small = [tuple(r) for r in rank_ids(h, ids).collect()]
+    monkeypatch.setattr(api, "BROADCAST_MAX_ROWS", 0)
+    large = [tuple(r) for r in api.rank_ids(h, ids).collect()]
+    assert small == large and len(large) == 7
