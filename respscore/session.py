@@ -68,6 +68,8 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
       else persist.
     * ``none``      - keep the plan lazy (every consumer recomputes).
     """
+    if how not in ("auto", "checkpoint", "persist", "none"):
+        raise ValueError(f"unknown materialize mode: {how!r}")
     if how == "none":
         return df
     spark = df.sparkSession
