@@ -91,7 +91,33 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1,
                            bitorder="little").astype(np.int64)
 
 
+# tokens per kernel slice: bounds worker memory (~30 bytes per token) whatever
+# the Arrow batch size; a single larger row is processed on its own
+CHUNK_TOKENS = 1 << 21
+
+
 def simhash_token_lists(lists: pa.Array) -> np.ndarray:
+    """SimHash (as int64 bit pattern) of each row of a list<string> array,
+    processed in row slices of at most CHUNK_TOKENS tokens."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    n_rows = len(lists)
+    if n_rows == 0:
+        return np.zeros(0, dtype=np.int64)
+    offs = _offsets(lists)
+    if offs[-1] - offs[0] <= CHUNK_TOKENS:
+        return _simhash_slice(lists)
+    out = np.empty(n_rows, dtype=np.int64)
+    start = 0
+    while start < n_rows:
+        end = int(np.searchsorted(offs, offs[start] + CHUNK_TOKENS, side="right")) - 1
+        end = min(n_rows, max(end, start + 1))
+        out[start:end] = _simhash_slice(lists.slice(start, end - start))
+        start = end
+    return out
+
+
+def _simhash_slice(lists: pa.Array) -> np.ndarray:
     """SimHash (as int64 bit pattern) of each row of a list<string> array.
 
     A null or empty list gives 0.  Bit i is set iff more than half of the
@@ -101,8 +127,6 @@ def simhash_token_lists(lists: pa.Array) -> np.ndarray:
     hashes, a bincount over (row, byte value) gives a rows x 256 histogram,
     and histogram @ bit-table(256 x 8) gives the set-bit counts of bits
     8k..8k+7 for every row.  Work is a few linear passes over the tokens."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
     n_rows = len(lists)
     result = np.zeros(n_rows, dtype=np.uint64)
     if n_rows == 0:

@@ -107,3 +107,10 @@ def test_hamming_properties(spark):
     df = spark.createDataFrame([(5, 5), (0, -1), (-1, 0), (1, 2)], "a long, b long")
     got = [r.h for r in df.select(S.hamming("a", "b").alias("h")).collect()]
     assert got == [0, 64, 64, 2]
+
+
+def test_kernel_slicing_matches_single_pass(monkeypatch):
+    texts = [("alpha beta gamma " * (i % 7)) + f"w{i}" for i in range(200)] + ["", None]
+    whole = S.simhash_texts(texts)
+    monkeypatch.setattr(S, "CHUNK_TOKENS", 5)
+    assert S.simhash_texts(texts) == whole
