@@ -23,8 +23,13 @@ from ..sources.history import SCAN_ORDER, fetch_by_ids, scan_history
 
 
 def rank(history: DataFrame, order: Sequence[str] = SCAN_ORDER, descending: bool = True,
-         centroid: str = "mode", **kw) -> DataFrame:
-    """Rank every record with a response; see ``rank_responses``."""
+         centroid: str = "mode", by: Sequence[str] | None = None, **kw) -> DataFrame:
+    """Rank every record with a response; see ``rank_responses``.  With
+    ``by`` group columns, each group is ranked against its own statistics
+    (``operators.grouped.rank_by``)."""
+    if by:
+        from ..operators.grouped import rank_by
+        return rank_by(history, by, order=order, descending=descending, centroid=centroid, **kw)
     return rank_responses(history, order=order, descending=descending, centroid=centroid, **kw)
 
 

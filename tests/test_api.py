@@ -49,3 +49,12 @@ def test_checkpoint_dir_from_session(spark):
     assert df.count() == 5
     with pytest.raises(ValueError):
         materialize(spark.range(1), "bogus")
+
+
+def test_rank_by_keyword(hist):
+    from pyspark.sql import functions as F
+
+    h = hist.withColumn("g", F.lit(1))
+    a = {r.id: r["rank"] for r in respscore.rank(h, by=["g"]).collect()}
+    b = {r.id: r["rank"] for r in respscore.rank(hist).collect()}
+    assert a == b
