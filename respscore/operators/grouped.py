@@ -7,6 +7,8 @@ folded in as literals.  Every statistic is still a map-side-combined
 aggregate, and the per-group mode avoids windows: a group holding a third of
 all rows never lands in one task.
 
+    summary: GROUPING SETS ((g, status), (g, type), (g)) -- one pass; moments,
+             status and MIME counts, materialised and sliced into lookups
     (group, fp) counts + last position   -- hash aggregate, keyed by (group, fp)
     per group: top count                 -- hash aggregate
     candidates = counts at the top count -- lookup join on group
@@ -31,15 +33,27 @@ from .score import RESULT_COLUMNS
 _D = "decimal(38,0)"
 
 
-def group_moments(feats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group: n, mean_length, sd_length (population, 0 -> 1), from exact sums."""
+def group_summary(feats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One aggregation pass: GROUPING SETS ((by..., status_code),
+    (by..., content_type), (by...)) with count and exact length sums.
+    ``_gid`` tells the sets apart (1: status, 2: MIME type, 3: group)."""
     ln = F.col("content_length").cast(_D)
-    m = feats.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(ln).alias("_s1"),
-                               F.sum(ln * ln).alias("_s2"))
-    n = F.col("n")
+    sets = [[*by, "status_code"], [*by, "content_type"], list(by)]
+    return (feats.groupingSets(sets, *by, "status_code", "content_type")
+            .agg((F.grouping("status_code") * 2 + F.grouping("content_type")).alias("_gid"),
+                 F.count(F.lit(1)).alias("cnt"), F.sum(ln).alias("_s1"), F.sum(ln * ln).alias("_s2")))
+
+
+def split_group_summary(summ: DataFrame, by: Sequence[str]):
+    """(group moments, status counts, MIME counts) from a group summary."""
+    g = summ.where(F.col("_gid") == 3)
+    n = F.col("cnt")
     sd = F.sqrt((n.cast(_D) * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")) / n.cast("double")
-    return m.select(*by, n, (F.col("_s1").cast("double") / n.cast("double")).alias("mean_length"),
-                    F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd_length"))
+    moments = g.select(*by, n.alias("n"), (F.col("_s1").cast("double") / n.cast("double")).alias("mean_length"),
+                       F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd_length"))
+    sfreq = summ.where(F.col("_gid") == 1).select(*by, "status_code", n.alias("status_count"))
+    tfreq = summ.where(F.col("_gid") == 2).select(*by, "content_type", n.alias("type_count"))
+    return moments, sfreq, tfreq
 
 
 def group_mode_centroid(feats: DataFrame, by: Sequence[str], order: Sequence[str],
@@ -103,9 +117,9 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
         cen = group_majority_centroid(feats, by)
     else:
         raise ValueError(f"unknown centroid rule: {centroid!r}")
-    sfreq = feats.groupBy(*by, "status_code").agg(F.count(F.lit(1)).alias("status_count"))
-    tfreq = feats.groupBy(*by, "content_type").agg(F.count(F.lit(1)).alias("type_count"))
-    j = lookup_join(feats, group_moments(feats, by), by, null_safe=True)
+    summ = materialize(group_summary(feats, by), materialize_how)
+    moments, sfreq, tfreq = split_group_summary(summ, by)
+    j = lookup_join(feats, moments, by, null_safe=True)
     j = lookup_join(j, cen, by, null_safe=True)
     j = lookup_join(j, sfreq, [*by, "status_code"], null_safe=True)
     j = lookup_join(j, tfreq, [*by, "content_type"], null_safe=True)
