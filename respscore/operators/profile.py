@@ -87,6 +87,34 @@ def summary_info(summ: DataFrame) -> SummaryInfo:
     return SummaryInfo(int(tot["cnt"]), int(tot["s1"]), int(tot["s2"]), size(GID_STATUS), size(GID_TYPE))
 
 
+# a summary up to this many rows is collected and its lookups rebuilt locally
+LOCAL_SUMMARY_ROWS = 100_000
+
+
+def local_lookups(summ: DataFrame) -> tuple[SummaryInfo, DataFrame, DataFrame] | None:
+    """Collect a small summary once (``limit`` bounds what reaches the driver)
+    and rebuild the status and MIME lookups as local relations: no lineage
+    back to the features, and sizes known exactly.  None when the summary
+    has more than LOCAL_SUMMARY_ROWS rows (then use the distributed path)."""
+    rows = summ.limit(LOCAL_SUMMARY_ROWS + 1).collect()
+    if len(rows) > LOCAL_SUMMARY_ROWS:
+        return None
+    spark = summ.sparkSession
+    status = [(r["status_code"], r["cnt"]) for r in rows if r["_gid"] == GID_STATUS]
+    types = [(r["content_type"], r["cnt"]) for r in rows if r["_gid"] == GID_TYPE]
+    tot = [r for r in rows if r["_gid"] == GID_ALL]
+    sfreq = spark.createDataFrame(status, "status_code int, status_count bigint")
+    tfreq = spark.createDataFrame(types, "content_type string, type_count bigint")
+    nbytes = lambda kv: sum(len(str(k).encode("utf-8")) + 40 for k, _ in kv)
+    if not tot or not tot[0]["cnt"]:
+        info = SummaryInfo(0, 0, 0, (len(status), nbytes(status)), (len(types), nbytes(types)))
+    else:
+        t = tot[0]
+        info = SummaryInfo(int(t["cnt"]), int(t["sum_length"]), int(t["sum_length_sq"]),
+                           (len(status), nbytes(status)), (len(types), nbytes(types)))
+    return info, sfreq, tfreq
+
+
 def status_frequency(feats: DataFrame) -> DataFrame:
     return feats.groupBy("status_code").agg(F.count(F.lit(1)).alias("status_count"))
 

@@ -7,7 +7,8 @@ Plan shape (see ``rank_responses``):
                else MEMORY_AND_DISK) because several consumers read it.
 2. summary   - ONE aggregation pass (GROUPING SETS) for status counts, MIME
                counts and the exact length moments; a few hundred rows,
-               persisted and sliced into the two lookup tables.
+               collected under a hard row bound and rebuilt as two local
+               lookup relations (distributed fallback beyond the bound).
 3. centroid  - fingerprint frequencies (map-side combined) and a top-1.
 4. scalars   - n, moments and centroid become literals, so the scoring
                projection needs no join for them.
@@ -29,8 +30,8 @@ from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
 from .lookup import lookup_join
-from .profile import (Stats, SummaryInfo, collect_stats, split_summary, status_frequency,
-                      summary, summary_info, type_frequency)
+from .profile import (Stats, SummaryInfo, collect_stats, local_lookups, split_summary,
+                      status_frequency, summary, summary_info, type_frequency)
 
 RESULT_COLUMNS = ["id", "rank", "method", "url", "status_code", "content_length",
                   "content_type", "location"]
@@ -103,10 +104,16 @@ def rank_features(feats: DataFrame, order: Sequence[str], descending: bool = Tru
     """``rank_responses`` from already built feature rows (see ``response_features``)."""
     order = list(order)
     feats = materialize(feats, materialize_how)
-    # one pass: status counts, MIME counts, length moments (a few hundred rows)
-    summ = materialize(summary(feats), materialize_how)
-    _, sfreq, tfreq = split_summary(summ)
-    info = summary_info(summ)
+    # one pass: status counts, MIME counts, length moments (a few hundred rows),
+    # collected under a row bound and rebuilt as local lookups; a larger
+    # summary stays distributed (materialised, measured, joined)
+    local = local_lookups(summary(feats))
+    if local is not None:
+        info, sfreq, tfreq = local
+    else:
+        summ = materialize(summary(feats), materialize_how)
+        _, sfreq, tfreq = split_summary(summ)
+        info = summary_info(summ)
     stats = collect_stats(feats, order, descending, centroid, info)
     scored = score_features(feats, stats, order, details, sfreq, tfreq, info)
     if top is not None:

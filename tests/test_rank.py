@@ -213,3 +213,13 @@ def test_rank_ids_large_list_path_matches(spark, monkeypatch):
     monkeypatch.setattr(api, "BROADCAST_MAX_ROWS", 0)
     large = [tuple(r) for r in api.rank_ids(h, ids).collect()]
     assert small == large and len(large) == 7
+
+
+def test_distributed_summary_fallback_matches(spark, monkeypatch):
+    import respscore.operators.profile as prof
+
+    h = make_history(spark, SIX)
+    a = [tuple(r) for r in rank(h).collect()]
+    monkeypatch.setattr(prof, "LOCAL_SUMMARY_ROWS", 1)
+    b = [tuple(r) for r in rank(h).collect()]
+    assert a == b
