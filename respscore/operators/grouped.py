@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import HASH_BITS, LENGTH_SIGMAS, MAX_BODY_UNITS
 from ..functions.order import order_code, order_struct, sort_exprs
@@ -28,6 +29,7 @@ from ..functions.simhash import hamming
 from ..session import materialize
 from .features import response_features
 from .lookup import lookup_join
+from .profile import Stats
 from .score import RESULT_COLUMNS
 
 _D = "decimal(38,0)"
@@ -56,6 +58,38 @@ def split_group_summary(summ: DataFrame, by: Sequence[str]):
     return moments, sfreq, tfreq
 
 
+def local_group_lookups(summ: DataFrame, feats: DataFrame, by: Sequence[str]):
+    """Collect a small group summary once (``limit`` bounds it) and rebuild
+    (moments, status counts, MIME counts) as local relations with known
+    sizes; None beyond LOCAL_SUMMARY_ROWS (use the distributed path)."""
+    from . import profile
+
+    rows = summ.limit(profile.LOCAL_SUMMARY_ROWS + 1).collect()
+    if len(rows) > profile.LOCAL_SUMMARY_ROWS:
+        return None
+    spark, types = feats.sparkSession, {f.name: f.dataType for f in feats.schema.fields}
+    key_fields = [T.StructField(c, types[c], True) for c in by]
+
+    def frame(data, extra):
+        schema = T.StructType(key_fields + extra)
+        nbytes = sum(len(repr(r).encode("utf-8")) + 32 for r in data)
+        return spark.createDataFrame(data, schema), (len(data), nbytes)
+
+    keys = lambda r: tuple(r[c] for c in by)
+    moments = []
+    for r in rows:
+        if r["_gid"] == 3:
+            st = Stats(int(r["cnt"]), int(r["_s1"]), int(r["_s2"]), 0)
+            moments.append((*keys(r), st.n, st.mean, st.sd))
+    m = frame(moments, [T.StructField("n", T.LongType()), T.StructField("mean_length", T.DoubleType()),
+                        T.StructField("sd_length", T.DoubleType())])
+    sf = frame([(*keys(r), r["status_code"], r["cnt"]) for r in rows if r["_gid"] == 1],
+               [T.StructField("status_code", T.IntegerType()), T.StructField("status_count", T.LongType())])
+    tf = frame([(*keys(r), r["content_type"], r["cnt"]) for r in rows if r["_gid"] == 2],
+               [T.StructField("content_type", T.StringType()), T.StructField("type_count", T.LongType())])
+    return m, sf, tf
+
+
 def group_mode_centroid(feats: DataFrame, by: Sequence[str], order: Sequence[str],
                         descending: bool) -> DataFrame:
     """Per group: the most frequent fingerprint, ties to the first to reach
@@ -117,12 +151,17 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
         cen = group_majority_centroid(feats, by)
     else:
         raise ValueError(f"unknown centroid rule: {centroid!r}")
-    summ = materialize(group_summary(feats, by), materialize_how)
-    moments, sfreq, tfreq = split_group_summary(summ, by)
-    j = lookup_join(feats, moments, by, null_safe=True)
+    local = local_group_lookups(group_summary(feats, by), feats, by)
+    if local is not None:
+        (moments, msize), (sfreq, ssize), (tfreq, tsize) = local
+    else:
+        summ = materialize(group_summary(feats, by), materialize_how)
+        moments, sfreq, tfreq = split_group_summary(summ, by)
+        msize = ssize = tsize = None
+    j = lookup_join(feats, moments, by, null_safe=True, size=msize)
     j = lookup_join(j, cen, by, null_safe=True)
-    j = lookup_join(j, sfreq, [*by, "status_code"], null_safe=True)
-    j = lookup_join(j, tfreq, [*by, "content_type"], null_safe=True)
+    j = lookup_join(j, sfreq, [*by, "status_code"], null_safe=True, size=ssize)
+    j = lookup_join(j, tfreq, [*by, "content_type"], null_safe=True, size=tsize)
     sc = group_score_columns()
     extra = [c for c in order if c not in RESULT_COLUMNS and c not in by]
     cols = [F.col(c) for c in by]

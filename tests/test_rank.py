@@ -223,3 +223,15 @@ def test_distributed_summary_fallback_matches(spark, monkeypatch):
     monkeypatch.setattr(prof, "LOCAL_SUMMARY_ROWS", 1)
     b = [tuple(r) for r in rank(h).collect()]
     assert a == b
+
+
+def test_grouped_distributed_fallback_matches(spark, monkeypatch):
+    import respscore.operators.profile as prof
+    from respscore.operators.grouped import rank_by
+    from respscore.sources.tables import history_from_tables
+
+    h = history_from_tables(spark, SF001).withColumn("g", F.col("status_code") % 3)
+    a = [tuple(r) for r in rank_by(h, ["g"]).collect()]
+    monkeypatch.setattr(prof, "LOCAL_SUMMARY_ROWS", 2)
+    b = [tuple(r) for r in rank_by(h, ["g"]).collect()]
+    assert a == b and len(a) == 200
