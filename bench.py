@@ -32,7 +32,8 @@ def main() -> None:
     from respscore.session import local_session
 
     scratch = tempfile.mkdtemp(prefix="bench-", dir="/tmp")
-    spark = local_session(cpus, 2 * cpus, app="respscore-bench",
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    spark = local_session(cpus, partitions, app="respscore-bench",
                           checkpoint_dir=os.path.join(scratch, "checkpoints"))
     # Warm-up, not timed: JIT, code generation and the Python worker pool are
     # per-session costs, so the flagship query runs once on the smallest
