@@ -11,7 +11,8 @@ from respscore.operators.annotate import annotate, row_slice, targets, user_sort
 from respscore.plans.api import rank
 from respscore.sinks.export import (csv_projection, curl_command, export_csv, export_curl,
                                     export_urls, export_wordlist, wordlist)
-from respscore.sinks.runs import clear_runs, id_set_key, load_run, run_summary, save_run, scan_key
+from respscore.sinks.runs import (clear_runs, id_set_key, load_run, run_summary, save_run,
+                                  save_summary, scan_key)
 
 COLORS = [
     (500, "text/html", "red", "#a32f2a"), (600, "x", "red", "#a32f2a"), (404, "a", "amber", "#a06008"),
@@ -117,6 +118,11 @@ def test_run_store(spark, scratch):
     assert spark.read.parquet(path).count() == 0
     s = run_summary(r, 12.5).first()
     assert (s.total_requests, s.duration_ms) == (2, 12.5)
+    spath = os.path.join(scratch, "summaries")
+    save_summary(run_summary(r, 12.5), spath, k1)
+    save_summary(run_summary(r.limit(1), 3.0), spath, k2)
+    got = {x.run_key: x.total_requests for x in spark.read.parquet(spath).collect()}
+    assert got == {k1: 2, k2: 1}
 
 
 def test_id_set_key_order_insensitive(spark):
