@@ -67,8 +67,7 @@ def q_scan_limit(spark, sf):
 
 
 def q_scan_body_filter(spark, sf):
-    """F1 ``body:`` and ``ext:``-style predicates: responses whose body holds
-    a word, newest first, limit 200."""
+    """F1 ``body:`` predicate: the 200 newest responses whose body holds a word."""
     rows = scan_history(_history(spark, sf), limit=200,
                         filter=body_contains("body", "the") & F.col("has_response"))
     return rows.select("id", "created_at", "status_code")
