@@ -21,3 +21,24 @@ def test_rank_matches_brute_force(spark, recs):
     rows = [(f"r{i:03d}", s, t, b) for i, (s, t, b) in enumerate(recs)]
     got = [(r.id, r["rank"]) for r in rank(make_history(spark, rows), materialize_how="none").collect()]
     assert got == brute_rank(rows)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["g1", "g2", "g3"]), record), min_size=1, max_size=30))
+def test_grouped_rank_matches_brute_force_per_group(spark, recs):
+    from pyspark.sql import functions as F
+
+    from respscore.operators.grouped import rank_by
+
+    rows = [(f"r{i:03d}", s, t, b) for i, (_, (s, t, b)) in enumerate(recs)]
+    group = {f"r{i:03d}": g for i, (g, _) in enumerate(recs)}
+    h = make_history(spark, rows)
+    mapping = F.create_map(*[x for k, g in group.items() for x in (F.lit(k), F.lit(g))])
+    out = rank_by(h.withColumn("g", mapping[F.col("id")]), ["g"], materialize_how="none").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.g, []).append((r.id, r["rank"]))
+    want = {}
+    for g in sorted(set(group.values())):
+        want[g] = brute_rank([row for row in rows if group[row[0]] == g])
+    assert got == want
