@@ -151,6 +151,39 @@ def mode_centroid(feats: DataFrame, order: Sequence[str], descending: bool) -> D
             .select(F.col("fingerprint").alias("centroid"), F.col("fp_count").alias("centroid_count")))
 
 
+def mode_centroid_value(feats: DataFrame, order: Sequence[str], descending: bool) -> int:
+    """The mode centroid as a driver-side scalar, hash-aggregate friendly even
+    when the order keys do not pack (e.g. a STRING id after created_at).
+
+    The leading key is packed alone; per fingerprint a hash aggregate keeps
+    its count and last leading-key position, and the top two by (count desc,
+    last asc) come back.  Only when those two tie exactly is the tie broken
+    on the remaining keys, over just the tied fingerprints' rows at that
+    position (a small struct aggregate).  Exact in every case."""
+    order = list(order)
+    if order_code(feats, order, descending) is not None or len(order) < 2:
+        r = mode_centroid(feats, order, descending).first()
+        return int(r["centroid"]) if r is not None else 0
+    lead = order_code(feats, order[:1], descending)
+    if lead is None:
+        r = mode_centroid(feats, order, descending).first()
+        return int(r["centroid"]) if r is not None else 0
+    fq = feats.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_c"), F.max(lead).alias("_l"))
+    top = fq.orderBy(F.col("_c").desc(), F.col("_l").asc()).limit(2).collect()
+    if not top:
+        return 0
+    if len(top) == 1 or (top[0]["_c"], top[0]["_l"]) != (top[1]["_c"], top[1]["_l"]):
+        return int(top[0]["fingerprint"])
+    c, last = top[0]["_c"], top[0]["_l"]
+    tied = fq.where((F.col("_c") == c) & (F.col("_l") == last)).select("fingerprint")
+    rest = order_struct(order[1:])
+    rows = feats.where(lead == F.lit(last)).join(tied, "fingerprint", "left_semi")
+    # last occurrence among equal leading keys: the extreme remaining key in input order
+    per_fp = rows.groupBy("fingerprint").agg((F.min(rest) if descending else F.max(rest)).alias("_r"))
+    best = per_fp.orderBy(F.col("_r").desc() if descending else F.col("_r").asc()).limit(1).first()
+    return int(best["fingerprint"])
+
+
 def majority_centroid(feats: DataFrame) -> DataFrame:
     """One row (centroid): bit i set iff more than half of the fingerprints
     have it (the "average fingerprint"; ties give 0).  One aggregate pass."""
@@ -206,6 +239,8 @@ def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
         n, s1, s2 = info.n, info.sum_length, info.sum_length_sq
     if n == 0:
         return Stats(0, 0, 0, 0)
+    if centroid == "mode":
+        return Stats(n, s1, s2, mode_centroid_value(feats, order, descending))
     c = centroid_frame(feats, order, descending, centroid).first()
     return Stats(n, s1, s2, int(c["centroid"] or 0))
 

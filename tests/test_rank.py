@@ -235,3 +235,25 @@ def test_grouped_distributed_fallback_matches(spark, monkeypatch):
     monkeypatch.setattr(prof, "LOCAL_SUMMARY_ROWS", 2)
     b = [tuple(r) for r in rank_by(h, ["g"]).collect()]
     assert a == b and len(a) == 200
+
+
+def test_mode_centroid_value_string_ids(spark):
+    """STRING ids: leading key packed, exact tie-break on the rest."""
+    from respscore.operators.profile import mode_centroid, mode_centroid_value
+
+    base = dt.datetime(2024, 1, 1)
+    from conftest import HISTORY_SCHEMA
+    # same created_at for all: the tie on (count, last created_at) must be broken by id
+    for ids in (["a", "b", "c", "d"], ["d", "c", "b", "a"], ["b", "a", "d", "c"]):
+        bodies = ["alpha", "beta", "beta", "alpha"]
+        data = [(i, base, "GET", "u", True, 200, "t/t", None, b) for i, b in zip(ids, bodies)]
+        feats = response_features(spark.createDataFrame(data, HISTORY_SCHEMA))
+        for desc in (True, False):
+            fast = mode_centroid_value(feats, ["created_at", "id"], desc)
+            slow = int(mode_centroid(feats, ["created_at", "id"], desc).first()["centroid"])
+            assert fast == slow
+    # distinct timestamps: resolved by the leading key alone
+    rows = [("t1", 200, "a/b", "alpha"), ("t2", 200, "a/b", "beta"),
+            ("t3", 200, "a/b", "beta"), ("t4", 200, "a/b", "alpha")]
+    feats = response_features(make_history(spark, rows))
+    assert to_hex(mode_centroid_value(feats, ["created_at", "id"], True)) == "7627619b954620a7"
