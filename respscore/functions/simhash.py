@@ -167,9 +167,17 @@ def simhash_texts(texts: list[str | None]) -> list[int]:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.arrow_udf(LongType())
-def _simhash_tokens_udf(token_lists: pa.Array) -> pa.Array:
-    return pa.array(simhash_token_lists(token_lists), type=pa.int64())
+if hasattr(F, "arrow_udf"):  # Spark 4.1+: Arrow arrays in and out, no pandas
+    @F.arrow_udf(LongType())
+    def _simhash_tokens_udf(token_lists: pa.Array) -> pa.Array:
+        return pa.array(simhash_token_lists(token_lists), type=pa.int64())
+else:  # pragma: no cover - older Spark: the same kernel behind a pandas UDF
+    import pandas as pd
+
+    @F.pandas_udf(LongType())
+    def _simhash_tokens_udf(token_lists: pd.Series) -> pd.Series:
+        arr = pa.array(token_lists, type=pa.list_(pa.string()))
+        return pd.Series(simhash_token_lists(arr))
 
 
 def simhash64(text: Column | str) -> Column:
