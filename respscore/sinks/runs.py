@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def id_set_key(ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -34,15 +35,39 @@ def scan_key(limit: int, scan_all: bool, filter: str | None = None, version: str
 
 
 def save_run(results: DataFrame, path: str, run_key: str) -> None:
-    """Write ``results`` as run ``run_key``, replacing only that run."""
-    (results.withColumn("run_key", F.lit(run_key)).write
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write ``results`` as run ``run_key`` (stamped ``saved_at``), replacing
+    only that run."""
+    (results.withColumn("saved_at", F.current_timestamp()).withColumn("run_key", F.lit(run_key))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_key").parquet(path))
 
 
-def load_run(spark: SparkSession, path: str, run_key: str) -> DataFrame:
-    """Stored results of one run (partition pruning reads only its files)."""
-    return spark.read.parquet(path).where(F.col("run_key") == run_key).drop("run_key")
+def stored_schema(results_schema: T.StructType) -> T.StructType:
+    """Layout of the run store: the results, ``saved_at`` and ``run_key``."""
+    return T.StructType(list(results_schema.fields)
+                        + [T.StructField("saved_at", T.TimestampType()),
+                           T.StructField("run_key", T.StringType())])
+
+
+def _runs(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(stored_schema(schema))
+    return reader.parquet(path)
+
+
+def load_run(spark: SparkSession, path: str, run_key: str,
+             schema: T.StructType | None = None) -> DataFrame:
+    """Stored results of one run (partition pruning reads only its files).
+    Pass the results ``schema`` to read a store that may be empty."""
+    return _runs(spark, path, schema).where(F.col("run_key") == run_key).drop("run_key", "saved_at")
+
+
+def last_run(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The most recently saved run, read back without recomputing it; empty
+    when the store is empty.  Only the ``saved_at`` column is scanned to find it."""
+    runs = _runs(spark, path, schema)
+    latest = runs.groupBy("run_key").agg(F.max("saved_at").alias("_t")) \
+        .orderBy(F.col("_t").desc()).limit(1).select("run_key")
+    return runs.join(F.broadcast(latest), "run_key", "left_semi").drop("run_key", "saved_at")
 
 
 def run_summary(results: DataFrame, duration_ms: float | None = None) -> DataFrame:
@@ -61,6 +86,8 @@ def save_summary(summary: DataFrame, path: str, run_key: str) -> None:
      .partitionBy("run_key").parquet(path))
 
 
-def clear_runs(spark: SparkSession, path: str, schema) -> None:
-    """Empty the store: overwrite it with no rows of the same schema."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+def clear_runs(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Empty the store (every run), keeping its partitioned layout; read it
+    back with ``load_run``/``last_run`` and the results ``schema``."""
+    (spark.createDataFrame([], stored_schema(schema)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("run_key").parquet(path))

@@ -11,8 +11,8 @@ from respscore.operators.annotate import annotate, row_slice, targets, user_sort
 from respscore.plans.api import rank
 from respscore.sinks.export import (csv_projection, curl_command, export_csv, export_curl,
                                     export_urls, export_wordlist, wordlist)
-from respscore.sinks.runs import (clear_runs, id_set_key, load_run, run_summary, save_run,
-                                  save_summary, scan_key)
+from respscore.sinks.runs import (clear_runs, id_set_key, last_run, load_run, run_summary,
+                                  save_run, save_summary, scan_key)
 
 COLORS = [
     (500, "text/html", "red", "#a32f2a"), (600, "x", "red", "#a32f2a"), (404, "a", "amber", "#a06008"),
@@ -114,8 +114,14 @@ def test_run_store(spark, scratch):
     save_run(r, path, k1)                      # replace k1 only
     assert load_run(spark, path, k1).count() == 2 and load_run(spark, path, k2).count() == 1
     assert k1 == "scan:500:false:status_code >= 400:v1"
+    assert last_run(spark, path).count() == 2          # k1 was saved last
+    assert sorted(last_run(spark, path).columns) == sorted(r.columns)
     clear_runs(spark, path, r.schema)
-    assert spark.read.parquet(path).count() == 0
+    assert last_run(spark, path, r.schema).count() == 0
+    assert load_run(spark, path, k1, r.schema).count() == 0
+    save_run(r.limit(1), path, k2)                      # the store is usable after clearing
+    assert load_run(spark, path, k2, r.schema).count() == 1
+    assert last_run(spark, path, r.schema).count() == 1
     s = run_summary(r, 12.5).first()
     assert (s.total_requests, s.duration_ms) == (2, 12.5)
     spath = os.path.join(scratch, "summaries")
