@@ -33,7 +33,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=500)
     p.add_argument("--all", action="store_true", help="scan every matching record")
     p.add_argument("--filter", default=None, help="Spark SQL predicate on history columns")
-    p.add_argument("--ids", help="parquet file with the id list (row order = position column 'pos')")
+    p.add_argument("--ids", help="parquet id list: an id column plus position column(s) giving list order")
     p.add_argument("--id-col", default="id")
     p.add_argument("--centroid", choices=["mode", "majority"], default="mode")
     p.add_argument("--top", type=int, default=None)
