@@ -257,3 +257,25 @@ def test_mode_centroid_value_string_ids(spark):
             ("t3", 200, "a/b", "beta"), ("t4", 200, "a/b", "alpha")]
     feats = response_features(make_history(spark, rows))
     assert to_hex(mode_centroid_value(feats, ["created_at", "id"], True)) == "7627619b954620a7"
+
+
+def test_wide_form_binary_bodies_rank_like_canonical(spark):
+    """MAP<STRING, ARRAY<STRING>> headers and BINARY bodies rank like the
+    canonical columns they encode."""
+    from brute import brute_rank
+
+    rows = [("w1", 200, "text/html; charset=utf-8", "<html>ok</html>"),
+            ("w2", 200, None, "<html>ok</html>"),
+            ("w3", 404, "application/json", '{"e": 1} é'),
+            ("w4", 500, "text/html", "trace at line 9")]
+    base = dt.datetime(2024, 1, 1)
+    data = [(rid, base - dt.timedelta(seconds=i), "GET", f"http://h/{rid}", True, st,
+             ({"content-type": [ct, "ignored"]} if ct else {"x-other": ["1"]}), bytearray(body.encode("utf-8")))
+            for i, (rid, st, ct, body) in enumerate(rows)]
+    wide = spark.createDataFrame(data, "id string, created_at timestamp, method string, url string, "
+                                       "has_response boolean, status_code int, "
+                                       "headers map<string,array<string>>, body binary")
+    got = [(r.id, r["rank"]) for r in rank(wide).collect()]
+    assert got == brute_rank(rows)
+    lengths = {r.id: r.content_length for r in rank(wide).collect()}
+    assert lengths["w3"] == len('{"e": 1} é'.encode("utf-8"))
