@@ -18,6 +18,10 @@ from ..functions.text import (body_text, content_length, first_header, js_slice,
                               status_or_zero)
 
 
+FEATURE_FIELDS = ("method", "url", "location", "status_code", "content_length", "content_type",
+                  "fingerprint")
+
+
 def _field(df: DataFrame, name: str, header: str | None = None) -> Column:
     cols = set(df.columns)
     if name in cols:
@@ -47,7 +51,8 @@ def response_features(history: DataFrame, order: Sequence[str] = ("created_at",
     body_type = h.schema["body"].dataType if "body" in h.columns else None
     body = F.col("body") if body_type is not None else F.lit(None).cast("string")
     text = js_slice(body_text(body, body_type), max_body_units)
-    keys = list(dict.fromkeys(["id", *order, *carry]))
+    # a carried column that is also a feature field is served by the feature
+    keys = list(dict.fromkeys(["id", *order, *[c for c in carry if c not in FEATURE_FIELDS]]))
     base = h.select(
         *[F.col(c) for c in keys],
         F.coalesce(_field(h, "method"), F.lit("")).alias("method"),

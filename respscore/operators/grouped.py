@@ -94,19 +94,55 @@ def group_mode_centroid(feats: DataFrame, by: Sequence[str], order: Sequence[str
                         descending: bool) -> DataFrame:
     """Per group: the most frequent fingerprint, ties to the first to reach
     the top count (earliest last occurrence in input order)."""
+    by, order = list(by), list(order)
     code = order_code(feats, order, descending)
     if code is not None:
-        last, pick = F.max(code), F.min_by
-    elif descending:
-        last, pick = F.min(order_struct(order)), F.max_by
-    else:
-        last, pick = F.max(order_struct(order)), F.min_by
+        return _group_mode(feats, by, F.max(code), F.min_by)
+    lead = order_code(feats, order[:1], descending) if len(order) > 1 else None
+    if lead is None:
+        return _group_mode_struct(feats, by, order, descending)
+    return _group_mode_lead(feats, by, order, descending, lead)
+
+
+def _group_mode(feats: DataFrame, by: list[str], last: Column, pick) -> DataFrame:
     fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), last.alias("_last"))
     top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
-    cand = lookup_join(fq, top, list(by), null_safe=True).where(F.col("_c") == F.col("_top"))
+    cand = lookup_join(fq, top, by, null_safe=True).where(F.col("_c") == F.col("_top"))
     return cand.groupBy(*by).agg(pick("fingerprint", "_last").alias("centroid"))
 
 
+def _group_mode_struct(feats: DataFrame, by: list[str], order: list[str],
+                       descending: bool) -> DataFrame:
+    """Order keys that do not pack at all: struct positions (sort aggregate)."""
+    if descending:
+        return _group_mode(feats, by, F.min(order_struct(order)), F.max_by)
+    return _group_mode(feats, by, F.max(order_struct(order)), F.min_by)
+
+
+def _group_mode_lead(feats: DataFrame, by: list[str], order: list[str], descending: bool,
+                     lead: Column) -> DataFrame:
+    """Leading key packed (e.g. created_at before a STRING id): hash
+    aggregates choose per group by (count, last leading position); only
+    groups whose best candidates tie exactly compare the remaining keys,
+    over just those candidates' rows at that position."""
+    fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), F.max(lead).alias("_l"))
+    top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
+    c1 = lookup_join(fq, top, by, null_safe=True).where(F.col("_c") == F.col("_top"))
+    first = c1.groupBy(*by).agg(F.min("_l").alias("_lmin"))
+    c2 = lookup_join(c1, first, by, null_safe=True).where(F.col("_l") == F.col("_lmin"))
+    counts = c2.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.max("fingerprint").alias("_fp"))
+    single = counts.where(F.col("_k") == 1).select(*by, F.col("_fp").alias("centroid"))
+    tied = lookup_join(c2, counts.where(F.col("_k") > 1).select(*by), by, "left_semi", null_safe=True)
+    rows = lookup_join(feats.withColumn("_lead", lead),
+                       tied.select(*by, "fingerprint", F.col("_l").alias("_lead")),
+                       [*by, "fingerprint", "_lead"], "left_semi", null_safe=True)
+    rest = order_struct(order[1:])
+    per_fp = rows.groupBy(*by, "fingerprint").agg((F.min(rest) if descending else F.max(rest)).alias("_r"))
+    pick = F.max_by if descending else F.min_by
+    resolved = per_fp.groupBy(*by).agg(pick("fingerprint", "_r").alias("centroid"))
+    return single.unionByName(resolved)
+
+
 def group_majority_centroid(feats: DataFrame, by: Sequence[str]) -> DataFrame:
     bit = lambda i: F.shiftrightunsigned("fingerprint", i).bitwiseAND(F.lit(1))
     ones = feats.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
@@ -165,7 +201,7 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
     sc = group_score_columns()
     extra = [c for c in order if c not in RESULT_COLUMNS and c not in by]
     cols = [F.col(c) for c in by]
-    cols += [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS]
+    cols += [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS if c not in by]
     cols += [F.col(c) for c in extra]
     if details:
         cols += [sc["hamming"].alias("hamming"), sc["length_outlier"].alias("length_outlier"),

@@ -279,3 +279,31 @@ def test_wide_form_binary_bodies_rank_like_canonical(spark):
     assert got == brute_rank(rows)
     lengths = {r.id: r.content_length for r in rank(wide).collect()}
     assert lengths["w3"] == len('{"e": 1} é'.encode("utf-8"))
+
+
+def test_group_mode_lead_path_matches_struct_path(spark):
+    from respscore.operators.grouped import _group_mode_struct, group_mode_centroid
+    from conftest import HISTORY_SCHEMA
+
+    base = dt.datetime(2024, 1, 1)
+    data = []
+    # group a: tie on count and on created_at, broken by id; group b: no tie;
+    # group c: tie on count only (distinct created_at)
+    for i, (g, body, sec, rid) in enumerate([
+            ("a", "alpha", 0, "a1"), ("a", "beta", 0, "a2"), ("a", "beta", 0, "a3"), ("a", "alpha", 0, "a4"),
+            ("b", "x", 1, "b1"), ("b", "x", 2, "b2"), ("b", "y", 3, "b3"),
+            ("c", "p", 1, "c1"), ("c", "q", 2, "c2"), ("c", "q", 3, "c3"), ("c", "p", 4, "c4")]):
+        data.append((rid, base - dt.timedelta(seconds=sec), "GET", g, True, 200, "t/t", None, body))
+    feats = response_features(spark.createDataFrame(data, HISTORY_SCHEMA), carry=["url"])
+    for desc in (True, False):
+        fast = {r.url: r.centroid for r in group_mode_centroid(feats, ["url"], ["created_at", "id"], desc).collect()}
+        slow = {r.url: r.centroid for r in _group_mode_struct(feats, ["url"], ["created_at", "id"], desc).collect()}
+        assert fast == slow and len(fast) == 3
+
+
+def test_rank_by_a_result_column(spark):
+    from respscore.operators.grouped import rank_by
+    from respscore.sources.tables import history_from_tables
+
+    out = rank_by(history_from_tables(spark, SF001), ["url"])
+    assert out.columns.count("url") == 1 and out.count() == 200
