@@ -25,7 +25,7 @@ def measured_size(small: DataFrame) -> tuple[int, int]:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
-                max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
+                max_rows: int | None = None, max_bytes: int | None = None,
                 null_safe: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
     """Join ``big`` to ``small``; broadcast ``small`` only when measured to be
     within bounds, else a shuffle join that AQE may still re-plan (and split
@@ -37,6 +37,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how:
     keys = [on] if isinstance(on, str) else list(on)
     if not keys:
         raise ValueError("lookup_join needs at least one key column")
+    max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
     rows, nbytes = size if size is not None else measured_size(small)
     fits = rows <= max_rows and nbytes <= max_bytes
     if not null_safe:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import MAX_BODY_UNITS, SCAN_DEFAULT_LIMIT
 from ..operators.features import response_features
 from ..operators.profile import profile_frame
-from ..operators.lookup import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, measured_size
+from ..operators import lookup
+from ..operators.lookup import measured_size
 from ..operators.score import rank_features, rank_responses
 from ..session import materialize
 from ..sources.history import SCAN_ORDER, fetch_by_ids, scan_history
@@ -46,7 +47,7 @@ def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = N
     hist = history.drop(*[c for c in order if c in history.columns])
     ids = ids.select("id", *order)
     size = measured_size(ids)
-    if size[0] <= BROADCAST_MAX_ROWS and size[1] <= BROADCAST_MAX_BYTES:
+    if size[0] <= lookup.BROADCAST_MAX_ROWS and size[1] <= lookup.BROADCAST_MAX_BYTES:
         # small list: broadcast it, fetch only the listed records, then fingerprint
         rows = fetch_by_ids(hist, ids, size=size)
         return rank_responses(rows, order=order, descending=False, centroid=centroid, **kw)

@@ -210,7 +210,7 @@ def test_rank_ids_large_list_path_matches(spark, monkeypatch):
     h = make_history(spark, SIX).drop("created_at")
     ids = ids_from_list(spark, [r[0] for r in SIX] + ["r1"])
     small = [tuple(r) for r in rank_ids(h, ids).collect()]
-    monkeypatch.setattr(api, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(api.lookup, "BROADCAST_MAX_ROWS", 0)
     large = [tuple(r) for r in api.rank_ids(h, ids).collect()]
     assert small == large and len(large) == 7
 
@@ -307,3 +307,26 @@ def test_rank_by_a_result_column(spark):
 
     out = rank_by(history_from_tables(spark, SF001), ["url"])
     assert out.columns.count("url") == 1 and out.count() == 200
+
+
+def test_no_broadcast_fallbacks_match(spark, monkeypatch):
+    """With every measured broadcast refused, all joins take the shuffle path."""
+    import respscore.operators.lookup as lk
+    import respscore.operators.profile as prof
+    from respscore.operators.grouped import rank_by
+    from respscore.sources.history import scope_filter
+    from respscore.sources.tables import history_from_tables
+
+    h = history_from_tables(spark, SF001)
+    g = h.withColumn("g", F.col("status_code"))
+    scope = h.select(F.regexp_extract("url", "//([^/:?#]+)", 1).alias("host")).limit(3)
+    ids = h.where("has_response").select("id", F.col("id").alias("pos"))
+    before = ([tuple(r) for r in rank(h).collect()], [tuple(r) for r in rank_by(g, ["g"]).collect()],
+              sorted(r.id for r in scope_filter(h, scope).collect()),
+              [tuple(r) for r in rank_ids(h, ids).collect()])
+    monkeypatch.setattr(lk, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(prof, "LOCAL_SUMMARY_ROWS", 0)
+    after = ([tuple(r) for r in rank(h).collect()], [tuple(r) for r in rank_by(g, ["g"]).collect()],
+             sorted(r.id for r in scope_filter(h, scope).collect()),
+             [tuple(r) for r in rank_ids(h, ids).collect()])
+    assert before == after
