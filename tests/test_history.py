@@ -113,3 +113,14 @@ def test_filter_fields_helper(hist):
     n = scan_history(h, scan_all=True, filter="length > 1000 AND scheme = 'https' AND method = 'GET'").count()
     m = h.where((F.col("length") > 1000) & (F.col("scheme") == "https") & (F.col("method") == "GET")).count()
     assert n == m > 0
+
+
+def test_malformed_urls_do_not_throw(spark):
+    from respscore.functions.url import with_url_parts
+
+    df = spark.createDataFrame([("http://a b/%%%?q",), ("not a url",), ("",), (None,),
+                                ("https://user@Host.Example:8443/p/x.JS#f",)], "url string")
+    r = with_url_parts(df).collect()
+    assert r[4].host == "host.example" and r[4].port == 8443 and r[4].ext == "js" and r[4].scheme == "https"
+    assert r[1].host is None and r[1].scheme is None and r[1].path == "not a url"
+    assert r[3].host is None and r[2].port is None

@@ -330,3 +330,14 @@ def test_no_broadcast_fallbacks_match(spark, monkeypatch):
              sorted(r.id for r in scope_filter(h, scope).collect()),
              [tuple(r) for r in rank_ids(h, ids).collect()])
     assert before == after
+
+
+def test_rank_exactly_half_rounds_up(spark):
+    """(stat*0.5 + sim*0.5)*100 == 12.5 exactly for r0: JS Math.round gives 13."""
+    from brute import brute_rank
+
+    rows = [("r0", 500, "application/json", "a"), ("r1", 200, "text/html", "a"),
+            ("r2", 500, "text/html", ""), ("r3", 500, "application/json", "ab")]
+    got = {r.id: r["rank"] for r in rank(make_history(spark, rows)).collect()}
+    assert got["r0"] == 13
+    assert sorted(got.items()) == sorted(brute_rank(rows))
