@@ -97,6 +97,8 @@ def scan_rank_ctes(centroid: str = "mode") -> str:
 
 
 SCAN_RANK = scan_rank_ctes()
+# the same CTE list, open for more CTEs (", name AS (...)" follows)
+SCAN_RANK_MORE = SCAN_RANK.rstrip("\n")
 
 Q: dict[str, str] = {}
 
@@ -229,10 +231,9 @@ _CATEGORY = """CASE WHEN status_code >= 500 THEN 'red' WHEN status_code >= 400 T
 _COLOR = """CASE category WHEN 'red' THEN '#a32f2a' WHEN 'amber' THEN '#a06008' WHEN 'olive' THEN '#8a7a06'
   WHEN 'green' THEN '#157a37' WHEN 'blue' THEN '#0b4ea8' WHEN 'cyan' THEN '#1f7aa8' ELSE 'transparent' END"""
 
-Q["row_category"] = SCAN_RANK + f""", cat AS (SELECT id, rank, {_CATEGORY} AS category FROM ranked)
+Q["row_category"] = SCAN_RANK_MORE + f""",
+cat AS (SELECT id, rank, {_CATEGORY} AS category FROM ranked)
 SELECT id, rank, category, {_COLOR} AS color, rank > 70 AS is_high FROM cat"""
-# the fragment above continues the WITH list, so SCAN_RANK must end without a SELECT
-Q["row_category"] = Q["row_category"].replace("\n, cat AS", ",\ncat AS")
 
 Q["high_rank"] = SCAN_RANK + "SELECT rank > 70 AS is_high, count(*) AS n FROM ranked GROUP BY ALL"
 
@@ -246,7 +247,8 @@ Q["targets_selected"] = SCAN_RANK.replace("WITH ", f"WITH {LABEL_LISTS},\n", 1)
 Q["export_csv_projection"] = SCAN_RANK + """SELECT rank AS "Rank", method AS "Method", status_code AS "Status",
   content_length AS "Length", content_type AS "Type", url AS "URL" FROM ranked"""
 
-Q["curl_lines"] = SCAN_RANK + f""", raw AS (SELECT id, method || ' / HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || {_host_sql('url')}
+Q["curl_lines"] = SCAN_RANK_MORE + f""",
+raw AS (SELECT id, method || ' / HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || {_host_sql('url')}
     || chr(13) || chr(10) || 'X-Id: ' || CAST(id AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || 'body' AS raw FROM history),
 j AS (SELECT r.id, r.url, string_split(w.raw, chr(13) || chr(10)) AS lines FROM ranked r JOIN raw w USING (id)
       WHERE w.raw IS NOT NULL AND w.raw <> ''),
@@ -254,7 +256,7 @@ k AS (SELECT id, url, lines, list_position(lines, '') AS blank FROM j)
 SELECT id, 'curl -X ' || split_part(lines[1], ' ', 1) || ' '
   || array_to_string(list_transform(lines[2:CASE WHEN blank > 0 THEN blank - 1 ELSE len(lines) END],
                                     lambda h: '-H "' || h || '"'), ' ')
-  || ' "' || url || '"' AS curl FROM k""".replace("\n, raw AS", ",\nraw AS")
+  || ' "' || url || '"' AS curl FROM k"""
 
 Q["url_list"] = SCAN_RANK + "SELECT id, url FROM ranked"
 Q["wordlist"] = SCAN_RANK + "SELECT DISTINCT url FROM ranked WHERE url <> ''"
