@@ -33,6 +33,20 @@ def resolve_filter(filter: Column | str | None,
     return F.expr(text)
 
 
+def validate_filter(history: DataFrame, filter: Column | str | None,
+                    presets: Mapping[str, Column | str] | None = None) -> dict:
+    """``{"valid": bool, "error": str | None}`` for a user filter, judged by
+    Spark's own parser and analyzer against the history's columns (blank is
+    valid).  Nothing runs: only the plan is analysed."""
+    try:
+        pred = resolve_filter(filter, presets)
+        if pred is not None:
+            history.where(pred).schema  # forces analysis, not execution
+        return {"valid": True, "error": None}
+    except Exception as e:  # ParseException, AnalysisException, unknown preset
+        return {"valid": False, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+
+
 def apply_filter(history: DataFrame, filter: Column | str | None = None,
                  presets: Mapping[str, Column | str] | None = None) -> DataFrame:
     pred = resolve_filter(filter, presets)

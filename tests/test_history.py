@@ -124,3 +124,15 @@ def test_malformed_urls_do_not_throw(spark):
     assert r[4].host == "host.example" and r[4].port == 8443 and r[4].ext == "js" and r[4].scheme == "https"
     assert r[1].host is None and r[1].scheme is None and r[1].path == "not a url"
     assert r[3].host is None and r[2].port is None
+
+
+def test_validate_filter(hist):
+    from respscore.sources.history import validate_filter
+
+    assert validate_filter(hist, "  ") == {"valid": True, "error": None}
+    assert validate_filter(hist, "status_code >= 400 AND method = 'GET'")["valid"]
+    bad_col = validate_filter(hist, "no_such_column = 1")
+    bad_syntax = validate_filter(hist, "status_code >>> AND")
+    assert not bad_col["valid"] and bad_col["error"]
+    assert not bad_syntax["valid"] and bad_syntax["error"]
+    assert not validate_filter(hist, "preset:missing", presets={})["valid"]
