@@ -18,7 +18,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["rank_scan", "rank_ids", "rank_topk", "rank_pages", "rank_majority",
+HEADLINE = ["rank_scan", "rank_scan_limit", "rank_ids", "rank_topk", "rank_pages", "rank_majority",
             "rank_native", "rank_by_host", "simhash_udf", "simhash_native", "scan_recent",
             "centroid_mode", "curl_lines", "fnv64"]
 
