@@ -18,12 +18,12 @@ from .operators.grouped import rank_by
 from .plans.api import profile, rank, rank_ids, scan_and_rank
 from .sinks.export import export_csv, export_curl, export_urls, export_wordlist
 from .sinks.runs import clear_runs, last_run, load_run, run_summary, save_run
-from .sources.history import fetch_by_ids, scan_history, selection_ids
+from .sources.history import fetch_by_ids, history_from_parts, scan_history, selection_ids
 from .streaming.baseline import fit_baseline, score
 
 __all__ = [
     "annotate", "clear_runs", "export_csv", "export_curl", "export_urls", "export_wordlist",
-    "fetch_by_ids", "fit_baseline", "last_run", "load_run", "profile", "rank", "rank_by", "rank_ids",
+    "fetch_by_ids", "fit_baseline", "history_from_parts", "last_run", "load_run", "profile", "rank", "rank_by", "rank_ids",
     "row_slice", "run_summary", "save_run", "scan_and_rank", "scan_history", "score",
     "selection_ids", "targets", "user_sort",
 ]

@@ -14,6 +14,25 @@ from ..operators.lookup import lookup_join
 SCAN_ORDER = ("created_at", "id")
 
 
+def history_from_parts(requests: DataFrame, responses: DataFrame,
+                       response_key: str = "response_id", key: str = "id") -> DataFrame:
+    """Canonical history from separate request and response tables (J7).
+
+    ``requests`` holds id, created_at, method, url (and optionally raw);
+    ``responses`` holds ``key`` plus status_code, body and either
+    content_type_header/location or a ``headers`` map.  A request whose
+    ``response_key`` finds no response keeps has_response = false.  Both
+    sides grow with the data, so this is a plain key join (sort-merge at
+    scale); tables bucketed by the key on both sides join without a
+    shuffle."""
+    resp = responses.select(*[F.col(c).alias(f"_r_{c}") for c in responses.columns])
+    j = requests.join(resp, requests[response_key] == resp[f"_r_{key}"], "left")
+    out = [F.col(c) for c in requests.columns if c != response_key]
+    out.append(F.col(f"_r_{key}").isNotNull().alias("has_response"))
+    out += [F.col(f"_r_{c}").alias(c) for c in responses.columns if c != key and c not in requests.columns]
+    return j.select(*out)
+
+
 def resolve_filter(filter: Column | str | None,
                    presets: Mapping[str, Column | str] | None = None) -> Column | None:
     """A user filter: a Column, a SQL predicate string, ``preset:<name>`` for a

@@ -136,3 +136,28 @@ def test_validate_filter(hist):
     assert not bad_col["valid"] and bad_col["error"]
     assert not bad_syntax["valid"] and bad_syntax["error"]
     assert not validate_filter(hist, "preset:missing", presets={})["valid"]
+
+
+def test_history_from_parts(spark):
+    import datetime as dt
+
+    from brute import brute_rank
+    from respscore.plans.api import rank
+    from respscore.sources.history import history_from_parts
+
+    base = dt.datetime(2024, 1, 1)
+    reqs = spark.createDataFrame(
+        [("q1", base, "GET", "http://a/1", "p1"), ("q2", base - dt.timedelta(seconds=1), "POST", "http://a/2", None),
+         ("q3", base - dt.timedelta(seconds=2), "GET", "http://a/3", "p3"),
+         ("q4", base - dt.timedelta(seconds=3), "GET", "http://a/4", "p4")],
+        "id string, created_at timestamp, method string, url string, response_id string")
+    resps = spark.createDataFrame(
+        [("p1", 200, {"content-type": ["text/html"]}, "ok page"), ("p3", 404, {}, "missing"),
+         ("p4", 200, {"content-type": ["text/html"], "location": ["/x"]}, "ok page")],
+        "id string, status_code int, headers map<string,array<string>>, body string")
+    h = history_from_parts(reqs, resps)
+    assert {r.id: r.has_response for r in h.collect()} == {"q1": True, "q2": False, "q3": True, "q4": True}
+    got = [(r.id, r["rank"]) for r in rank(h).collect()]
+    assert got == brute_rank([("q1", 200, "text/html", "ok page"), ("q3", 404, None, "missing"),
+                              ("q4", 200, "text/html", "ok page")])
+    assert {r.id: r.location for r in rank(h).collect()}["q4"] == "/x"
