@@ -42,3 +42,36 @@ def test_grouped_rank_matches_brute_force_per_group(spark, recs):
     for g in sorted(set(group.values())):
         want[g] = brute_rank([row for row in rows if group[row[0]] == g])
     assert got == want
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", ""]), max_size=8), min_size=1, max_size=3))
+def test_selection_first_seen_matches_python(spark, lists):
+    from respscore.sources.history import selection_ids
+
+    frames = [spark.createDataFrame([(v, i) for i, v in enumerate(ids)], "id string, pos long") for ids in lists]
+    got = {r.id: (r.src, r.pos) for r in selection_ids(*frames).collect()}
+    want = {}
+    for k, ids in enumerate(lists):
+        for i, v in enumerate(ids):
+            if v and v not in want:
+                want[v] = (k, i)
+    assert got == want
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([200, 404, 500]), st.integers(0, 3)), min_size=1, max_size=12),
+       st.sampled_from(["status_code", "content_length"]), st.sampled_from(["asc", "desc"]))
+def test_user_sort_is_stable_over_rank_order(spark, recs, field, direction):
+    from pyspark.sql import functions as F
+
+    from respscore.operators.annotate import user_sort
+    from respscore.operators.score import rank_order
+
+    rows = [(f"r{i:02d}", s, "text/html", "x" * n) for i, (s, n) in enumerate(recs)]
+    r = rank(make_history(spark, rows), sort=False)
+    ranked = [x.id for x in r.orderBy(*rank_order(["created_at", "id"], True)).collect()]
+    value = {x.id: x[field] for x in r.collect()}
+    want = sorted(ranked, key=lambda i: value[i], reverse=(direction == "desc"))  # stable
+    got = [x.id for x in user_sort(r, field, direction, rank_order(["created_at", "id"], True)).collect()]
+    assert got == want
