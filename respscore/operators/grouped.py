@@ -107,7 +107,7 @@ def group_mode_centroid(feats: DataFrame, by: Sequence[str], order: Sequence[str
 def _group_mode(feats: DataFrame, by: list[str], last: Column, pick) -> DataFrame:
     fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), last.alias("_last"))
     top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
-    cand = lookup_join(fq, top, by, null_safe=True).where(F.col("_c") == F.col("_top"))
+    cand = lookup_join(fq, top, by, null_safe=True, local=True).where(F.col("_c") == F.col("_top"))
     return cand.groupBy(*by).agg(pick("fingerprint", "_last").alias("centroid"))
 
 
@@ -127,9 +127,9 @@ def _group_mode_lead(feats: DataFrame, by: list[str], order: list[str], descendi
     over just those candidates' rows at that position."""
     fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), F.max(lead).alias("_l"))
     top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
-    c1 = lookup_join(fq, top, by, null_safe=True).where(F.col("_c") == F.col("_top"))
+    c1 = lookup_join(fq, top, by, null_safe=True, local=True).where(F.col("_c") == F.col("_top"))
     first = c1.groupBy(*by).agg(F.min("_l").alias("_lmin"))
-    c2 = lookup_join(c1, first, by, null_safe=True).where(F.col("_l") == F.col("_lmin"))
+    c2 = lookup_join(c1, first, by, null_safe=True, local=True).where(F.col("_l") == F.col("_lmin"))
     counts = c2.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.max("fingerprint").alias("_fp"))
     single = counts.where(F.col("_k") == 1).select(*by, F.col("_fp").alias("centroid"))
     tied = lookup_join(c2, counts.where(F.col("_k") > 1).select(*by), by, "left_semi", null_safe=True)
@@ -195,7 +195,7 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
         moments, sfreq, tfreq = split_group_summary(summ, by)
         msize = ssize = tsize = None
     j = lookup_join(feats, moments, by, null_safe=True, size=msize)
-    j = lookup_join(j, cen, by, null_safe=True)
+    j = lookup_join(j, cen, by, null_safe=True, local=True)
     j = lookup_join(j, sfreq, [*by, "status_code"], null_safe=True, size=ssize)
     j = lookup_join(j, tfreq, [*by, "content_type"], null_safe=True, size=tsize)
     sc = group_score_columns()

@@ -12,6 +12,22 @@ BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 256 << 20
 
 
+# a derived side up to this many rows may be collected once and rebuilt locally
+LOCAL_ROWS = 100_000
+
+
+def localize(small: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, tuple[int, int]] | None:
+    """Collect a small derived table once (``limit`` bounds what reaches the
+    driver) and rebuild it as a local relation of known size, so it is
+    neither recomputed nor measured again.  None beyond the bound."""
+    bound = LOCAL_ROWS if max_rows is None else max_rows
+    rows = small.limit(bound + 1).collect()
+    if len(rows) > bound:
+        return None
+    nbytes = sum(len(repr(tuple(r)).encode("utf-8")) + 32 for r in rows)
+    return small.sparkSession.createDataFrame(rows, small.schema), (len(rows), nbytes)
+
+
 def measured_size(small: DataFrame) -> tuple[int, int]:
     """(rows, estimated bytes) of ``small``: one aggregate pass over it.
 
@@ -26,17 +42,24 @@ def measured_size(small: DataFrame) -> tuple[int, int]:
 
 def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
                 max_rows: int | None = None, max_bytes: int | None = None,
-                null_safe: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
+                null_safe: bool = False, size: tuple[int, int] | None = None,
+                local: bool = False) -> DataFrame:
     """Join ``big`` to ``small``; broadcast ``small`` only when measured to be
     within bounds, else a shuffle join that AQE may still re-plan (and split
     skewed keys of ``big`` with the skew-join rule).
 
     ``null_safe`` matches null keys to null keys (``<=>``), as grouping
     does; the small side's key columns are dropped from the result.
-    ``size`` passes an already measured (rows, bytes) of ``small``."""
+    ``size`` passes an already measured (rows, bytes) of ``small``;
+    ``local`` first tries ``localize`` (for small derived sides that would
+    otherwise be computed twice: once to measure, once to join)."""
     keys = [on] if isinstance(on, str) else list(on)
     if not keys:
         raise ValueError("lookup_join needs at least one key column")
+    if local and size is None:
+        loc = localize(small)
+        if loc is not None:
+            small, size = loc
     max_rows = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
     rows, nbytes = size if size is not None else measured_size(small)

@@ -172,4 +172,4 @@ def scope_filter(history: DataFrame, scope: DataFrame, host_col: str = "host") -
 
     h = history.withColumn("_host", url_host("url"))
     s = scope.select(F.lower(F.col(host_col)).alias("_host")).distinct()
-    return lookup_join(h, s, "_host", "left_semi").drop("_host")
+    return lookup_join(h, s, "_host", "left_semi", local=True).drop("_host")
