@@ -20,8 +20,9 @@ from ..operators.annotate import annotate, row_slice, targets, user_sort
 from ..operators.features import response_features
 from ..operators.grouped import rank_by
 from ..operators.lookup import lookup_join
-from ..operators.profile import (collect_stats, length_moments, majority_centroid, mode_centroid,
-                                 profile_frame, status_frequency, type_frequency)
+from ..operators.profile import (collect_stats, length_moments, local_lookups, majority_centroid,
+                                 mode_centroid, profile_frame, status_frequency, summary,
+                                 summary_info, type_frequency)
 from ..operators.score import rank_order, score_columns
 from ..session import materialize, spread
 from ..sinks.export import csv_projection, curl_lines, wordlist
@@ -188,11 +189,17 @@ def q_length_outlier(spark, sf):
 
 
 def q_rarity(spark, sf):
-    feats, stats, _ = _scored(spark, sf)
-    n = F.lit(stats.n).cast("bigint")
-    s = status_frequency(feats)
-    t = type_frequency(feats)
-    j = lookup_join(lookup_join(feats, s, "status_code"), t, "content_type")
+    feats = _feats(spark, sf)
+    local = local_lookups(summary(feats))
+    if local is not None:
+        info, s, t = local
+        j = lookup_join(feats, s, "status_code", size=info.status_size)
+        j = lookup_join(j, t, "content_type", size=info.type_size)
+    else:
+        info = summary_info(summary(feats))
+        j = lookup_join(lookup_join(feats, status_frequency(feats), "status_code"),
+                        type_frequency(feats), "content_type")
+    n = F.lit(info.n).cast("bigint")
     return j.select("id", (F.lit(1) - F.col("status_count") / n).alias("status_rarity"),
                     (F.lit(1) - F.col("type_count") / n).alias("type_rarity"))
 
