@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_BODY_UNITS, SCAN_DEFAULT_LIMIT
 from ..operators.features import response_features

@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from conftest import SF001, make_history
 from respscore.plans.api import rank
 from respscore.sources.tables import history_from_tables

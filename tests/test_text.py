@@ -1,7 +1,6 @@
 """Field functions: MIME normalisation, UTF-16 truncation, lengths."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from respscore.functions.text import content_length, js_slice, mime_type, status_or_zero
 
