@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..functions.constants import HASH_BITS, LENGTH_SIGMAS, MAX_BODY_UNITS
 from ..functions.order import order_code, order_struct, sort_exprs
 from ..functions.simhash import hamming
+from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
 from .lookup import lookup_join
@@ -204,7 +205,8 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
     cols += [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS if c not in by]
     cols += [F.col(c) for c in extra]
     if details:
-        cols += [sc["hamming"].alias("hamming"), sc["length_outlier"].alias("length_outlier"),
+        cols += [fingerprint_hex("fingerprint").alias("fingerprint"),
+                 sc["hamming"].alias("hamming"), sc["length_outlier"].alias("length_outlier"),
                  sc["status_rarity"].alias("status_rarity"), sc["type_rarity"].alias("type_rarity")]
     out = j.select(*cols)
     if not sort:

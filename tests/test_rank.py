@@ -341,3 +341,12 @@ def test_rank_exactly_half_rounds_up(spark):
     got = {r.id: r["rank"] for r in rank(make_history(spark, rows)).collect()}
     assert got["r0"] == 13
     assert sorted(got.items()) == sorted(brute_rank(rows))
+
+
+def test_grouped_details_match_single_group(spark):
+    from respscore.operators.grouped import rank_by
+
+    h = make_history(spark, SIX)
+    a = {r.id: (r.fingerprint, r.hamming) for r in rank(h, details=True).collect()}
+    b = {r.id: (r.fingerprint, r.hamming) for r in rank_by(h.withColumn("g", F.lit(1)), ["g"], details=True).collect()}
+    assert a == b
