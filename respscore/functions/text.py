@@ -61,13 +61,15 @@ def js_slice(text: Column | str, units: int | None = MAX_BODY_UNITS) -> Column:
     Texts of at most units/2 characters cannot exceed the limit and pass
     through untouched; longer ones are cut on their UTF-16LE encoding,
     backing off one unit when the cut would split a surrogate pair (the
-    dropped half is not a word character, so tokens are unchanged).
+    dropped half is not a word character, so tokens are unchanged).  Every
+    character is at least one unit, so only the first ``units`` characters
+    are encoded: per-row work is bounded whatever the body size.
     ``units=None`` keeps the whole text."""
     t = _col(text)
     if units is None:
         return t
     nbytes = 2 * units
-    enc = F.encode(t, "UTF-16LE")
+    enc = F.encode(F.substring(t, 1, units), "UTF-16LE")
     high_byte = F.hex(F.substring(enc, nbytes, 1))
     cut = F.when(high_byte.between("D8", "DB"), F.lit(nbytes - 2)).otherwise(F.lit(nbytes))
     truncated = F.decode(F.substring(enc, F.lit(1), cut), "UTF-16LE")
