@@ -46,10 +46,18 @@ def mime_type(header: Column | str) -> Column:
     )
 
 
-def body_text(body: Column | str, dtype: DataType | None = None) -> Column:
-    """Body as text; BINARY bodies are decoded as UTF-8 with bad bytes replaced."""
+def body_text(body: Column | str, dtype: DataType | None = None,
+              max_chars: int | None = None) -> Column:
+    """Body as text; BINARY bodies are decoded as UTF-8 with bad bytes replaced.
+
+    With ``max_chars``, a BINARY body is cut to 4 * max_chars bytes before
+    decoding: a character takes at most 4 bytes and an invalid byte becomes
+    one replacement character, so the first max_chars characters are intact
+    while the work per row stays bounded."""
     b = _col(body)
     if isinstance(dtype, BinaryType):
+        if max_chars is not None:
+            b = F.substring(b, 1, 4 * max_chars)
         return F.make_valid_utf8(b.cast("string"))
     return b
 

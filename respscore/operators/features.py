@@ -50,7 +50,7 @@ def response_features(history: DataFrame, order: Sequence[str] = ("created_at",
         h = h.where(F.col("has_response"))
     body_type = h.schema["body"].dataType if "body" in h.columns else None
     body = F.col("body") if body_type is not None else F.lit(None).cast("string")
-    text = js_slice(body_text(body, body_type), max_body_units)
+    text = js_slice(body_text(body, body_type, max_body_units), max_body_units)
     # a carried column that is also a feature field is served by the feature
     keys = list(dict.fromkeys(["id", *order, *[c for c in carry if c not in FEATURE_FIELDS]]))
     base = h.select(

@@ -48,3 +48,15 @@ def test_binary_body_length_and_text(spark):
     assert f.content_length == 7
     assert f.fingerprint != 0
     assert f.method == "" and f.url == "" and f.location is None
+
+
+def test_binary_prefix_keeps_the_first_characters(spark):
+    from respscore.functions.text import body_text
+    from pyspark.sql.types import BinaryType
+
+    text = "\U0001F600" * 10 + "abc" * 50          # 4-byte characters first
+    df = spark.createDataFrame([(bytearray(text.encode("utf-8")),)], "b binary")
+    got = df.select(body_text("b", BinaryType(), max_chars=20).alias("t")).first().t
+    assert got.startswith(text[:20])
+    whole = df.select(body_text("b", BinaryType()).alias("t")).first().t
+    assert whole == text
