@@ -66,8 +66,9 @@ def js_slice(text: Column | str, units: int | None = MAX_BODY_UNITS) -> Column:
     """First ``units`` UTF-16 code units of the text, as JavaScript's
     ``String.prototype.slice(0, units)`` counts them.
 
-    Texts of at most units/2 characters cannot exceed the limit and pass
-    through untouched; longer ones are cut on their UTF-16LE encoding,
+    Texts of at most units/2 bytes (so at most units/2 characters) cannot
+    exceed the limit and pass through untouched - an O(1) test, no scan;
+    the others are cut on their UTF-16LE encoding,
     backing off one unit when the cut would split a surrogate pair (the
     dropped half is not a word character, so tokens are unchanged).  Every
     character is at least one unit, so only the first ``units`` characters
@@ -81,7 +82,7 @@ def js_slice(text: Column | str, units: int | None = MAX_BODY_UNITS) -> Column:
     high_byte = F.hex(F.substring(enc, nbytes, 1))
     cut = F.when(high_byte.between("D8", "DB"), F.lit(nbytes - 2)).otherwise(F.lit(nbytes))
     truncated = F.decode(F.substring(enc, F.lit(1), cut), "UTF-16LE")
-    return F.when(F.length(t) <= units // 2, t).otherwise(truncated)
+    return F.when(F.octet_length(t) <= units // 2, t).otherwise(truncated)
 
 
 def tokens(text: Column | str) -> Column:
