@@ -112,7 +112,12 @@ def newest(rows: DataFrame, k: int) -> DataFrame:
     (a proven bound) are broadcast back in a semi-join."""
     keys = (rows.select(*SCAN_ORDER)
             .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(check_limit(k)))
-    return rows.join(F.broadcast(keys), list(SCAN_ORDER), "left_semi")
+    k_ = keys.select(*[F.col(c).alias(f"_k_{c}") for c in SCAN_ORDER])
+    match = None
+    for c in SCAN_ORDER:  # null-safe: a row without created_at can still be chosen
+        cond = rows[c].eqNullSafe(k_[f"_k_{c}"])
+        match = cond if match is None else match & cond
+    return rows.join(F.broadcast(k_), match, "left_semi")
 
 
 def keyset_page(history: DataFrame, page_size: int = 1000,

@@ -161,3 +161,14 @@ def test_history_from_parts(spark):
     assert got == brute_rank([("q1", 200, "text/html", "ok page"), ("q3", 404, None, "missing"),
                               ("q4", 200, "text/html", "ok page")])
     assert {r.id: r.location for r in rank(h).collect()}["q4"] == "/x"
+
+
+def test_newest_keeps_rows_without_timestamp(spark):
+    import datetime as dt
+
+    from respscore.sources.history import scan_history
+
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 2)), (2, None), (3, dt.datetime(2024, 1, 1))],
+                               "id long, created_at timestamp")
+    assert sorted(r.id for r in scan_history(df, limit=3).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in scan_history(df, limit=2).collect()) == [1, 3]
