@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .operators.annotate import annotate
 from .plans.api import rank, rank_ids, scan_and_rank
 from .sinks.export import export_csv, export_curl, export_urls, export_wordlist
-from .sinks.runs import save_run
+from .sinks.runs import history_version, id_set_key, save_run, scan_key
 from .sources.history import scan_history
 from .sources.tables import history_from_tables, requests_with_raw
 
@@ -40,7 +40,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--by", default=None, help="comma-separated group columns")
     p.add_argument("--out", required=True)
     p.add_argument("--format", choices=["parquet", "csv", "urls", "curl", "wordlist"], default="parquet")
-    p.add_argument("--run-key", default=None, help="store as a run (parquet, partitioned by run_key)")
+    p.add_argument("--run-key", default=None,
+                   help="store as a run (parquet, partitioned by run_key); 'auto' derives the key "
+                        "from the scan arguments and data version, or from the id set")
     return p
 
 
@@ -63,7 +65,11 @@ def main(argv: list[str] | None = None) -> None:
         ids = ids.select(F.col(a.id_col).alias("id"), *[c for c in ids.columns if c != a.id_col])
         results = rank_ids(history, ids, centroid=a.centroid, top=a.top)
     if a.run_key:
-        save_run(results, a.out, a.run_key)
+        key = a.run_key
+        if key == "auto":
+            key = (scan_key(a.limit, a.all, a.filter, history_version(history)) if a.command == "scan"
+                   else id_set_key(ids).first()["run_key"])
+        save_run(results, a.out, key)
     elif a.format == "parquet":
         annotate(results).write.mode("overwrite").parquet(a.out)
     elif a.format == "csv":

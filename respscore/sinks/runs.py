@@ -34,6 +34,13 @@ def scan_key(limit: int, scan_all: bool, filter: str | None = None, version: str
     return f"scan:{limit}:{str(bool(scan_all)).lower()}:{(filter or '').strip()}:{version}"
 
 
+def history_version(history: DataFrame) -> str:
+    """A data-version string for ``scan_key``: record count and newest
+    created_at, from one aggregate (new traffic changes it)."""
+    r = history.agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("t")).first()
+    return f"{r['n']}@{r['t'].isoformat() if r['t'] is not None else ''}"
+
+
 def save_run(results: DataFrame, path: str, run_key: str) -> None:
     """Write ``results`` as run ``run_key`` (stamped ``saved_at``), replacing
     only that run."""

@@ -29,3 +29,11 @@ def test_cli_ids_and_runs(spark, scratch):
     main(["scan", "--tables", SF001, "--limit", "50", "--filter", "has_response", "--out", curl,
           "--format", "curl"])
     assert spark.read.text(curl).where("value LIKE 'curl -X %'").count() > 0
+
+
+def test_cli_auto_run_key(spark, scratch):
+    runs = os.path.join(scratch, "auto")
+    main(["scan", "--tables", SF001, "--limit", "100", "--filter", "has_response", "--out", runs,
+          "--run-key", "auto"])
+    keys = [r.run_key for r in spark.read.parquet(runs).select("run_key").distinct().collect()]
+    assert len(keys) == 1 and keys[0].startswith("scan:100:false:has_response:")

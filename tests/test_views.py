@@ -137,3 +137,13 @@ def test_id_set_key_order_insensitive(spark):
     c = spark.createDataFrame([(3,), (1,)], "id long")
     ka, kb, kc = (id_set_key(x).first().run_key for x in (a, b, c))
     assert ka == kb != kc and ka.startswith("ids:")
+
+
+def test_history_version_changes_with_new_traffic(spark):
+    from respscore.sinks.runs import history_version
+
+    h = make_history(spark, [("a", 200, "text/html", "x"), ("b", 200, "text/html", "y")])
+    v1 = history_version(h.where("id = 'b'"))
+    v2 = history_version(h)
+    assert v1 != v2 and v2.startswith("2@")
+    assert scan_key(500, False, None, v2).endswith(v2)
