@@ -50,3 +50,13 @@ def test_query_matches_oracle_sf0001(spark, duck, name):
     d_cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(d_cols)
     assert _canon(df.columns, s_rows) == _canon(d_cols, res.fetchall())
+
+
+def test_entry_schema_is_stable(spark):
+    assert entry.entry(spark).schema == entry.entry(spark).schema
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_columns_are_unique(spark, name):
+    cols = entry.queries()[name](spark, SF001).columns
+    assert len(cols) == len(set(cols))
