@@ -3,8 +3,9 @@
 Plan shape (see ``rank_responses``):
 
 1. features  - one scan of history, F2 filter, fingerprint; materialised
-               once (checkpoint when a shared checkpoint folder is set,
-               else MEMORY_AND_DISK) because several consumers read it.
+               once (a Parquet table in the shared checkpoint folder when
+               one is set, else MEMORY_AND_DISK) because several passes
+               read it, the statistics passes only a few of its columns.
 2. summary   - ONE aggregation pass (GROUPING SETS) for status counts, MIME
                counts and the exact length moments; a few hundred rows,
                collected under a hard row bound and rebuilt as two local

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -60,21 +61,31 @@ def configured_checkpoint_dir(spark: SparkSession) -> str | None:
 def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     """Compute ``df`` once for several downstream consumers.
 
-    * ``checkpoint`` - reliable checkpoint into ``spark.checkpoint.dir``:
-      cuts lineage, survives executor loss without recomputation.
+    * ``table``     - a Parquet table written under ``spark.checkpoint.dir``
+      (unique folder) and read back: cuts lineage, survives executor loss,
+      and later passes read only the columns they use (column pruning,
+      compressed low-cardinality strings).
+    * ``checkpoint`` - reliable ``checkpoint()`` into the same folder (row
+      format: every later pass reads every column).
     * ``persist``   - MEMORY_AND_DISK cache; a lost block is recomputed
       from lineage (scan + projection), so it also survives executor loss.
-    * ``auto``      - checkpoint when a checkpoint folder is configured,
-      else persist.
+    * ``auto``      - ``table`` when a checkpoint folder is configured,
+      else ``persist``.
     * ``none``      - keep the plan lazy (every consumer recomputes).
     """
-    if how not in ("auto", "checkpoint", "persist", "none"):
+    if how not in ("auto", "table", "checkpoint", "persist", "none"):
         raise ValueError(f"unknown materialize mode: {how!r}")
     if how == "none":
         return df
     spark = df.sparkSession
     cdir = configured_checkpoint_dir(spark)
-    if how == "checkpoint" or (how == "auto" and cdir):
+    if how == "table" or (how == "auto" and cdir):
+        if not cdir:
+            raise ValueError("table materialisation needs spark.checkpoint.dir")
+        path = f"{cdir.rstrip('/')}/respscore-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+    if how == "checkpoint":
         if not cdir:
             raise ValueError("checkpoint requested but spark.checkpoint.dir is not set")
         sc = _context(spark)

@@ -116,7 +116,8 @@ def test_materialize_modes_agree(spark):
     a = [tuple(r) for r in rank(h, materialize_how="checkpoint").collect()]
     b = [tuple(r) for r in rank(h, materialize_how="persist").collect()]
     c = [tuple(r) for r in rank(h, materialize_how="none").collect()]
-    assert a == b == c
+    d = [tuple(r) for r in rank(h, materialize_how="table").collect()]
+    assert a == b == c == d
 
 
 def test_golden_sf0001(spark):
