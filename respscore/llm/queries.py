@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_formatting
 from .quality import OP4_SQL, op4_quality_rules
+from .simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
 }
