@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_formatting
+from .linededup import OP9_SQL, op9_line_dedup
+from .mixing import op10_mixing
 from .quality import OP4_SQL, op4_quality_rules
 from .simhash import op1_simhash
 
@@ -10,5 +12,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL}
