@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_formatting
+from .counts import op2_separator_scan
+from .idfiles import op6_packed_ids
 from .linededup import OP9_SQL, op9_line_dedup
 from .mixing import op10_mixing
+from .piecebpe import op7_piece_bpe
 from .quality import OP4_SQL, op4_quality_rules
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_separator_scan": op2_separator_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_packed_ids": op6_packed_ids,
+    "op7_piece_bpe": op7_piece_bpe,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
