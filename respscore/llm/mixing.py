@@ -196,12 +196,11 @@ def take(rows: DataFrame, plan: Plan) -> DataFrame:
     in_last = F.coalesce(key <= F.col("_p_cut"), F.lit(False)) | key.eqNullSafe(F.col("_p_more"))
     once_more = (F.col("_pos") < F.col("_p_full")) | ((F.col("_pos") == F.col("_p_full")) & in_last)
     copies = F.col("_p_whole") + once_more.cast("int")
+    runs = plan.shard_runs().join(plan._frame("s", "blocks").withColumnRenamed("_p_s", "_r_s"), "_r_s").select(
+        "_r_s", F.pmod("_r_at", "_p_blocks").alias("_r_pos"), F.floor(F.col("_r_at") / F.col("_p_blocks")).cast("int").alias("copy"), "shard")
     some = placed.withColumn("_copies", copies).where("_copies > 0")
-    each = some.select(*rows.columns, "_p_s", (F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).alias("copy"), "_pos", "_p_blocks")
-    runs = plan.shard_runs()
-    at = each.withColumn("_at", F.col("copy") * F.col("_p_blocks") + F.col("_pos"))
-    return at.join(runs, (at["_p_s"] == runs["_r_s"]) & (at["_at"] == runs["_r_at"])).select(
-        *rows.columns, "copy", "shard", F.xxhash64(F.lit(plan.mix.seed + 2), "_turn", "copy").alias("local_order"))
+    each = some.join(runs, (some["_p_s"] == runs["_r_s"]) & (some["_pos"] == runs["_r_pos"]) & (runs["copy"] < some["_copies"]))
+    return each.select(*rows.columns, "copy", "shard", F.xxhash64(F.lit(plan.mix.seed + 2), "_turn", "copy").alias("local_order"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", mix: Mix = Mix(), weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
