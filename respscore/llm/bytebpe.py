@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -20,7 +21,7 @@ from .process import kept
 # White space other than these two, and what marks a cut: texts that hold any of it are cut with care.
 _CARE = ["  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-CACHE_WORDS = 400_000  # pieces kept by a worker; a full cache starts anew
+CACHE_WORDS = 1_000_000  # pieces kept by a worker; a full cache starts anew
 
 
 def pieces(text: str) -> list[str]:
@@ -40,7 +41,7 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return ids
 
 
@@ -61,7 +62,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids (uint32) of a text, as the library's encode without added tokens."""
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces(text))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces(text))), dtype=np.uint32)
 
 
 def encoder(path: str, ordinary: bool = False) -> ByteBpe:
