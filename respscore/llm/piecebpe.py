@@ -8,7 +8,8 @@ between them; undoing their merges, latest first, tells.  The ids of the word
 are then read from the table backwards.
 
 No piece holds a word character before the space mark, so a text falls apart
-into words (space mark and what follows), and each distinct word is done once
+into words (space mark and what follows), and likewise between any two
+characters that no piece holds side by side; each distinct part is done once
 from a bounded cache.  Pieces of several space marks rank below all others
 and are merged last, which ``_spaces`` does.  A character outside the
 vocabulary stands alone as its UTF-8 bytes.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from .common import slices, table
 from .process import kept
 
 MARK = "▁"  # the library's space mark
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 SLICE_CHARS = 4 << 20  # text that a task holds ids for at once
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _NEVER = 1 << 40
@@ -71,7 +73,9 @@ class PieceBpe:
         if spaces and max(s for _, _, s in spaces) >= min(s for p, _, s in words if len(p) > 1):
             raise ValueError("pieces of space marks rank above others")
         self.space_id = {len(p): (i, s) for p, i, s in spaces}
-        self.word: dict[str, np.ndarray] = {}
+        self.inside = {p[k:k + 2] for p, _, _ in words for k in range(len(p) - 1)}  # neighbours that some piece joins
+        self.word: dict[str, bytes] = {}
+        self.run: dict[str, list[int]] = {}
         self._fit(words, ahocorasick)
 
     def _fit(self, words: list[tuple[str, int, float]], ahocorasick) -> None:
@@ -120,9 +124,11 @@ class PieceBpe:
                 continue
             before = last[end - n]
             if end > n:
-                ok = fits.get((before, i))
+                ok = fits.get(pair := before << 20 | i)
                 if ok is None:
-                    ok = fits[before, i] = self._apart(before, i, _NEVER)
+                    if len(fits) >= CACHE_WORDS:
+                        fits.clear()
+                    ok = fits[pair] = self._apart(before, i, _NEVER)
                 if not ok:
                     continue
             last[end], done = i, end
@@ -132,6 +138,15 @@ class PieceBpe:
             at -= len(self.text[last[at]])
         return ids[::-1]
 
+    def _run(self, run: str) -> list[int]:
+        """Ids of characters that pieces may join: known ones, or one that is in no piece."""
+        ids = self.run.get(run)
+        if ids is None:
+            if len(self.run) >= CACHE_WORDS:
+                self.run.clear()
+            ids = self.run[run] = self._table(run) if run[0] in self.id_of else [self.bytes_id[x] for x in run.encode()]
+        return ids
+
     def _spaces(self, n: int) -> list[int]:
         """Ids of ``n`` space marks that nothing else has merged: best piece first, leftmost on ties."""
         size, after, before = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
@@ -161,21 +176,17 @@ class PieceBpe:
         if ids is not None:
             return ids
         marks = len(word) - len(word.lstrip(MARK))
-        out, run = [], ""
-        for c in word[marks - 1:] if marks else word:
-            if c in self.id_of:
-                run += c
-                continue
-            out += self._table(run) + [self.bytes_id[x] for x in c.encode()]
-            run = ""
-        out += self._table(run)
+        out, rest, begin = [], word[max(0, marks - 1):], 0
+        for k in range(1, len(rest) + 1):  # cut between neighbours that no piece joins
+            if rest[k - 1:k + 1] not in self.inside or k == len(rest):
+                out += self._run(rest[begin:k])
+                begin = k
         if marks > 1:
             alone = out[0] == self.id_of[MARK]
             out = self._spaces(marks - 1 + alone) + out[alone:]
-        if len(self.word) > CACHE_WORDS:
+        if len(self.word) >= CACHE_WORDS:
             self.word.clear()
-            self.fits.clear()
-        ids = self.word[word] = np.array(out, dtype=np.int32).tobytes()
+        ids = self.word[word] = array("i", out).tobytes()
         return ids
 
     def encode(self, text: str) -> np.ndarray:
