@@ -123,4 +123,5 @@ def op2_separator_scan(spark, sf_dir: str) -> DataFrame:
     written = ws.keep(write_flat(docs, folder, tokenizer_path()), "written")
     counted = count_tokens(flat_files(spark, folder), width_for(SEPARATOR + 1))
     named = counted.withColumn("file", F.substring_index("path", "/", -1))
-    return named.join(written, ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "ended")
+    # both sides grow with the corpus, though their files are small: no broadcast
+    return named.join(written.hint("merge"), ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "ended")
