@@ -143,13 +143,13 @@ class Plan:
         inner = Window.partitionBy("_p_s", "sup").orderBy("_pos")
         sums = blocks.withColumn("sup", F.floor(F.col("_pos") / SUPER)).join(before, ["_p_s", "sup"]).select(
             "_p_s", "_p_rest", "_pos", (F.col("base") + F.sum("words").over(inner)).alias("upto"))
-        ends = {r["_p_s"]: r for r in sums.where("upto <= _p_rest").groupBy("_p_s").agg(F.max("_pos").alias("pos"), F.max("upto").alias("upto")).collect()}
+        ends = {r["_p_s"]: r for r in sums.where("_p_rest > 0 AND upto <= _p_rest").groupBy("_p_s").agg(F.max("_pos").alias("pos"), F.max("upto").alias("upto")).collect()}
         for x in self.sources:
             end = ends.get(x["s"])
             x["full"] = 0 if end is None else end["pos"] + 1
             x["left"] = x["rest"] - (0 if end is None else end["upto"])
             x["cut"] = x["more"] = None
-        last = self.spark.createDataFrame([(x["s"], x["full"], x["left"]) for x in self.sources], "_l_s int, _l_pos long, _l_left double")
+        last = self.spark.createDataFrame([(x["s"], x["full"], x["left"]) for x in self.sources if x["rest"] > 0], "_l_s int, _l_pos long, _l_left double")
         key = F.struct(F.col("_turn").alias("t"), F.col("_k1").isNull().alias("n"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
         inside = placed.join(last, (F.col("_p_s") == F.col("_l_s")) & (F.col("_pos") == F.col("_l_pos")))
         each = inside.groupBy("_p_s", "_l_left", key.alias("key")).agg(F.sum("_size").alias("words"))

@@ -7,14 +7,18 @@ from .counts import op2_separator_scan
 from .idfiles import op6_packed_ids
 from .linededup import OP9_SQL, op9_line_dedup
 from .mixing import op10_mixing
+from .multiset import op3_multiset_fingerprints
 from .piecebpe import op7_piece_bpe
 from .quality import OP4_SQL, op4_quality_rules
 from .simhash import op1_simhash
+from .suffix import op5_suffix_array
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_separator_scan": op2_separator_scan,
+    "op3_multiset_fingerprints": op3_multiset_fingerprints,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_array": op5_suffix_array,
     "op6_packed_ids": op6_packed_ids,
     "op7_piece_bpe": op7_piece_bpe,
     "op8_chat_formatting": op8_chat_formatting,

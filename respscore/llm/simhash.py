@@ -208,12 +208,13 @@ def links(nodes: DataFrame, ws: Workspace, max_bits: int = MAX_BITS, bucket: int
 
 
 def component_ids(fps: DataFrame, ws: Workspace, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """``fp, component_id`` of each distinct fingerprint of ``fps`` (``doc_id, fp``): the smallest id reachable."""
+    """``fp, component_id, root`` of each distinct fingerprint of ``fps`` (``doc_id, fp``): the smallest id
+    reachable, and what names the component even where ids are null or repeated."""
     nodes = ws.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("_first")), "nodes")
     stars = components(links(nodes, ws, max_bits, bucket), ws)
     rooted = ws.keep(nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root")), "rooted")
     first = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return ws.keep(rooted.join(first, "_root").select("fp", "component_id"), "component_ids")
+    return ws.keep(rooted.join(first, "_root").select("fp", "component_id", F.col("_root").alias("root")), "component_ids")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
@@ -225,19 +226,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = SHINGLE_WO
 
 
 def keep_one(docs: DataFrame, text: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, one of each group of linked documents: the one with the smallest id (then text hash)."""
+    """The rows of ``docs``, one of each group of linked documents: the one with the smallest id
+    (a null one last, then a hash of the text).  Equal rows are one of them."""
     ws = Workspace(docs.sparkSession, "simhash-keep")
     keyed = docs.select(*row_key("doc_id", text), "doc_id", F.col(text).alias("_text"))
     fps = ws.keep(fingerprints(keyed, "_text", ["_k1", "_k2", "doc_id"], width), "fps")
     ids = component_ids(fps, ws, max_bits)
-    # group by the component's root through its least id: null ids come last
     order = F.struct(F.col("_k1").isNull().alias("no_id"), "_k1", "_k2")
-    grouped = fps.join(ids, "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_own"))
-    kept = grouped.agg(F.min(order).alias("o")).select(F.col("o._k1").alias("_k1"), F.col("o._k2").alias("_k2"))
+    kept = fps.join(ids, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._k1").alias("_k1"), F.col("o._k2").alias("_k2"))
     times = fps.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_times"))
     kept = ws.keep(kept.join(times, kept._k1.eqNullSafe(times._k1) & (kept._k2 == times._k2)).select(kept._k1, kept._k2, "_times"), "kept")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *row_key("doc_id", text))
-    found = rows.join(kept, rows._k1.eqNullSafe(kept._k1) & (rows._k2 == kept._k2)).select("_row", rows._k1, rows._k2, "_times")
+    found = rows.join(kept.hint("merge"), rows._k1.eqNullSafe(kept._k1) & (rows._k2 == kept._k2)).select("_row", rows._k1, rows._k2, "_times")
     once = found.where("_times > 1").dropDuplicates(["_k1", "_k2"])
     return found.where("_times = 1").unionByName(once).select("_row.*")
 

@@ -365,10 +365,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fi
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs``; ``kept`` are the bytes left."""
     ws = Workspace(docs.sparkSession, "suffix")
     spans = removed_starts(docs, ws, text, length, filter_bits, most_bytes, sort_bytes)
-    # joined with its neighbours in order, a run ends where a later one starts: the lists stay short
     lists = ws.keep(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "spans")
     rows = docs.select(*row_key("doc_id", text), F.col(text).alias("_text"))
-    both = rows.join(lists, rows["_k1"].eqNullSafe(lists["k1"]) & (rows["_k2"] == lists["k2"]), "left").select("_k1", "_text", "_spans")
+    both = rows.join(lists.hint("merge"), rows["_k1"].eqNullSafe(lists["k1"]) & (rows["_k2"] == lists["k2"]), "left").select("_k1", "_text", "_spans")
     return both.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -1,0 +1,92 @@
+import random
+
+import numpy as np
+import pytest
+
+from helpers import edge_rows, frame
+from respscore.llm import mixing as M
+
+
+def water(sizes, weights, share=1.5, most=2.0):
+    """Targets by bisection on the level."""
+    total, lo, hi = share * sum(sizes), 0.0, 1e9
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * s, w * mid) for s, w in zip(sizes, weights, strict=True)) < total else (lo, mid)
+    return [min(most * s, w * lo) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets():
+    rng = random.Random(1)
+    for _ in range(50):
+        n = rng.randint(1, 9)
+        sizes, weights = [rng.choice([0, 1, 10, 500, rng.randrange(10000)]) for _ in range(n)], [M.WEIGHTS[i % 3] for i in range(n)]
+        got = M.targets(sizes, weights)
+        assert got == pytest.approx(water(sizes, weights), rel=1e-6, abs=1e-6)
+        assert all(t <= 2 * s for t, s in zip(got, sizes, strict=True)) and sum(got) == pytest.approx(1.5 * sum(sizes))
+    assert M.targets([], []) == []
+
+
+def test_tree_splits_quotas_exactly_and_evenly():
+    quotas = [500, 3, 0, 77]
+    for shards in (1, 2, 7, 64):
+        walks = [M.shard_quotas(quotas, shards, k, 9) for k in range(shards)]
+        assert sum(n for _, n in walks).tolist() == quotas
+        at = np.zeros(4, np.int64)
+        for first, n in walks:
+            assert (first == at).all()
+            at += n
+        sizes = [int(n.sum()) for _, n in walks]
+        assert max(sizes) - min(sizes) <= 1
+    mean = np.mean([M.shard_quotas([600, 200], 4, 0, s)[1][0] for s in range(300)])
+    assert abs(mean - 150) < 2  # a shard is a random sample: three quarters of 200 blocks
+
+
+def mixed_rows():
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), ["big", "big", "mid", "tiny", None][rng.randrange(5)]) for i in range(500)]
+    return rows + [(i + 2000, t, s) for i, t, s in edge_rows() if i is not None] + [(None, "a b c", "mid"), (None, None, None)]
+
+
+def test_mix_meets_targets_with_disjoint_blocks(spark):
+    rows = mixed_rows()
+    docs = frame(spark, rows)
+    mix = M.Mix(block_words=100, shard_blocks=8)
+    plan = M.make_plan(docs, mix=mix)
+    keyed = M._rows(docs, "text", "source", mix.seed)
+    taken = M.take(keyed, plan).select("row.doc_id", "row.text", "row.source", "copy", "shard").collect()
+    size = lambda t: len((t or "").split())
+    got = {}
+    for r in taken:
+        got[r.source] = got.get(r.source, 0) + size(r.text)
+    largest = {}
+    for _, t, s in rows:
+        largest[s] = max(largest.get(s, 0), size(t))
+    for x in plan.sources:
+        assert abs(got.get(x["source"], 0) - x["target"]) <= largest[x["source"]], x
+    times = {}
+    for r in taken:
+        times.setdefault((r.doc_id, r.text), []).append(r.copy)
+    assert max(len(v) for k, v in times.items() if sum((i, t) == k for i, t, _ in rows) == 1) <= 2
+    assert {r.shard for r in taken} == set(range(plan.shards))
+    blocks = plan.shard_runs().collect()
+    assert len(blocks) == sum(plan.quotas) == len({(r["_r_s"], r["_r_at"]) for r in blocks})
+    again = M.take(keyed, M.make_plan(docs.repartition(5), mix=mix)).select("row.doc_id", "copy", "shard").collect()
+    assert sorted((str(r.doc_id), r.copy, r.shard) for r in again) == sorted((str(r.doc_id), r.copy, r.shard) for r in taken)
+
+
+def test_mix_keeps_columns_and_takes_empty_tables(spark):
+    docs = frame(spark, mixed_rows())
+    out = M.mix_documents(docs, mix=M.Mix(block_words=200, shard_blocks=2))
+    assert out.columns == docs.columns
+    assert M.mix_documents(docs.limit(0)).count() == 0
+    alone = M.mix_documents(frame(spark, [(1, None, None), (2, "", "x")]))
+    assert {r.doc_id for r in alone.collect()} <= {1, 2}
+
+
+def test_query_counts_every_document_once(spark, tmp_path):
+    rows = mixed_rows()
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = M.op10_mixing(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    assert all(r.taken <= 2 * r["size"] for r in got)

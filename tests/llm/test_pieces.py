@@ -1,0 +1,69 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from helpers import edge_rows, frame, texts
+from respscore.llm import piecebpe as P
+
+
+@pytest.fixture(scope="module")
+def both():
+    path = P.model_path()
+    return P.PieceBpe(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    alphabet = "abcdefgh etaoin▁▁  \t\né中文\U0001f600<s></s>ZZ0123456789'.,-_=*#\0"
+    parts = ["a", "▁", " ", "the", "  ", "ing", "er", " t", "    ", "\n", "<0x41>", "é"]
+    for k in range(n):
+        if k % 3 == 0:
+            yield "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        elif k % 3 == 1:
+            yield "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 25)))
+        else:
+            yield "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+
+
+def test_encodes_and_decodes_as_the_library(both):
+    own, sp = both
+    for text in [*random_texts(1, 6000), *(t or "" for t in texts(2, 40)), *(" " * n + x for n in (1, 2, 3, 7, 17, 31, 100, 1000) for x in ("", "the"))]:
+        ids = sp.encode(text)
+        assert own.encode(text).tolist() == ids, repr(text)
+        assert own.decode(np.array(ids, np.int32)) == sp.decode(ids), repr(text)
+
+
+def test_decodes_any_ids_as_the_library(both):
+    own, sp = both
+    rng = random.Random(3)
+    for _ in range(4000):
+        ids = [rng.choice([rng.randrange(32000), rng.randrange(262)]) for _ in range(rng.randint(0, 8))]
+        assert own.decode(np.array(ids, np.int32)) == sp.decode(ids), ids
+
+
+def test_cache_limits_change_nothing(both, monkeypatch):
+    own, sp = both
+    monkeypatch.setattr(P, "CACHE_WORDS", 3)
+    for text in random_texts(5, 200):
+        assert own.encode(text).tolist() == sp.encode(text)
+
+
+def test_query_digests(spark, both):
+    _, sp = both
+    rows = [*edge_rows(), (8000, "long " * 60000 + "x" * 5000, "a")]
+    got = P.digests(frame(spark, rows), P.model_path()).collect()
+    want = []
+    for i, t, _ in rows:
+        ids = sp.encode(t or "")
+        want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    assert P.digests(frame(spark, rows).limit(0), P.model_path()).count() == 0
+
+
+def test_carried_columns(spark):
+    docs = frame(spark, [(1, "a b", "s"), (2, None, None)]).drop("ids")
+    out = P.decode(P.encode(docs, P.model_path()), P.model_path(), text="again")
+    assert {(r.doc_id, r.again, r.row, r.source) for r in out.collect()} == {(1, "a b", "x", "s"), (2, "", "x", None)}
