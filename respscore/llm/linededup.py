@@ -36,15 +36,16 @@ def covered_lines(docs: DataFrame, ws: Workspace, text: str = "text", width: int
 
     Windows are counted in each task before they meet, and only those found twice go on; the
     earliest of each is found the same way, so a window that a third of all rows hold is a few
-    partial rows from each task.  The joins are plain, so a hot window can be split."""
+    partial rows from each task.  The joins are plain sort-merge joins at every size: no side that
+    grows with the corpus is broadcast, and a hot window can be split."""
     keyed = docs.select(*row_key("doc_id", text), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     lines = let(F.split("_t", "\n"), lambda x: _windows(x, width))
     windows = ws.keep(keyed.select("_k1", "_k2", F.inline(lines)), "windows")
     again = ws.keep(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "again")
-    found = ws.keep(windows.join(again, ["h1", "h2"]), "found")
+    found = ws.keep(windows.join(again.hint("merge"), ["h1", "h2"]), "found")
     place = F.struct(F.col("_k1").isNull().alias("no_id"), F.col("_k1"), F.col("_k2"), F.col("at"))
     first = ws.keep(found.groupBy("h1", "h2").agg(F.min(place).alias("_first")), "first")
-    later = found.join(first, ["h1", "h2"]).where(place > F.col("_first"))
+    later = found.join(first.hint("merge"), ["h1", "h2"]).where(place > F.col("_first"))
     return later.groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_starts"))
 
 
@@ -60,7 +61,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     ws = Workspace(docs.sparkSession, "lines")
     starts = ws.keep(covered_lines(docs, ws, text, width), "starts")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key("doc_id", text))
-    both = rows.join(starts, rows._k1.eqNullSafe(starts._k1) & (rows._k2 == starts._k2), "left").select("row", "_starts")
+    both = rows.join(starts.hint("merge"), rows._k1.eqNullSafe(starts._k1) & (rows._k2 == starts._k2), "left").select("row", "_starts")
     before = F.coalesce(F.col("row")[text], F.lit(""))
     result = let(F.split(before, "\n"), lambda x: F.when(F.col("_starts").isNull(), F.struct(
         F.col("row")[text].alias("text"), F.size(x).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))).otherwise(
