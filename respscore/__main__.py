@@ -17,11 +17,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.annotate import annotate
-from .plans.api import rank, rank_ids, scan_and_rank
+from .plans.api import rank_ids, scan_and_rank
+from .session import released
 from .sinks.export import export_csv, export_curl, export_urls, export_wordlist
-from .sinks.runs import history_version, id_set_key, save_run, scan_key
-from .sources.history import scan_history
-from .sources.tables import history_from_tables, requests_with_raw
+from .sinks.runs import history_version, id_set_key, load_or_compute, save_run, scan_key
+from .sources.tables import history_from_tables
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -41,8 +41,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--out", required=True)
     p.add_argument("--format", choices=["parquet", "csv", "urls", "curl", "wordlist"], default="parquet")
     p.add_argument("--run-key", default=None,
-                   help="store as a run (parquet, partitioned by run_key); 'auto' derives the key "
-                        "from the scan arguments and data version, or from the id set")
+                   help="store as a run; 'auto' derives the key from the arguments and data version, "
+                        "or from the id set, and keeps a run that is already stored")
     return p
 
 
@@ -50,36 +50,39 @@ def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("respscore").getOrCreate()
     history = (spark.read.parquet(a.history) if a.history else history_from_tables(spark, a.tables))
+    if a.format == "curl" and "raw" not in history.columns:
+        raise SystemExit("--format curl needs the requests' own text: a raw column in --history")
     by = [c.strip() for c in a.by.split(",")] if a.by else None
     if a.command == "scan":
-        if by:
-            rows = scan_history(history, limit=a.limit, scan_all=a.all, filter=a.filter)
-            results = rank(rows, by=by, centroid=a.centroid)
-        else:
-            results = scan_and_rank(history, limit=a.limit, scan_all=a.all, filter=a.filter,
-                                    centroid=a.centroid, top=a.top)
+        def compute():
+            return scan_and_rank(history, limit=a.limit, scan_all=a.all, filter=a.filter,
+                                 centroid=a.centroid, by=by, top=a.top)
     else:
         if not a.ids:
             raise SystemExit("--ids is required for the ids command")
         ids = spark.read.parquet(a.ids)
         ids = ids.select(F.col(a.id_col).alias("id"), *[c for c in ids.columns if c != a.id_col])
-        results = rank_ids(history, ids, centroid=a.centroid, top=a.top)
-    if a.run_key:
-        key = a.run_key
-        if key == "auto":
+
+        def compute():
+            return rank_ids(history, ids, centroid=a.centroid, by=by, top=a.top)
+    with released():
+        if a.run_key == "auto":
             key = (scan_key(a.limit, a.all, a.filter, history_version(history)) if a.command == "scan"
                    else id_set_key(ids).first()["run_key"])
-        save_run(results, a.out, key)
-    elif a.format == "parquet":
-        annotate(results).write.mode("overwrite").parquet(a.out)
-    elif a.format == "csv":
-        export_csv(results, a.out)
-    elif a.format == "urls":
-        export_urls(results, a.out)
-    elif a.format == "wordlist":
-        export_wordlist(results, a.out)
-    else:
-        export_curl(results, requests_with_raw(history), a.out)
+            options = ":".join(f"{k}={v}" for k, v in (("centroid", a.centroid), ("by", a.by), ("top", a.top)) if v)
+            load_or_compute(spark, a.out, f"{key}:{options}", compute)
+        elif a.run_key:
+            save_run(compute(), a.out, a.run_key)
+        elif a.format == "parquet":
+            annotate(compute()).write.mode("overwrite").parquet(a.out)
+        elif a.format == "csv":
+            export_csv(compute(), a.out)
+        elif a.format == "urls":
+            export_urls(compute(), a.out)
+        elif a.format == "wordlist":
+            export_wordlist(compute(), a.out)
+        else:
+            export_curl(compute(), history.select("id", "raw"), a.out)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ standard (FNV-1a, ECMAScript white space); nothing is derived at run time.
 """
 
 # --- fixed values: ranking definition -------------------------------------
-MAX_BODY_UNITS = 51200          # 50 * 1024 UTF-16 code units of body hashed
+PREFIX_BODY_UNITS = 51200       # 50 * 1024 UTF-16 code units: an optional cut (max_body_units)
 HASH_BITS = 64
 TOKEN_PATTERN = "[a-z0-9]+"     # maximal runs after lower-casing
 UNKNOWN_TYPE = "unknown"        # MIME type for an empty/missing header
@@ -13,7 +13,6 @@ LENGTH_SIGMAS = 3.0             # length outlier saturates at 3 sigma
 HIGH_RANK_THRESHOLD = 70        # rank > 70 is "high" (strict)
 SCAN_DEFAULT_LIMIT = 500
 SCAN_MIN_LIMIT = 1
-SCAN_MAX_LIMIT = 100000
 
 # --- fixed values: FNV-1a 64-bit (public constants) ------------------------
 FNV64_OFFSET = 0xCBF29CE484222325

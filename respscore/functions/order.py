@@ -49,19 +49,23 @@ def _lead_value(c: Column, dt: T.DataType) -> Column | None:
     return None
 
 
+# below every coded value: a null key sorts first ascending, last descending, as Spark sorts it
+_NULL_LEAD = -10 ** 18
+
+
 def order_code(df: DataFrame, cols: Sequence[str], descending: bool) -> Column | None:
     """DECIMAL(38,0) ascending in input order, or None when the key columns
     cannot be packed (then callers use a struct)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     if len(cols) == 1 and _integral(types[cols[0]]):
-        code = F.col(cols[0]).cast(_D)
+        code = F.coalesce(F.col(cols[0]).cast(_D), -_shift64() - 1)
     elif len(cols) == 1 and _lead_value(F.col(cols[0]), types[cols[0]]) is not None:
-        code = _lead_value(F.col(cols[0]), types[cols[0]])
+        code = F.coalesce(_lead_value(F.col(cols[0]), types[cols[0]]), F.lit(_NULL_LEAD).cast(_D))
     elif len(cols) == 2 and _integral(types[cols[1]]):
         lead = _lead_value(F.col(cols[0]), types[cols[0]])
         if lead is None:
             return None
-        code = lead * _wide() + (F.col(cols[1]).cast(_D) + _shift64())
+        code = F.coalesce(lead, F.lit(_NULL_LEAD).cast(_D)) * _wide() + F.coalesce(F.col(cols[1]).cast(_D) + _shift64(), F.lit(-1).cast(_D))
     else:
         return None
     return -code if descending else code

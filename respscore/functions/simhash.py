@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .constants import FNV64_OFFSET, FNV64_PRIME, HASH_BITS
-from .text import _col, tokens
+from .text import _col, token_counts, tokens
 
 _MASK64 = (1 << 64) - 1
 
@@ -214,29 +214,25 @@ def fnv1a64_col(token: Column | str) -> Column:
     return F.aggregate(chars, F.lit(to_signed(FNV64_OFFSET)).cast("bigint"), _fnv_step)
 
 
-def simhash_frame(df: DataFrame, keys: str | list[str], text: str) -> DataFrame:
+def simhash_frame(df: DataFrame, text: str) -> DataFrame:
     """``df`` (minus the ``text`` column) plus ``fingerprint``, computed with a
-    pure DataFrame plan.
-
-    ``keys`` must be unique per row.  Every token occurrence is born in its
-    row's partition, so the plan is: explode_outer the tokens, hash each one
-    (native FNV-1a expression), and group by the row's remaining columns
-    with 64 conditional vote sums.  The map-side partial aggregate is
-    already complete per row, so the only shuffle carries one narrow row
-    per input row; the text never moves and no token is shuffled.  A row
-    with no token keeps its place (explode_outer) and gets 0."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
+    pure DataFrame plan; every row is kept, equal ones too.
+
+    Each distinct token of a row is born, with its count, in the row's
+    partition, hashed once (native FNV-1a expression), and the rows are
+    grouped by a row number and the remaining columns with 64 conditional
+    vote sums.  The map-side partial aggregate is already complete per row,
+    so the only shuffle carries one narrow row per input row; the text never
+    moves and no token is shuffled.  A row with no token keeps its place
+    (explode_outer) and gets 0."""
     carry = [c for c in df.columns if c != text]
-    missing = [k for k in keys if k not in carry]
-    if missing:
-        raise ValueError(f"key columns not in frame: {missing}")
-    occ = (df.select(*carry, F.explode_outer(tokens(text)).alias("_t"))
-           .withColumn("_h", fnv1a64_col("_t")))
-    one = F.when(F.col("_t").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    numbered = df.select(*carry, text, F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
+    occ = (numbered.select(*carry, "_row", F.explode_outer(token_counts(text)).alias("_e"))
+           .select(*carry, "_row", F.coalesce("_e.c", F.lit(0)).alias("_c"), fnv1a64_col("_e.t").alias("_h")))
     bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))
-    votes = occ.groupBy(*carry).agg(
-        F.sum(one).alias("_n"),
-        *[F.sum(F.when(bit(i) == 1, F.lit(1)).otherwise(F.lit(0))).alias(f"_o{i}")
+    votes = occ.groupBy("_row", *carry).agg(
+        F.sum("_c").alias("_n"),
+        *[F.sum(F.when(bit(i) == 1, F.col("_c")).otherwise(F.lit(0))).alias(f"_o{i}")
           for i in range(HASH_BITS)])
     fp = F.lit(0).cast("bigint")
     for i in range(HASH_BITS):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType
 
-from .constants import JS_TRIM_CLASS, MAX_BODY_UNITS, TOKEN_PATTERN, UNKNOWN_TYPE
+from .constants import JS_TRIM_CLASS, TOKEN_PATTERN, UNKNOWN_TYPE
 
 
 def _col(c: Column | str) -> Column:
@@ -24,10 +24,10 @@ def status_or_zero(code: Column | str) -> Column:
 
 
 def first_header(headers: Column | str, name: str) -> Column:
-    """First value of a multi-valued header from a MAP<STRING, ARRAY<STRING>>
-    whose keys were lower-cased on ingest."""
-    values = F.try_element_at(_col(headers), F.lit(name.lower()))
-    return F.try_element_at(values, F.lit(1))
+    """First value of a header from a MAP<STRING, ARRAY<STRING>>; names match in any case (of several
+    spellings of one name, the first in the map counts)."""
+    named = F.filter(F.map_entries(_col(headers)), lambda e: F.lower(e["key"]) == name.lower())
+    return F.try_element_at(F.try_element_at(named, F.lit(1))["value"], F.lit(1))
 
 
 def js_trim(c: Column | str) -> Column:
@@ -62,7 +62,7 @@ def body_text(body: Column | str, dtype: DataType | None = None,
     return b
 
 
-def js_slice(text: Column | str, units: int | None = MAX_BODY_UNITS) -> Column:
+def js_slice(text: Column | str, units: int | None = None) -> Column:
     """First ``units`` UTF-16 code units of the text, as JavaScript's
     ``String.prototype.slice(0, units)`` counts them.
 
@@ -90,6 +90,18 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def token_counts(text: Column | str) -> Column:
+    """Array of struct(t, c): each distinct token of the text and how often it occurs.  The tokens are
+    sorted and cut into runs, so the work grows as n log n with the text."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda p: F.transform(p, lambda a, k: F.struct(
+            F.get(s, a).alias("t"), (F.coalesce(F.get(p, k + 1), F.size(s)) - a).cast("bigint").alias("c")))), F.lit(0))
+
+    none = F.array().cast("array<struct<t:string,c:bigint>>")
+    return F.get(F.transform(F.array(F.sort_array(tokens(text))), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)), F.lit(0))
+
+
 def fingerprint_hex(fp: Column | str) -> Column:
     """A 64-bit fingerprint held in BIGINT as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(_col(fp)), 16, "0"))

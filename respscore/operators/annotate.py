@@ -13,7 +13,7 @@ from ..functions.constants import (COLOR_CLIENT_ERROR, COLOR_HTML, COLOR_JSON, C
                                    HIGH_RANK_THRESHOLD, HTML_MARKERS, JSON_MARKERS,
                                    XML_EXCLUDE, XML_MARKERS)
 from ..functions.text import _col
-from .lookup import lookup_join
+from .joins import key_join
 
 CATEGORY_COLORS = {
     "red": COLOR_SERVER_ERROR, "amber": COLOR_CLIENT_ERROR, "olive": COLOR_REDIRECT,
@@ -81,12 +81,14 @@ def user_sort(results: DataFrame, field: str | None, direction: str = "none",
 
 
 def row_slice(sorted_results: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows [start, end) of an already totally ordered result."""
+    """Rows [start, end) of an already totally ordered result: a page near the top.  ``end`` rows of each
+    task are merged in one; for a deep page keep the last key and filter on it (``keyset_page``)."""
     return sorted_results.offset(int(start)).limit(max(0, int(end) - int(start)))
 
 
 def targets(results: DataFrame, selection: DataFrame | None = None, on: str = "id") -> DataFrame:
-    """Selected result rows when a selection is given, else all results."""
+    """Selected result rows when a selection is given, else all results.  The join may lose the order
+    of ``results``; sort what is shown or written."""
     if selection is None:
         return results
-    return lookup_join(results, selection.select(on).distinct(), on, "left_semi")
+    return key_join(results, selection.select(on).distinct(), on, "left_semi")

@@ -1,142 +1,98 @@
 """Grouped rank: the reference's statistics computed per group key (e.g. per
 host), so one job ranks every group instead of one run per selection.
 
-With groups, the statistics are tables keyed by the group, not scalars, so
-they are joined back (measured broadcast, else shuffle join) instead of
-folded in as literals.  Every statistic is still a map-side-combined
-aggregate, and the per-group mode avoids windows: a group holding a third of
-all rows never lands in one task.
-
-    summary: GROUPING SETS ((g, status), (g, type), (g)) -- one pass; moments,
-             status and MIME counts, materialised and sliced into lookups
-    (group, fp) counts + last position   -- hash aggregate, keyed by (group, fp)
-    per group: top count                 -- hash aggregate
-    candidates = counts at the top count -- lookup join on group
-    per group: min_by(fp, last position) -- hash aggregate (DECIMAL ordering)
+Group keys are renamed in the feature table, so any column may group, a
+result column too.  Every statistic is a map-side-combined aggregate, and the
+per-group mode avoids windows: a group holding a third of all rows never
+lands in one task.
+
+    summary: (group, status, type) counts and exact length sums -- one pass
+    (group, fp) counts + last position   -- hash aggregate, materialised once
+    per group: moments, centroid; per pair: both frequencies -- from those tables
+    one join of the features on (group, status, type), which AQE may split
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.constants import HASH_BITS, LENGTH_SIGMAS, MAX_BODY_UNITS
+from ..functions.constants import HASH_BITS, LENGTH_SIGMAS
 from ..functions.order import order_code, order_struct, sort_exprs
 from ..functions.simhash import hamming
 from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
-from .lookup import lookup_join
-from .profile import Stats
+from .joins import key_join
+from .profile import frequencies_of, sigma
 from .score import RESULT_COLUMNS
 
 _D = "decimal(38,0)"
 
 
 def group_summary(feats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One aggregation pass: GROUPING SETS ((by..., status_code),
-    (by..., content_type), (by...)) with count and exact length sums.
-    ``_gid`` tells the sets apart (1: status, 2: MIME type, 3: group)."""
+    """Counts and exact length sums by (by..., status_code, content_type)."""
     ln = F.col("content_length").cast(_D)
-    sets = [[*by, "status_code"], [*by, "content_type"], list(by)]
-    return (feats.groupingSets(sets, *by, "status_code", "content_type")
-            .agg((F.grouping("status_code") * 2 + F.grouping("content_type")).alias("_gid"),
-                 F.count(F.lit(1)).alias("cnt"), F.sum(ln).alias("_s1"), F.sum(ln * ln).alias("_s2")))
-
-
-def split_group_summary(summ: DataFrame, by: Sequence[str]):
-    """(group moments, status counts, MIME counts) from a group summary."""
-    g = summ.where(F.col("_gid") == 3)
-    n = F.col("cnt")
-    sd = F.sqrt((n.cast(_D) * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")) / n.cast("double")
-    moments = g.select(*by, n.alias("n"), (F.col("_s1").cast("double") / n.cast("double")).alias("mean_length"),
-                       F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd_length"))
-    sfreq = summ.where(F.col("_gid") == 1).select(*by, "status_code", n.alias("status_count"))
-    tfreq = summ.where(F.col("_gid") == 2).select(*by, "content_type", n.alias("type_count"))
-    return moments, sfreq, tfreq
-
-
-def local_group_lookups(summ: DataFrame, feats: DataFrame, by: Sequence[str]):
-    """Collect a small group summary once (``limit`` bounds it) and rebuild
-    (moments, status counts, MIME counts) as local relations with known
-    sizes; None beyond LOCAL_SUMMARY_ROWS (use the distributed path)."""
-    from . import profile
-
-    rows = summ.limit(profile.LOCAL_SUMMARY_ROWS + 1).collect()
-    if len(rows) > profile.LOCAL_SUMMARY_ROWS:
-        return None
-    spark, types = feats.sparkSession, {f.name: f.dataType for f in feats.schema.fields}
-    key_fields = [T.StructField(c, types[c], True) for c in by]
-
-    def frame(data, extra):
-        schema = T.StructType(key_fields + extra)
-        nbytes = sum(len(repr(r).encode("utf-8")) + 32 for r in data)
-        return spark.createDataFrame(data, schema), (len(data), nbytes)
-
-    keys = lambda r: tuple(r[c] for c in by)
-    moments = []
-    for r in rows:
-        if r["_gid"] == 3:
-            st = Stats(int(r["cnt"]), int(r["_s1"]), int(r["_s2"]), 0)
-            moments.append((*keys(r), st.n, st.mean, st.sd))
-    m = frame(moments, [T.StructField("n", T.LongType()), T.StructField("mean_length", T.DoubleType()),
-                        T.StructField("sd_length", T.DoubleType())])
-    sf = frame([(*keys(r), r["status_code"], r["cnt"]) for r in rows if r["_gid"] == 1],
-               [T.StructField("status_code", T.IntegerType()), T.StructField("status_count", T.LongType())])
-    tf = frame([(*keys(r), r["content_type"], r["cnt"]) for r in rows if r["_gid"] == 2],
-               [T.StructField("content_type", T.StringType()), T.StructField("type_count", T.LongType())])
-    return m, sf, tf
+    return feats.groupBy(*by, "status_code", "content_type").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(ln).alias("_s1"), F.sum(ln * ln).alias("_s2"))
+
+
+def group_moments(summ: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group: n, mean_length, sd_length."""
+    sums = summ.groupBy(*by).agg(F.sum("cnt").alias("n"), F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2"))
+    return sums.select(*by, "n", (F.col("_s1").cast("double") / F.col("n").cast("double")).alias("mean_length"),
+                       sigma("n", "_s1", "_s2").alias("sd_length"))
 
 
 def group_mode_centroid(feats: DataFrame, by: Sequence[str], order: Sequence[str],
-                        descending: bool) -> DataFrame:
+                        descending: bool, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Per group: the most frequent fingerprint, ties to the first to reach
-    the top count (earliest last occurrence in input order)."""
+    the top count (earliest last occurrence in input order).  ``keep``
+    materialises the table of (group, fingerprint) counts, read several times."""
     by, order = list(by), list(order)
     code = order_code(feats, order, descending)
     if code is not None:
-        return _group_mode(feats, by, F.max(code), F.min_by)
+        return _group_mode(feats, by, F.max(code), F.min_by, keep)
     lead = order_code(feats, order[:1], descending) if len(order) > 1 else None
     if lead is None:
-        return _group_mode_struct(feats, by, order, descending)
-    return _group_mode_lead(feats, by, order, descending, lead)
+        return _group_mode_struct(feats, by, order, descending, keep)
+    return _group_mode_lead(feats, by, order, descending, lead, keep)
 
 
-def _group_mode(feats: DataFrame, by: list[str], last: Column, pick) -> DataFrame:
-    fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), last.alias("_last"))
+def _group_mode(feats: DataFrame, by: list[str], last: Column, pick, keep=lambda df: df) -> DataFrame:
+    fq = keep(feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), last.alias("_last")))
     top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
-    cand = lookup_join(fq, top, by, null_safe=True, local=True).where(F.col("_c") == F.col("_top"))
+    cand = key_join(fq, top, by).where(F.col("_c") == F.col("_top"))
     return cand.groupBy(*by).agg(pick("fingerprint", "_last").alias("centroid"))
 
 
 def _group_mode_struct(feats: DataFrame, by: list[str], order: list[str],
-                       descending: bool) -> DataFrame:
+                       descending: bool, keep=lambda df: df) -> DataFrame:
     """Order keys that do not pack at all: struct positions (sort aggregate)."""
     if descending:
-        return _group_mode(feats, by, F.min(order_struct(order)), F.max_by)
-    return _group_mode(feats, by, F.max(order_struct(order)), F.min_by)
+        return _group_mode(feats, by, F.min(order_struct(order)), F.max_by, keep)
+    return _group_mode(feats, by, F.max(order_struct(order)), F.min_by, keep)
 
 
 def _group_mode_lead(feats: DataFrame, by: list[str], order: list[str], descending: bool,
-                     lead: Column) -> DataFrame:
+                     lead: Column, keep=lambda df: df) -> DataFrame:
     """Leading key packed (e.g. created_at before a STRING id): hash
     aggregates choose per group by (count, last leading position); only
     groups whose best candidates tie exactly compare the remaining keys,
     over just those candidates' rows at that position."""
-    fq = feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), F.max(lead).alias("_l"))
+    fq = keep(feats.groupBy(*by, "fingerprint").agg(F.count(F.lit(1)).alias("_c"), F.max(lead).alias("_l")))
     top = fq.groupBy(*by).agg(F.max("_c").alias("_top"))
-    c1 = lookup_join(fq, top, by, null_safe=True, local=True).where(F.col("_c") == F.col("_top"))
+    c1 = key_join(fq, top, by).where(F.col("_c") == F.col("_top"))
     first = c1.groupBy(*by).agg(F.min("_l").alias("_lmin"))
-    c2 = lookup_join(c1, first, by, null_safe=True, local=True).where(F.col("_l") == F.col("_lmin"))
+    c2 = key_join(c1, first, by).where(F.col("_l") == F.col("_lmin"))
     counts = c2.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), F.max("fingerprint").alias("_fp"))
     single = counts.where(F.col("_k") == 1).select(*by, F.col("_fp").alias("centroid"))
-    tied = lookup_join(c2, counts.where(F.col("_k") > 1).select(*by), by, "left_semi", null_safe=True)
-    rows = lookup_join(feats.withColumn("_lead", lead),
-                       tied.select(*by, "fingerprint", F.col("_l").alias("_lead")),
-                       [*by, "fingerprint", "_lead"], "left_semi", null_safe=True)
+    tied = key_join(c2, counts.where(F.col("_k") > 1).select(*by), by, "left_semi")
+    rows = key_join(feats.withColumn("_lead", lead),
+                    tied.select(*by, "fingerprint", F.col("_l").alias("_lead")),
+                    [*by, "fingerprint", "_lead"], "left_semi")
     rest = order_struct(order[1:])
     per_fp = rows.groupBy(*by, "fingerprint").agg((F.min(rest) if descending else F.max(rest)).alias("_r"))
     pick = F.max_by if descending else F.min_by
@@ -171,37 +127,34 @@ def group_score_columns() -> dict[str, Column]:
 
 def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("created_at", "id"),
             descending: bool = True, centroid: str = "mode",
-            max_body_units: int | None = MAX_BODY_UNITS, fingerprint: str = "udf",
-            details: bool = False, sort: bool = True, materialize_how: str = "auto") -> DataFrame:
+            max_body_units: int | None = None, fingerprint: str = "udf",
+            details: bool = False, sort: bool = True, top: int | None = None,
+            materialize_how: str = "auto") -> DataFrame:
     """Rank every record with a response against the statistics of its own
-    group (``by`` columns of ``history``).  Output: the ``by`` columns, the
-    result columns and any extra order columns; sorted by group, then rank
-    order within the group."""
+    group (``by`` columns of ``history``; a result column groups by its
+    normalised value).  Output: the ``by`` columns, the result columns and any
+    extra order columns; sorted by group, then rank order within the group.
+    ``top`` keeps the first k rows of the rank order over all groups."""
     by, order = list(by), list(order)
     if not by:
         raise ValueError("rank_by needs group columns; use rank() for one group")
-    feats = materialize(response_features(history, order, max_body_units, fingerprint, carry=by),
-                        materialize_how)
+    keep = lambda df: materialize(df, materialize_how)
+    keys = [f"_g{i}" for i in range(len(by))]
+    feats = response_features(history, order, max_body_units, fingerprint, carry=by)
+    feats = keep(feats.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]))
     if centroid == "mode":
-        cen = group_mode_centroid(feats, by, order, descending)
+        cen = group_mode_centroid(feats, keys, order, descending, keep)
     elif centroid == "majority":
-        cen = group_majority_centroid(feats, by)
+        cen = group_majority_centroid(feats, keys)
     else:
         raise ValueError(f"unknown centroid rule: {centroid!r}")
-    local = local_group_lookups(group_summary(feats, by), feats, by)
-    if local is not None:
-        (moments, msize), (sfreq, ssize), (tfreq, tsize) = local
-    else:
-        summ = materialize(group_summary(feats, by), materialize_how)
-        moments, sfreq, tfreq = split_group_summary(summ, by)
-        msize = ssize = tsize = None
-    j = lookup_join(feats, moments, by, null_safe=True, size=msize)
-    j = lookup_join(j, cen, by, null_safe=True, local=True)
-    j = lookup_join(j, sfreq, [*by, "status_code"], null_safe=True, size=ssize)
-    j = lookup_join(j, tfreq, [*by, "content_type"], null_safe=True, size=tsize)
+    summ = keep(group_summary(feats, keys))
+    groups = key_join(group_moments(summ, keys), cen, keys)
+    lookup = keep(key_join(frequencies_of(summ, keys), groups, keys))
+    j = key_join(feats, lookup, [*keys, "status_code", "content_type"])
     sc = group_score_columns()
     extra = [c for c in order if c not in RESULT_COLUMNS and c not in by]
-    cols = [F.col(c) for c in by]
+    cols = [F.col(k).alias(c) for c, k in zip(by, keys, strict=True)]
     cols += [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS if c not in by]
     cols += [F.col(c) for c in extra]
     if details:
@@ -209,6 +162,8 @@ def rank_by(history: DataFrame, by: Sequence[str], order: Sequence[str] = ("crea
                  sc["hamming"].alias("hamming"), sc["length_outlier"].alias("length_outlier"),
                  sc["status_rarity"].alias("status_rarity"), sc["type_rarity"].alias("type_rarity")]
     out = j.select(*cols)
+    if top is not None:
+        return out.orderBy(F.col("rank").desc(), *sort_exprs(order, descending)).limit(int(top))
     if not sort:
         return out
     return out.orderBy(*[F.col(c).asc_nulls_first() for c in by], F.col("rank").desc(),

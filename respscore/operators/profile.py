@@ -12,12 +12,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import HASH_BITS
 from ..functions.order import order_code, order_struct
 from ..functions.text import fingerprint_hex
+from .joins import key_join
 
 _D = "decimal(38,0)"
 
@@ -31,88 +32,29 @@ def length_moments(feats: DataFrame) -> DataFrame:
                      F.sum(ln * ln).alias("sum_length_sq"))
 
 
-# grouping_id() of each grouping set of ``summary`` (bit set = column aggregated away)
-GID_STATUS, GID_TYPE, GID_ALL = 1, 2, 3
-
-
 def summary(feats: DataFrame) -> DataFrame:
-    """One aggregation pass for status counts, MIME counts and the exact
-    length moments: GROUPING SETS ((status_code), (content_type), ()).
-
-    Plans as Expand + a map-side-combined HashAggregate, so the shuffle
-    carries one row per (task, group).  Rows: ``_gid``, status_code,
-    content_type, cnt, sum_length, sum_length_sq."""
+    """Counts and exact length sums by (status_code, content_type): ``cnt, sum_length, sum_length_sq``.
+    Map-side combined, so the shuffle carries one row per (task, pair); every other count and moment
+    is rolled up from these few rows."""
     ln = F.col("content_length").cast(_D)
-    return (feats.groupingSets([["status_code"], ["content_type"], []], "status_code", "content_type")
-            .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("cnt"),
-                 F.sum(ln).alias("sum_length"), F.sum(ln * ln).alias("sum_length_sq")))
+    return feats.groupBy("status_code", "content_type").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(ln).alias("sum_length"), F.sum(ln * ln).alias("sum_length_sq"))
 
 
-def split_summary(summ: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(moments row, status frequency table, MIME frequency table) of a summary."""
-    moments = summ.where(F.col("_gid") == GID_ALL).select(
-        F.col("cnt").alias("n"), "sum_length", "sum_length_sq")
-    sfreq = summ.where(F.col("_gid") == GID_STATUS).select(
-        "status_code", F.col("cnt").alias("status_count"))
-    tfreq = summ.where(F.col("_gid") == GID_TYPE).select(
-        "content_type", F.col("cnt").alias("type_count"))
-    return moments, sfreq, tfreq
+def moments_of(summ: DataFrame) -> DataFrame:
+    """One row (n, sum_length, sum_length_sq) from a summary."""
+    return summ.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.sum("sum_length").alias("sum_length"),
+                    F.sum("sum_length_sq").alias("sum_length_sq"))
 
 
-@dataclass(frozen=True)
-class SummaryInfo:
-    """Moments and lookup-table sizes of a summary, from one tiny collect."""
-    n: int
-    sum_length: int
-    sum_length_sq: int
-    status_size: tuple[int, int]    # (rows, bytes) of the status frequency table
-    type_size: tuple[int, int]      # (rows, bytes) of the MIME frequency table
-
-
-def summary_info(summ: DataFrame) -> SummaryInfo:
-    """One aggregate over the summary (at most three result rows)."""
-    width = (F.coalesce(F.octet_length(F.col("status_code").cast("string")), F.lit(0))
-             + F.coalesce(F.octet_length("content_type"), F.lit(0)) + F.lit(8))
-    rows = {r["_gid"]: r for r in summ.groupBy("_gid").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"), F.max("cnt").alias("cnt"),
-        F.max("sum_length").alias("s1"), F.max("sum_length_sq").alias("s2")).collect()}
-
-    def size(gid: int) -> tuple[int, int]:
-        r = rows.get(gid)
-        return (0, 0) if r is None else (int(r["rows"]), int(r["bytes"]) + 32 * int(r["rows"]))
-
-    tot = rows.get(GID_ALL)
-    if tot is None or not tot["cnt"]:
-        return SummaryInfo(0, 0, 0, size(GID_STATUS), size(GID_TYPE))
-    return SummaryInfo(int(tot["cnt"]), int(tot["s1"]), int(tot["s2"]), size(GID_STATUS), size(GID_TYPE))
-
-
-# a summary up to this many rows is collected and its lookups rebuilt locally
-LOCAL_SUMMARY_ROWS = 100_000
-
-
-def local_lookups(summ: DataFrame) -> tuple[SummaryInfo, DataFrame, DataFrame] | None:
-    """Collect a small summary once (``limit`` bounds what reaches the driver)
-    and rebuild the status and MIME lookups as local relations: no lineage
-    back to the features, and sizes known exactly.  None when the summary
-    has more than LOCAL_SUMMARY_ROWS rows (then use the distributed path)."""
-    rows = summ.limit(LOCAL_SUMMARY_ROWS + 1).collect()
-    if len(rows) > LOCAL_SUMMARY_ROWS:
-        return None
-    spark = summ.sparkSession
-    status = [(r["status_code"], r["cnt"]) for r in rows if r["_gid"] == GID_STATUS]
-    types = [(r["content_type"], r["cnt"]) for r in rows if r["_gid"] == GID_TYPE]
-    tot = [r for r in rows if r["_gid"] == GID_ALL]
-    sfreq = spark.createDataFrame(status, "status_code int, status_count bigint")
-    tfreq = spark.createDataFrame(types, "content_type string, type_count bigint")
-    nbytes = lambda kv: sum(len(str(k).encode("utf-8")) + 40 for k, _ in kv)
-    if not tot or not tot[0]["cnt"]:
-        info = SummaryInfo(0, 0, 0, (len(status), nbytes(status)), (len(types), nbytes(types)))
-    else:
-        t = tot[0]
-        info = SummaryInfo(int(t["cnt"]), int(t["sum_length"]), int(t["sum_length_sq"]),
-                           (len(status), nbytes(status)), (len(types), nbytes(types)))
-    return info, sfreq, tfreq
+def frequencies_of(summ: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The pairs of a summary (within groups ``by``) with ``status_count`` and ``type_count``: the table
+    that a feature row needs for its rarities, joined once."""
+    by = list(by)
+    status = summ.groupBy(*by, "status_code").agg(F.sum("cnt").alias("status_count"))
+    types = summ.groupBy(*by, "content_type").agg(F.sum("cnt").alias("type_count"))
+    pairs = summ.select(*by, "status_code", "content_type")
+    return key_join(key_join(pairs, status, [*by, "status_code"]), types, [*by, "content_type"])
 
 
 def status_frequency(feats: DataFrame) -> DataFrame:
@@ -220,7 +162,7 @@ class Stats:
 
     @property
     def sd(self) -> float:
-        """Population standard deviation; 0 becomes 1 (no division by zero)."""
+        """Population standard deviation (see ``sigma``); 0 becomes 1 (no division by zero)."""
         if not self.n:
             return 1.0
         sd = math.sqrt(float(self.n * self.sum_length_sq - self.sum_length * self.sum_length)) / self.n
@@ -228,15 +170,11 @@ class Stats:
 
 
 def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
-                  centroid: str = "mode", info: SummaryInfo | None = None) -> Stats:
-    """Driver-side scalars; ``info`` (from ``summary_info``) saves the
-    moments pass when already computed."""
-    if info is None:
-        m = length_moments(feats).first()
-        n = int(m["n"] or 0) if m is not None else 0
-        s1, s2 = (int(m["sum_length"]), int(m["sum_length_sq"])) if n else (0, 0)
-    else:
-        n, s1, s2 = info.n, info.sum_length, info.sum_length_sq
+                  centroid: str = "mode", summ: DataFrame | None = None) -> Stats:
+    """Driver-side scalars; a ``summary`` at hand saves the pass for the moments."""
+    m = (length_moments(feats) if summ is None else moments_of(summ)).first()
+    n = int(m["n"] or 0) if m is not None else 0
+    s1, s2 = (int(m["sum_length"]), int(m["sum_length_sq"])) if n else (0, 0)
     if n == 0:
         return Stats(0, 0, 0, 0)
     if centroid == "mode":
@@ -245,16 +183,22 @@ def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
     return Stats(n, s1, s2, int(c["centroid"] or 0))
 
 
+def sigma(n: str | Column, s1: str | Column, s2: str | Column) -> Column:
+    """Population standard deviation from exact sums, 0 as 1: the one formula, on columns.  The sum of
+    squares times n stays within DECIMAL(38) for 10^10 records of up to a gigabyte."""
+    n, s1, s2 = (F.col(x) if isinstance(x, str) else x for x in (n, s1, s2))
+    sd = F.sqrt((n.cast(_D) * s2 - s1 * s1).cast("double")) / n
+    return F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+
+
 def profile_frame(feats: DataFrame, order: Sequence[str], descending: bool,
                   centroid: str = "mode") -> DataFrame:
     """One row: n, mean_length, sd_length, centroid (hex) - the dataset profile."""
     m = length_moments(feats)
     cen = centroid_frame(feats, order, descending, centroid).select("centroid").scalar()
     n = F.col("n")
-    var_n2 = (n.cast(_D) * F.col("sum_length_sq") - F.col("sum_length") * F.col("sum_length")).cast("double")
-    sd = F.sqrt(var_n2) / n
     return m.where(n > 0).select(
         n,
         (F.col("sum_length").cast("double") / n).alias("mean_length"),
-        F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd_length"),
+        sigma("n", "sum_length", "sum_length_sq").alias("sd_length"),
         fingerprint_hex(cen).alias("centroid"))

@@ -6,14 +6,13 @@ Plan shape (see ``rank_responses``):
                once (a Parquet table in the shared checkpoint folder when
                one is set, else MEMORY_AND_DISK) because several passes
                read it, the statistics passes only a few of its columns.
-2. summary   - ONE aggregation pass (GROUPING SETS) for status counts, MIME
-               counts and the exact length moments; a few hundred rows,
-               collected under a hard row bound and rebuilt as two local
-               lookup relations (distributed fallback beyond the bound).
+2. summary   - ONE map-side-combined aggregate by (status, MIME type) with
+               exact length sums; moments and both frequencies are rolled
+               up from it.
 3. centroid  - fingerprint frequencies (map-side combined) and a top-1.
 4. scalars   - n, moments and centroid become literals, so the scoring
                projection needs no join for them.
-5. score     - measured broadcast lookups of the two frequency tables, one
+5. score     - one join on (status, MIME type) for both frequencies, one
                projection; then a global range sort, or top-k.
 """
 
@@ -24,15 +23,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import HASH_BITS, LENGTH_SIGMAS, MAX_BODY_UNITS
+from ..functions.constants import HASH_BITS, LENGTH_SIGMAS
 from ..functions.order import sort_exprs
 from ..functions.simhash import hamming
 from ..functions.text import fingerprint_hex
 from ..session import materialize
 from .features import response_features
-from .lookup import lookup_join
-from .profile import (Stats, SummaryInfo, collect_stats, local_lookups, split_summary,
-                      status_frequency, summary, summary_info, type_frequency)
+from .joins import key_join
+from .profile import Stats, collect_stats, frequencies_of, summary
 
 RESULT_COLUMNS = ["id", "rank", "method", "url", "status_code", "content_length",
                   "content_type", "location"]
@@ -54,15 +52,10 @@ def score_columns(stats: Stats) -> dict[str, Column]:
 
 
 def score_features(feats: DataFrame, stats: Stats, order: Sequence[str],
-                   details: bool = False, sfreq: DataFrame | None = None,
-                   tfreq: DataFrame | None = None, info: SummaryInfo | None = None) -> DataFrame:
-    """Attach frequencies and score every feature row (no ordering).
-    ``sfreq``/``tfreq`` default to fresh aggregates of ``feats``; ``info``
-    carries their measured sizes."""
-    sfreq = sfreq if sfreq is not None else status_frequency(feats)
-    tfreq = tfreq if tfreq is not None else type_frequency(feats)
-    with_freq = lookup_join(feats, sfreq, "status_code", size=info.status_size if info else None)
-    with_freq = lookup_join(with_freq, tfreq, "content_type", size=info.type_size if info else None)
+                   details: bool = False, summ: DataFrame | None = None) -> DataFrame:
+    """Attach frequencies and score every feature row (no ordering); ``summ``
+    is the features' summary (default: computed here)."""
+    with_freq = key_join(feats, frequencies_of(summ if summ is not None else summary(feats)), ["status_code", "content_type"])
     sc = score_columns(stats)
     extra = [c for c in order if c not in RESULT_COLUMNS]
     cols = [sc["rank"].alias("rank") if c == "rank" else F.col(c) for c in RESULT_COLUMNS]
@@ -83,7 +76,7 @@ def rank_order(order: Sequence[str], descending: bool) -> list[Column]:
 
 def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id"),
                    descending: bool = True, centroid: str = "mode",
-                   max_body_units: int | None = MAX_BODY_UNITS, fingerprint: str = "udf",
+                   max_body_units: int | None = None, fingerprint: str = "udf",
                    details: bool = False, sort: bool = True, top: int | None = None,
                    materialize_how: str = "auto") -> DataFrame:
     """Rank every record of ``history`` that has a response.
@@ -93,7 +86,8 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
     ``("created_at", "id")`` descending (newest first); an id list is its
     position column ascending.  ``centroid`` is ``mode`` (most frequent
     fingerprint, reference behaviour) or ``majority`` (bitwise majority).
-    ``top`` keeps the first k rows of the rank order (top-k report)."""
+    ``top`` keeps the first k rows of the rank order: a report, merged from
+    k rows of each task, so k belongs in the thousands."""
     order = list(order)
     feats = response_features(history, order, max_body_units, fingerprint)
     return rank_features(feats, order, descending, centroid, details, sort, top, materialize_how)
@@ -105,18 +99,9 @@ def rank_features(feats: DataFrame, order: Sequence[str], descending: bool = Tru
     """``rank_responses`` from already built feature rows (see ``response_features``)."""
     order = list(order)
     feats = materialize(feats, materialize_how)
-    # one pass: status counts, MIME counts, length moments (a few hundred rows),
-    # collected under a row bound and rebuilt as local lookups; a larger
-    # summary stays distributed (materialised, measured, joined)
-    local = local_lookups(summary(feats))
-    if local is not None:
-        info, sfreq, tfreq = local
-    else:
-        summ = materialize(summary(feats), materialize_how)
-        _, sfreq, tfreq = split_summary(summ)
-        info = summary_info(summ)
-    stats = collect_stats(feats, order, descending, centroid, info)
-    scored = score_features(feats, stats, order, details, sfreq, tfreq, info)
+    summ = materialize(summary(feats), materialize_how)
+    stats = collect_stats(feats, order, descending, centroid, summ)
+    scored = score_features(feats, stats, order, details, summ)
     if top is not None:
         return scored.orderBy(*rank_order(order, descending)).limit(int(top))
     return scored.orderBy(*rank_order(order, descending)) if sort else scored

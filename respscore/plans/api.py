@@ -12,12 +12,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 
-from ..functions.constants import MAX_BODY_UNITS, SCAN_DEFAULT_LIMIT
-from ..operators.features import response_features
+from ..functions.constants import SCAN_DEFAULT_LIMIT
+from ..operators.features import measure_bodies, response_features
+from ..operators.joins import key_join
 from ..operators.profile import profile_frame
-from ..operators import lookup
-from ..operators.lookup import measured_size
-from ..operators.score import rank_features, rank_responses
+from ..operators.score import rank_responses
 from ..session import materialize
 from ..sources.history import SCAN_ORDER, fetch_by_ids, scan_history
 
@@ -34,41 +33,42 @@ def rank(history: DataFrame, order: Sequence[str] = SCAN_ORDER, descending: bool
 
 
 def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = None,
-             centroid: str = "mode", **kw) -> DataFrame:
+             centroid: str = "mode", by: Sequence[str] | None = None, few: bool = False, **kw) -> DataFrame:
     """Rank the records of an id list.
 
     ``ids`` holds ``id`` and position column(s) (default: every other
     column) giving the list order, ascending.  Ids without a record or
-    response drop out; an id listed twice is ranked twice."""
+    response drop out; an id listed twice is ranked twice.  Bodies are
+    measured where they lie and the list joins the narrow rows; for ``few``
+    ids of a large history, records are first cut down to the listed ones
+    (so that only those are measured)."""
     order = list(order) if order is not None else [c for c in ids.columns if c != "id"]
     if not order:
         raise ValueError("ids needs a position column (e.g. from posexplode)")
     hist = history.drop(*[c for c in order if c in history.columns])
     ids = ids.select("id", *order)
-    size = measured_size(ids)
-    if size[0] <= lookup.BROADCAST_MAX_ROWS and size[1] <= lookup.BROADCAST_MAX_BYTES:
-        # small list: broadcast it, fetch only the listed records, then fingerprint
-        rows = fetch_by_ids(hist, ids, size=size)
-        return rank_responses(rows, order=order, descending=False, centroid=centroid, **kw)
-    # large list: fingerprint in place first, so the join moves ~80-byte
-    # feature rows instead of response bodies
-    fkw = {k: kw.pop(k) for k in ("max_body_units", "fingerprint") if k in kw}
-    feats = response_features(hist, ["id"], **fkw).join(ids, "id")
-    return rank_features(feats, order, descending=False, centroid=centroid, **kw)
+    if few:
+        hist = key_join(hist, ids.select("id").distinct(), "id", "left_semi")
+    if "body" in hist.columns:
+        cut = {"max_body_units": kw.pop("max_body_units", None), "fingerprint": kw.pop("fingerprint", "udf")}
+        if "has_response" in hist.columns:
+            hist = hist.where("has_response")
+        hist = measure_bodies(hist, "body", **cut)
+    return rank(fetch_by_ids(hist, ids), order, False, centroid, by, **kw)
 
 
 def scan_and_rank(history: DataFrame, limit: int = SCAN_DEFAULT_LIMIT, scan_all: bool = False,
                   filter: Column | str | None = None,
                   presets: Mapping[str, Column | str] | None = None,
-                  centroid: str = "mode", **kw) -> DataFrame:
+                  centroid: str = "mode", by: Sequence[str] | None = None, **kw) -> DataFrame:
     """Scan history (newest first, optional filter and limit) and rank it.
     No matching record gives an empty result."""
     rows = scan_history(history, limit=limit, scan_all=scan_all, filter=filter, presets=presets)
-    return rank_responses(rows, order=SCAN_ORDER, descending=True, centroid=centroid, **kw)
+    return rank(rows, SCAN_ORDER, True, centroid, by, **kw)
 
 
 def profile(history: DataFrame, order: Sequence[str] = SCAN_ORDER, descending: bool = True,
-            centroid: str = "mode", max_body_units: int | None = MAX_BODY_UNITS,
+            centroid: str = "mode", max_body_units: int | None = None,
             materialize_how: str = "auto") -> DataFrame:
     """One row: n, mean_length, sd_length (population, 0 -> 1), centroid."""
     feats = materialize(response_features(history, order, max_body_units), materialize_how)

@@ -7,6 +7,8 @@ Column names match the oracle exactly.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +16,23 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import fnv1a64_col, simhash64, simhash_frame
 from ..functions.text import fingerprint_hex, mime_type, tokens
-from ..functions.url import (body_contains, path_ext, url_host, url_path, url_port, url_query,
+from ..functions.url import (body_contains, header_contains, path_ext, url_host, url_path, url_port, url_query,
                              url_scheme)
 from ..operators.annotate import annotate, row_slice, targets, user_sort
-from ..operators.features import response_features
+from ..operators.features import measure_bodies, response_features
 from ..operators.grouped import rank_by
-from ..operators.lookup import lookup_join
-from ..operators.profile import (collect_stats, length_moments, local_lookups, majority_centroid,
-                                 mode_centroid, profile_frame, status_frequency, summary,
-                                 summary_info, type_frequency)
+from ..operators.joins import key_join
+from ..operators.profile import (collect_stats, frequencies_of, length_moments, majority_centroid,
+                                 mode_centroid, moments_of, profile_frame, sigma, status_frequency,
+                                 summary, type_frequency)
 from ..operators.score import rank_order, score_columns
-from ..session import materialize, spread
-from ..sinks.export import csv_projection, curl_lines, wordlist
-from ..sinks.runs import id_set_key
-from ..sources.history import (SCAN_ORDER, keyset_page, page_cursor, scan_history,
-                               scope_filter, selection_ids)
-from ..sources.tables import history_from_tables, pages_history, read_table, requests_with_raw
+from ..session import configured_checkpoint_dir, materialize
+from ..sinks.export import csv_projection, curl_lines, in_rank_order, wordlist
+from ..sinks.runs import id_set_key, last_run, load_or_compute, run_index, run_summary
+from ..sources.history import (SCAN_ORDER, history_from_parts, keyset_page, page_cursor, scan_history,
+                               scope_filter, selection_ids, with_filter_fields)
+from ..sources.tables import (history_from_tables, pages_history, read_table, request_parts,
+                              requests_with_raw)
 from .api import rank, rank_ids
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +43,21 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
     return history_from_tables(spark, sf)
 
 
+def _measured(spark: SparkSession, sf: str, fingerprint: str = "udf") -> DataFrame:
+    """The history with bodies measured before the joins."""
+    return history_from_tables(spark, sf, bodies=False, fingerprint=fingerprint)
+
+
 def _feats(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(response_features(_history(spark, sf), SCAN))
+    return materialize(response_features(_measured(spark, sf), SCAN))
+
+
+def stored_dir(spark: SparkSession) -> str:
+    """Where a query keeps a run: the shared folder the session names (a local one only in local mode)."""
+    named = configured_checkpoint_dir(spark)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="respscore-runs-")).rstrip("/")
 
 
 def _label_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +116,7 @@ def q_url_parts(spark, sf):
 
 # ------------------------------------------------- filters / functions
 def q_drop_no_response(spark, sf):
-    f = response_features(_history(spark, sf), SCAN)
+    f = response_features(_measured(spark, sf), SCAN)
     return f.select("id", "method", "status_code", "content_length")
 
 
@@ -112,7 +128,7 @@ def q_mime_normalise(spark, sf):
 
 
 def _documents(spark, sf):
-    return spread(read_table(spark, sf, "documents"))
+    return read_table(spark, sf, "documents")
 
 
 def q_tokens(spark, sf):
@@ -135,26 +151,23 @@ def q_simhash_udf(spark, sf):
 
 def q_simhash_native(spark, sf):
     d = _documents(spark, sf).select("doc_id", "text")
-    return simhash_frame(d, "doc_id", "text").select("doc_id", fingerprint_hex("fingerprint").alias("fingerprint"))
+    return simhash_frame(d, "text").select("doc_id", fingerprint_hex("fingerprint").alias("fingerprint"))
 
 
 # ------------------------------------------------------------ aggregates
 def q_status_freq(spark, sf):
-    return status_frequency(response_features(_history(spark, sf), SCAN))
+    return status_frequency(response_features(_measured(spark, sf), SCAN))
 
 
 def q_type_freq(spark, sf):
-    return type_frequency(response_features(_history(spark, sf), SCAN))
+    return type_frequency(response_features(_measured(spark, sf), SCAN))
 
 
 def q_length_stats(spark, sf):
-    m = length_moments(response_features(_history(spark, sf), SCAN))
-    n = F.col("n")
-    sd = F.sqrt((n.cast("decimal(38,0)") * F.col("sum_length_sq")
-                 - F.col("sum_length") * F.col("sum_length")).cast("double")) / n
-    return m.select(n, F.col("sum_length").cast("bigint").alias("sum_length"),
-                    (F.col("sum_length").cast("double") / n).alias("mean_length"),
-                    F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd_length"))
+    m = length_moments(response_features(_measured(spark, sf), SCAN))
+    return m.select("n", F.col("sum_length").cast("bigint").alias("sum_length"),
+                    (F.col("sum_length").cast("double") / F.col("n")).alias("mean_length"),
+                    sigma("n", "sum_length", "sum_length_sq").alias("sd_length"))
 
 
 def q_centroid_mode(spark, sf):
@@ -190,35 +203,28 @@ def q_length_outlier(spark, sf):
 
 def q_rarity(spark, sf):
     feats = _feats(spark, sf)
-    local = local_lookups(summary(feats))
-    if local is not None:
-        info, s, t = local
-        j = lookup_join(feats, s, "status_code", size=info.status_size)
-        j = lookup_join(j, t, "content_type", size=info.type_size)
-    else:
-        info = summary_info(summary(feats))
-        j = lookup_join(lookup_join(feats, status_frequency(feats), "status_code"),
-                        type_frequency(feats), "content_type")
-    n = F.lit(info.n).cast("bigint")
+    summ = materialize(summary(feats))
+    n = F.lit(moments_of(summ).first()["n"]).cast("bigint")
+    j = key_join(feats, frequencies_of(summ), ["status_code", "content_type"])
     return j.select("id", (F.lit(1) - F.col("status_count") / n).alias("status_rarity"),
                     (F.lit(1) - F.col("type_count") / n).alias("type_rarity"))
 
 
 # ------------------------------------------------------------ rank (R1-R3)
 def q_rank_scan(spark, sf):
-    return rank(_history(spark, sf))
+    return rank(_measured(spark, sf))
 
 
 def q_rank_topk(spark, sf):
-    return rank(_history(spark, sf), top=25)
+    return rank(_measured(spark, sf), top=25)
 
 
 def q_rank_majority(spark, sf):
-    return rank(_history(spark, sf), centroid="majority")
+    return rank(_measured(spark, sf), centroid="majority")
 
 
 def q_rank_native(spark, sf):
-    return rank(_history(spark, sf), fingerprint="frame")
+    return rank(_measured(spark, sf, "frame"))
 
 
 def q_rank_pages(spark, sf):
@@ -229,66 +235,100 @@ def q_rank_ids(spark, sf):
     main, extra = _label_lists(spark, sf)
     ids = (main.select("id", F.lit(0).alias("src"), "pos")
            .unionByName(extra.select("id", F.lit(1).alias("src"), "pos")))
-    return rank_ids(_history(spark, sf), ids, order=["src", "pos"])
+    return rank_ids(_measured(spark, sf), ids, order=["src", "pos"])
 
 
 def q_rank_scan_limit(spark, sf):
     from .api import scan_and_rank
-    return scan_and_rank(_history(spark, sf), limit=300, filter="has_response AND method = 'GET'")
+    return scan_and_rank(_measured(spark, sf), limit=300, filter="has_response AND method = 'GET'")
 
 
 def q_rank_by_host(spark, sf):
-    h = _history(spark, sf).withColumn("host", url_host("url"))
+    h = _measured(spark, sf).withColumn("host", url_host("url"))
     return rank_by(h, ["host"])
 
 
 # ------------------------------------------------------------ result views
 def q_row_category(spark, sf):
-    r = annotate(rank(_history(spark, sf), sort=False))
+    r = annotate(rank(_measured(spark, sf), sort=False))
     return r.select("id", "rank", "category", "color", "is_high")
 
 
 def q_high_rank(spark, sf):
-    r = annotate(rank(_history(spark, sf), sort=False))
+    r = annotate(rank(_measured(spark, sf), sort=False))
     return r.groupBy("is_high").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_user_sort_page(spark, sf):
-    r = rank(_history(spark, sf), sort=False)
+    r = rank(_measured(spark, sf), sort=False)
     s = user_sort(r, "content_length", "asc", rank_order(SCAN, True))
     return row_slice(s, 100, 150).select("id", "content_length", "rank")
 
 
 def q_targets_selected(spark, sf):
     main, _ = _label_lists(spark, sf)
-    r = rank(_history(spark, sf), sort=False)
+    r = rank(_measured(spark, sf), sort=False)
     return targets(r, main).select("id", "rank")
 
 
 # ------------------------------------------------------------ sinks
 def q_export_csv_projection(spark, sf):
-    return csv_projection(rank(_history(spark, sf)))
+    return csv_projection(rank(_measured(spark, sf)))
 
 
 def q_curl_lines(spark, sf):
-    h = _history(spark, sf)
-    r = rank(h, sort=False)
-    return curl_lines(r, requests_with_raw(h))
+    r = rank(_measured(spark, sf), sort=False)
+    return curl_lines(r, requests_with_raw(_history(spark, sf)))
 
 
 def q_url_list(spark, sf):
-    return rank(_history(spark, sf), sort=False).select("id", "url")
+    return in_rank_order(rank(_measured(spark, sf), sort=False)).select("id", "url")
 
 
 def q_wordlist(spark, sf):
-    return wordlist(rank(_history(spark, sf), sort=False))
+    """The words need no rank: the records with a response are those that are ranked."""
+    return wordlist(response_features(_measured(spark, sf), SCAN))
 
 
 def q_run_summary(spark, sf):
-    r = rank(_history(spark, sf), sort=False)
-    return r.agg(F.count(F.lit(1)).alias("total_requests"),
-                 F.sum(F.when(F.col("rank") > 70, 1).otherwise(0)).cast("bigint").alias("high_requests"),
-                 F.max("rank").alias("max_rank"))
+    s = run_summary(rank(_measured(spark, sf), sort=False), 1.5)
+    return s.select("total_requests", "high_requests", "max_rank", "duration_ms")
+
+
+def q_stored_run(spark, sf):
+    """A run saved under a key, found again as the last one, and reused for its key."""
+    path = f"{stored_dir(spark)}/runs-{uuid.uuid4().hex}"
+    key = "scan " * 80  # longer than a folder name may be
+    r = load_or_compute(spark, path, key, lambda: rank(_measured(spark, sf), sort=False))
+    again = load_or_compute(spark, path, key, lambda: r.limit(0))
+    index = run_index(spark, path).where(F.length("run_key") == len(key)).select("total_requests", "high_requests", "max_rank")
+    both = last_run(spark, path).join(again.select("id"), "id", "left_semi")
+    return both.select("id", "rank", "status_code", *[index.select(c).scalar().alias(c) for c in index.columns])
+
+
+def q_scan_preset(spark, sf):
+    rows = scan_history(with_filter_fields(_measured(spark, sf)), scan_all=True, filter="preset:large errors",
+                        presets={"large errors": "status >= 400 AND length > 1000 AND time IS NOT NULL"})
+    return rows.select("id", "status", "length")
+
+
+def q_header_filter(spark, sf):
+    """Requests joined to their responses (J7), filtered on a header (C20) of a map with mixed-case names."""
+    h = history_from_parts(*request_parts(spark, sf))
+    return scan_history(h, scan_all=True, filter=header_contains("headers", "Content-Type: text/html")).select("id", "method", "status_code")
+
+
+def q_rank_parts(spark, sf):
+    """The rank of separate request and response tables with header maps (C3)."""
+    requests, responses = request_parts(spark, sf)
+    return rank(history_from_parts(requests, measure_bodies(responses)))
+
+
+def q_user_sort_text(spark, sf):
+    """O5 on a text column with locale rules, missing values last."""
+    r = rank(_measured(spark, sf), sort=False)
+    s = user_sort(r, "location", "asc", rank_order(SCAN, True))
+    return row_slice(s, 0, 200).select("id", "location", "rank")
 
 
 def q_id_set_key(spark, sf):
@@ -338,4 +378,9 @@ QUERIES: dict[str, Builder] = {
     "wordlist": q_wordlist,
     "run_summary": q_run_summary,
     "id_set_key": q_id_set_key,
+    "stored_run": q_stored_run,
+    "scan_preset": q_scan_preset,
+    "header_filter": q_header_filter,
+    "rank_parts": q_rank_parts,
+    "user_sort_text": q_user_sort_text,
 }

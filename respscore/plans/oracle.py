@@ -21,7 +21,7 @@ HISTORY = """history AS (
     CASE WHEN e.event_type = 'purchase' THEN p.url ELSE NULL END AS location,
     d.text AS body
   FROM events e LEFT JOIN documents d ON e.event_id = d.doc_id
-  JOIN pages p ON p.page_id = e.event_id % 50)"""
+  LEFT JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
 
 PAGES_HISTORY = """history AS (
   SELECT page_id AS id, 'GET' AS method, url, TRUE AS has_response, CAST(200 AS INTEGER) AS status_code,
@@ -31,7 +31,7 @@ LABEL_LISTS = """main_ids AS (SELECT doc_id AS id, doc_id AS pos FROM labels WHE
 extra_ids AS (SELECT doc_id AS id, doc_id AS pos FROM labels WHERE toxic = 1)"""
 
 MIME = ("CASE WHEN coalesce({h}, '') = '' THEN 'unknown' "
-        "ELSE lower(trim(split_part({h}, ';', 1))) END")
+        "ELSE lower(trim(split_part({h}, ';', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) END")
 
 
 def fnv_sql(t: str) -> str:
@@ -60,7 +60,7 @@ def features_ctes(carry: str, keys: str) -> str:
     return f"""r AS (SELECT {carry}, coalesce(method, '') AS method, coalesce(url, '') AS url, location,
     coalesce(status_code, 0) AS status_code, CAST(coalesce(strlen(body), 0) AS BIGINT) AS content_length,
     {MIME.format(h='content_type_header')} AS content_type, body FROM hsrc WHERE has_response),
-{simhash_ctes('r', keys, 'substr(body, 1, 51200)')},
+{simhash_ctes('r', keys, 'body')},
 f AS (SELECT r.* EXCLUDE (body), coalesce(fps.fp, 0::UBIGINT) AS fp FROM r LEFT JOIN fps USING ({keys}))"""
 
 
@@ -248,7 +248,7 @@ Q["export_csv_projection"] = SCAN_RANK + """SELECT rank AS "Rank", method AS "Me
   content_length AS "Length", content_type AS "Type", url AS "URL" FROM ranked"""
 
 Q["curl_lines"] = SCAN_RANK_MORE + f""",
-raw AS (SELECT id, method || ' / HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || {_host_sql('url')}
+raw AS (SELECT id, method || ' / HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || coalesce({_host_sql('url')}, '')
     || chr(13) || chr(10) || 'X-Id: ' || CAST(id AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || 'body' AS raw FROM history),
 j AS (SELECT r.id, r.url, string_split(w.raw, chr(13) || chr(10)) AS lines FROM ranked r JOIN raw w USING (id)
       WHERE w.raw IS NOT NULL AND w.raw <> ''),
@@ -262,7 +262,24 @@ Q["url_list"] = SCAN_RANK + "SELECT id, url FROM ranked"
 Q["wordlist"] = SCAN_RANK + "SELECT DISTINCT url FROM ranked WHERE url <> ''"
 
 Q["run_summary"] = SCAN_RANK + """SELECT count(*) AS total_requests,
-  CAST(sum(CASE WHEN rank > 70 THEN 1 ELSE 0 END) AS BIGINT) AS high_requests, max(rank) AS max_rank FROM ranked"""
+  CAST(sum(CASE WHEN rank > 70 THEN 1 ELSE 0 END) AS BIGINT) AS high_requests, max(rank) AS max_rank, 1.5::DOUBLE AS duration_ms FROM ranked"""
+
+Q["stored_run"] = SCAN_RANK + """SELECT id, rank, status_code, count(*) OVER () AS total_requests,
+  count(*) FILTER (rank > 70) OVER () AS high_requests, max(rank) OVER () AS max_rank FROM ranked"""
+
+Q["scan_preset"] = f"""WITH {HISTORY}
+SELECT id, status_code AS status, CAST(coalesce(strlen(body), 0) AS BIGINT) AS length FROM history
+WHERE status_code >= 400 AND coalesce(strlen(body), 0) > 1000 AND created_at IS NOT NULL"""
+
+Q["header_filter"] = f"""WITH {HISTORY}
+SELECT id, method, status_code FROM history WHERE has_response AND id % 2 = 1 AND contains('Content-Type: ' || content_type_header, 'Content-Type: text/html')"""
+
+Q["rank_parts"] = (f"WITH {HISTORY},\nhsrc AS (SELECT * FROM history WHERE id % 2 = 1),\n"
+                   f"{features_ctes('id, created_at', 'id')},\n{mode_cte('created_at, id', True)},\n{STATS_CTE}\n"
+                   f"SELECT {RESULT}, created_at FROM ranked")
+
+Q["user_sort_text"] = SCAN_RANK + """SELECT id, location, rank FROM ranked
+ORDER BY location COLLATE NOCASE ASC NULLS LAST, rank DESC, created_at DESC, id DESC LIMIT 200"""
 
 Q["id_set_key"] = f"""WITH {LABEL_LISTS},
 u AS (SELECT id FROM main_ids UNION ALL SELECT id FROM extra_ids),

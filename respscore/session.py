@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +60,9 @@ def configured_checkpoint_dir(spark: SparkSession) -> str | None:
         return None
 
 
+_held: list[tuple[SparkSession, str, DataFrame | str]] = []
+
+
 def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     """Compute ``df`` once for several downstream consumers.
 
@@ -72,6 +77,8 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
     * ``auto``      - ``table`` when a checkpoint folder is configured,
       else ``persist``.
     * ``none``      - keep the plan lazy (every consumer recomputes).
+
+    Tables and cached frames are held until ``release``.
     """
     if how not in ("auto", "table", "checkpoint", "persist", "none"):
         raise ValueError(f"unknown materialize mode: {how!r}")
@@ -83,8 +90,9 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
         if not cdir:
             raise ValueError("table materialisation needs spark.checkpoint.dir")
         path = f"{cdir.rstrip('/')}/respscore-{uuid.uuid4().hex}"
+        _held.append((spark, "table", path))
         df.write.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         if not cdir:
             raise ValueError("checkpoint requested but spark.checkpoint.dir is not set")
@@ -93,17 +101,33 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
             sc.setCheckpointDir(cdir)
         return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append((spark, "frame", out))
     out.count()
     return out
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
-    parallelism) when its scan yields fewer partitions - e.g. a small file
-    with few row groups feeding per-row heavy work.  A large input already
-    has more splits than that and is returned unchanged (no shuffle)."""
-    sc = _context(df.sparkSession)
-    if sc is None:  # pragma: no cover - Spark Connect: leave partitioning to the server
-        return df
-    n = min_partitions or sc.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def mark() -> int:
+    """A point to release back to."""
+    return len(_held)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables and cached frames that ``materialize`` has made since ``mark()`` (default: all).
+    Results that still read them can't be evaluated afterwards; write or collect them first."""
+    while len(_held) > since:
+        spark, kind, what = _held.pop()
+        if kind == "frame":
+            what.unpersist()
+        else:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(what)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """``with released(): write(rank(history))`` leaves nothing behind."""
+    since = mark()
+    try:
+        yield
+    finally:
+        release(since)

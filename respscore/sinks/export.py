@@ -1,23 +1,34 @@
 """Exports of rank results: CSV, URL list, cURL lines, URL word list.
 
 Each export is a projection (returned for inspection/testing) plus a
-writer.  Writers emit a directory of part files in the DataFrame's order;
-nothing is gathered on the driver.  Unlike a bare comma join, Spark's CSV
+writer.  Writers emit a directory of part files in rank order (sorted again
+where a selection or a request is joined); nothing is gathered on the driver.  Unlike a bare comma join, Spark's CSV
 writer quotes a field that holds a comma.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CSV_HEADER
 from ..functions.text import _col
 from ..operators.annotate import targets
+from ..operators.score import rank_order
 
 CRLF = "\r\n"
 
 
+def in_rank_order(results: DataFrame, order: Sequence[str] | None = None, descending: bool | None = None) -> DataFrame:
+    """Results in rank order, ties in input order: a scan's (newest first) if the results hold
+    created_at, else their position columns ascending; ``order`` and ``descending`` say otherwise."""
+    scan = "created_at" in results.columns
+    keys = list(order) if order is not None else ["created_at", "id"] if scan else [c for c in results.columns if c in ("src", "pos")]
+    return results.orderBy(*rank_order(keys, scan if descending is None else descending))
+
+
 def csv_projection(results: DataFrame) -> DataFrame:
     """Six columns: Rank, Method, Status, Length, Type, URL."""
     src = ("rank", "method", "status_code", "content_length", "content_type", "url")
@@ -26,13 +37,13 @@ def csv_projection(results: DataFrame) -> DataFrame:
 
 def export_csv(results: DataFrame, path: str, selection: DataFrame | None = None,
                mode: str = "overwrite") -> None:
-    csv_projection(targets(results, selection)).write.mode(mode).option("header", True).csv(path)
+    csv_projection(in_rank_order(targets(results, selection))).write.mode(mode).option("header", True).csv(path)
 
 
 def export_urls(results: DataFrame, path: str, selection: DataFrame | None = None,
                 mode: str = "overwrite") -> None:
     """One URL per line, in result order, duplicates kept."""
-    targets(results, selection).select("url").write.mode(mode).text(path)
+    in_rank_order(targets(results, selection)).select("url").write.mode(mode).text(path)
 
 
 def curl_command(raw: Column | str, url: Column | str) -> Column:
@@ -55,11 +66,10 @@ def curl_command(raw: Column | str, url: Column | str) -> Column:
 
 def curl_lines(results: DataFrame, requests: DataFrame, raw_col: str = "raw") -> DataFrame:
     """(id, curl) for each result that has a raw request (J7: result ->
-    request by id).  Rows without raw text are skipped."""
+    request by id), in rank order.  Rows without raw text are skipped."""
     req = requests.select("id", F.col(raw_col).alias("_raw"))
-    j = results.select("id", "url").join(req, "id", "inner")
-    return (j.where(F.col("_raw").isNotNull() & (F.col("_raw") != ""))
-            .select("id", curl_command("_raw", "url").alias("curl")))
+    j = in_rank_order(results.join(req, "id", "inner").where(F.col("_raw").isNotNull() & (F.col("_raw") != "")))
+    return j.select("id", curl_command("_raw", "url").alias("curl"))
 
 
 def export_curl(results: DataFrame, requests: DataFrame, path: str,

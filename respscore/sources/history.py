@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.constants import SCAN_DEFAULT_LIMIT, SCAN_MAX_LIMIT, SCAN_MIN_LIMIT
-from ..operators.lookup import lookup_join
+from ..functions.constants import SCAN_DEFAULT_LIMIT, SCAN_MIN_LIMIT
+from ..operators.joins import key_join
 
 SCAN_ORDER = ("created_at", "id")
 
@@ -62,7 +64,7 @@ def validate_filter(history: DataFrame, filter: Column | str | None,
         if pred is not None:
             history.where(pred).schema  # forces analysis, not execution
         return {"valid": True, "error": None}
-    except Exception as e:  # ParseException, AnalysisException, unknown preset
+    except (ParseException, AnalysisException, KeyError) as e:  # KeyError: unknown preset
         return {"valid": False, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}
 
 
@@ -74,19 +76,25 @@ def apply_filter(history: DataFrame, filter: Column | str | None = None,
 
 def with_filter_fields(history: DataFrame) -> DataFrame:
     """Add the filter fields a user writes predicates on: scheme, host, port,
-    path, query, ext (from the URL) and length (body bytes).  method,
-    status_code, created_at, headers and body are already columns; e.g.
-    ``scan_history(with_filter_fields(h), filter="length > 1000 AND ext = 'js'")``."""
+    path, query, ext (from the URL), length (body bytes), status, time and,
+    where the history says where a record comes from, source.  method, headers
+    and body are already columns; e.g.
+    ``scan_history(with_filter_fields(h), filter="length > 1000 AND ext = 'js' AND status >= 400")``."""
     from ..functions.text import content_length
     from ..functions.url import with_url_parts
 
     h = with_url_parts(history, "url")
-    return h.withColumn("length", content_length("body")) if "body" in h.columns else h
+    more = {"status": F.col("status_code"), "time": F.col("created_at")}
+    if "body" in h.columns:
+        more["length"] = content_length("body")
+    elif "content_length" in h.columns:
+        more["length"] = F.col("content_length")
+    return h.withColumns({k: v for k, v in more.items() if k not in h.columns})
 
 
 def check_limit(limit: int) -> int:
-    if not isinstance(limit, int) or not SCAN_MIN_LIMIT <= limit <= SCAN_MAX_LIMIT:
-        raise ValueError(f"limit must be between {SCAN_MIN_LIMIT} and {SCAN_MAX_LIMIT}")
+    if not isinstance(limit, int) or limit < SCAN_MIN_LIMIT:
+        raise ValueError(f"limit must be {SCAN_MIN_LIMIT} or more")
     return limit
 
 
@@ -94,30 +102,42 @@ def scan_history(history: DataFrame, limit: int = SCAN_DEFAULT_LIMIT, scan_all:
                  filter: Column | str | None = None,
                  presets: Mapping[str, Column | str] | None = None) -> DataFrame:
     """Records matching ``filter``: the ``limit`` newest (created_at desc,
-    id desc), or all of them with ``scan_all``.
-
-    The newest-k choice runs on the two key columns only (per-task top-k,
-    then a merge of at most tasks x k narrow rows; k <= 100,000 is a proven
-    bound), and the chosen keys are broadcast back in a semi-join, so
-    bodies are read where they lie and never funnel through one task."""
-    check_limit(limit)
+    id desc), or all of them with ``scan_all`` (then ``limit`` has no meaning)."""
     rows = apply_filter(history, filter, presets)
     return rows if scan_all else newest(rows, limit)
 
 
-def newest(rows: DataFrame, k: int) -> DataFrame:
-    """The k newest rows (created_at desc, id desc), unordered.
+def _at(value, kind: T.DataType) -> Column:
+    """A collected key as a literal of its column's type, exact to the microsecond."""
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(kind)
 
-    Top-k runs on the two key columns only; the k <= 100,000 chosen keys
-    (a proven bound) are broadcast back in a semi-join."""
-    keys = (rows.select(*SCAN_ORDER)
-            .orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(check_limit(k)))
-    k_ = keys.select(*[F.col(c).alias(f"_k_{c}") for c in SCAN_ORDER])
-    match = None
-    for c in SCAN_ORDER:  # null-safe: a row without created_at can still be chosen
-        cond = rows[c].eqNullSafe(k_[f"_k_{c}"])
-        match = cond if match is None else match & cond
-    return rows.join(F.broadcast(k_), match, "left_semi")
+
+def newest(rows: DataFrame, k: int) -> DataFrame:
+    """The k newest rows (created_at desc, id desc; nulls last), unordered.
+
+    One small job finds the k-th and the next key on the two key columns
+    alone; the result is then a filter from the k-th key on, which reaches
+    the scan, so bodies are read once, where they lie.  Only where those two
+    keys are equal (ids are meant to be unique) are rows of that key counted
+    out by a limit, so never more than k come back."""
+    check_limit(k)
+    kinds = [rows.schema[c].dataType for c in SCAN_ORDER]
+    plain = [F.unix_micros(c) if isinstance(t, T.TimestampType) else F.col(c).cast("string") if isinstance(t, T.TimestampNTZType) else F.col(c)
+             for c, t in zip(SCAN_ORDER, kinds, strict=True)]
+    order = [F.col(c).desc() for c in SCAN_ORDER]
+    keys = rows.select(*SCAN_ORDER).orderBy(*order).limit(k + 1).offset(k - 1).select(*[p.alias(c) for p, c in zip(plain, SCAN_ORDER, strict=True)]).collect()
+    if not keys:  # fewer than k
+        return rows
+    last = [_at(v, t) for v, t in zip(keys[0], kinds, strict=True)]
+    key = F.struct(*SCAN_ORDER)
+    cut = F.struct(*[x.alias(c) for x, c in zip(last, SCAN_ORDER, strict=True)])
+    from_cut = rows if keys[0][0] is None else rows.where(F.col(SCAN_ORDER[0]) >= last[0])  # this part is pushed to the scan
+    if len(keys) < 2 or tuple(keys[0]) != tuple(keys[1]):
+        return from_cut.where(key >= cut)
+    above = from_cut.where(key > cut)
+    return above.unionByName(from_cut.where(key.eqNullSafe(cut)).limit(k - above.count()))
 
 
 def keyset_page(history: DataFrame, page_size: int = 1000,
@@ -135,14 +155,12 @@ def page_cursor(page: DataFrame) -> Column:
     return page.select(F.min(F.struct("created_at", "id"))).scalar()
 
 
-def fetch_by_ids(history: DataFrame, ids: DataFrame, on: str = "id",
-                 size: tuple[int, int] | None = None) -> DataFrame:
+def fetch_by_ids(history: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     """Records for an id list (``ids`` has ``id`` plus position columns).
 
     Ids without a record drop out; an id listed twice is fetched twice (the
-    list's position columns keep the two apart).  The id list is broadcast
-    only after its size is measured; a large selection shuffle-joins."""
-    return lookup_join(history, ids, on, "inner", size=size)
+    list's position columns keep the two apart)."""
+    return key_join(history, ids, on)
 
 
 def selection_ids(*frames: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
@@ -171,10 +189,9 @@ def selection_ids(*frames: DataFrame, id_col: str = "id", pos_col: str = "pos")
 
 
 def scope_filter(history: DataFrame, scope: DataFrame, host_col: str = "host") -> DataFrame:
-    """Keep records whose URL host is in ``scope`` (a one-column host list).
-    Semi-join: the scope list is broadcast only after its size is measured."""
+    """Keep records whose URL host is in ``scope`` (a one-column host list); a record without a host is out."""
     from ..functions.url import url_host
 
     h = history.withColumn("_host", url_host("url"))
-    s = scope.select(F.lower(F.col(host_col)).alias("_host")).distinct()
-    return lookup_join(h, s, "_host", "left_semi", local=True).drop("_host")
+    s = scope.select(F.lower(F.col(host_col)).alias("_host")).where("_host IS NOT NULL").distinct()
+    return key_join(h, s, "_host", "left_semi").drop("_host")

@@ -11,39 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.features import measure_bodies
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# URLs are taken from the first PAGE_SLOTS pages (page_id = event_id mod PAGE_SLOTS)
-PAGE_SLOTS = 50
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def history_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_from_tables(spark: SparkSession, sf_dir: str, bodies: bool = True,
+                        max_body_units: int | None = None, fingerprint: str = "udf") -> DataFrame:
     """Canonical history (id, created_at, method, url, has_response,
     status_code, content_type_header, location, body).
 
-    events LEFT JOIN documents is a key-to-key join of two tables that grow
-    together, so it is planned as a sort-merge join (hint): both sides are
-    hash-partitioned by id, which spreads the per-row fingerprint work over
-    all shuffle partitions instead of the input file splits, never
-    broadcasts a side that grows with the data, spills when partitions are
-    large, and lets AQE split a skewed key.  The pages side is cut to
-    page_id in [0, PAGE_SLOTS) before a plain join: Spark broadcasts it
-    only when its size estimate - the file size, an upper bound on the
-    filtered rows - is under the broadcast threshold (AQE re-checks the
-    actual size at run time); no extra job is spent measuring it."""
+    URLs go round over all pages: event e has the page whose id is e modulo
+    the number of pages (a null URL where there is none).  With ``bodies``
+    false, documents are measured before the joins (``measure_bodies``):
+    content_length and fingerprint stand in for body, and what is joined is
+    some 30 bytes a row.  All joins are plain."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    p = (read_table(spark, sf_dir, "pages")
-         .where((F.col("page_id") >= 0) & (F.col("page_id") < PAGE_SLOTS))
-         .select(F.col("page_id").alias("_slot"), "url"))
-    j = e.join(d.hint("merge"), e.event_id == d.doc_id, "left") \
-        .withColumn("_slot", F.col("event_id") % PAGE_SLOTS)
-    j = j.join(p, "_slot")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("body"))
+    if not bodies:
+        d = measure_bodies(d, "body", max_body_units, fingerprint)
+    pages = read_table(spark, sf_dir, "pages")
+    p = pages.select(F.col("page_id").alias("_slot"), "url")
+    n_pages = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
+    j = e.join(d, e.event_id == d.doc_id, "left").withColumn("_slot", F.try_mod(F.col("event_id"), n_pages))
+    j = j.join(p, "_slot", "left")
     et = F.col("event_type")
     status = (F.when(et.isin("view", "click"), 200).when(et == "signup", 201)
               .when(et == "purchase", 302)
@@ -62,18 +57,13 @@ def history_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.cast("int").alias("status_code"),
         ctype.alias("content_type_header"),
         F.when(et == "purchase", F.col("url")).alias("location"),
-        F.col("text").alias("body"),
+        *([F.col("body")] if bodies else [F.col("content_length"), F.col("fingerprint")]),
     )
 
 
 def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as one 200 text/html response (id = page_id).  A scan with
-    fewer splits than the cluster's parallelism is spread first, since each
-    row carries a whole page to fingerprint."""
-    from ..session import spread
-
-    p = spread(read_table(spark, sf_dir, "pages"))
-    return p.select(
+    """Every page as one 200 text/html response (id = page_id)."""
+    return read_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"),
         F.lit("GET").alias("method"),
         F.col("url"),
@@ -85,14 +75,26 @@ def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same records as separate requests (every second one has a response) and responses, with a
+    header map whose names are in mixed case."""
+    h = history_from_tables(spark, sf_dir)
+    odd = F.col("id") % 2 == 1
+    requests = h.select("id", "created_at", "method", "url", F.when(odd, F.col("id")).alias("response_id"))
+    headers = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("Content-Type").alias("key"), F.array("content_type_header").alias("value")),
+        F.struct(F.lit("LOCATION").alias("key"), F.array("location").alias("value"))), lambda x: x["value"][0].isNotNull()))
+    return requests, h.where("has_response").select("id", "status_code", headers.alias("headers"), "body")
+
+
 def requests_with_raw(history: DataFrame) -> DataFrame:
-    """(id, raw): a raw HTTP/1.1 request text per record, for cURL export.
+    """(id, raw): a made-up raw HTTP/1.1 request text per record of the test tables, which have none.
 
     Request line, Host and X-Id headers, an empty line, then a body."""
     from ..functions.url import url_host
 
     crlf = "\r\n"
-    raw = F.concat(F.col("method"), F.lit(" / HTTP/1.1" + crlf + "Host: "), url_host("url"),
+    raw = F.concat(F.col("method"), F.lit(" / HTTP/1.1" + crlf + "Host: "), F.coalesce(url_host("url"), F.lit("")),
                    F.lit(crlf + "X-Id: "), F.col("id").cast("string"),
                    F.lit(crlf + crlf + "body"))
     return history.select("id", raw.alias("raw"))

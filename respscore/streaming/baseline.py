@@ -4,8 +4,7 @@
 moments, centroid, status and MIME frequency tables) and can store them.
 ``score`` then ranks any DataFrame - including a ``readStream`` - against
 those frozen statistics with a stateless plan: scalars are literals, the
-frequency tables are static lookup sides (stream-static left joins,
-broadcast only after measuring).  A status or MIME type the baseline never
+frequency tables are static lookup sides (plain stream-static left joins).  A status or MIME type the baseline never
 saw has frequency 0, i.e. rarity 1.  With no state, every micro-batch is
 independent and a restarted query simply resumes from its checkpoint.
 
@@ -20,9 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import MAX_BODY_UNITS
 from ..operators.features import response_features
-from ..operators.lookup import lookup_join
+from ..operators.joins import key_join
 from ..operators.profile import Stats, collect_stats, status_frequency, type_frequency
 from ..operators.score import RESULT_COLUMNS, score_columns
 from ..session import materialize
@@ -33,12 +31,12 @@ class Baseline:
     stats: Stats
     status_freq: DataFrame      # status_code, status_count
     type_freq: DataFrame        # content_type, type_count
-    max_body_units: int | None = MAX_BODY_UNITS
+    max_body_units: int | None = None
 
 
 def fit_baseline(history: DataFrame, order: Sequence[str] = ("created_at", "id"),
                  descending: bool = True, centroid: str = "mode",
-                 max_body_units: int | None = MAX_BODY_UNITS,
+                 max_body_units: int | None = None,
                  materialize_how: str = "auto") -> Baseline:
     feats = materialize(response_features(history, list(order), max_body_units), materialize_how)
     stats = collect_stats(feats, list(order), descending, centroid)
@@ -58,7 +56,7 @@ def save_baseline(b: Baseline, path: str) -> None:
 
 
 def load_baseline(spark: SparkSession, path: str,
-                  max_body_units: int | None = MAX_BODY_UNITS) -> Baseline:
+                  max_body_units: int | None = None) -> Baseline:
     r = spark.read.parquet(f"{path}/scalars").first()   # one row of scalars
     stats = Stats(int(r["n"]), int(r["sum_length"]), int(r["sum_length_sq"]), int(r["centroid"]))
     return Baseline(stats, spark.read.parquet(f"{path}/status_freq"),
@@ -68,8 +66,8 @@ def load_baseline(spark: SparkSession, path: str,
 def score(df: DataFrame, b: Baseline, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
     """Rank ``df`` (batch or streaming) against the frozen baseline; unordered."""
     feats = response_features(df, list(order), b.max_body_units)
-    j = lookup_join(feats, b.status_freq, "status_code", "left")
-    j = lookup_join(j, b.type_freq, "content_type", "left")
+    j = key_join(feats, b.status_freq, "status_code", "left")
+    j = key_join(j, b.type_freq, "content_type", "left")
     j = j.fillna(0, subset=["status_count", "type_count"])
     sc = score_columns(b.stats)
     extra = [c for c in order if c not in RESULT_COLUMNS]

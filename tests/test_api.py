@@ -4,7 +4,7 @@ import pytest
 
 import respscore
 from conftest import SF001
-from respscore.session import configured_checkpoint_dir, materialize, spread
+from respscore.session import configured_checkpoint_dir, materialize, release, released
 from respscore.sources.tables import history_from_tables
 
 
@@ -36,12 +36,6 @@ def test_top_k_is_prefix_of_full_order(hist):
     assert top == full[:10]
 
 
-def test_spread_only_when_needed(spark):
-    one = spark.range(0, 100, 1, 1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, 1, 8)
-    assert spread(many, 4).rdd.getNumPartitions() == 8
-
 
 def test_checkpoint_dir_from_session(spark):
     assert configured_checkpoint_dir(spark)
@@ -58,3 +52,20 @@ def test_rank_by_keyword(hist):
     a = {r.id: r["rank"] for r in respscore.rank(h, by=["g"]).collect()}
     b = {r.id: r["rank"] for r in respscore.rank(hist).collect()}
     assert a == b
+
+
+def test_results_can_be_released(spark, hist):
+    import os
+
+    def left():
+        folder = configured_checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+        return {f for f in os.listdir(folder) if f.startswith("respscore-")} if os.path.isdir(folder) else set()
+
+    release()
+    before = left()
+    with released():
+        assert respscore.rank(hist).count() == 200
+        assert left() > before
+        respscore.rank(hist, by=["status_code"], materialize_how="persist").count()
+        assert len(spark.sparkContext._jsc.getPersistentRDDs()) > 0
+    assert left() == before and len(spark.sparkContext._jsc.getPersistentRDDs()) == 0

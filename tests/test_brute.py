@@ -15,7 +15,7 @@ STATUSES = [200, 200, 200, 404, 500, 302, None]
 record = st.tuples(st.sampled_from(STATUSES), st.sampled_from(TYPES), st.sampled_from(BODIES))
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(record, min_size=1, max_size=30))
 def test_rank_matches_brute_force(spark, recs):
     rows = [(f"r{i:03d}", s, t, b) for i, (s, t, b) in enumerate(recs)]
@@ -23,7 +23,7 @@ def test_rank_matches_brute_force(spark, recs):
     assert got == brute_rank(rows)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["g1", "g2", "g3"]), record), min_size=1, max_size=30))
 def test_grouped_rank_matches_brute_force_per_group(spark, recs):
     from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def test_grouped_rank_matches_brute_force_per_group(spark, recs):
     assert got == want
 
 
-@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", ""]), max_size=8), min_size=1, max_size=3))
 def test_selection_first_seen_matches_python(spark, lists):
     from respscore.sources.history import selection_ids
@@ -59,7 +59,7 @@ def test_selection_first_seen_matches_python(spark, lists):
     assert got == want
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from([200, 404, 500]), st.integers(0, 3)), min_size=1, max_size=12),
        st.sampled_from(["status_code", "content_length"]), st.sampled_from(["asc", "desc"]))
 def test_user_sort_is_stable_over_rank_order(spark, recs, field, direction):

@@ -16,11 +16,12 @@ def hist(spark):
 
 
 def test_limit_bounds(hist):
-    for bad in (0, 100001, -5):
+    for bad in (0, -5, "9"):
         with pytest.raises(ValueError):
             scan_history(hist, limit=bad)
-    with pytest.raises(ValueError):
-        scan_history(hist, limit=0, scan_all=True)   # validated even with scan_all, as the UI does
+    n = hist.count()
+    assert scan_history(hist, limit=200000).count() == n
+    assert scan_history(hist, limit=0, scan_all=True).count() == n   # the limit has no meaning then
 
 
 def test_scan_newest_first(hist):
@@ -172,3 +173,31 @@ def test_newest_keeps_rows_without_timestamp(spark):
                                "id long, created_at timestamp")
     assert sorted(r.id for r in scan_history(df, limit=3).collect()) == [1, 2, 3]
     assert sorted(r.id for r in scan_history(df, limit=2).collect()) == [1, 3]
+
+
+def test_newest_never_overshoots_on_equal_keys(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
+    df = spark.createDataFrame([(1, t, "a"), (1, t, "b"), (1, t, "c"), (2, t, "d"), (0, None, "e")], "id long, created_at timestamp, x string")
+    for kind in ("timestamp", "timestamp_ntz", "string"):
+        rows = df.withColumn("created_at", F.col("created_at").cast(kind))
+        for k in range(1, 7):
+            got = scan_history(rows, limit=k).collect()
+            assert len(got) == min(k, 5) and "d" in {r.x for r in got}
+        assert {r.x for r in scan_history(rows, limit=1).collect()} == {"d"}
+
+
+def test_filter_names(hist):
+    from respscore.sources.history import with_filter_fields
+
+    h = with_filter_fields(hist)
+    assert scan_history(h, scan_all=True, filter="status >= 400 AND time > '2020-01-01'").count() == hist.where("status_code >= 400").count()
+    assert set(hist.columns) < set(h.columns)
+
+
+def test_errors_of_other_kinds_are_not_invalid_filters(hist):
+    from respscore.sources.history import validate_filter
+
+    with pytest.raises(AttributeError):
+        validate_filter(None, "id = 1")

@@ -36,7 +36,7 @@ def hist(spark):
 def test_rank_final_plan(hist):
     p = plan(rank(hist))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert nodes(p, "BroadcastHashJoin") == 2          # status and MIME lookups
+    assert nodes(p, "BroadcastHashJoin") + nodes(p, "SortMergeJoin") <= 3   # the pairs' two frequencies, then the features
     assert "SortAggregate" not in p and "Window" not in p
 
 
@@ -46,22 +46,10 @@ def test_mode_frequency_is_hash_aggregated(hist):
     assert "HashAggregate" in p and "SortAggregate" not in p
 
 
-def test_summary_is_one_grouping_sets_pass(hist):
-    p = plan(summary(response_features(hist)))
-    assert nodes(p, "Expand") == 1 and "SortAggregate" not in p
-
-
-def test_scan_topk_runs_on_keys_only(hist):
-    p = plan(scan_history(hist, limit=10))
-    detail = re.search(r"^\(\d+\) TakeOrderedAndProject\nInput \[(\d+)\]: \[([^\]]*)\]", p, re.M)
-    assert detail is not None
-    cols = sorted(c.split("#")[0] for c in detail.group(2).split(", "))
-    assert detail.group(1) == "2" and cols == ["created_at", "id"]
-
 
 def test_dataframe_simhash_shuffles_only_narrow_rows(spark):
     d = read_table(spark, SF001, "documents").select("doc_id", "text")
-    p = plan(simhash_frame(d, "doc_id", "text"))
+    p = plan(simhash_frame(d, "text"))
     assert nodes(p, "Exchange") == 1                   # one narrow row per document
     assert "SortAggregate" not in p
 
@@ -71,3 +59,39 @@ def test_filters_and_columns_reach_the_scan(spark):
     p = plan(d)
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in p
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in p
+
+
+def test_summary_is_one_hash_aggregate(hist):
+    p = plan(summary(response_features(hist)))
+    assert nodes(p, "Expand") == 0 and "SortAggregate" not in p and nodes(p, "Exchange") <= 4
+
+
+def moved(p: str) -> set[str]:
+    """Columns below any exchange."""
+    found = re.findall(r"^\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[([^\]]*)\]", p, re.M)
+    return {c.split("#")[0].strip() for cols in found for c in cols.split(",")}
+
+
+def test_no_body_is_moved_for_a_rank(spark):
+    from pyspark.sql import functions as F
+
+    from respscore.operators.features import measure_bodies
+    from respscore.sources.history import fetch_by_ids
+
+    h = history_from_tables(spark, SF001, bodies=False)
+    ids = h.select("id", F.col("id").alias("pos"))
+    raw = read_table(spark, SF001, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    for df in (response_features(h), response_features(h.withColumn("host", F.lit("h")), carry=["host"]),
+               fetch_by_ids(measure_bodies(raw), ids)):
+        p = plan(df)
+        assert "hint" not in p.lower() and not {"text", "body", "_text"} & moved(p) and moved(p)
+
+
+def test_newest_reads_bodies_once_and_filters_at_the_scan(spark):
+    from pyspark.sql import functions as F
+
+    h = history_from_tables(spark, SF001)
+    p = plan(scan_history(h, limit=10, filter=F.col("body").contains("the")).select("id", "created_at"))
+    assert p.count("documents.parquet") == 1
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", p)
+    assert not {"text", "body"} & moved(p)

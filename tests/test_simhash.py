@@ -82,7 +82,7 @@ def test_spark_udf_and_frame_agree_with_vectors(spark):
     rows = [(i, t) for i, (t, _) in enumerate(SIMHASH)] + [(len(SIMHASH), None)]
     df = spark.createDataFrame(rows, "k long, t string")
     udf = {r.k: r.fp for r in df.select("k", fingerprint_hex(S.simhash64("t")).alias("fp")).collect()}
-    frame = {r.k: r.fp for r in S.simhash_frame(df, "k", "t")
+    frame = {r.k: r.fp for r in S.simhash_frame(df, "t")
              .select("k", fingerprint_hex("fingerprint").alias("fp")).collect()}
     expected = {i: h for i, (_, h) in enumerate(SIMHASH)}
     expected[len(SIMHASH)] = "0000000000000000"
@@ -98,7 +98,7 @@ def test_udf_and_frame_agree_on_documents(spark):
 
     d = read_table(spark, SF001, "documents").select("doc_id", "text")
     a = d.select("doc_id", S.simhash64("text").alias("fp"))
-    b = S.simhash_frame(d, "doc_id", "text")
+    b = S.simhash_frame(d, "text")
     diff = a.join(b, "doc_id").where("fp <> fingerprint").count()
     assert diff == 0 and a.count() == b.count() == d.count()
 

@@ -23,7 +23,7 @@ def test_js_slice_counts_utf16_units(spark):
     astral = emoji * 30000            # 60000 UTF-16 units, 30000 code points
     cut_mid = "b" * 51199 + emoji     # pair straddles unit 51200
     df = spark.createDataFrame([(long_ascii,), (astral,), (cut_mid,), ("short",), (None,)], "t string")
-    out = [r.s for r in df.select(js_slice("t").alias("s")).collect()]
+    out = [r.s for r in df.select(js_slice("t", 51200).alias("s")).collect()]
     assert len(out[0]) == 51200
     assert out[1] == emoji * 25600
     assert out[2] == "b" * 51199

@@ -11,8 +11,8 @@ from respscore.operators.annotate import annotate, row_slice, targets, user_sort
 from respscore.plans.api import rank
 from respscore.sinks.export import (csv_projection, curl_command, export_csv, export_curl,
                                     export_urls, export_wordlist, wordlist)
-from respscore.sinks.runs import (clear_runs, id_set_key, last_run, load_run, run_summary,
-                                  save_run, save_summary, scan_key)
+from respscore.sinks.runs import (clear_runs, id_set_key, last_run, load_or_compute, load_run, run_index,
+                                  run_summary, save_run, scan_key)
 
 COLORS = [
     (500, "text/html", "red", "#a32f2a"), (600, "x", "red", "#a32f2a"), (404, "a", "amber", "#a06008"),
@@ -108,27 +108,52 @@ def test_run_store(spark, scratch):
     h = make_history(spark, [("a", 200, "text/html", "x"), ("b", 404, "text/html", "y")])
     r = rank(h)
     path = os.path.join(scratch, "runs")
-    k1, k2 = scan_key(500, False, " status_code >= 400 ", "v1"), scan_key(500, True)
+    assert last_run(spark, path).count() == 0 and load_run(spark, path, "k", r.schema).count() == 0
+    assert run_index(spark, path).count() == 0
+    k1, k2 = scan_key(500, False, " status_code >= 400 ", "v1"), scan_key(500, True, "x = 1 OR " * 60 + "y = 2")
     save_run(r, path, k1)
-    save_run(r.limit(1), path, k2)
-    save_run(r, path, k1)                      # replace k1 only
+    save_run(r.limit(1), path, k2, 3.0)        # a key too long for a folder name
+    save_run(r, path, k1, 12.5)                # replace k1 only
     assert load_run(spark, path, k1).count() == 2 and load_run(spark, path, k2).count() == 1
+    assert load_run(spark, path, "none").count() == 0
     assert k1 == "scan:500:false:status_code >= 400:v1"
     assert last_run(spark, path).count() == 2          # k1 was saved last
     assert sorted(last_run(spark, path).columns) == sorted(r.columns)
-    clear_runs(spark, path, r.schema)
-    assert last_run(spark, path, r.schema).count() == 0
-    assert load_run(spark, path, k1, r.schema).count() == 0
+    got = {x.run_key: (x.total_requests, x.duration_ms) for x in run_index(spark, path).collect()}
+    assert got == {k1: (2, 12.5), k2: (1, 3.0)}
+    clear_runs(spark, path)
+    assert last_run(spark, path, r.schema).count() == 0 and load_run(spark, path, k1, r.schema).count() == 0
     save_run(r.limit(1), path, k2)                      # the store is usable after clearing
-    assert load_run(spark, path, k2, r.schema).count() == 1
-    assert last_run(spark, path, r.schema).count() == 1
+    assert load_run(spark, path, k2, r.schema).count() == 1 and last_run(spark, path, r.schema).count() == 1
     s = run_summary(r, 12.5).first()
     assert (s.total_requests, s.duration_ms) == (2, 12.5)
-    spath = os.path.join(scratch, "summaries")
-    save_summary(run_summary(r, 12.5), spath, k1)
-    save_summary(run_summary(r.limit(1), 3.0), spath, k2)
-    got = {x.run_key: x.total_requests for x in spark.read.parquet(spath).collect()}
-    assert got == {k1: 2, k2: 1}
+
+
+def test_load_or_compute_runs_once(spark, scratch):
+    path, calls = os.path.join(scratch, "runs"), []
+
+    def compute():
+        calls.append(1)
+        return rank(make_history(spark, [("a", 200, "text/html", "x")]))
+
+    for _ in range(3):
+        assert [x.id for x in load_or_compute(spark, path, "k", compute).collect()] == ["a"]
+    assert len(calls) == 1
+
+
+def test_exports_keep_rank_order_with_a_selection(spark, scratch):
+    rows = [(f"r{i:02d}", [200, 404, 500][i % 3], "text/html", "word " * i) for i in range(40)]
+    r = rank(make_history(spark, rows), sort=False).repartition(7)
+    want = [x.url for x in rank(make_history(spark, rows)).collect() if x.id != "r05"]
+    selection = r.select("id").where("id <> 'r05'")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        export_urls(r, os.path.join(scratch, "urls"), selection)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(scratch, "urls") + "/part-*"))).splitlines()
+    assert lines == want
 
 
 def test_id_set_key_order_insensitive(spark):
@@ -147,3 +172,11 @@ def test_history_version_changes_with_new_traffic(spark):
     v2 = history_version(h)
     assert v1 != v2 and v2.startswith("2@")
     assert scan_key(500, False, None, v2).endswith(v2)
+
+
+def test_history_version_changes_with_replaced_records(spark):
+    from respscore.sinks.runs import history_version
+
+    a = make_history(spark, [("a", 200, "text/html", "x"), ("b", 200, "text/html", "y")])
+    b = make_history(spark, [("a", 404, "text/html", "x"), ("b", 200, "text/html", "y")])
+    assert history_version(a) != history_version(b) and history_version(a) == history_version(a.repartition(3))
