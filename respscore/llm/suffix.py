@@ -31,10 +31,12 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ GRAM = 32  # bytes of an anchor
 FILTER_BITS = 28  # the filter has 2^28 bits: 32 MB at the driver and in each worker
 MOST_BYTES = 12 << 20  # snippets of one anchor that a task sorts
 SORT_BYTES = 1 << 20  # snippets sorted at once (whole anchors): memory is about 130 times this
-SLICE_BYTES = 4 << 20  # text in which a task looks for anchors at once
+SLICE_BYTES = 4 << 20  # text in which a task folds equal snippets
+STEP = 1 << 16  # positions hashed at once, so that numpy's passes stay in the cache
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _HASHES = len(_ODD)
@@ -85,21 +88,21 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of positions with one anchor: (document, first, last, anchor, hash) arrays, positions in ``raw``.
     ``ends`` are the documents' ends in ``raw``; strings don't cross them."""
-    window, starts = length - gram + 1, np.concatenate([[0], ends[:-1]])
-    step = 1 << 22
-    for at in range(0, len(raw) - length + 1, step):
-        some = raw[at:at + step + length - 1]
+    window, sizes = length - gram + 1, np.diff(ends, prepend=0)
+    stop = np.repeat(ends, sizes)  # where each position's document ends
+    for at in range(0, len(raw) - length + 1, STEP):
+        some = raw[at:at + STEP + length - 1]
         h = gram_hashes(some, gram)
         index = np.arange(len(h), dtype=np.uint64)
         anchor = (_least((h & ~np.uint64((1 << 24) - 1)) | index, window) & np.uint64((1 << 24) - 1)).astype(np.int64)
-        doc = np.searchsorted(ends, np.arange(at, at + len(anchor)), side="right")
-        fits = np.flatnonzero(np.arange(at, at + len(anchor)) + length <= ends[doc])
+        here = stop[at:at + len(anchor)]
+        fits = np.flatnonzero(np.arange(at + length, at + length + len(anchor)) <= here)
         if not len(fits):
             continue
-        a, d = anchor[fits], doc[fits]
-        cut = np.flatnonzero((np.diff(a) != 0) | (np.diff(d) != 0) | (np.diff(fits) != 1)) + 1
+        a, end = anchor[fits], here[fits]
+        cut = np.flatnonzero((a[1:] != a[:-1]) | (end[1:] != end[:-1])) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(a)]]) - 1
-        yield d[first], fits[first] + at, fits[last] + at, a[first] + at, h[a[first]]
+        yield np.searchsorted(ends, end[first]), fits[first] + at, fits[last] + at, a[first] + at, h[a[first]]
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -180,7 +183,7 @@ def _snippets(length: int, gram: int, bits: int, held):
                                 other[2:6], me[2:6] = me[2:6], other[2:6]
                             if _place(*me[2:5]) == _place(*other[2:5]):
                                 continue
-                            me[6] = None
+                            me[0], me[6] = me[3] ^ me[4], None  # covered: only passed on, to any task
                         out.append(me)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SNIPPET_TYPES, strict=True)], schema=_SNIPPET_TYPES)
@@ -221,6 +224,12 @@ def repeated_starts(snippets: list[bytes], order: np.ndarray, length: int) -> li
     return out
 
 
+def _within(snippet: bytes, length: int) -> bool:
+    """Whether a string may occur twice inside a snippet: all its strings share some bytes, which would then recur."""
+    most = len(snippet) - length  # starts
+    return most > 0 and snippet.find(snippet[most:length], most + 1) >= 0
+
+
 def _sort_group(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Removed starts (k1, k2, first, last) among snippets of whole anchors."""
     folded: dict[tuple, tuple] = {}
@@ -234,9 +243,8 @@ def _sort_group(rows: list[tuple], length: int) -> Iterator[tuple]:
         folded[key] = early
         if _place(*early[2:5]) < _place(*late[2:5]):
             yield late[2], late[3], late[4], late[5]
-    rows = list(folded.values())
-    if len({r[0] for r in rows}) == len(rows):
-        rows = [r for r in rows if len(r[6]) > length and r[6].count(r[6][:length // 2]) > 1]  # alone: only repeats within itself
+    alone = Counter(r[0] for r in folded.values())
+    rows = [r for r in folded.values() if alone[r[0]] > 1 or _within(r[6], length)]  # the only one of its anchor repeats within itself or not at all
     if not rows:
         return
     places = [_place(*r[2:5]) for r in rows]
@@ -264,11 +272,11 @@ def _sort_snippets(length: int, most_bytes: int, sort_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SNIPPET_TYPES, strict=True)], schema=_SNIPPET_TYPES)
 
         for b in batches:
+            covered = b.column("snippet").is_null()
+            if covered.true_count:
+                yield b.filter(covered)
+                b = b.filter(pc.invert(covered))
             for r in zip(*(b.column(f.name).to_pylist() for f in _SNIPPET_TYPES), strict=True):
-                if r[6] is None:
-                    group_done = [(r[2], r[3], r[4], r[5])]
-                    yield from spans(group_done)
-                    continue
                 if r[0] != key:
                     if not wide:
                         ready += group
