@@ -25,6 +25,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 from .process import kept
+from .words import FIRST, Words, encode_words
 
 MARK = "▁"  # the library's space mark
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000  # words kept by a worker, and at most as many older ones; likewise runs of characters
 SLICE_CHARS = 4 << 20  # text that a task holds ids for at once
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+_CARE = rf"  |[{MARK}{FIRST}]|\A |\A\z| \z| \n"  # texts that single spaces alone don't cut into words
 _NEVER = 1 << 40
 
 
@@ -45,7 +48,6 @@ class PieceBpe:
     """Encoder and decoder for one model file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,19 +72,28 @@ class PieceBpe:
         words = [x for x in ordinary if len(x[0]) == 1 or x[0].strip(MARK)]
         if any(MARK in p.lstrip(MARK) or p.startswith(MARK * 2) for p, _, _ in words):
             raise ValueError("a piece crosses a space mark")
-        if spaces and max(s for _, _, s in spaces) >= min(s for p, _, s in words if len(p) > 1):
+        if any("\n" in p for p, _, _ in ordinary):
+            raise ValueError("a piece holds a line break")
+        scores = [s for p, _, s in words if len(p) > 1]
+        if len(set(scores)) < len(scores):
+            raise ValueError("pieces of equal rank")
+        if spaces and max(s for _, _, s in spaces) >= min(scores):
             raise ValueError("pieces of space marks rank above others")
         self.space_id = {len(p): (i, s) for p, i, s in spaces}
-        self.inside = {p[k:k + 2] for p, _, _ in words for k in range(len(p) - 1)}  # neighbours that some piece joins
-        self.word: dict[str, bytes] = {}
-        self.run: dict[str, list[int]] = {}
-        self._fit(words, ahocorasick)
+        self.pieces, self.found = words, None
+
+    def _fit(self) -> None:
+        """Order of merges, how each piece comes about, and the automaton of pieces that do; only encoding needs them."""
+        import ahocorasick
 
-    def _fit(self, words: list[tuple[str, int, float]], ahocorasick) -> None:
-        """Order of merges, how each piece comes about, and the automaton of pieces that do."""
+        words = self.pieces
         order = sorted(words, key=lambda x: -x[2])
         self.id_of = {p: i for p, i, _ in words}
+        self.inside = {p[k:k + 2] for p, _, _ in words for k in range(len(p) - 1)}  # neighbours that some piece joins
         self.rank, self.parts, self.text, self.fits = {}, {}, {}, {}
+        self.words = Words(lambda new: [self._word(w) for w in new], CACHE_WORDS)
+        self.runs = Words(lambda new: [self._run(r) for r in new], CACHE_WORDS)
+        self.mark = array("i", [self.id_of[MARK]]).tobytes()
         found = ahocorasick.Automaton()
         for p, i, _ in words:
             self.text[i] = p
@@ -138,14 +149,16 @@ class PieceBpe:
             at -= len(self.text[last[at]])
         return ids[::-1]
 
-    def _run(self, run: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """Ids (int32) of a word behind a space or at the beginning of a text (a space mark goes before it),
+        or behind a line break (``word`` begins with it): cut between neighbours that no piece joins."""
+        text = word if word[:1] == "\n" else MARK + word.removeprefix(FIRST)
+        cuts = [0, *(k for k in range(1, len(text)) if text[k - 1:k + 1] not in self.inside), len(text)]
+        return b"".join(self.runs([text[s:e] for s, e in pairwise(cuts)]))
+
+    def _run(self, run: str) -> bytes:
         """Ids of characters that pieces may join: known ones, or one that is in no piece."""
-        ids = self.run.get(run)
-        if ids is None:
-            if len(self.run) >= CACHE_WORDS:
-                self.run.clear()
-            ids = self.run[run] = self._table(run) if run[0] in self.id_of else [self.bytes_id[x] for x in run.encode()]
-        return ids
+        return array("i", self._table(run) if run[0] in self.id_of else [self.bytes_id[x] for x in run.encode()]).tobytes()
 
     def _spaces(self, n: int) -> list[int]:
         """Ids of ``n`` space marks that nothing else has merged: best piece first, leftmost on ties."""
@@ -170,34 +183,26 @@ class PieceBpe:
             offer(left)
         return [self.space_id[s][0] if s > 1 else self.id_of[MARK] for s in size if s]
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids (int32) of space marks and the characters up to the next one."""
-        ids = self.word.get(word)
-        if ids is not None:
+    def _after_spaces(self, chunk: str) -> bytes:
+        """Ids of one or more space marks and the word behind them."""
+        word = chunk.lstrip(MARK)
+        marks = len(chunk) - len(word)
+        ids = self._word(FIRST + word) if word else self.mark
+        if marks == 1:
             return ids
-        marks = len(word) - len(word.lstrip(MARK))
-        out, rest, begin = [], word[max(0, marks - 1):], 0
-        for k in range(1, len(rest) + 1):  # cut between neighbours that no piece joins
-            if rest[k - 1:k + 1] not in self.inside or k == len(rest):
-                out += self._run(rest[begin:k])
-                begin = k
-        if marks > 1:
-            alone = out[0] == self.id_of[MARK]
-            out = self._spaces(marks - 1 + alone) + out[alone:]
-        if len(self.word) >= CACHE_WORDS:
-            self.word.clear()
-        ids = self.word[word] = array("i", out).tobytes()
-        return ids
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids (int32) of one text, as the library's encode."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words = [MARK + w for w in text.split(" ")]
-        if MARK in words or MARK in text:  # runs of spaces, or space marks in the text itself
-            words = _WORDS.findall(MARK + text.replace(" ", MARK))
-        known = self.word
-        return np.frombuffer(b"".join([known.get(w) or self.encode_word(w) for w in words]), np.int32)
+        alone = ids.startswith(self.mark)  # the last mark went with no piece of the word
+        return array("i", self._spaces(marks - 1 + alone)).tobytes() + ids[4 * alone:]
+
+    def _whole(self, text: str) -> bytes:
+        """A text with runs of spaces, or with space marks of its own."""
+        return b"".join(map(self._after_spaces, _WORDS.findall(MARK + text.replace(" ", MARK)))) if text else b""
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, int32, and how many each has), as the library's encode."""
+        if self.found is None:
+            self._fit()
+        ids, n = encode_words(texts, _CARE, self._whole, self.words)
+        return ids.view(np.int32), n
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, as the library's decode: bytes that are no UTF-8 become U+FFFD each."""
@@ -257,9 +262,8 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 
     def value(col: pa.Array, arrow: pa.DataType) -> pa.Array:
         bpe = codec(model)
-        rows = [bpe.encode(t or "") for t in col.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+        ids, n = bpe.encode(col)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
 
     from pyspark.sql.types import ArrayType, IntegerType
     return _each(df, text, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), value, lambda c: pc.fill_null(pc.binary_length(c), 0).to_pylist())

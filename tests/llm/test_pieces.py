@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -15,6 +16,12 @@ def both():
     return P.PieceBpe(path), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def one(own, text):
+    ids, n = own.encode(pa.array([text]))
+    assert n.tolist() == [len(ids)]
+    return ids
+
+
 def random_texts(seed, n):
     rng = random.Random(seed)
     alphabet = "abcdefgh etaoin▁▁  \t\né中文\U0001f600<s></s>ZZ0123456789'.,-_=*#\0"
@@ -32,7 +39,7 @@ def test_encodes_and_decodes_as_the_library(both):
     own, sp = both
     for text in [*random_texts(1, 6000), *(t or "" for t in texts(2, 40)), *(" " * n + x for n in (1, 2, 3, 7, 17, 31, 100, 1000) for x in ("", "the"))]:
         ids = sp.encode(text)
-        assert own.encode(text).tolist() == ids, repr(text)
+        assert one(own, text).tolist() == ids, repr(text)
         assert own.decode(np.array(ids, np.int32)) == sp.decode(ids), repr(text)
 
 
@@ -44,11 +51,14 @@ def test_decodes_any_ids_as_the_library(both):
         assert own.decode(np.array(ids, np.int32)) == sp.decode(ids), ids
 
 
-def test_cache_limits_change_nothing(both, monkeypatch):
-    own, sp = both
-    monkeypatch.setattr(P, "CACHE_WORDS", 3)
-    for text in random_texts(5, 200):
-        assert own.encode(text).tolist() == sp.encode(text)
+def test_many_at_once_and_small_caches(both, monkeypatch):
+    _, sp = both
+    monkeypatch.setattr(P, "CACHE_WORDS", 4)
+    own = P.PieceBpe(P.model_path())
+    some = [*random_texts(5, 300), None, "", *texts(3, 30)]
+    ids, n = own.encode(pa.array(some))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [sp.encode(t or "") for t in some]
+    assert own.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 def test_query_digests(spark, both):
