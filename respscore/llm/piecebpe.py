@@ -137,7 +137,7 @@ class PieceBpe:
             if end > n:
                 ok = fits.get(pair := before << 20 | i)
                 if ok is None:
-                    if len(fits) >= CACHE_WORDS:
+                    if len(fits) >= 4 * CACHE_WORDS:
                         fits.clear()
                     ok = fits[pair] = self._apart(before, i, _NEVER)
                 if not ok:
