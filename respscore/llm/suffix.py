@@ -323,8 +323,8 @@ def _wide(found: DataFrame, ws: Workspace, length: int) -> DataFrame:
 def removed_starts(docs: DataFrame, ws: Workspace, text: str = "text", length: int = LENGTH, filter_bits: int = FILTER_BITS,
                    most_bytes: int = MOST_BYTES, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """``k1, k2, first, last``: runs of byte positions whose ``length``-byte string also starts earlier."""
-    if length < GRAM + 8:
-        raise ValueError(f"strings of {GRAM + 8} bytes or more")
+    if not GRAM + 8 <= length < 1 << 16:
+        raise ValueError(f"strings of {GRAM + 8} to 65,535 bytes")
     spark = docs.sparkSession
     rows = docs.select(*row_key("doc_id", text), F.col(text).alias("_text"))
     counted = rows.select("_text").mapInArrow(_count_anchors(length, GRAM), "h long, n long")
@@ -352,7 +352,7 @@ def _cut(length: int):
                 for doc, t, spans in zip(b.column("_k1")[s:e].to_pylist(), b.column("_text")[s:e], b.column("_spans")[s:e].to_pylist(), strict=True):
                     raw = (t.as_py() or "").encode()
                     runs = []
-                    for first, last in sorted((x["first"], x["last"] + length) for x in spans or ()):
+                    for first, last in sorted((x >> 16, (x >> 16) + (x & 65535) + length) for x in spans or ()):
                         if runs and first <= runs[-1][1]:
                             runs[-1][1] = max(runs[-1][1], last)
                         else:
@@ -373,7 +373,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fi
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row of ``docs``; ``kept`` are the bytes left."""
     ws = Workspace(docs.sparkSession, "suffix")
     spans = removed_starts(docs, ws, text, length, filter_bits, most_bytes, sort_bytes)
-    lists = ws.keep(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "spans")
+    packed = F.shiftleft("first", 16).bitwiseOR(F.col("last") - F.col("first"))  # a run is shorter than a string
+    lists = ws.keep(spans.groupBy("k1", "k2").agg(F.collect_set(packed).alias("_spans")), "spans")
     rows = docs.select(*row_key("doc_id", text), F.col(text).alias("_text"))
     both = rows.join(lists.hint("merge"), rows["_k1"].eqNullSafe(lists["k1"]) & (rows["_k2"] == lists["k2"]), "left").select("_k1", "_text", "_spans")
     return both.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
