@@ -40,11 +40,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document of the mix, and the digest of what they decode to."""
-    model = piecebpe.model_path()
-    coded = piecebpe.encode(docs.select("doc_id", "lang", "source", "text"), model)
-    counted = coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("ids").alias("_again"))
-    decoded = piecebpe.decode(counted, model, ids="_again", text="_decoded")
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
+    coded = piecebpe.encode(docs.select("doc_id", "lang", "source", "text"), piecebpe.model_path(), decoded="_decoded")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -29,16 +29,18 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import slices, table
 from .process import kept
 from .words import FIRST, Words, encode_words
 
 MARK = "▁"  # the library's space mark
-CACHE_WORDS = 150_000  # words kept by a worker, and at most as many older ones; likewise runs of characters
-SLICE_CHARS = 4 << 20  # text that a task holds ids for at once
+CACHE_WORDS = 120_000  # runs of characters kept by a worker; words, which take less, six times as many
+SLICE_BYTES = 6 << 20  # text that a task holds ids for at once
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _CARE = rf"  |[{MARK}{FIRST}]|\A |\A\z| \z| \n"  # texts that single spaces alone don't cut into words
 _NEVER = 1 << 40
@@ -91,8 +93,8 @@ class PieceBpe:
         self.id_of = {p: i for p, i, _ in words}
         self.inside = {p[k:k + 2] for p, _, _ in words for k in range(len(p) - 1)}  # neighbours that some piece joins
         self.rank, self.parts, self.text, self.fits = {}, {}, {}, {}
-        self.words = Words(lambda new: [self._word(w) for w in new], CACHE_WORDS)
-        self.runs = Words(lambda new: [self._run(r) for r in new], CACHE_WORDS)
+        self.words = Words(self._make, 6 * CACHE_WORDS)
+        self.runs: dict[str, bytes] = {}
         self.mark = array("i", [self.id_of[MARK]]).tobytes()
         found = ahocorasick.Automaton()
         for p, i, _ in words:
@@ -137,7 +139,7 @@ class PieceBpe:
             if end > n:
                 ok = fits.get(pair := before << 20 | i)
                 if ok is None:
-                    if len(fits) >= 4 * CACHE_WORDS:
+                    if len(fits) >= 2 * CACHE_WORDS:
                         fits.clear()
                     ok = fits[pair] = self._apart(before, i, _NEVER)
                 if not ok:
@@ -149,16 +151,25 @@ class PieceBpe:
             at -= len(self.text[last[at]])
         return ids[::-1]
 
+    def _make(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = [self._word(w) for w in words.to_pylist()]
+        return np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
+
     def _word(self, word: str) -> bytes:
         """Ids (int32) of a word behind a space or at the beginning of a text (a space mark goes before it),
         or behind a line break (``word`` begins with it): cut between neighbours that no piece joins."""
         text = word if word[:1] == "\n" else MARK + word.removeprefix(FIRST)
         cuts = [0, *(k for k in range(1, len(text)) if text[k - 1:k + 1] not in self.inside), len(text)]
-        return b"".join(self.runs([text[s:e] for s, e in pairwise(cuts)]))
+        return b"".join([self._run(text[s:e]) for s, e in pairwise(cuts)])
 
     def _run(self, run: str) -> bytes:
         """Ids of characters that pieces may join: known ones, or one that is in no piece."""
-        return array("i", self._table(run) if run[0] in self.id_of else [self.bytes_id[x] for x in run.encode()]).tobytes()
+        ids = self.runs.get(run)
+        if ids is None:
+            if len(self.runs) >= CACHE_WORDS:
+                self.runs.clear()
+            ids = self.runs[run] = array("i", self._table(run) if run[0] in self.id_of else [self.bytes_id[x] for x in run.encode()]).tobytes()
+        return ids
 
     def _spaces(self, n: int) -> list[int]:
         """Ids of ``n`` space marks that nothing else has merged: best piece first, leftmost on ties."""
@@ -241,44 +252,42 @@ def codec(path: str) -> PieceBpe:
     return kept(("piecebpe", path), lambda: PieceBpe(path))
 
 
-def _each(df: DataFrame, column: str, out: str, kind: str, arrow: pa.DataType, value, cost) -> DataFrame:
-    """``df`` with ``column`` replaced by ``out``, slice by slice of each batch."""
-    names = [c for c in df.columns if c != column]
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with its text column replaced by an ``ids`` column (ARRAY<INT>) and, where ``decoded`` names
+    one, a column of what those ids decode to (made in the same pass).  No shuffle."""
+    names, more = [c for c in df.columns if c != text], [decoded] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(model)
         for b in batches:
-            col = b.column(column)
-            for start, end in slices(cost(col), SLICE_CHARS):
+            sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+            for start, end in slices(sizes, SLICE_BYTES):
                 part = b.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], value(col.slice(start, end - start), arrow)], names=[*names, out])
-
-    schema = df.drop(column).schema.add(out, kind)
-    return df.mapInArrow(run, schema)
-
-
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with its text column replaced by an ``ids`` column (ARRAY<INT>).  No shuffle."""
-    import pyarrow.compute as pc
+                flat, n = bpe.encode(part.column(text))
+                ends = np.cumsum(n)
+                made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    made.append(pa.array([bpe.decode(x) for x in np.split(flat, ends[:-1])], pa.string()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, ids, *more])
 
-    def value(col: pa.Array, arrow: pa.DataType) -> pa.Array:
-        bpe = codec(model)
-        ids, n = bpe.encode(col)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-
-    from pyspark.sql.types import ArrayType, IntegerType
-    return _each(df, text, ids, ArrayType(IntegerType()), pa.list_(pa.int32()), value, lambda c: pc.fill_null(pc.binary_length(c), 0).to_pylist())
+    schema = df.drop(text).schema.add(ids, ArrayType(IntegerType()))
+    return df.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``df`` with its ids column replaced by a ``text`` column.  No shuffle."""
-    import pyarrow.compute as pc
+    names = [c for c in df.columns if c != ids]
 
-    def value(col: pa.Array, arrow: pa.DataType) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(model)
-        flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())
-        return pa.array([bpe.decode(x) for x in np.split(flat, ends[:-1])], arrow)
+        for b in batches:
+            sizes = [4 * n for n in pc.fill_null(pc.list_value_length(b.column(ids)), 0).to_pylist()]
+            for start, end in slices(sizes, SLICE_BYTES):
+                part = b.slice(start, end - start)
+                texts = [bpe.decode(np.array(x or [], np.int32)) for x in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, text])
 
-    return _each(df, ids, text, "string", pa.string(), value, lambda c: [4 * n for n in pc.fill_null(pc.list_value_length(c), 0).to_pylist()])
+    return df.mapInArrow(run, df.drop(ids).schema.add(text, "string"))
 
 
 def model_path() -> str:
@@ -289,9 +298,9 @@ def model_path() -> str:
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each text, encoded and decoded again."""
-    coded = encode(docs.select("doc_id", "text"), model).select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    return decode(coded, model, text="decoded").select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs.select("doc_id", "text"), model, decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_piece_bpe(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
     """``make()``, once in the life of this process (a module of its own holds it: functions that are
@@ -14,5 +16,6 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     held = sys.modules.setdefault("_respscore_llm_process", types.ModuleType("_respscore_llm_process"))
     store = held.__dict__.setdefault("store", {})
     if key not in store:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once, so slices don't add up
         store[key] = make()
     return store[key]

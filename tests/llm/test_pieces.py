@@ -75,5 +75,7 @@ def test_query_digests(spark, both):
 
 def test_carried_columns(spark):
     docs = frame(spark, [(1, "a b", "s"), (2, None, None)]).drop("ids")
-    out = P.decode(P.encode(docs, P.model_path()), P.model_path(), text="again")
-    assert {(r.doc_id, r.again, r.row, r.source) for r in out.collect()} == {(1, "a b", "x", "s"), (2, "", "x", None)}
+    out = P.decode(P.encode(docs, P.model_path(), decoded="at_once"), P.model_path(), text="again")
+    assert {(r.doc_id, r.again, r.at_once, r.row, r.source) for r in out.collect()} == {(1, "a b", "a b", "x", "s"), (2, "", "", "x", None)}
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert P.decode(nothing, P.model_path()).first().text == ""
