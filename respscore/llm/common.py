@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).cast("bigint").alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that stand for much work each (files, blocks), dealt over all shuffle partitions: a stated
+    number, which AQE does not fold because the rows themselves are small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def each_batch(kernel: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that applies ``kernel`` to each batch that has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,3 +127,10 @@ def slices(lengths: list[int] | object, most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(lengths):
         yield start, len(lengths)
+
+
+def text_slices(b: pa.RecordBatch, text: str, beside: str, most: int = 12 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The text column of a batch, and another, in runs of rows of about ``most`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+    for start, end in slices(sizes.tolist(), most):
+        yield b.column(text).slice(start, end - start), b.column(beside).slice(start, end - start)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytebpe import encoder
-from .common import Workspace, table
+from .common import Workspace, deal, table, text_slices
 from .files import open_read, write_whole
 
 SEPARATOR = 50256  # <|endoftext|> of the vocabulary
@@ -49,14 +49,14 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int = SE
             return
         bpe = encoder(tokenizer, True)
         kind = f"<u{width_for(max(bpe.vocabulary, separator + 1))}"
-        end = np.array([separator], kind).tobytes()
 
         def write(f: BinaryIO) -> None:
             b = first
             while b is not None:
                 ids.append(b.column("doc_id"))
-                for t in b.column("_text"):
-                    f.write(bpe.encode(t.as_py() or "").astype(kind).tobytes() + end)
+                for text, _ in text_slices(b, "_text", "doc_id"):
+                    each, n = bpe.encode(text)
+                    f.write(np.insert(each.astype(kind), np.cumsum(n), separator).tobytes())
                 b = next(batches, None)
 
         write_whole(f"{folder}/{name}", write)
@@ -94,7 +94,7 @@ def scan_blocks(files: DataFrame, width: int, separator: int = SEPARATOR, block_
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("block", pa.int64()), ("ids", pa.int64()), ("seps", pa.int64()),
                                                                     ("head", pa.int64()), ("tail", pa.int64()), ("inner", pa.list_(pa.int64()))]))
 
-    return blocks.repartition("path", "at").mapInArrow(run, "path string, block long, ids long, seps long, head long, tail long, inner array<long>")
+    return deal(blocks, "path", "at").mapInArrow(run, "path string, block long, ids long, seps long, head long, tail long, inner array<long>")
 
 
 def count_tokens(files: DataFrame, width: int, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:

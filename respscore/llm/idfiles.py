@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytebpe import encoder
-from .common import Workspace, table
+from .common import Workspace, deal, table, text_slices
 from .files import open_read, write_whole
 
 MAGIC = b"IDBITS01"
@@ -73,11 +73,12 @@ class Shard:
         self.rest, self.waiting = [], 0
         self.docs, self.counts, self.offsets = [], [], [0]
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        """A document, its ids in one or more parts."""
         self.docs.append(doc_id)
-        self.counts.append(len(ids))
-        self.rest.append(ids)
-        self.waiting += len(ids)
+        self.counts.append(sum(map(len, ids)))
+        self.rest += ids
+        self.waiting += self.counts[-1]
         if self.waiting >= 16 * self.block_ids:
             self._write(False)
 
@@ -160,8 +161,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: s
             out = Shard(f, bits_for(max(bpe.vocabulary, end_id + 1)), block_ids)
             b = first
             while b is not None:
-                for doc, t in zip(b.column("doc_id").to_pylist(), b.column("_text"), strict=True):
-                    out.add(doc, np.concatenate([bpe.encode(t.as_py() or ""), end]))
+                for text, docs_ in text_slices(b, "_text", "doc_id"):
+                    ids, n = bpe.encode(text)
+                    at = 0
+                    for doc, k in zip(docs_.to_pylist(), n.tolist(), strict=True):
+                        out.add(doc, ids[at:at + k], end)
+                        at += k
                 b = next(batches, None)
             out.close()
             found.append((len(out.docs), sum(out.counts)))
@@ -193,7 +198,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     based = shards.select("path", before.alias("base"))
-    return based.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return deal(based, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path() -> str:

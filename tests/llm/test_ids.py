@@ -3,25 +3,35 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from helpers import edge_rows, frame
+from helpers import texts as some_texts
 from respscore.llm import bytebpe as B
 from respscore.llm import counts as C
 from respscore.llm import idfiles as I
 from respscore.llm.common import Workspace
 
 
+def edge_texts():
+    return some_texts(4, 30)
+
+
 @pytest.mark.parametrize("ordinary", [False, True])
-def test_encodes_as_the_library(ordinary):
+def test_encodes_as_the_library(ordinary, monkeypatch):
     own, lib = B.ByteBpe(I.tokenizer_path(), ordinary), Tokenizer.from_file(I.tokenizer_path())
     lib.encode_special_tokens = ordinary
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\n\n", " \n", "a", "the", "'s", "9", "42", "é", "中", "<|endoftext|>", "!", "...", "\t", " ", "\x00", "\x1c", "　", " x", "\r\n"]
-    for _ in range(8000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(8000)] + [None, *edge_texts()]
+    ids, n = own.encode(pa.array(some))
+    for text, got in zip(some, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == lib.encode(text or "", add_special_tokens=False).ids, repr(text)
+    monkeypatch.setattr(B, "CACHE_WORDS", 5)
+    again, m = B.ByteBpe(I.tokenizer_path(), ordinary).encode(pa.array(some))
+    assert (again == ids).all() and (m == n).all()
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 11, 16, 17, 20, 32])
