@@ -28,7 +28,7 @@ def main() -> None:
     names = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
 
     from respscore.plans.catalog import QUERIES
-    from respscore.session import local_session
+    from respscore.session import local_session, release
 
     # Single-node configuration: no shared checkpoint folder, so features are
     # persisted (MEMORY_AND_DISK).  On a cluster that names spark.checkpoint.dir
@@ -44,7 +44,7 @@ def main() -> None:
             QUERIES["rank_scan"](spark, warm_dir).write.format("noop").mode("overwrite").save()
         except Exception:  # a failed warm-up only means colder timings
             pass
-        spark.catalog.clearCache()
+        release()
 
     times: dict[str, float | None] = {}
     errors: dict[str, str] = {}
@@ -56,7 +56,7 @@ def main() -> None:
         except Exception as e:  # keep measuring the others; report the failure
             times[name] = None
             errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"
-        spark.catalog.clearCache()
+        release()
 
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     record = {
