@@ -48,7 +48,7 @@ class Mix:
     """Parameters: seed, words to a block, blocks to an output shard."""
     seed: int = 20
     block_words: int = 1 << 18
-    shard_blocks: int = 64
+    shard_blocks: int = 16
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:

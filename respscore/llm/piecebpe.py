@@ -40,7 +40,7 @@ from .words import FIRST, Words, encode_words
 
 MARK = "▁"  # the library's space mark
 CACHE_WORDS = 120_000  # runs of characters kept by a worker; words, which take less, six times as many
-SLICE_BYTES = 6 << 20  # text that a task holds ids for at once
+SLICE_BYTES = 4 << 20  # text that a task holds ids for at once
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _CARE = rf"  |[{MARK}{FIRST}]|\A |\A\z| \z| \n"  # texts that single spaces alone don't cut into words
 _NEVER = 1 << 40
