@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .constants import FNV64_OFFSET, FNV64_PRIME, HASH_BITS
-from .text import _col, token_counts, tokens
+from .text import _col, tokens
 
 _MASK64 = (1 << 64) - 1
 
@@ -218,17 +218,16 @@ def simhash_frame(df: DataFrame, text: str) -> DataFrame:
     """``df`` (minus the ``text`` column) plus ``fingerprint``, computed with a
     pure DataFrame plan; every row is kept, equal ones too.
 
-    Each distinct token of a row is born, with its count, in the row's
-    partition, hashed once (native FNV-1a expression), and the rows are
-    grouped by a row number and the remaining columns with 64 conditional
+    Each token of a row is born in the row's partition and hashed there
+    (native FNV-1a expression), and the rows are grouped by a row number and the remaining columns with 64 conditional
     vote sums.  The map-side partial aggregate is already complete per row,
     so the only shuffle carries one narrow row per input row; the text never
     moves and no token is shuffled.  A row with no token keeps its place
     (explode_outer) and gets 0."""
     carry = [c for c in df.columns if c != text]
     numbered = df.select(*carry, text, F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
-    occ = (numbered.select(*carry, "_row", F.explode_outer(token_counts(text)).alias("_e"))
-           .select(*carry, "_row", F.coalesce("_e.c", F.lit(0)).alias("_c"), fnv1a64_col("_e.t").alias("_h")))
+    occ = (numbered.select(*carry, "_row", F.explode_outer(tokens(text)).alias("_t"))
+           .select(*carry, "_row", F.col("_t").isNotNull().cast("bigint").alias("_c"), fnv1a64_col("_t").alias("_h")))
     bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))
     votes = occ.groupBy("_row", *carry).agg(
         F.sum("_c").alias("_n"),

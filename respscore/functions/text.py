@@ -90,18 +90,6 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def token_counts(text: Column | str) -> Column:
-    """Array of struct(t, c): each distinct token of the text and how often it occurs.  The tokens are
-    sorted and cut into runs, so the work grows as n log n with the text."""
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.get(F.transform(F.array(starts), lambda p: F.transform(p, lambda a, k: F.struct(
-            F.get(s, a).alias("t"), (F.coalesce(F.get(p, k + 1), F.size(s)) - a).cast("bigint").alias("c")))), F.lit(0))
-
-    none = F.array().cast("array<struct<t:string,c:bigint>>")
-    return F.get(F.transform(F.array(F.sort_array(tokens(text))), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)), F.lit(0))
-
-
 def fingerprint_hex(fp: Column | str) -> Column:
     """A 64-bit fingerprint held in BIGINT as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(_col(fp)), 16, "0"))
