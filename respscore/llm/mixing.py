@@ -142,12 +142,13 @@ class Plan:
         before = upper.select("_p_s", "sup", (F.sum("words").over(Window.partitionBy("_p_s").orderBy("sup")) - F.col("words")).alias("base"))
         inner = Window.partitionBy("_p_s", "sup").orderBy("_pos")
         sums = blocks.withColumn("sup", F.floor(F.col("_pos") / SUPER)).join(before, ["_p_s", "sup"]).select(
-            "_p_s", "_p_rest", "_pos", (F.col("base") + F.sum("words").over(inner)).alias("upto"))
-        ends = {r["_p_s"]: r for r in sums.where("_p_rest > 0 AND upto <= _p_rest").groupBy("_p_s").agg(F.max("_pos").alias("pos"), F.max("upto").alias("upto")).collect()}
+            "_p_s", "_p_rest", "_pos", "words", (F.col("base") + F.sum("words").over(inner)).alias("upto"))
+        lasts = sums.where("_p_rest > 0 AND upto > _p_rest").groupBy("_p_s").agg(F.min(F.struct("_pos", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+        ends = {r["_p_s"]: r["at"] for r in lasts.collect()}  # the first block that does not fit; places before it may be empty
         for x in self.sources:
             end = ends.get(x["s"])
-            x["full"] = 0 if end is None else end["pos"] + 1
-            x["left"] = x["rest"] - (0 if end is None else end["upto"])
+            x["full"] = 0 if end is None else end["_pos"]
+            x["left"] = x["rest"] - (0 if end is None else end["before"])
             x["cut"] = x["more"] = None
         last = self.spark.createDataFrame([(x["s"], x["full"], x["left"]) for x in self.sources if x["rest"] > 0], "_l_s int, _l_pos long, _l_left double")
         key = F.struct(F.col("_turn").alias("t"), F.col("_k1").isNull().alias("n"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))

@@ -90,3 +90,24 @@ def test_query_counts_every_document_once(spark, tmp_path):
     got = M.op10_mixing(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
     assert all(r.taken <= 2 * r["size"] for r in got)
+
+
+def test_query_meets_targets_with_documents_larger_than_a_block(spark, tmp_path):
+    """Sources of one, two and three documents of more words than a block, so that places in the permuted order are empty."""
+    rng = random.Random(8)
+    sizes = {f"{n} of {k}": [(1 << 18) + rng.randrange(1, 80000) for _ in range(n)] for k in range(4) for n in (1, 2, 3)}
+    rows = [(None, "w " * size, source) for source, some in sizes.items() for size in some]
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = M.op10_mixing(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    order = sorted(sizes)
+    wanted = dict(zip(order, water([sum(sizes[s]) for s in order], [M.WEIGHTS[i % 3] for i in range(len(order))]), strict=True))
+    taken = dict.fromkeys(order, 0)
+    for r in got:
+        source = rows[r.doc_id][2]
+        assert r["size"] == len(rows[r.doc_id][1].split()) and r.source_size == sum(sizes[source])
+        assert r.target == pytest.approx(wanted[source]) and r.taken in (0, r["size"], 2 * r["size"])
+        taken[source] += r.taken
+    for s in order:
+        assert abs(taken[s] - wanted[s]) <= max(sizes[s]) / 2 + 1, s
