@@ -3,12 +3,13 @@
 A document is the multiset of its paragraphs (lines that hold a visible
 character).  A paragraph's vector has 256 lanes: BLAKE2b gives the paragraph,
 and each of its sentences, a sign per lane, and these are added.  The
-fingerprint is the sum of all paragraphs' vectors modulo 2^16.  So order does
-not count; equal multisets have equal fingerprints; a paragraph is inserted
-or deleted by adding or subtracting its vector; and two parts of a document
-can be summed apart.  Lanes of the sum of n signs spread by the root of n, so
-the cosine of two fingerprints estimates which share of their paragraphs and
-sentences two documents have in common (error about 1/16).
+fingerprint is the sum of all paragraphs' vectors modulo 2^32, which the text
+of one row can't exceed (it has at most one sign a byte, so less than 2^31).
+So order does not count; equal multisets have equal fingerprints; a paragraph
+is inserted or deleted by adding or subtracting its vector; and two parts of a
+document can be summed apart.  Lanes of the sum of n signs spread by the root
+of n, so the cosine of two fingerprints estimates which share of their
+paragraphs and sentences two documents have in common (error about 1/16).
 
 Defined results: a null or empty text, or one of blank lines, has the zero
 fingerprint; two zero fingerprints are alike (1), a zero and another are not
@@ -40,15 +41,15 @@ def paragraphs(text: str) -> list[str]:
 
 
 def total(parts: Iterable[str]) -> np.ndarray:
-    """Sum of the vectors of paragraphs: uint16 lanes, modulo 2^16."""
-    parts, size, out = list(parts), LANES // 8, np.zeros(LANES, np.uint16)
+    """Sum of the vectors of paragraphs: uint32 lanes, modulo 2^32."""
+    parts, size, out = list(parts), LANES // 8, np.zeros(LANES, np.uint32)
     signs = [hashlib.blake2b(p.encode(), digest_size=size, person=b"paragraph").digest() for p in parts]
     signs += [hashlib.blake2b(x.encode(), digest_size=size, person=b"sentence").digest() for p in parts for x in _SENTENCES.split(p)]
     for at in range(0, len(signs), _MANY):
         some = signs[at:at + _MANY]
         raw = b"".join(some)
         ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.int64)
-        out += (2 * ones - len(some)).astype(np.uint16)
+        out += (2 * ones - len(some)).astype(np.uint32)
     return out
 
 
@@ -64,7 +65,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: 1 if equal, else the cosine of the lanes read as signed numbers."""
     if (a == b).all():
         return 1.0
-    x, y = a.view(np.int16).astype(np.float64), b.view(np.int16).astype(np.float64)
+    x, y = (v.view(f"i{v.itemsize}").astype(np.float64) for v in (a, b))
     norm = np.sqrt((x @ x) * (y @ y))
     return float(min(max(x @ y / norm, 0.0), np.nextafter(1.0, 0))) if norm else 0.0
 

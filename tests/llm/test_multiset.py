@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from helpers import edge_rows, frame, texts
 from respscore.llm import multiset as M
@@ -59,3 +63,42 @@ def test_equal_texts_and_repeated_rows(spark):
     assert len(got) == len(rows)
     plain = {r.doc_id: bytes(r.fingerprint).hex() for r in M.fingerprints(frame(spark, [r for r in rows if r[0] not in (3, None)])).collect()}
     assert all(plain[r.doc_id] == r.fingerprint for r in got if r.doc_id in plain)
+
+
+def exact(text):
+    """Lanes as plain integers, without any modulus."""
+    paragraphs = [p for p in text.split("\n") if p and not p.isspace()]
+    signs = Counter((b"paragraph", p) for p in paragraphs) + Counter((b"sentence", x) for p in paragraphs for x in re.split(r"(?<=[.!?])\s+", p))
+    lanes = [0] * 256
+    for (kind, x), n in signs.items():
+        raw = hashlib.blake2b(x.encode(), digest_size=32, person=kind).digest()
+        for k in range(256):
+            lanes[k] += n if raw[k // 8] >> (7 - k % 8) & 1 else -n
+    return lanes
+
+
+def cosine(a, b):
+    dot, norm = sum(x * y for x, y in zip(a, b, strict=True)), math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b))
+    return min(max(dot / norm, 0.0), 1.0) if norm else float(a == b)
+
+
+@pytest.mark.parametrize("n", [10000, 20000, 40000, 70000])
+def test_likeness_of_many_repeats_matches_exact_sums(n):
+    for line in ("x. y.", "same"):
+        texts = [f"{line}\n" * n, f"{line}\n" * (n // 2), f"{line}\n" * n + "a few\nother lines. And more.", "nothing alike"]
+        marks, sums = [M.total(M.paragraphs(t)) for t in texts], [exact(t) for t in texts]
+        for mark, lanes in zip(marks, sums, strict=True):
+            assert mark.view(f"i{mark.itemsize}").tolist() == lanes
+        for i in range(4):
+            for j in range(4):
+                assert M.likeness(marks[i], marks[j]) == pytest.approx(cosine(sums[i], sums[j]), abs=1e-9)
+
+
+def test_edits_of_many_repeats_match_exact_sums(spark):
+    rows = [(4, "x. y.\n" * 20000, "a"), (3, "other. text\n" * 3000, "a"), (2, "same\n" * 70000, "b"), (1, "same\n" * 35000, "b"), (None, "x. y. " * 40000, "b")]
+    for k, r in enumerate(sorted(M.edits(frame(spark, rows)).collect(), key=lambda r: r.doc_id or 0, reverse=True)):
+        text, after = rows[k][1], rows[(k + 1) % len(rows)][1]
+        changed = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+        assert r.doc_id == rows[k][0]
+        assert r.near_edited == pytest.approx(cosine(exact(text), exact(changed)), abs=1e-9)
+        assert r.near_next == pytest.approx(cosine(exact(text), exact(after)), abs=1e-9)
