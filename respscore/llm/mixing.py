@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 10) with a multivariate-hypergeometric splitting tree.
 
 Documents of a source are dealt by a keyed hash to blocks of about
-``block_words`` words, and the blocks are put in a seeded permuted order.  A
+``block_words`` words and documents (one that is empty counts too), and the
+blocks are put in a seeded permuted order.  A
 source's quota is the exact run of blocks, from the front of that order and
 round again for repeats, whose words meet its target; the last block is cut
 at a document.  The quotas of all sources are then split among the output
@@ -105,12 +106,12 @@ class Plan:
 
     def __init__(self, sized: DataFrame, mix: Mix, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST):
         spark = sized.sparkSession
-        found = sized.groupBy("_source").agg(F.sum("_size").alias("size")).orderBy(F.asc_nulls_last("_source")).collect()
+        found = sized.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy(F.asc_nulls_last("_source")).collect()
         weigh = [weights[i % len(weights)] for i in range(len(found))]
         wanted = targets([r["size"] for r in found], weigh, share, most)
         self.sources = []
         for i, (r, t) in enumerate(zip(found, wanted, strict=True)):
-            blocks = max(1, math.ceil(r["size"] / mix.block_words))
+            blocks = max(1, math.ceil((r["size"] + r["rows"]) / mix.block_words))
             whole = min(int(most), int(t // r["size"])) if r["size"] else 0
             self.sources.append({"s": i, "source": r["_source"], "size": r["size"], "target": t, "blocks": blocks,
                                  "by": _coprime(blocks, mix.seed * 2654435761 + i * 40503), "plus": (mix.seed + 7919 * i) % blocks,

@@ -111,3 +111,17 @@ def test_query_meets_targets_with_documents_larger_than_a_block(spark, tmp_path)
         taken[source] += r.taken
     for s in order:
         assert abs(taken[s] - wanted[s]) <= max(sizes[s]) / 2 + 1, s
+
+
+def test_blocks_of_mostly_empty_texts_hold_few_rows(spark):
+    rows = [(i, ["", None, " "][i % 3], "thin") for i in range(4000)] + [(4000 + i, "w " * 30, ["thin", "full"][i % 2]) for i in range(20)]
+    docs = frame(spark, rows)
+    mix = M.Mix(block_words=100, shard_blocks=4)
+    plan = M.make_plan(docs, mix=mix)
+    assert [x["blocks"] for x in plan.sources] == [4, 44]
+    held = plan.place(plan.sized).groupBy("_p_s", "_pos").count().collect()
+    assert sum(r["count"] for r in held) == len(rows) and max(r["count"] for r in held) < 200
+    taken = {}
+    for r in M.take(M._rows(docs, "text", "source", mix.seed), plan).select("row.text", "row.source").collect():
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    assert all(abs(taken.get(x["source"], 0) - x["target"]) <= 15 for x in plan.sources)
