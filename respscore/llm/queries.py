@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_formatting
 from .counts import op2_separator_scan
+from .decontaminate import OP11_SQL, op11_decontamination
 from .idfiles import op6_packed_ids
 from .linededup import OP9_SQL, op9_line_dedup
 from .mixing import op10_mixing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
