@@ -31,13 +31,13 @@ CACHE_WORDS = 1_000_000  # words kept by a worker, some 50 bytes each
 class ByteBpe:
     """Encoder; ``ordinary`` reads the strings of special tokens in a text as ordinary text."""
 
-    def __init__(self, path: str, ordinary: bool = False):
+    def __init__(self, path: str, ordinary: bool = False, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
-        self.words = Words(self._make, CACHE_WORDS)
+        self.words = Words(self._make, most)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]  # an id of its own in this vocabulary
 
     def _ids(self, text: str) -> bytes:

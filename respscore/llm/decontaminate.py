@@ -118,11 +118,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     return spans.join(held, same, "left").select(spans["_k1"], spans["_k2"], "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``n_words``, ``hits`` and ``items`` (empty where nothing is hit)."""
+def judge(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[str] | None = None, **kw) -> DataFrame:
+    """``row`` (the ``carry`` columns of ``docs``, by default all; what is carried is shuffled once),
+    ``n_words``, ``hits`` and ``items`` (empty where nothing is hit)."""
     found = find_hits(docs.select("doc_id", text), benchmark, text, **kw)
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("bigint")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key("doc_id", text), n.alias("n_words"))
+    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), *row_key("doc_id", text), n.alias("n_words"))
     both = rows.join(found, rows["_k1"].eqNullSafe(found["_k1"]) & (rows["_k2"] == found["_k2"]), "left")
     return both.select("row", "n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"),
                        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -159,7 +160,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **k
 
 
 def op11_decontamination(spark, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return judged.select("row.doc_id", "n_words", F.size("hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
                          F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op12_alignment
 from .chat import OP8_SQL, op8_chat_formatting
 from .counts import op2_separator_scan
 from .decontaminate import OP11_SQL, op11_decontamination
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
     "op11_decontamination": op11_decontamination,
+    "op12_alignment": op12_alignment,
 }
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
