@@ -18,7 +18,9 @@ their shard.
 
 Defined results: a null or empty text has size 0 and is carried along with
 its block; a null source is a source of its own, ordered last; rows equal in
-id and text are taken alike; sources without words have target 0; an empty
+id, text and source are taken alike (in one block, hence one shard; under
+several sources each has its own share); more than ``MOST_SOURCES`` sources are
+refused; sources without words have target 0; an empty
 table gives an empty mix; other columns are carried in a struct.
 """
 
@@ -41,6 +43,8 @@ WEIGHTS = (3.0, 1.0, 2.0)  # by the source's place in code point order, repeatin
 SHARE = 1.5                # of all sizes
 MOST = 2.0                 # times a source's size
 
+MOST_SOURCES = 100_000  # rows that may reach the driver and be broadcast: one per source
+
 SUPER = 4096  # blocks whose sums are added up before the sums of sums
 
 
@@ -106,7 +110,9 @@ class Plan:
 
     def __init__(self, sized: DataFrame, mix: Mix, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST):
         spark = sized.sparkSession
-        found = sized.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy(F.asc_nulls_last("_source")).collect()
+        found = sized.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy(F.asc_nulls_last("_source")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
         weigh = [weights[i % len(weights)] for i in range(len(found))]
         wanted = targets([r["size"] for r in found], weigh, share, most)
         self.sources = []
@@ -217,10 +223,10 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = make_plan(docs)
     rows = plan.sized
-    times = take(rows, plan).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_times"))
+    times = take(rows, plan).groupBy("_k1", "_k2", "_source").agg(F.count(F.lit(1)).alias("_times"))  # one text may stand in several sources
     alike = rows.groupBy("_k1", "_k2", "_source").agg(F.count(F.lit(1)).alias("_alike"), F.first("_size").alias("size"))
-    counted = alike.alias("a").join(times.alias("t"), F.expr("a._k1 <=> t._k1 AND a._k2 = t._k2"), "left").select(
-        F.col("a._k1").alias("doc_id"), "size", "_source", "_alike", (F.coalesce("_times", F.lit(0)) / F.col("_alike")).cast("bigint").alias("_n"))
+    counted = alike.alias("a").join(times.alias("t"), F.expr("a._k1 <=> t._k1 AND a._k2 = t._k2 AND a._source <=> t._source"), "left").select(
+        F.col("a._k1").alias("doc_id"), "size", F.col("a._source").alias("_source"), "_alike", (F.coalesce("_times", F.lit(0)) / F.col("_alike")).cast("bigint").alias("_n"))
     p = plan._frame("source", "size", "target")
     out = counted.join(p, counted["_source"].eqNullSafe(p["_p_source"])).select(
         "doc_id", "size", F.col("_p_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("size") * F.col("_n")).alias("taken"), "_alike")

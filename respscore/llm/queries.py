@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .align import op12_alignment
 from .chat import OP8_SQL, op8_chat_formatting
+from .collocations import OP13_SQL, op13_collocations
 from .counts import op2_separator_scan
 from .decontaminate import OP11_SQL, op11_decontamination
 from .idfiles import op6_packed_ids
@@ -28,5 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_decontamination": op11_decontamination,
     "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_decontamination": OP11_SQL}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_formatting": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_decontamination": OP11_SQL,
+              "op13_collocations": OP13_SQL}

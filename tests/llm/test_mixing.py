@@ -125,3 +125,19 @@ def test_blocks_of_mostly_empty_texts_hold_few_rows(spark):
     for r in M.take(M._rows(docs, "text", "source", mix.seed), plan).select("row.text", "row.source").collect():
         taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
     assert all(abs(taken.get(x["source"], 0) - x["target"]) <= 15 for x in plan.sources)
+
+
+def test_one_document_in_several_sources_is_counted_in_each(spark, tmp_path):
+    """One id and text in three sources, beside a third of rows that are equal."""
+    same = [(500, "w " * 10, s) for s in ("x", "y", "z")]
+    rows = same + [(i, "v " * (5 + i % 7), "xyz"[i % 3]) for i in range(60)] + [(900, "u u u", "y")] * 30
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = M.op10_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r["size"] and r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    size = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "xyz"}
+    want = dict(zip("xyz", water([size[s] for s in "xyz"], list(M.WEIGHTS)), strict=True))
+    assert sorted((r.source_size, round(r.target, 6)) for r in got if r.doc_id == 500) == sorted((size[s], round(want[s], 6)) for s in "xyz")
+    taken = {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+    assert len(set(size.values())) == 3 and all(abs(taken[size[s]] - want[s]) <= (90 if s == "y" else 10) / 2 for s in "xyz")
