@@ -47,7 +47,7 @@ COVERED_PCT = 80
 SCORE_SCALE = 2_000_000
 LONGEST = 4  # words; a phrase of four has three cuts, whose parts' counts the steps before have made
 
-BLOCK = 1024            # occurrences of a run, unless one piece is longer
+BLOCK = 128             # occurrences of a run, unless one piece is longer: Spark hands a task some 10,000 runs at once
 SLICE_BYTES = 4 << 20   # text that a task cuts at once
 SHARED = 1 << 21        # frequent groups that each task reads whole (12 bytes each)
 BUCKETS = 64            # parts that are ranked before a language is ranked
@@ -208,14 +208,14 @@ def with_ids(ws: Workspace, frequent: DataFrame, name: str) -> DataFrame:
 def _first_level(ws: Workspace, docs: DataFrame, text: str, lang: str, min_count: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(R1 by hash, all words with their counts, frequent words with ids)."""
     for seed in range(100):
-        raw = ws.keep(occurrences(docs, text, lang, seed, block), f"occurrences{seed}")
+        raw = ws.keep(occurrences(docs, text, lang, seed, block), "occurrences")
         words = ws.keep(raw.where("words IS NOT NULL").select(F.inline("words")).groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), f"words{seed}")
         often = words.where(F.col("n") >= min_count)
         o, w = often.select(F.col("h").alias("_h"), F.col("lang").alias("_l"), F.col("word").alias("_w")), words
         clash = w.join(o, (F.col("h") == F.col("_h")) & ((F.col("lang") != F.col("_l")) | (F.col("word") != F.col("_w"))))
         if clash.isEmpty():
             return raw.where(F.size("at") > 0).select("at", "key"), words, with_ids(ws, often.withColumnRenamed("h", "key"), "level1")
-        ws.drop(f"occurrences{seed}")
+        ws.drop("occurrences")
     raise RuntimeError("no seed keeps the hashes of frequent words apart")
 
 
@@ -252,6 +252,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     level = {1: first.select("id", "lang", F.array("word").alias("words"), n.alias("a"), n.alias("head"), n.alias("tail"),
                              *[F.lit(None).cast(k).alias(c) for c, k in (("p", "int"), ("s", "int"), ("pa", "bigint"), ("sa", "bigint"))])}
     relation = ws.keep(frequent_only(relation, first, False, shared), "r1")
+    ws.drop("occurrences")
     for k in range(2, longest + 1):
         counted = with_ids(ws, group_counts(relation).where(F.col("n") >= min_count), f"level{k}")
         level[k] = ws.keep(_extend(counted, level[k - 1]), f"phrases{k}")

@@ -44,6 +44,8 @@ def test_stages_in_turn(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in one.collect()}
     last = P.piece_ids(spark, mixed, "")
     assert last.count() == mixed.count()
+    for held in (kept, lines, one, mixed):
+        held.unpersist()
 
 
 def test_stages_take_empty_tables(spark):

@@ -29,7 +29,7 @@ def test_bits_policies_and_ablations(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(1, good, "s"), (2, "few words", "s"), (3, "x y z " * 60, "s"), (4, " ".join(f"w{i}###" for i in range(60)), "s"),
             (5, "\n".join([good] * 1), "s"), (6, "\n".join(["same line"] * 3), "s")]
-    led = Q.ledger(frame(spark, rows)).cache()
+    led = Q.ledger(frame(spark, rows))
     bits = {r.doc_id: r.failed_bits for r in led.collect()}
     by = {r.name: 1 << r.bit for r in Q.RULES}
     assert bits[1] == 0 and bits[2] == by["few_words"] and bits[3] & by["repeated_windows"] and bits[4] == by["symbols"]
