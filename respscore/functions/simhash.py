@@ -219,22 +219,25 @@ def simhash_frame(df: DataFrame, text: str) -> DataFrame:
     pure DataFrame plan; every row is kept, equal ones too.
 
     Each token of a row is born in the row's partition and hashed there
-    (native FNV-1a expression), and the rows are grouped by a row number and the remaining columns with 64 conditional
-    vote sums.  The map-side partial aggregate is already complete per row,
-    so the only shuffle carries one narrow row per input row; the text never
-    moves and no token is shuffled.  A row with no token keeps its place
-    (explode_outer) and gets 0."""
+    (native FNV-1a expression), and the rows are grouped by a row number and
+    the remaining columns.  Votes of two bits are summed in one BIGINT, in
+    halves of 32 bits that an array's length cannot fill, so the aggregate has
+    32 plain sums and stays small enough to be compiled.  The map-side
+    partial aggregate is already complete per row, so the only shuffle carries
+    one narrow row per input row; the text never moves and no token is
+    shuffled.  A row with no token keeps its place (explode_outer) and gets 0."""
     carry = [c for c in df.columns if c != text]
     numbered = df.select(*carry, text, F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
     occ = (numbered.select(*carry, "_row", F.explode_outer(tokens(text)).alias("_t"))
            .select(*carry, "_row", F.col("_t").isNotNull().cast("bigint").alias("_c"), fnv1a64_col("_t").alias("_h")))
-    bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1))
-    votes = occ.groupBy("_row", *carry).agg(
-        F.sum("_c").alias("_n"),
-        *[F.sum(F.when(bit(i) == 1, F.col("_c")).otherwise(F.lit(0))).alias(f"_o{i}")
-          for i in range(HASH_BITS)])
+    half = HASH_BITS // 2
+    low = F.lit(1).cast("bigint")
+    pair = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(low).bitwiseOR(
+        F.shiftleft(F.shiftrightunsigned("_h", i + half).bitwiseAND(low), 32))
+    votes = occ.groupBy("_row", *carry).agg(F.sum("_c").alias("_n"), *[F.sum(pair(i)).alias(f"_o{i}") for i in range(half)])
+    ones = lambda i: F.col(f"_o{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < half else F.shiftrightunsigned(f"_o{i - half}", 32)
     fp = F.lit(0).cast("bigint")
     for i in range(HASH_BITS):
-        fp = fp.bitwiseOR(F.when(2 * F.col(f"_o{i}") > F.col("_n"),
+        fp = fp.bitwiseOR(F.when(2 * ones(i) > F.col("_n"),
                                  F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0)))
     return votes.select(*carry, fp.alias("fingerprint"))

@@ -13,7 +13,9 @@ from ..functions.constants import (COLOR_CLIENT_ERROR, COLOR_HTML, COLOR_JSON, C
                                    HIGH_RANK_THRESHOLD, HTML_MARKERS, JSON_MARKERS,
                                    XML_EXCLUDE, XML_MARKERS)
 from ..functions.text import _col
+from ..session import materialize
 from .joins import key_join
+from .select import FEW
 
 CATEGORY_COLORS = {
     "red": COLOR_SERVER_ERROR, "amber": COLOR_CLIENT_ERROR, "olive": COLOR_REDIRECT,
@@ -81,9 +83,29 @@ def user_sort(results: DataFrame, field: str | None, direction: str = "none",
 
 
 def row_slice(sorted_results: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows [start, end) of an already totally ordered result: a page near the top.  ``end`` rows of each
-    task are merged in one; for a deep page keep the last key and filter on it (``keyset_page``)."""
-    return sorted_results.offset(int(start)).limit(max(0, int(end) - int(start)))
+    """Rows [start, end) of an already totally ordered result, in order.  Near the top the first ``end`` rows
+    of each task are merged in one; any other page is cut by ``deep_slice``."""
+    start, end = max(0, int(start)), int(end)
+    if end <= FEW:
+        return sorted_results.offset(start).limit(max(0, end - start))
+    return deep_slice(sorted_results, start, end)
+
+
+def deep_slice(sorted_results: DataFrame, start: int, end: int, materialize_how: str = "auto") -> DataFrame:
+    """Rows [start, end) anywhere in an ordered result, without a limit in the plan: the result is kept once
+    in its range partitions, each row numbered within its own; the partitions' sizes, summed up, turn
+    the slice into one range of these numbers, which reaches the scan of the kept table."""
+    placed = materialize(sorted_results.withColumn("_at", F.monotonically_increasing_id()), materialize_how)
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per partition
+    before, low, high = 0, None, None
+    for r in sorted(sizes, key=lambda r: r["p"]):
+        first, last = max(start, before), min(end, before + r["n"])
+        if first < last:
+            low = (r["p"] << 33) + first - before if low is None else low
+            high = (r["p"] << 33) + last - before
+        before += r["n"]
+    inside = (F.col("_at") >= low) & (F.col("_at") < high) if low is not None else F.lit(False)
+    return placed.where(inside).orderBy("_at").drop("_at")
 
 
 def targets(results: DataFrame, selection: DataFrame | None = None, on: str = "id") -> DataFrame:

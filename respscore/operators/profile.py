@@ -79,6 +79,28 @@ def fingerprint_frequency(feats: DataFrame, order: Sequence[str], descending: bo
                                             last.alias("last_pos"))
 
 
+PRUNE_ROWS = 5_000_000  # records from which fingerprints are pruned before they are counted
+BUCKETS = 1 << 16
+MOST_BUCKETS = 512
+
+
+def mode_candidates(feats: DataFrame, buckets: int = BUCKETS, most: int = MOST_BUCKETS) -> DataFrame:
+    """The rows of ``feats`` whose fingerprint can be the most frequent one, all of them if that can't be told.
+
+    Fingerprints are counted by hash buckets first: a mergeable summary of fixed size (a task sends one
+    row per bucket, however many fingerprints there are) that bounds each count from above.  The exact
+    best count within the fullest bucket is a lower bound for the mode; buckets below it are out, those
+    that reach it stay, ties included.  Where more than ``most`` stay (say all fingerprints are distinct)
+    nothing is certain and every row is counted."""
+    bucket = F.pmod(F.xxhash64("fingerprint"), F.lit(buckets))
+    full = feats.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).limit(most + 1).collect()
+    if not full:
+        return feats
+    best = feats.where(bucket == full[0]["b"]).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    stay = [r["b"] for r in full if r["n"] >= best]
+    return feats.where(bucket.isin(stay)) if len(stay) <= most else feats
+
+
 def mode_centroid(feats: DataFrame, order: Sequence[str], descending: bool) -> DataFrame:
     """One row (centroid, centroid_count): the most frequent fingerprint.
 
@@ -178,7 +200,7 @@ def collect_stats(feats: DataFrame, order: Sequence[str], descending: bool,
     if n == 0:
         return Stats(0, 0, 0, 0)
     if centroid == "mode":
-        return Stats(n, s1, s2, mode_centroid_value(feats, order, descending))
+        return Stats(n, s1, s2, mode_centroid_value(mode_candidates(feats) if n >= PRUNE_ROWS else feats, order, descending))
     c = centroid_frame(feats, order, descending, centroid).first()
     return Stats(n, s1, s2, int(c["centroid"] or 0))
 

@@ -31,6 +31,7 @@ from ..session import materialize
 from .features import response_features
 from .joins import key_join
 from .profile import Stats, collect_stats, frequencies_of, summary
+from .select import FEW, first_rows
 
 RESULT_COLUMNS = ["id", "rank", "method", "url", "status_code", "content_length",
                   "content_type", "location"]
@@ -74,6 +75,28 @@ def rank_order(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col("rank").desc(), *sort_exprs(order, descending)]
 
 
+def top_rows(scored: DataFrame, order: Sequence[str], descending: bool, top: int, few: int = FEW) -> DataFrame:
+    """The first ``top`` rows of the rank order, in that order.
+
+    A small ``top`` is a merge of the tasks' first rows.  A large one is a filter: the ranks are counted
+    (they have 101 values), everything above the rank at the cut is in, and of the rows that tie there
+    the first in input order, found as ``first_rows`` does."""
+    if top <= few:
+        return scored.orderBy(*rank_order(order, descending)).limit(top)
+    left, cut, ties = top, None, 0
+    for r in sorted(scored.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["rank"]):
+        if r["n"] > left:
+            cut, ties = r["rank"], left
+            break
+        left -= r["n"]
+    kept = scored
+    if cut is not None:
+        kept = scored.where(F.col("rank") > cut)
+        if ties:
+            kept = kept.unionByName(first_rows(scored.where(F.col("rank") == cut), order, descending, ties, few))
+    return kept.orderBy(*rank_order(order, descending))
+
+
 def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id"),
                    descending: bool = True, centroid: str = "mode",
                    max_body_units: int | None = None, fingerprint: str = "udf",
@@ -86,8 +109,7 @@ def rank_responses(history: DataFrame, order: Sequence[str] = ("created_at", "id
     ``("created_at", "id")`` descending (newest first); an id list is its
     position column ascending.  ``centroid`` is ``mode`` (most frequent
     fingerprint, reference behaviour) or ``majority`` (bitwise majority).
-    ``top`` keeps the first k rows of the rank order: a report, merged from
-    k rows of each task, so k belongs in the thousands."""
+    ``top`` keeps the first k rows of the rank order, any k (``top_rows``)."""
     order = list(order)
     feats = response_features(history, order, max_body_units, fingerprint)
     return rank_features(feats, order, descending, centroid, details, sort, top, materialize_how)
@@ -103,5 +125,5 @@ def rank_features(feats: DataFrame, order: Sequence[str], descending: bool = Tru
     stats = collect_stats(feats, order, descending, centroid, summ)
     scored = score_features(feats, stats, order, details, summ)
     if top is not None:
-        return scored.orderBy(*rank_order(order, descending)).limit(int(top))
+        return top_rows(scored, order, descending, int(top))
     return scored.orderBy(*rank_order(order, descending)) if sort else scored

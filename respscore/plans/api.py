@@ -18,7 +18,7 @@ from ..operators.joins import key_join
 from ..operators.profile import profile_frame
 from ..operators.score import rank_responses
 from ..session import materialize
-from ..sources.history import SCAN_ORDER, fetch_by_ids, scan_history
+from ..sources.history import SCAN_ORDER, attach_bodies, fetch_by_ids, scan_history
 
 
 def rank(history: DataFrame, order: Sequence[str] = SCAN_ORDER, descending: bool = True,
@@ -33,7 +33,8 @@ def rank(history: DataFrame, order: Sequence[str] = SCAN_ORDER, descending: bool
 
 
 def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = None,
-             centroid: str = "mode", by: Sequence[str] | None = None, few: bool = False, **kw) -> DataFrame:
+             centroid: str = "mode", by: Sequence[str] | None = None, few: bool = False,
+             bodies: DataFrame | None = None, **kw) -> DataFrame:
     """Rank the records of an id list.
 
     ``ids`` holds ``id`` and position column(s) (default: every other
@@ -41,12 +42,17 @@ def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = N
     response drop out; an id listed twice is ranked twice.  Bodies are
     measured where they lie and the list joins the narrow rows; for ``few``
     ids of a large history, records are first cut down to the listed ones
-    (so that only those are measured)."""
+    (so that only those are measured).  ``bodies`` (id, body) keeps bodies out
+    of ``history``: the listed records are found first, then their bodies."""
     order = list(order) if order is not None else [c for c in ids.columns if c != "id"]
     if not order:
         raise ValueError("ids needs a position column (e.g. from posexplode)")
     hist = history.drop(*[c for c in order if c in history.columns])
     ids = ids.select("id", *order)
+    if bodies is not None:
+        cut = {k: kw.pop(k) for k in ("max_body_units", "fingerprint") if k in kw}
+        listed = fetch_by_ids(hist.where("has_response") if "has_response" in hist.columns else hist, ids)
+        return rank(attach_bodies(listed, bodies, **cut), order, False, centroid, by, **kw)
     if few:
         hist = key_join(hist, ids.select("id").distinct(), "id", "left_semi")
     if "body" in hist.columns:
@@ -60,10 +66,16 @@ def rank_ids(history: DataFrame, ids: DataFrame, order: Sequence[str] | None = N
 def scan_and_rank(history: DataFrame, limit: int = SCAN_DEFAULT_LIMIT, scan_all: bool = False,
                   filter: Column | str | None = None,
                   presets: Mapping[str, Column | str] | None = None,
-                  centroid: str = "mode", by: Sequence[str] | None = None, **kw) -> DataFrame:
+                  centroid: str = "mode", by: Sequence[str] | None = None,
+                  bodies: DataFrame | None = None, **kw) -> DataFrame:
     """Scan history (newest first, optional filter and limit) and rank it.
-    No matching record gives an empty result."""
+    No matching record gives an empty result.  With ``bodies`` (id, body) the
+    history holds none: records are chosen by their other fields, and only
+    the chosen ones' bodies are read and fingerprinted."""
     rows = scan_history(history, limit=limit, scan_all=scan_all, filter=filter, presets=presets)
+    if bodies is not None:
+        cut = {k: kw.pop(k) for k in ("max_body_units", "fingerprint") if k in kw}
+        rows = attach_bodies(rows.where("has_response") if "has_response" in rows.columns else rows, bodies, **cut)
     return rank(rows, SCAN_ORDER, True, centroid, by, **kw)
 
 

@@ -19,20 +19,23 @@ from ..functions.text import fingerprint_hex, mime_type, tokens
 from ..functions.url import (body_contains, header_contains, path_ext, url_host, url_path, url_port, url_query,
                              url_scheme)
 from ..operators.annotate import annotate, row_slice, targets, user_sort
-from ..operators.features import measure_bodies, response_features
+from ..operators.features import response_features
 from ..operators.grouped import rank_by
 from ..operators.joins import key_join
 from ..operators.profile import (collect_stats, frequencies_of, length_moments, majority_centroid,
                                  mode_centroid, moments_of, profile_frame, sigma, status_frequency,
                                  summary, type_frequency)
 from ..operators.score import rank_order, score_columns
+from ..operators.state import load_state, merge_states, profile_state, save_state, state_profile
 from ..session import configured_checkpoint_dir, materialize
 from ..sinks.export import csv_projection, curl_lines, in_rank_order, wordlist
-from ..sinks.runs import id_set_key, last_run, load_or_compute, run_index, run_summary
+from ..sinks.runs import (combine_digests, digest_key, id_digest, id_set_key, last_run, load_or_compute, run_index,
+                          run_summary)
 from ..sources.history import (SCAN_ORDER, history_from_parts, keyset_page, page_cursor, scan_history,
                                scope_filter, selection_ids, with_filter_fields)
-from ..sources.tables import (history_from_tables, pages_history, read_table, request_parts,
+from ..sources.tables import (document_bodies, history_from_tables, pages_history, read_table, request_parts,
                               requests_with_raw)
+from ..sources.textindex import build_index, search
 from .api import rank, rank_ids
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -235,12 +238,13 @@ def q_rank_ids(spark, sf):
     main, extra = _label_lists(spark, sf)
     ids = (main.select("id", F.lit(0).alias("src"), "pos")
            .unionByName(extra.select("id", F.lit(1).alias("src"), "pos")))
-    return rank_ids(_measured(spark, sf), ids, order=["src", "pos"])
+    return rank_ids(history_from_tables(spark, sf, bodies=None), ids, order=["src", "pos"], bodies=document_bodies(spark, sf))
 
 
 def q_rank_scan_limit(spark, sf):
     from .api import scan_and_rank
-    return scan_and_rank(_measured(spark, sf), limit=300, filter="has_response AND method = 'GET'")
+    return scan_and_rank(history_from_tables(spark, sf, bodies=None), limit=300, filter="has_response AND method = 'GET'",
+                         bodies=document_bodies(spark, sf))
 
 
 def q_rank_by_host(spark, sf):
@@ -312,16 +316,45 @@ def q_scan_preset(spark, sf):
     return rows.select("id", "status", "length")
 
 
-def q_header_filter(spark, sf):
+def q_header_search(spark, sf):
     """Requests joined to their responses (J7), filtered on a header (C20) of a map with mixed-case names."""
     h = history_from_parts(*request_parts(spark, sf))
     return scan_history(h, scan_all=True, filter=header_contains("headers", "Content-Type: text/html")).select("id", "method", "status_code")
 
 
-def q_rank_parts(spark, sf):
-    """The rank of separate request and response tables with header maps (C3)."""
-    requests, responses = request_parts(spark, sf)
-    return rank(history_from_parts(requests, measure_bodies(responses)))
+def q_rank_requests(spark, sf):
+    """The rank of separate request and response tables with header maps (C3), all records of them."""
+    return rank(history_from_parts(*request_parts(spark, sf)))
+
+
+def q_rank_prefix(spark, sf):
+    """C5: only the first 1,000 UTF-16 units of a body are fingerprinted; its length is that of the whole."""
+    return rank(history_from_tables(spark, sf, bodies=False, max_body_units=1000))
+
+
+def q_profile_grown(spark, sf):
+    """The profile of a history that grew: the state of the older half of its time span, stored and read back,
+    merged with the state of the newer records."""
+    feats = _feats(spark, sf)
+    half = feats.agg(F.timestamp_micros(((F.min(F.unix_micros(F.col("created_at").cast("timestamp"))) + F.max(F.unix_micros(F.col("created_at").cast("timestamp")))) / 2).cast("bigint")).alias("t")).first()["t"]
+    older = F.coalesce(F.col("created_at").cast("timestamp") <= F.lit(half), F.lit(True))
+    path = f"{stored_dir(spark)}/state-{uuid.uuid4().hex}"
+    save_state(profile_state(feats.where(older), SCAN), path)
+    return state_profile(merge_states(profile_state(feats.where(~older), SCAN), load_state(spark, path)))
+
+
+def q_body_search(spark, sf):
+    """Documents that hold a phrase, found through the index of tokens to files."""
+    docs = read_table(spark, sf, "documents")
+    path = f"{stored_dir(spark)}/index-{uuid.uuid4().hex}"
+    build_index(docs, path, "text")
+    return search(docs, path, "the tion", "text").select("doc_id", "lang")
+
+
+def q_id_set_digest(spark, sf):
+    """The key of a changed selection from the digest of the old one and those of what came and went."""
+    main, extra = _label_lists(spark, sf)
+    return digest_key(combine_digests(id_digest(main), added=id_digest(extra), removed=id_digest(main.join(extra, "id", "left_semi"))))
 
 
 def q_user_sort_text(spark, sf):
@@ -380,7 +413,11 @@ QUERIES: dict[str, Builder] = {
     "id_set_key": q_id_set_key,
     "stored_run": q_stored_run,
     "scan_preset": q_scan_preset,
-    "header_filter": q_header_filter,
-    "rank_parts": q_rank_parts,
+    "header_search": q_header_search,
+    "rank_requests": q_rank_requests,
+    "rank_prefix": q_rank_prefix,
+    "profile_grown": q_profile_grown,
+    "body_search": q_body_search,
+    "id_set_digest": q_id_set_digest,
     "user_sort_text": q_user_sort_text,
 }

@@ -271,12 +271,25 @@ Q["scan_preset"] = f"""WITH {HISTORY}
 SELECT id, status_code AS status, CAST(coalesce(strlen(body), 0) AS BIGINT) AS length FROM history
 WHERE status_code >= 400 AND coalesce(strlen(body), 0) > 1000 AND created_at IS NOT NULL"""
 
-Q["header_filter"] = f"""WITH {HISTORY}
-SELECT id, method, status_code FROM history WHERE has_response AND id % 2 = 1 AND contains('Content-Type: ' || content_type_header, 'Content-Type: text/html')"""
+Q["header_search"] = f"""WITH {HISTORY}
+SELECT id, method, status_code FROM history WHERE has_response AND contains('Content-Type: ' || content_type_header, 'Content-Type: text/html')"""
 
-Q["rank_parts"] = (f"WITH {HISTORY},\nhsrc AS (SELECT * FROM history WHERE id % 2 = 1),\n"
-                   f"{features_ctes('id, created_at', 'id')},\n{mode_cte('created_at, id', True)},\n{STATS_CTE}\n"
-                   f"SELECT {RESULT}, created_at FROM ranked")
+Q["rank_requests"] = SCAN_RANK + f"SELECT {RESULT}, created_at FROM ranked"
+
+Q["rank_prefix"] = (f"WITH {HISTORY},\nhsrc AS (SELECT * FROM history),\n"
+                    f"{features_ctes('id, created_at', 'id').replace('lower(body)', 'lower(substr(body, 1, 1000))')},\n"
+                    f"{mode_cte('created_at, id', True)},\n{STATS_CTE}\nSELECT {RESULT}, created_at FROM ranked")
+
+Q["profile_grown"] = Q["profile"]
+
+Q["body_search"] = "SELECT doc_id, lang FROM documents WHERE contains(text, 'the tion')"
+
+Q["id_set_digest"] = f"""WITH {LABEL_LISTS},
+u AS (SELECT id, 1 AS s FROM main_ids UNION ALL SELECT id, 1 FROM extra_ids UNION ALL SELECT id, -1 FROM main_ids WHERE id IN (SELECT id FROM extra_ids)),
+h AS (SELECT s, sha256(CAST(id AS VARCHAR)) AS x FROM u),
+l AS (SELECT sum(s)::BIGINT AS n, {", ".join(f"sum(s * CAST('0x' || substr(x, {16 * k + 1}, 16) AS UBIGINT)::HUGEINT)::HUGEINT AS l{k}" for k in range(4))} FROM h),
+m AS (SELECT n, {", ".join(f"((l{k} % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS l{k}" for k in range(4))} FROM l)
+SELECT 'ids:' || sha256(CAST(n AS VARCHAR) || ':' || {" || ':' || ".join(f"CAST(l{k} AS VARCHAR)" for k in range(4))}) AS run_key FROM m"""
 
 Q["user_sort_text"] = SCAN_RANK + """SELECT id, location, rank FROM ranked
 ORDER BY location COLLATE NOCASE ASC NULLS LAST, rank DESC, created_at DESC, id DESC LIMIT 200"""

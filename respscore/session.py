@@ -78,7 +78,7 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
       else ``persist``.
     * ``none``      - keep the plan lazy (every consumer recomputes).
 
-    Tables and cached frames are held until ``release``.
+    Tables, checkpoints and cached frames are held until ``release``.
     """
     if how not in ("auto", "table", "checkpoint", "persist", "none"):
         raise ValueError(f"unknown materialize mode: {how!r}")
@@ -99,13 +99,23 @@ def materialize(df: DataFrame, how: str = "auto") -> DataFrame:
         sc = _context(spark)
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(cdir)
-        return df.checkpoint(eager=True)
+        before = _folders(spark)
+        out = df.checkpoint(eager=True)
+        _held.extend((spark, "table", path) for path in sorted(_folders(spark) - before))
+        return out
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
     _held.append((spark, "frame", out))
     out.count()
     return out
 
 
+def _folders(spark: SparkSession) -> set[str]:
+    """The folders of the session's checkpoint folder, one for each frame that was checkpointed."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(f.getPath()) for f in store.listStatus(root)} if store.exists(root) else set()
+
+
 def mark() -> int:
     """A point to release back to."""
     return len(_held)

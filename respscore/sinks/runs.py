@@ -37,6 +37,37 @@ def id_set_key(ids: DataFrame, id_col: str = "id") -> DataFrame:
     return agg.select(key.alias("run_key"))
 
 
+DIGEST_LANES = 4
+_MODULUS = str(1 << 64)
+
+
+def id_digest(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """One row ``n, lane0 .. lane3``: a digest of an id list as a multiset.  A lane is the sum, modulo 2^64, of a
+    quarter of each id's SHA-256, so digests of lists add and subtract (``combine_digests``): 256 bits, no
+    order, repeats counted, and a changed list's digest from the old one and the change alone."""
+    sha = F.sha2(F.col(id_col).cast("string"), 256)
+    lane = lambda k: F.conv(F.substring(sha, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = [F.pmod(F.coalesce(F.sum(lane(k)).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")), F.expr(f"cast('{_MODULUS}' as decimal(38,0))")).cast("decimal(20,0)").alias(f"lane{k}")
+            for k in range(DIGEST_LANES)]
+    return ids.agg(F.count(id_col).alias("n"), *sums)
+
+
+def combine_digests(base: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The digest of a list from its old one, that of the ids added and that of the ids removed."""
+    parts = [base.withColumn("_s", F.lit(1))] + [d.withColumn("_s", F.lit(s)) for d, s in ((added, 1), (removed, -1)) if d is not None]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    wide = lambda c: F.sum(F.col(c).cast("decimal(30,0)") * F.col("_s").cast("decimal(2,0)")).cast("decimal(38,0)")
+    mod = F.expr(f"cast('{_MODULUS}' as decimal(38,0))")
+    return rows.agg(wide("n").cast("bigint").alias("n"), *[F.pmod(wide(f"lane{k}"), mod).cast("decimal(20,0)").alias(f"lane{k}") for k in range(DIGEST_LANES)])
+
+
+def digest_key(digest: DataFrame) -> DataFrame:
+    """One row ``run_key`` for a digest (``id_digest``, ``combine_digests``)."""
+    return digest.select(F.concat(F.lit("ids:"), F.sha2(F.concat_ws(":", "n", *[F.col(f"lane{k}").cast("string") for k in range(DIGEST_LANES)]), 256)).alias("run_key"))
+
+
 def scan_key(limit: int, scan_all: bool, filter: str | None = None, version: str = "") -> str:
     """Key of a history scan; ``version`` should name the data snapshot
     (e.g. the table version or max created_at) so new traffic is a new run."""

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import SCAN_DEFAULT_LIMIT, SCAN_MIN_LIMIT
+from ..operators.features import measure_bodies
 from ..operators.joins import key_join
+from ..operators.select import FEW, first_rows
+from ..session import materialize
 
 SCAN_ORDER = ("created_at", "id")
 
@@ -121,8 +124,12 @@ def newest(rows: DataFrame, k: int) -> DataFrame:
     alone; the result is then a filter from the k-th key on, which reaches
     the scan, so bodies are read once, where they lie.  Only where those two
     keys are equal (ids are meant to be unique) are rows of that key counted
-    out by a limit, so never more than k come back."""
+    out by a limit, so never more than k come back.  For more rows than one
+    task should merge, the k-th key is found by counting ranges of keys
+    (``operators.select``)."""
     check_limit(k)
+    if k > FEW:
+        return first_rows(rows, SCAN_ORDER, True, k)
     kinds = [rows.schema[c].dataType for c in SCAN_ORDER]
     plain = [F.unix_micros(c) if isinstance(t, T.TimestampType) else F.col(c).cast("string") if isinstance(t, T.TimestampNTZType) else F.col(c)
              for c, t in zip(SCAN_ORDER, kinds, strict=True)]
@@ -163,6 +170,25 @@ def fetch_by_ids(history: DataFrame, ids: DataFrame, on: str = "id") -> DataFram
     return key_join(history, ids, on)
 
 
+def attach_bodies(rows: DataFrame, bodies: DataFrame, on: str = "id", key: str = "id", body: str = "body",
+                  max_body_units: int | None = None, fingerprint: str = "udf", materialize_how: str = "auto") -> DataFrame:
+    """``rows`` with ``content_length`` and ``fingerprint`` of their bodies, fetched late: the rows are
+    chosen first, without bodies, and only theirs are read and measured.
+
+    ``bodies`` holds ``key`` and ``body``.  The least and greatest wanted key are pushed to its scan (row
+    groups and files outside are skipped), a semi-join leaves the wanted ones (Spark broadcasts the
+    keys under its threshold; beyond it, ``bodies`` bucketed by ``key`` is joined in place), and what is
+    joined to the rows is some 30 bytes each.  A row without a body has length 0 and fingerprint 0."""
+    rows = materialize(rows, materialize_how)
+    span = rows.agg(F.min(on).alias("lo"), F.max(on).alias("hi")).first()
+    found = bodies.select(F.col(key).alias("_body_key"), F.col(body).alias("_body"))
+    found = found.where(F.col("_body_key").between(F.lit(span["lo"]), F.lit(span["hi"]))) if span["lo"] is not None else found.where(F.lit(False))
+    found = key_join(found, rows.select(F.col(on).alias("_body_key")).distinct(), "_body_key", "left_semi")
+    measured = measure_bodies(found, "_body", max_body_units, fingerprint)
+    both = rows.join(measured, rows[on] == measured["_body_key"], "left").drop("_body_key")
+    return both.fillna(0, ["content_length", "fingerprint"])
+
+
 def selection_ids(*frames: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
     """Union of several ordered id lists with first-seen order.
 

@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def history_from_tables(spark: SparkSession, sf_dir: str, bodies: bool = True,
+def history_from_tables(spark: SparkSession, sf_dir: str, bodies: bool | None = True,
                         max_body_units: int | None = None, fingerprint: str = "udf") -> DataFrame:
     """Canonical history (id, created_at, method, url, has_response,
     status_code, content_type_header, location, body).
@@ -29,10 +29,13 @@ def history_from_tables(spark: SparkSession, sf_dir: str, bodies: bool = True,
     the number of pages (a null URL where there is none).  With ``bodies``
     false, documents are measured before the joins (``measure_bodies``):
     content_length and fingerprint stand in for body, and what is joined is
-    some 30 bytes a row.  All joins are plain."""
+    some 30 bytes a row.  ``None`` leaves bodies out altogether (``document_bodies``
+    has them, for ``attach_bodies``).  All joins are plain."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("body"))
-    if not bodies:
+    if bodies is None:
+        d = d.drop("body")
+    elif not bodies:
         d = measure_bodies(d, "body", max_body_units, fingerprint)
     pages = read_table(spark, sf_dir, "pages")
     p = pages.select(F.col("page_id").alias("_slot"), "url")
@@ -57,10 +60,15 @@ def history_from_tables(spark: SparkSession, sf_dir: str, bodies: bool = True,
         status.cast("int").alias("status_code"),
         ctype.alias("content_type_header"),
         F.when(et == "purchase", F.col("url")).alias("location"),
-        *([F.col("body")] if bodies else [F.col("content_length"), F.col("fingerprint")]),
+        *([] if bodies is None else [F.col("body")] if bodies else [F.col("content_length"), F.col("fingerprint")]),
     )
 
 
+def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, body) of the derived history."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+
+
 def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as one 200 text/html response (id = page_id)."""
     return read_table(spark, sf_dir, "pages").select(
@@ -76,15 +84,14 @@ def pages_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same records as separate requests (every second one has a response) and responses, with a
-    header map whose names are in mixed case."""
-    h = history_from_tables(spark, sf_dir)
-    odd = F.col("id") % 2 == 1
-    requests = h.select("id", "created_at", "method", "url", F.when(odd, F.col("id")).alias("response_id"))
+    """The same records as separate requests and responses with a header map whose names are in mixed case.
+    Bodies are measured before any join: responses hold content_length and fingerprint."""
+    h = history_from_tables(spark, sf_dir, bodies=False)
+    requests = h.select("id", "created_at", "method", "url", F.when(F.col("has_response"), F.col("id")).alias("response_id"))
     headers = F.map_from_entries(F.filter(F.array(
         F.struct(F.lit("Content-Type").alias("key"), F.array("content_type_header").alias("value")),
         F.struct(F.lit("LOCATION").alias("key"), F.array("location").alias("value"))), lambda x: x["value"][0].isNotNull()))
-    return requests, h.where("has_response").select("id", "status_code", headers.alias("headers"), "body")
+    return requests, h.where("has_response").select("id", "status_code", headers.alias("headers"), "content_length", "fingerprint")
 
 
 def requests_with_raw(history: DataFrame) -> DataFrame:
