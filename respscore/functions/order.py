@@ -68,7 +68,8 @@ def order_code(df: DataFrame, cols: Sequence[str], descending: bool) -> Column |
         code = F.coalesce(lead, F.lit(_NULL_LEAD).cast(_D)) * _wide() + F.coalesce(F.col(cols[1]).cast(_D) + _shift64(), F.lit(-1).cast(_D))
     else:
         return None
-    return -code if descending else code
+    # not ``-code``: Spark negates a DECIMAL of more than 34 digits with rounding, a difference is exact
+    return F.lit(0).cast(_D) - code if descending else code
 
 
 def order_struct(cols: Sequence[str]) -> Column:

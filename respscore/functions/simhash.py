@@ -7,8 +7,8 @@ Two implementations that must agree on every row:
   Arrow buffers: tokens are dictionary-encoded per batch, each distinct token
   is hashed once with vectorised FNV-1a, and per-row bit votes are summed
   with numpy.  No Python object is created per token and nothing shuffles.
-* ``simhash_frame`` - a pure DataFrame plan (explode, count, hash, 64
-  conditional sums) used as an independent cross-check.
+* ``simhash_frame`` - a pure DataFrame plan (count per row, hash distinct
+  tokens, join, sum votes) used as an independent cross-check.
 
 Fingerprints are unsigned 64-bit values carried in BIGINT (same bit
 pattern); Hamming distance is ``bit_count(a ^ b)``.
@@ -218,26 +218,33 @@ def simhash_frame(df: DataFrame, text: str) -> DataFrame:
     """``df`` (minus the ``text`` column) plus ``fingerprint``, computed with a
     pure DataFrame plan; every row is kept, equal ones too.
 
-    Each token of a row is born in the row's partition and hashed there
-    (native FNV-1a expression), and the rows are grouped by a row number and
-    the remaining columns.  Votes of two bits are summed in one BIGINT, in
-    halves of 32 bits that an array's length cannot fill, so the aggregate has
-    32 plain sums and stays small enough to be compiled.  The map-side
-    partial aggregate is already complete per row, so the only shuffle carries
-    one narrow row per input row; the text never moves and no token is
-    shuffled.  A row with no token keeps its place (explode_outer) and gets 0."""
+    Tokens are counted per row where they are cut, and kept once as a narrow
+    table (row number, token, count).  Each distinct token of it is hashed once
+    (native FNV-1a expression) and joined back; a hot token is one entry per
+    row, and the join may split it.  Votes of two bits are summed in one BIGINT,
+    in halves of 32 bits that an array's length cannot fill, so the aggregate has
+    32 plain sums and stays small enough to be compiled.  The other columns
+    travel with a row's first token alone.  A row with no token keeps its
+    place (posexplode_outer) and gets 0."""
+    from ..session import materialize
+
     carry = [c for c in df.columns if c != text]
-    numbered = df.select(*carry, text, F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
-    occ = (numbered.select(*carry, "_row", F.explode_outer(tokens(text)).alias("_t"))
-           .select(*carry, "_row", F.col("_t").isNotNull().cast("bigint").alias("_c"), fnv1a64_col("_t").alias("_h")))
+    numbered = df.select(F.struct(*[F.col(c) for c in carry]).alias("_c") if carry else F.lit(None).alias("_c"), F.col(text).alias("_x"),
+                         F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
+    occ = numbered.select("_row", "_c", F.posexplode_outer(tokens("_x")).alias("_p", "_t"))
+    head = F.coalesce(F.col("_p"), F.lit(0)) == 0
+    counted = materialize(occ.groupBy("_row", "_t", head.alias("_head"), F.when(head, F.col("_c")).alias("_c")).agg(F.count("_t").alias("_n")))
+    hashed = counted.where("_t IS NOT NULL").select("_t").distinct().select("_t", fnv1a64_col("_t").alias("_h"))
     half = HASH_BITS // 2
     low = F.lit(1).cast("bigint")
     pair = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(low).bitwiseOR(
         F.shiftleft(F.shiftrightunsigned("_h", i + half).bitwiseAND(low), 32))
-    votes = occ.groupBy("_row", *carry).agg(F.sum("_c").alias("_n"), *[F.sum(pair(i)).alias(f"_o{i}") for i in range(half)])
+    both = counted.select("_row", "_t", "_n").join(hashed, "_t", "left")
+    votes = both.groupBy("_row").agg(F.sum("_n").alias("_n"), *[F.coalesce(F.sum(pair(i) * F.col("_n")), F.lit(0)).alias(f"_o{i}") for i in range(half)])
     ones = lambda i: F.col(f"_o{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < half else F.shiftrightunsigned(f"_o{i - half}", 32)
     fp = F.lit(0).cast("bigint")
     for i in range(HASH_BITS):
         fp = fp.bitwiseOR(F.when(2 * ones(i) > F.col("_n"),
                                  F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0)))
-    return votes.select(*carry, fp.alias("fingerprint"))
+    rows = counted.where("_head").select("_row", "_c").join(votes.select("_row", fp.alias("fingerprint")), "_row")
+    return rows.select(*[F.col("_c")[c].alias(c) for c in carry], "fingerprint")

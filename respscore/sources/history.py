@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,35 @@ def history_from_parts(requests: DataFrame, responses: DataFrame,
     return j.select(*out)
 
 
+def bucket_parts(requests: DataFrame, responses: DataFrame, folder: str, name: str, buckets: int,
+                 response_key: str = "response_id", key: str = "id") -> None:
+    """Store request and response tables bucketed and sorted by the key that joins them (``name``_requests,
+    ``name``_responses, files below ``folder``), once, so that no later join of theirs shuffles.
+
+    A request without a response would share one bucket with all others like it; these are kept in a
+    table of their own (``name``_unanswered) that is joined with nothing."""
+    def save(df: DataFrame, what: str, by: str | None) -> None:
+        out = df.write.mode("overwrite").format("parquet").option("path", f"{folder.rstrip('/')}/{what}")
+        (out.bucketBy(buckets, by).sortBy(by) if by else out).saveAsTable(f"{name}_{what}")
+
+    save(requests.where(F.col(response_key).isNotNull()).repartition(buckets, response_key), "requests", response_key)
+    save(requests.where(F.col(response_key).isNull()), "unanswered", None)
+    save(responses.repartition(buckets, key), "responses", key)
+
+
+def bucketed_history(spark: SparkSession, name: str, response_key: str = "response_id", key: str = "id") -> DataFrame:
+    """The history of tables stored by ``bucket_parts``: ``history_from_parts`` without an exchange."""
+    joined = history_from_parts(spark.table(f"{name}_requests"), spark.table(f"{name}_responses"), response_key, key)
+    alone = spark.table(f"{name}_unanswered").drop(response_key).withColumn("has_response", F.lit(False))
+    return joined.unionByName(alone, allowMissingColumns=True)
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    """Forget tables stored by ``bucket_parts`` (their files stay below the folder they were given)."""
+    for what in ("requests", "unanswered", "responses"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{what}")
+
+
 def resolve_filter(filter: Column | str | None,
                    presets: Mapping[str, Column | str] | None = None) -> Column | None:
     """A user filter: a Column, a SQL predicate string, ``preset:<name>`` for a
@@ -129,7 +158,7 @@ def newest(rows: DataFrame, k: int) -> DataFrame:
     (``operators.select``)."""
     check_limit(k)
     if k > FEW:
-        return first_rows(rows, SCAN_ORDER, True, k)
+        return first_rows(rows, SCAN_ORDER, True, k, FEW)
     kinds = [rows.schema[c].dataType for c in SCAN_ORDER]
     plain = [F.unix_micros(c) if isinstance(t, T.TimestampType) else F.col(c).cast("string") if isinstance(t, T.TimestampNTZType) else F.col(c)
              for c, t in zip(SCAN_ORDER, kinds, strict=True)]
