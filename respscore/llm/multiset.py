@@ -96,25 +96,45 @@ def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None =
     return narrow.mapInArrow(run, narrow.drop("_text").schema.add("fingerprint", "binary"))
 
 
+def id_ranges(cuts: list[int], parts: int, rows: int, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cuts upwards, each range's first part, parts of each range), ranges numbered downwards, the last for
+    rows without an id.  ``cuts`` are quantiles of the ids: one that is found several times stands for
+    as many parts of rows of that very id, which then makes up a range of its own."""
+    times: dict[int, int] = {}
+    for c in cuts:
+        times[c] = times.get(c, 0) + 1
+    hot = {c for c, n in times.items() if n > 1}
+    upward = np.array(sorted(set(times) | {c - 1 for c in hot if c > -(1 << 63)}) if parts > 1 else [], dtype=np.int64)
+    downward = upward[::-1].tolist()
+    width = [1] + [times[c] if c in hot else 1 for c in downward]  # range k > 0 begins, from above, with its cut
+    width.append(max(1, -(-parts * (rows - ids) // max(1, rows))))
+    first = np.cumsum([0, *width[:-1]])
+    return upward, first.astype(np.int64), np.array(width, np.int64)
+
+
 def with_next(docs: DataFrame, ws: Workspace, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` dealt by range of ``doc_id`` and sorted downwards, each part closed by a copy of
-    the row that comes after it: columns ``part, doc_id, text, peek`` (``peek`` marks the copy).
+    """Rows of ``docs`` dealt by range of (``doc_id``, hash of the text) and sorted downwards, each part closed by
+    a copy of the row that comes after it: columns ``part, doc_id, text, peek`` (``peek`` marks the copy).
 
-    The ranges come from the ids alone; the row after a part is the first of the next part that is not
-    empty, or the very first, so only one row a part is copied."""
+    The ranges come from the ids alone.  An id that fills several of them, and rows without an id, are
+    split further by the hash, so no part is much larger than others.  The row after a part is the first
+    of the next part that is not empty, or the very first, so only one row a part is copied."""
     ids = docs.select(F.col("doc_id").cast("bigint").alias("_id"))
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)] or [0.5], 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts), reverse=True) if parts > 1 else []
-    upward = np.array(cuts[::-1], dtype=np.int64)
+    found = ids.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)] or [0.5], 10000).alias("c"),
+                    F.count(F.lit(1)).alias("rows"), F.count("_id").alias("ids")).first()
+    upward, first, width = id_ranges(found["c"] or [], parts, found["rows"], found["ids"])
+    count = int(first[-1] + width[-1])
 
     @F.pandas_udf("int")
-    def below(ids: pd.Series) -> pd.Series:  # cuts at or above an id: parts number downwards
-        return pd.Series(len(upward) - np.searchsorted(upward, ids.to_numpy(), side="left"))
+    def place(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.Series:
+        at = np.where(none.to_numpy(), len(first) - 1, len(upward) - np.searchsorted(upward, ids.to_numpy(), side="left"))
+        share = (ties.to_numpy().astype(np.float64) + 2.0 ** 63) / 2.0 ** 64  # 0 to 1, in the order of the hash
+        return pd.Series(first[at] + np.minimum((share * width[at]).astype(np.int64), width[at] - 1))
 
-    part = F.when(F.col("_id").isNull(), F.lit(len(cuts))).otherwise(below(F.coalesce("_id", F.lit(0))))  # a null id comes last
     tie = F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))
+    part = place(F.coalesce("_id", F.lit(0)), F.col("_id").isNull(), tie)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(text).alias("_text")).select(part.alias("part"), "_id", "_text")
     heads = ws.keep(rows.groupBy("part").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), (-F.col("_id")).alias("d"), tie.alias("t"))).alias("h")), "heads")
     order = Window.orderBy("part")  # one row a part
@@ -123,7 +143,7 @@ def with_next(docs: DataFrame, ws: Workspace, text: str = "text") -> DataFrame:
     same = (rows["_id"].eqNullSafe(-F.col("_d"))) & (tie == F.col("_t"))
     copies = rows.join(F.broadcast(sent), same).dropDuplicates(["_to"]).select(F.col("_to").alias("part"), "_id", "_text", F.lit(True).alias("peek"))
     every = rows.withColumn("peek", F.lit(False)).unionByName(copies)
-    return every.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "peek", F.desc_nulls_last("_id"), tie)
+    return every.repartitionById(count, F.col("part")).sortWithinPartitions("part", "peek", F.desc_nulls_last("_id"), tie)
 
 
 def edits(docs: DataFrame, text: str = "text") -> DataFrame:

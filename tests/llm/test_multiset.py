@@ -102,3 +102,30 @@ def test_edits_of_many_repeats_match_exact_sums(spark):
         assert r.doc_id == rows[k][0]
         assert r.near_edited == pytest.approx(cosine(exact(text), exact(changed)), abs=1e-9)
         assert r.near_next == pytest.approx(cosine(exact(text), exact(after)), abs=1e-9)
+
+
+def test_rows_without_id_and_of_one_id_are_split(spark):
+    """A third of rows has no id and a third one id: parts stay even, and every row still meets its next."""
+    from respscore.llm.common import Workspace
+
+    rows = [(None if k % 3 == 0 else 77 if k % 3 == 1 else k, f"text {k} of many. And more.", "a") for k in range(3000)] + [(-9, "last id", "a")]
+    docs = frame(spark, rows)
+    ws = Workspace(spark, "parts")
+    dealt = M.with_next(docs.select("doc_id", "text"), ws).where("NOT peek").groupBy("part").count().collect()
+    assert sum(r["count"] for r in dealt) == len(rows) and max(r["count"] for r in dealt) <= 3 * len(rows) / 8
+    assert len([r for r in dealt if r["count"] > 100]) >= 6
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    got = M.edits(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    texts = {}
+    for r in got:
+        texts.setdefault(r.doc_id, set()).add(r.edited_sha256)
+    assert len(texts[77]) == 1001 and len(texts[None]) == 1000 and order[0][0] == 2999
+
+
+def test_ranges_of_ids():
+    upward, first, width = M.id_ranges([5, 5, 5, 9, 12], 6, 100, 60)
+    assert upward.tolist() == [4, 5, 9, 12] and width.tolist() == [1, 1, 1, 3, 1, 3] and first.tolist() == [0, 1, 2, 3, 6, 7]
+    at = [len(upward) - np.searchsorted(upward, i, side="left") for i in (20, 12, 10, 9, 6, 5, 4, 1)]
+    assert at == [0, 1, 1, 2, 2, 3, 4, 4]
+    assert [x.tolist() for x in M.id_ranges([], 1, 0, 0)] == [[], [0, 1], [1, 1]]
