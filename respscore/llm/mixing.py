@@ -16,11 +16,18 @@ Choosing documents needs one row per source, which is all that reaches the
 driver: sources are named data sets with a weight each.  Texts move once, to
 their shard.
 
+Rows equal in id, text and source are folded to one unit with a count before
+the plan is made.  A group of more words and rows than a ``PARTS``th of a block
+is several units of that much, which are dealt, permuted and cut like other
+documents, so no block or shard grows with it.  Its rows (and no others) are written once and
+numbered in runs of 2^``RUN_BITS`` to tell which unit each is of; only how many rows a
+unit has depends on that, so a second run agrees.
+
 Defined results: a null or empty text has size 0 and is carried along with
 its block; a null source is a source of its own, ordered last; rows equal in
-id, text and source are taken alike (in one block, hence one shard; under
-several sources each has its own share); more than ``MOST_SOURCES`` sources are
-refused; sources without words have target 0; an empty
+id, text and source are taken alike as far as one unit goes (beyond it unit by
+unit; under several sources each has its own share); more than ``MOST_SOURCES``
+sources are refused; sources without words have target 0; an empty
 table gives an empty mix; other columns are carried in a struct.
 """
 
@@ -32,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +53,9 @@ MOST = 2.0                 # times a source's size
 MOST_SOURCES = 100_000  # rows that may reach the driver and be broadcast: one per source
 
 SUPER = 4096  # blocks whose sums are added up before the sums of sums
+PARTS = 16  # units of a hot group that fill a block
+RUN_BITS = 12  # rows of a hot group are numbered in runs of at most 2^12
+STEP = 1 << 16  # units of a hot group that one row makes
 
 
 @dataclass(frozen=True)
@@ -98,11 +108,44 @@ def _coprime(n: int, seed: int) -> int:
     return a
 
 
-def _rows(docs: DataFrame, text: str, source: str, seed: int) -> DataFrame:
-    """``row`` (all columns of ``docs``) beside its key, source and two hashes that deal it."""
+def _rows(docs: DataFrame, text: str, source: str) -> DataFrame:
+    """``row`` (all columns of ``docs``) beside its key and source."""
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key("doc_id", text))
-    return keyed.select("row", "_k1", "_k2", F.col("row")[source].alias("_source"),
-                        F.xxhash64(F.lit(seed), "_k1", "_k2").alias("_deal"), F.xxhash64(F.lit(seed + 1), "_k1", "_k2").alias("_turn"))
+    return keyed.select("row", "_k1", "_k2", F.col("row")[source].alias("_source"))
+
+
+def _dealt(units: DataFrame, seed: int) -> DataFrame:
+    """``units`` with the two hashes that deal them; the first unit of a group has its key's."""
+    def of(s: int) -> Column:
+        key = F.xxhash64(F.lit(s), "_k1", "_k2")
+        return F.when(F.col("_chunk") == 0, key).otherwise(F.xxhash64(key, "_chunk"))
+
+    return units.withColumns({"_deal": of(seed), "_turn": of(seed + 1)})
+
+
+def _units(rows: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of one key and source as units of ``_n`` rows, ``_per`` at most, numbered by ``_chunk``."""
+    alike = rows.groupBy("_k1", "_k2", "_source").agg(F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_all"))
+    sized = alike.withColumn("_per", F.expr(f"greatest(1L, {mix.block_words // PARTS}L div (_size + 1))")).withColumn("_last", F.expr("(_all - 1) div _per"))
+    steps = sized.withColumn("_step", F.explode(F.expr(f"sequence(0L, _last div {STEP})")))
+    units = steps.withColumn("_chunk", F.explode(F.expr(f"sequence(_step * {STEP}, least(_last, (_step + 1) * {STEP} - 1))")))
+    return _dealt(units.select("_k1", "_k2", "_source", "_size", "_per", "_chunk", F.expr("least(_per, _all - _chunk * _per)").alias("_n")), mix.seed)
+
+
+def _same(a: DataFrame, b: DataFrame, *also: str) -> Column:
+    """Rows of ``a`` and ``b`` (its columns named with ``h``) of one key and source."""
+    met = a["_k1"].eqNullSafe(b["_h_k1"]) & (a["_k2"] == b["_h_k2"]) & a["_source"].eqNullSafe(b["_h_source"])
+    for c in also:
+        met &= a[c] == b[f"_h{c}"]
+    return met
+
+
+KEY_TYPE = "struct<t:bigint,n:boolean,k1:bigint,k2:bigint,c:bigint>"
+
+
+def _key() -> Column:
+    """The order of units in a block."""
+    return F.struct(F.col("_turn").alias("t"), F.col("_k1").isNull().alias("n"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_chunk").alias("c"))
 
 
 class Plan:
@@ -110,7 +153,7 @@ class Plan:
 
     def __init__(self, sized: DataFrame, mix: Mix, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST):
         spark = sized.sparkSession
-        found = sized.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy(F.asc_nulls_last("_source")).limit(MOST_SOURCES + 1).collect()
+        found = sized.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("size"), F.sum("_n").alias("rows")).orderBy(F.asc_nulls_last("_source")).limit(MOST_SOURCES + 1).collect()
         if len(found) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
         weigh = [weights[i % len(weights)] for i in range(len(found))]
@@ -122,17 +165,35 @@ class Plan:
             self.sources.append({"s": i, "source": r["_source"], "size": r["size"], "target": t, "blocks": blocks,
                                  "by": _coprime(blocks, mix.seed * 2654435761 + i * 40503), "plus": (mix.seed + 7919 * i) % blocks,
                                  "whole": whole, "rest": t - whole * r["size"]})
-        self.spark, self.mix = spark, mix
+        self.spark, self.mix, self.sized = spark, mix, sized
         self._cut(sized)
         quotas = [x["whole"] * x["blocks"] + x["full"] + (x["cut"] is not None or x["more"] is not None) for x in self.sources]
         self.quotas, self.shards = quotas, max(1, math.ceil(sum(quotas) / mix.shard_blocks))
 
     def _frame(self, *names: str) -> DataFrame:
         kinds = {"s": "int", "source": "string", "size": "long", "target": "double", "blocks": "long", "by": "long", "plus": "long", "whole": "int",
-                 "rest": "double", "full": "long", "cut": "struct<t:bigint,n:boolean,k1:bigint,k2:bigint>", "more": "struct<t:bigint,n:boolean,k1:bigint,k2:bigint>"}
+                 "rest": "double", "full": "long", "cut": KEY_TYPE, "more": KEY_TYPE}
         rows = [tuple(x[n] for n in names) for x in self.sources]
         return self.spark.createDataFrame(rows, ", ".join(f"_p_{n} {kinds[n]}" for n in names))
 
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the ``_chunk`` of their group that each is of."""
+        hot = self.sized.where("_chunk = 1").select(*[F.col(c).alias(f"_h{c}") for c in ("_k1", "_k2", "_source")], "_per")
+        if hot.isEmpty():
+            return rows.withColumn("_chunk", F.lit(0).cast("bigint"))
+        met = rows.join(hot, _same(rows, hot), "left").select(*rows.columns, "_per")
+        cold = met.where("_per IS NULL").select(*rows.columns, F.lit(0).cast("bigint").alias("_chunk"))
+        kept = Workspace(self.spark, "mix-hot").keep(met.where("_per IS NOT NULL").withColumn("_m", F.monotonically_increasing_id()), "rows")
+        kept = kept.withColumn("_run", F.shiftright("_m", RUN_BITS))
+        group = ["_k1", "_k2", "_source"]
+        runs = kept.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_rows"))
+        before = F.sum("_rows").over(Window.partitionBy(*group).orderBy("_run")) - F.col("_rows")
+        first = runs.select(*[F.col(c).alias(f"_h{c}") for c in (*group, "_run")], before.alias("_before"))
+        nth = F.row_number().over(Window.partitionBy(*group, "_run").orderBy("_m"))
+        in_run = kept.withColumn("_nth", nth)
+        warm = in_run.join(first, _same(in_run, first, "_run")).select(*rows.columns, F.expr("(_before + _nth - 1) div _per").alias("_chunk"))
+        return cold.unionByName(warm)
+
     def place(self, rows: DataFrame, *more: str) -> DataFrame:
         """``rows`` with their source's plan and ``_pos``, their block's place in the permuted order."""
         p = self._frame("s", "source", "blocks", "by", "plus", *more)
@@ -144,7 +205,7 @@ class Plan:
         """Find each source's last block and what it gives: documents in order while they fit the target,
         then the one whose size comes nearest to what is left, if that is nearer than none."""
         placed = self.place(sized, "rest")
-        blocks = placed.groupBy("_p_s", "_p_rest", "_pos").agg(F.sum("_size").alias("words"))
+        blocks = placed.groupBy("_p_s", "_p_rest", "_pos").agg(F.sum(F.col("_size") * F.col("_n")).alias("words"))
         upper = blocks.groupBy("_p_s", F.floor(F.col("_pos") / SUPER).alias("sup")).agg(F.sum("words").alias("words"))
         before = upper.select("_p_s", "sup", (F.sum("words").over(Window.partitionBy("_p_s").orderBy("sup")) - F.col("words")).alias("base"))
         inner = Window.partitionBy("_p_s", "sup").orderBy("_pos")
@@ -158,9 +219,8 @@ class Plan:
             x["left"] = x["rest"] - (0 if end is None else end["before"])
             x["cut"] = x["more"] = None
         last = self.spark.createDataFrame([(x["s"], x["full"], x["left"]) for x in self.sources if x["rest"] > 0], "_l_s int, _l_pos long, _l_left double")
-        key = F.struct(F.col("_turn").alias("t"), F.col("_k1").isNull().alias("n"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
         inside = placed.join(last, (F.col("_p_s") == F.col("_l_s")) & (F.col("_pos") == F.col("_l_pos")))
-        each = inside.groupBy("_p_s", "_l_left", key.alias("key")).agg(F.sum("_size").alias("words"))
+        each = inside.select("_p_s", "_l_left", _key().alias("key"), (F.col("_size") * F.col("_n")).alias("words"))
         whole = Window.partitionBy("_p_s")
         so_far = F.sum("words").over(whole.orderBy("key"))
         summed = each.select("_p_s", "key", "words", "_l_left", so_far.alias("upto"))
@@ -190,17 +250,17 @@ class Plan:
 def make_plan(docs: DataFrame, text: str = "text", source: str = "source", mix: Mix = Mix(), weights: tuple[float, ...] = WEIGHTS,
               share: float = SHARE, most: float = MOST) -> Plan:
     ws = Workspace(docs.sparkSession, "mix")
-    rows = _rows(docs.select("doc_id", text, source), text, source, mix.seed)
-    sized = ws.keep(rows.select("_k1", "_k2", "_source", "_deal", "_turn", F.regexp_count(F.coalesce(F.col("row")[text], F.lit("")), F.lit(WORD)).cast("bigint").alias("_size")), "sized")
-    plan = Plan(sized, mix, weights, share, most)
-    plan.sized = sized
-    return plan
+    rows = _rows(docs.select("doc_id", text, source), text, source)
+    size = F.regexp_count(F.coalesce(F.col("row")[text], F.lit("")), F.lit(WORD)).cast("bigint")
+    return Plan(ws.keep(_units(rows.select("_k1", "_k2", "_source", size.alias("_size")), mix), "sized"), mix, weights, share, most)
 
 
 def take(rows: DataFrame, plan: Plan) -> DataFrame:
-    """One row for each time that the mix takes a row of ``rows``: with ``copy``, ``shard`` and ``local_order``."""
-    key = F.struct(F.col("_turn").alias("t"), F.col("_k1").isNull().alias("n"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))
-    placed = plan.place(rows, "whole", "full", "cut", "more")
+    """One row for each time that the mix takes a row of ``rows`` (documents, or units): with ``copy``, ``shard`` and ``local_order``."""
+    if "_chunk" not in rows.columns:
+        rows = plan.numbered(rows)
+    key = _key()
+    placed = plan.place(_dealt(rows, plan.mix.seed), "whole", "full", "cut", "more")
     in_last = F.coalesce(key <= F.col("_p_cut"), F.lit(False)) | key.eqNullSafe(F.col("_p_more"))
     once_more = (F.col("_pos") < F.col("_p_full")) | ((F.col("_pos") == F.col("_p_full")) & in_last)
     copies = F.col("_p_whole") + once_more.cast("int")
@@ -215,19 +275,19 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", m
     """The mix: the rows of ``docs``, as often as it takes them, dealt to shards and shuffled inside each.
     The columns of ``docs``; partitions hold whole shards, in the shard's random order."""
     plan = make_plan(docs, text, source, mix, weights)
-    taken = take(_rows(docs, text, source, mix.seed), plan)
+    taken = take(_rows(docs, text, source), plan)
     return taken.repartition("shard").sortWithinPartitions("shard", "local_order").select("row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = make_plan(docs)
-    rows = plan.sized
-    times = take(rows, plan).groupBy("_k1", "_k2", "_source").agg(F.count(F.lit(1)).alias("_times"))  # one text may stand in several sources
-    alike = rows.groupBy("_k1", "_k2", "_source").agg(F.count(F.lit(1)).alias("_alike"), F.first("_size").alias("size"))
-    counted = alike.alias("a").join(times.alias("t"), F.expr("a._k1 <=> t._k1 AND a._k2 = t._k2 AND a._source <=> t._source"), "left").select(
-        F.col("a._k1").alias("doc_id"), "size", F.col("a._source").alias("_source"), "_alike", (F.coalesce("_times", F.lit(0)) / F.col("_alike")).cast("bigint").alias("_n"))
+    units = plan.sized.select("_k1", "_k2", "_source", "_chunk", "_size", "_n")
+    times = take(units, plan).groupBy("_k1", "_k2", "_source", "_chunk").agg(F.count(F.lit(1)).alias("_times"))  # one text may stand in several sources
+    times = times.select(*[F.col(c).alias(f"_h{c}") for c in ("_k1", "_k2", "_source", "_chunk")], "_times")
+    counted = units.join(times, _same(units, times, "_chunk"), "left").select(
+        F.col("_k1").alias("doc_id"), F.col("_size").alias("size"), "_source", "_n", (F.col("_size") * F.coalesce("_times", F.lit(0))).alias("taken"))
     p = plan._frame("source", "size", "target")
     out = counted.join(p, counted["_source"].eqNullSafe(p["_p_source"])).select(
-        "doc_id", "size", F.col("_p_size").alias("source_size"), F.col("_p_target").alias("target"), (F.col("size") * F.col("_n")).alias("taken"), "_alike")
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("_alike"))).alias("_i")).drop("_i")
+        "doc_id", "size", F.col("_p_size").alias("source_size"), F.col("_p_target").alias("target"), "taken", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i"))
+    return out.drop("_i")

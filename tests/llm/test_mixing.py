@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import edge_rows, frame
 from respscore.llm import mixing as M
@@ -53,7 +55,7 @@ def test_mix_meets_targets_with_disjoint_blocks(spark):
     docs = frame(spark, rows)
     mix = M.Mix(block_words=100, shard_blocks=8)
     plan = M.make_plan(docs, mix=mix)
-    keyed = M._rows(docs, "text", "source", mix.seed)
+    keyed = M._rows(docs, "text", "source")
     taken = M.take(keyed, plan).select("row.doc_id", "row.text", "row.source", "copy", "shard").collect()
     size = lambda t: len((t or "").split())
     got = {}
@@ -122,7 +124,7 @@ def test_blocks_of_mostly_empty_texts_hold_few_rows(spark):
     held = plan.place(plan.sized).groupBy("_p_s", "_pos").count().collect()
     assert sum(r["count"] for r in held) == len(rows) and max(r["count"] for r in held) < 200
     taken = {}
-    for r in M.take(M._rows(docs, "text", "source", mix.seed), plan).select("row.text", "row.source").collect():
+    for r in M.take(M._rows(docs, "text", "source"), plan).select("row.text", "row.source").collect():
         taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
     assert all(abs(taken.get(x["source"], 0) - x["target"]) <= 15 for x in plan.sources)
 
@@ -141,3 +143,45 @@ def test_one_document_in_several_sources_is_counted_in_each(spark, tmp_path):
     for r in got:
         taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
     assert len(set(size.values())) == 3 and all(abs(taken[size[s]] - want[s]) <= (90 if s == "y" else 10) / 2 for s in "xyz")
+
+
+def test_a_hot_group_of_equal_rows_fills_no_single_shard(spark, tmp_path):
+    """A third of the rows are one document: in its source, of no source, and one without an id."""
+    hot = [(7, "a b c d", "x")] * 1500 + [(None, "e f g h", None)] * 900 + [(8, "", "x")] * 600
+    rows = hot + [(100 + i, "w " * (3 + i % 3), ["x", "y", None][i % 3]) for i in range(6000)]
+    docs = frame(spark, rows).drop("n_chars").withColumn("n_chars", F.monotonically_increasing_id())  # tells equal rows apart
+    mix = M.Mix(block_words=300, shard_blocks=4)
+    plan = M.make_plan(docs, mix=mix)
+    assert plan.sized.agg(F.sum("_n")).first()[0] == len(rows) and plan.sized.agg(F.max(F.expr("_n * (_size + 1)"))).first()[0] <= 300
+    taken = M.take(M._rows(docs, "text", "source"), plan).select("row.doc_id", "row.text", "row.source", "row.n_chars", "copy", "shard").collect()
+    per_shard = Counter(r.shard for r in taken)
+    assert max(per_shard.values()) <= 2 * np.median(list(per_shard.values()))
+    times = Counter(r.n_chars for r in taken)
+    assert max(times.values()) <= 2 and len({(r.n_chars, r.copy) for r in taken}) == len(taken)
+    size = lambda t: len((t or "").split())
+    got = Counter()
+    for r in taken:
+        got[r.source] += size(r.text)
+    assert all(abs(got[x["source"]] - x["target"]) <= 300 for x in plan.sources)
+    alike = lambda some: Counter((r.doc_id, r.text, r.source, r.copy, r.shard) for r in some)
+    again = M.take(M._rows(docs.repartition(7), "text", "source"), M.make_plan(docs.repartition(5), mix=mix)).select("row.*", "copy", "shard").collect()
+    assert alike(again) == alike(taken)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = M.op10_mixing(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    total = {s: sum(size(t) for _, t, o in rows if o == s) for s in ("x", "y", None)}
+    want = dict(zip(("x", "y", None), water(list(total.values()), list(M.WEIGHTS)), strict=True))
+    sums = Counter()
+    for r in out:
+        sums[r.source_size] += r.taken
+    assert len(set(total.values())) == 3 and all(abs(sums[total[s]] - want[s]) <= 5 * 2000 / 2 for s in total)
+
+
+def test_many_units_of_one_group_are_numbered_in_steps_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEP", 3)
+    monkeypatch.setattr(M, "RUN_BITS", 2)
+    docs = frame(spark, [(1, "a b", "x")] * 101 + [(2, "c " * 50, "x")] * 9 + [(3, "d", "x")])
+    plan = M.make_plan(docs, mix=M.Mix(block_words=160, shard_blocks=2))
+    units = Counter({(r["_k1"], r["_chunk"]): r["_n"] for r in plan.sized.collect()})
+    assert sum(units.values()) == 111 and [units[(1, c)] for c in range(34)] == [3] * 33 + [2] and [units[(2, c)] for c in range(9)] == [1] * 9
+    assert Counter((r["_k1"], r["_chunk"]) for r in plan.numbered(M._rows(docs.repartition(3), "text", "source")).collect()) == units
