@@ -32,15 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables and output files."""
+    """The shared folder for scratch tables and output files, with its store's scheme: a path without one is
+    in Spark's default file system, which tasks that write files by themselves could not tell."""
     named = configured_checkpoint_dir(spark)
     if named:
-        return named.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="respscore-llm-")
     spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return shared_dir(spark)
 
 
 class Workspace:

@@ -4,9 +4,11 @@ Flat token files hold nothing but ids (little-endian, of one width), each
 document followed by a separator id; there is no index.  ``count_tokens``
 cuts such files into blocks without regard to documents, finds the separators
 of a block with one numpy comparison, and reports for each block how many ids
-stand before its first separator, between separators and after the last.  A
-prefix scan over these few numbers per block then joins the document that
-crosses a border and numbers the documents.
+stand before its first separator, between separators and after the last.  What
+is found is kept as a table.  A prefix scan over four numbers per block then
+joins the document that crosses a border and numbers the documents: first over
+the ``SUPER`` blocks of a stretch, then over a file's stretches, so no task holds
+a long file's blocks, and the counts between separators stay out of it.
 
 Defined results: a null or empty text is a document of no tokens (its
 separator alone); ids behind a file's last separator are a document that has
@@ -32,6 +34,7 @@ from .files import open_read, write_whole
 
 SEPARATOR = 50256  # <|endoftext|> of the vocabulary
 BLOCK_BYTES = 4 << 20
+SUPER = 4096  # blocks whose numbers are scanned together
 
 
 def width_for(vocabulary: int) -> int:
@@ -99,19 +102,36 @@ def scan_blocks(files: DataFrame, width: int, separator: int = SEPARATOR, block_
 
 def count_tokens(files: DataFrame, width: int, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``path, place, n_tokens, ended`` of every document in flat files (``path, bytes``)."""
-    blocks = scan_blocks(files, width, separator, block_bytes)
-    order = Window.partitionBy("path").orderBy("block")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    end = F.sum("ids").over(order)
-    placed = blocks.withColumn("_end", end).withColumn("_last", F.when(F.col("seps") > 0, F.col("_end") - F.col("tail")))
-    begun = F.col("_end") - F.col("ids") - F.coalesce(F.max("_last").over(past), F.lit(0))  # ids before the block of the document that crosses into it
-    whole = placed.select("path", "seps", "inner", "tail", "head", begun.alias("_begun"), F.coalesce(F.sum("seps").over(past), F.lit(0)).alias("_place"),
-                          F.lead("block").over(order).isNull().alias("_final"))
-    lengths = F.when(F.col("seps") > 0, F.concat(F.array(F.col("_begun") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
-    rest = F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("_begun") + F.col("tail"))
-    open_ = F.when(F.col("_final") & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<bigint>"))
-    each = whole.select("path", "_place", "seps", F.posexplode(F.concat(lengths, open_)).alias("_i", "n_tokens"))
-    return each.select("path", (F.col("_place") + F.col("_i")).alias("place"), "n_tokens", (F.col("_i") < F.col("seps")).alias("ended"))
+    ws = Workspace(files.sparkSession, "scan")
+    blocks = ws.keep(scan_blocks(files, width, separator, block_bytes), "blocks")
+    kept = blocks.select("path", "block", "head", "inner")
+    placed = kept.join(block_places(blocks), ["path", "block"])
+    lengths = F.when(F.col("seps") > 0, F.concat(F.array(F.col("begun") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
+    rest = F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("begun") + F.col("tail"))
+    open_ = F.when(F.col("final") & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<bigint>"))
+    each = placed.select("path", "place", "seps", F.posexplode(F.concat(lengths, open_)).alias("_i", "n_tokens"))
+    return each.select("path", (F.col("place") + F.col("_i")).alias("place"), "n_tokens", (F.col("_i") < F.col("seps")).alias("ended"))
+
+
+def block_places(blocks: DataFrame) -> DataFrame:
+    """``path, block, seps, tail, place, begun, final``: documents ended before each block, ids before it of
+    the document that crosses into it, and whether it is its file's last.  Two prefix scans: within stretches
+    of ``SUPER`` blocks, relative to the stretch, and over the stretches."""
+    few = blocks.select("path", "block", "ids", "seps", "tail", F.floor(F.col("block") / SUPER).alias("sup"))
+    here = Window.partitionBy("path", "sup").orderBy("block")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    end = few.withColumn("end", F.sum("ids").over(here))
+    last = F.when(F.col("seps") > 0, F.col("end") - F.col("tail"))  # where the document after a block's last separator begins
+    inside = end.withColumn("last", last).select("*", F.max("last").over(before).alias("last_before"), F.coalesce(F.sum("seps").over(before), F.lit(0)).alias("seps_before"))
+    sums = inside.groupBy("path", "sup").agg(F.sum("ids").alias("ids"), F.sum("seps").alias("seps"), F.max("last").alias("last"), F.max("block").alias("top"))
+    along = Window.partitionBy("path").orderBy("sup")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("base", F.coalesce(F.sum("ids").over(past), F.lit(0))).select(
+        "path", "sup", "base", F.coalesce(F.sum("seps").over(past), F.lit(0)).alias("base_seps"), F.max(F.col("base") + F.col("last")).over(past).alias("base_last"),
+        F.max("top").over(Window.partitionBy("path")).alias("top"))
+    begins = F.coalesce(F.col("base") + F.col("last_before"), F.col("base_last"), F.lit(0))
+    return inside.join(base, ["path", "sup"]).select("path", "block", "seps", "tail", (F.col("base_seps") + F.col("seps_before")).alias("place"),
+                                                     (F.col("base") + F.col("end") - F.col("ids") - begins).alias("begun"), (F.col("block") == F.col("top")).alias("final"))
 
 
 def op2_separator_scan(spark, sf_dir: str) -> DataFrame:

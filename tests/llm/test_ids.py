@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -100,8 +101,29 @@ def test_separator_scan_of_any_blocks(spark, block_bytes):
     assert sorted((int(r.path[-8]), r.place, r.n_tokens, r.ended) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_one_file_of_many_blocks_is_scanned_in_stretches(spark, monkeypatch, most):
+    """Documents of many stretches, stretches of many documents; the lists of counts are in no window."""
+    monkeypatch.setattr(C, "SUPER", most)
+    rng = np.random.default_rng(7)
+    lengths = [0, 500, 0, 0, 3, 260, *rng.integers(0, 9, 200).tolist(), 1000, 2]
+    flat = [x for n in lengths for x in [*[1] * n, 999]] + [5] * 70
+    ws = Workspace(spark, "t")
+    C.write_whole(f"{ws.path}/f/part-0.tokens", lambda f: f.write(np.array(flat, "<u2").tobytes()))
+    files = C.flat_files(spark, f"{ws.path}/f")
+    got = sorted((r.place, r.n_tokens, r.ended) for r in C.count_tokens(files, 2, 999, 32).collect())
+    assert got == [(i, n, True) for i, n in enumerate(lengths)] + [(len(lengths), 70, False)]
+    plan = C.block_places(C.scan_blocks(files, 2, 999, 32))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("inner#" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_counts_of_documents(spark, tmp_path):
     rows, ids = rows_and_ids(True)
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = C.op2_separator_scan(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(x)) for (i, *_), x in zip(rows, ids, strict=True))
+
+
+def test_scratch_paths_name_their_store(spark):
+    """A path without a scheme is in Spark's default file system, so it is never taken for a mounted one."""
+    assert re.match("[a-z0-9]+:/", Workspace(spark, "t").path)
