@@ -191,9 +191,9 @@ def _snippets(length: int, gram: int, bits: int, held):
     return run
 
 
-def repeated_starts(snippets: list[bytes], order: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each snippet, the offsets whose ``length``-byte string also starts earlier (``order`` ranks
-    the snippets' documents and places: equal ranks are the same place)."""
+def repeated_starts(snippets: list[bytes], order: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each snippet, the offsets whose ``length``-byte string also starts earlier (``order`` ranks the
+    snippets' documents, ``at`` are their places in them; repeated rows may give overlapping snippets of one document)."""
     sizes = np.array([len(x) for x in snippets])
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
@@ -206,13 +206,13 @@ def repeated_starts(snippets: list[bytes], order: np.ndarray, length: int) -> li
     eight = np.lib.stride_tricks.as_strided(padded, (len(s), 8), (1, 1))
     eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
     same = np.ones(max(0, len(sa) - 1), bool)
-    for at in [*range(0, length - 7, 8), length - 8]:  # adjacent prefixes, eight bytes at a time
+    for x in [*range(0, length - 7, 8), length - 8]:  # adjacent prefixes, eight bytes at a time
         k = np.flatnonzero(same)
-        same[k] = eight[sa[k] + at] == eight[sa[k + 1] + at]
+        same[k] = eight[sa[k] + x] == eight[sa[k + 1] + x]
     group = np.concatenate([[0], np.cumsum(~same)]) if len(sa) else np.zeros(0, np.int64)
     of, off = owner[sa], sa - begins[owner[sa]]
-    by = np.lexsort((off, order[of], group))
-    g, o, f = group[by], order[of][by], off[by]
+    by = np.lexsort((at[of] + off, order[of], group))
+    g, o, f = group[by], order[of][by], (at[of] + off)[by]
     head = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
     lead = np.maximum.accumulate(np.where(head, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
     later = by[(o > o[lead]) | (f > f[lead])] if len(g) else by
@@ -247,9 +247,10 @@ def _sort_group(rows: list[tuple], length: int) -> Iterator[tuple]:
     rows = [r for r in folded.values() if alone[r[0]] > 1 or _within(r[6], length)]  # the only one of its anchor repeats within itself or not at all
     if not rows:
         return
-    places = [_place(*r[2:5]) for r in rows]
-    rank = {p: i for i, p in enumerate(sorted(set(places)))}
-    for r, offs in zip(rows, repeated_starts([r[6] for r in rows], np.array([rank[p] for p in places]), length), strict=True):
+    of = [_place(r[2], r[3], 0) for r in rows]
+    rank = {p: i for i, p in enumerate(sorted(set(of)))}
+    order, at = np.array([rank[p] for p in of]), np.array([r[4] for r in rows])
+    for r, offs in zip(rows, repeated_starts([r[6] for r in rows], order, at, length), strict=True):
         if len(offs):
             cut = np.flatnonzero(np.diff(offs) != 1) + 1
             for a, z in zip(offs[np.concatenate([[0], cut])].tolist(), offs[np.concatenate([cut, [len(offs)]]) - 1].tolist(), strict=True):
