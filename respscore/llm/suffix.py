@@ -20,7 +20,8 @@ Equal snippets are folded before they are sorted, first among the rows a task
 reads (so a passage that a third of all documents hold is one snippet per
 batch) and again where they meet.  Snippets of one anchor whose bytes exceed
 ``most_bytes`` (passages whose surroundings differ everywhere) don't stay in
-one task: their positions are dealt again by the whole string and counted.
+one task: the same difference-cover sort runs over them as Spark range sorts,
+prefix sums and joins (``dcspark``; with ``most_bytes=0`` over all snippets).
 
 Defined results: a null or empty text, or one shorter than ``length``, stays
 as it is; documents are taken in order of id, a null id last, then a hash of
@@ -30,7 +31,6 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, row_key, slices, table
 from .dc3 import suffix_array
+from .dcspark import number, suffix_ranks
 
 LENGTH = 100  # fixed value of the contract
 GRAM = 32  # bytes of an anchor
@@ -302,22 +303,36 @@ def _sort_snippets(length: int, most_bytes: int, sort_bytes: int):
     return run
 
 
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Snippets as rows of symbols."""
+    for b in batches:
+        raw = b.column("snippet").to_pylist()
+        for a, z in slices([len(x) for x in raw], SORT_BYTES):
+            sizes = np.array([len(x) for x in raw[a:z]])
+            s = np.repeat(b.column("s").to_numpy()[a:z], sizes)
+            i = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            c = np.frombuffer(b"".join(raw[a:z]), np.uint8).astype(np.int64) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(i.astype(np.int32)), pa.array(c)], names=["s", "i", "c"])
+
+
 def _wide(found: DataFrame, ws: Workspace, length: int) -> DataFrame:
-    """Removed starts of the snippets whose anchors were too many for a task: each position is named by
-    two hashes of its whole string, counted in each task first."""
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k1, k2, first, last, x in zip(*(b.column(n).to_pylist() for n in ("k1", "k2", "first", "last", "snippet")), strict=True):
-                n = last - first + 1
-                raw = b"".join(hashlib.blake2b(x[i:i + length], digest_size=16).digest() for i in range(n))
-                two = np.frombuffer(raw, "<i8").reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()),
-                                                  pa.array(np.arange(first, last + 1))], names=["s1", "s2", "k1", "k2", "at"])
-
-    each = ws.keep(found.where("snippet IS NOT NULL").mapInArrow(positions, "s1 long, s2 long, k1 long, k2 long, at long"), "positions")
-    place = F.struct(F.col("k1").isNull().alias("n"), "k1", "k2", "at")
-    first = ws.keep(each.groupBy("s1", "s2").agg(F.min(place).alias("_first")), "first_positions")
-    return each.join(first, ["s1", "s2"]).where(place > F.col("_first")).select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
+    """Removed starts of the snippets whose anchors were too many for a task: the same sort over tables
+    (``dcspark``), then adjacent strings compared across the borders of parts too."""
+    place = F.struct(F.col("k1").isNull().alias("n"), "k1", "k2", "first")
+    rows = found.where("snippet IS NOT NULL").select("off", "k1", "k2", "first", "last", "snippet", place.alias("place"))
+    kept = ws.keep(rows.groupBy("off", "snippet").agg(F.min("place").alias("p"))  # equal ones are sorted once
+                   .select(F.monotonically_increasing_id().alias("s"), "off", "snippet", "p"), "wide")
+    copies = rows.join(kept, ["off", "snippet"]).where(F.col("place") > F.col("p")).select("k1", "k2", "first", "last")
+
+    ranks = suffix_ranks(ws.keep(kept.mapInArrow(_symbols, "s long, i int, c long"), "symbols"), length, ws)
+    starts = ranks.join(kept.select("s", "snippet", "p"), "s").where(F.col("i") + length <= F.length("snippet"))
+    starts = starts.select("s", "i", "r", "p", F.substring("snippet", F.col("i") + 1, F.lit(length)).alias("string"), F.lit(False).alias("_zero"))
+    adjacent, _ = number(starts, ["r"], ["string"], ws, "adjacent")
+    at = F.struct("p.n", "p.k1", "p.k2", (F.col("p.first") + F.col("i")).alias("at"))
+    each = adjacent.select("before", at.alias("at"))
+    first = each.groupBy("before").agg(F.min("at").alias("_first"))
+    later = each.join(first, "before").where(F.col("at") > F.col("_first"))
+    return later.select("at.k1", "at.k2", F.col("at.at").alias("first"), F.col("at.at").alias("last")).unionByName(copies)
 
 
 # ------------------------------------------------------------------ removal
