@@ -11,10 +11,12 @@ How suffixes are dealt.  Of all 32-byte substrings of the string at a position,
 the one with the least hash (leftmost on ties) is its anchor, so equal strings
 have equal anchors at equal distances.  Neighbouring positions mostly share
 an anchor, about 35 of them, and travel as one snippet of their bytes.  A
-string whose anchor hash occurs once in the corpus can't repeat: a Bloom
-filter of a fixed size holds the hashes found twice or more, and only
-snippets that pass it go on.  The filter may let some more through as the
-corpus grows (all of them at worst, some four times the text), it loses none.
+string whose anchor hash occurs once in the corpus can't repeat: the hashes
+found twice or more are kept as a table, and only snippets of these go on.  Up
+to some 22 million such hashes a Bloom filter of a fixed size holds them (it
+lets a few others through and loses none); beyond, runs of positions without
+their bytes are semi-joined with the table, and each text cuts its snippets
+from the runs that are left.
 
 Equal snippets are folded before they are sorted, first among the rows a task
 reads (so a passage that a third of all documents hold is one snippet per
@@ -47,6 +49,7 @@ from .dcspark import number, suffix_ranks
 LENGTH = 100  # fixed value of the contract
 GRAM = 32  # bytes of an anchor
 FILTER_BITS = 28  # the filter has 2^28 bits: 32 MB at the driver and in each worker
+ANCHOR_BITS = 12  # bits of the filter per anchor that occurs again, at least: one in a hundred others passes
 MOST_BYTES = 12 << 20  # snippets of one anchor that a task sorts
 SORT_BYTES = 1 << 20  # snippets sorted at once (whole anchors): memory is about 130 times this
 SLICE_BYTES = 4 << 20  # text in which a task folds equal snippets
@@ -160,38 +163,84 @@ def _place(k1, k2, first) -> tuple:
     return (k1 is None, k1 or 0, k2, first)
 
 
+def _folded(found: list[list]) -> pa.RecordBatch:
+    """Snippets (rows of ``_SNIPPETS``) of one slice: of equal ones the earliest alone keeps its bytes; the others
+    are covered whole (no bytes: a span of removed starts)."""
+    out, seen = [], {}
+    for me in found:
+        other = seen.setdefault((me[1], me[6]), me)
+        if other is not me:
+            if _place(*me[2:5]) < _place(*other[2:5]):
+                other[2:6], me[2:6] = me[2:6], other[2:6]
+            if _place(*me[2:5]) == _place(*other[2:5]):
+                continue
+            me[0], me[6] = me[3] ^ me[4], None  # covered: only passed on, to any task
+        out.append(me)
+    columns = zip(*out, strict=True) if out else [[]] * len(_SNIPPET_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SNIPPET_TYPES, strict=True)], schema=_SNIPPET_TYPES)
+
+
 def _snippets(length: int, gram: int, bits: int, held):
-    """mapInArrow function: the snippets whose anchor passes the filter.  Of equal ones in a slice the earliest
-    alone keeps its bytes; the others are covered whole (no bytes: a span of removed starts)."""
+    """mapInArrow function: the snippets whose anchor passes the filter, equal ones of a slice folded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = held.value
         for b in batches:
             k1s, k2s = b.column("_k1").to_pylist(), b.column("_k2").to_pylist()
             for raw, ends, row in _texts(b):
-                starts, whole = np.concatenate([[0], ends[:-1]]), raw.tobytes()
-                out, seen = [], {}
+                starts, whole, out = np.concatenate([[0], ends[:-1]]), raw.tobytes(), []
                 for doc, first, last, anchor, h in anchors(raw, ends, length, gram):
                     at = _bits(h, bits)
                     hit = np.flatnonzero(((table_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0))
                     rel = starts[doc]
                     for d, f, n, off, x, base in zip(doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), (anchor - first)[hit].tolist(),
                                                      h[hit].view(np.int64).tolist(), rel[hit].tolist(), strict=True):
-                        k1, k2 = k1s[row + d], k2s[row + d]
-                        me = [x, off, k1, k2, f - base, n - base, whole[f:n + length]]
-                        other = seen.setdefault((off, me[6]), me)
-                        if other is not me:
-                            if _place(*me[2:5]) < _place(*other[2:5]):
-                                other[2:6], me[2:6] = me[2:6], other[2:6]
-                            if _place(*me[2:5]) == _place(*other[2:5]):
-                                continue
-                            me[0], me[6] = me[3] ^ me[4], None  # covered: only passed on, to any task
-                        out.append(me)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SNIPPET_TYPES, strict=True)], schema=_SNIPPET_TYPES)
+                        out.append([x, off, k1s[row + d], k2s[row + d], f - base, n - base, whole[f:n + length]])
+                yield _folded(out)
+
+    return run
+
+
+def _anchor_runs(length: int, gram: int):
+    """mapInArrow function: every run of positions with one anchor, without its bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, k2 = b.column("_k1"), b.column("_k2")
+            for raw, ends, row in _texts(b):
+                starts = np.concatenate([[0], ends[:-1]])
+                for doc, first, last, anchor, h in anchors(raw, ends, length, gram):
+                    of, base = pa.array(doc + row), starts[doc]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((anchor - first).astype(np.int32)), k1.take(of), k2.take(of),
+                                                      pa.array(first - base), pa.array(last - base)], names=["h", "off", "_k1", "_k2", "first", "last"])
 
     return run
 
 
+def _snippets_of_runs(length: int):
+    """mapInArrow function: the snippets of the runs a text is joined with (``_runs``), equal ones of a slice folded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = [len(t.as_buffer()) if t.is_valid else 0 for t in b.column("_text")]
+            for s, e in slices(size, SLICE_BYTES):
+                out = []
+                for k1, k2, t, runs in zip(b.column("_k1")[s:e].to_pylist(), b.column("_k2")[s:e].to_pylist(), b.column("_text")[s:e],
+                                           b.column("_runs")[s:e], strict=True):
+                    raw = t.as_buffer()
+                    for r in runs.as_py():
+                        out.append([r["h"], r["off"], k1, k2, r["first"], r["last"], bytes(raw[r["first"]:r["last"] + length])])
+                yield _folded(out)
+
+    return run
+
+
+def _joined_snippets(rows: DataFrame, again: DataFrame, length: int) -> DataFrame:
+    """The snippets whose anchor is in ``again``, by joins: for as many anchors as there may be."""
+    runs = rows.mapInArrow(_anchor_runs(length, GRAM), "h long, off int, _k1 long, _k2 long, first long, last long")
+    lists = runs.join(again, "h", "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("h", "off", "first", "last")).alias("_runs"))
+    r, x = rows.alias("r"), lists.alias("x").hint("merge")
+    one = r.join(x, F.col("r._k1").eqNullSafe(F.col("x._k1")) & (F.col("r._k2") == F.col("x._k2")))
+    return one.select("r._k1", "r._k2", "r._text", "x._runs").mapInArrow(_snippets_of_runs(length), _SNIPPETS)
+
+
 def repeated_starts(snippets: list[bytes], order: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
     """For each snippet, the offsets whose ``length``-byte string also starts earlier (``order`` ranks the
     snippets' documents, ``at`` are their places in them; repeated rows may give overlapping snippets of one document)."""
@@ -345,11 +394,13 @@ def removed_starts(docs: DataFrame, ws: Workspace, text: str = "text", length: i
     rows = docs.select(*row_key("doc_id", text), F.col(text).alias("_text"))
     counted = rows.select("_text").mapInArrow(_count_anchors(length, GRAM), "h long, n long")
     again = ws.keep(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "again")
-    held = spark.sparkContext.broadcast(_filter(spark, again, filter_bits))
-    ws.drop("again")
-    some = rows.mapInArrow(_snippets(length, GRAM, filter_bits, held), _SNIPPETS)
+    if again.count() * ANCHOR_BITS <= 1 << filter_bits:
+        some = rows.mapInArrow(_snippets(length, GRAM, filter_bits, spark.sparkContext.broadcast(_filter(spark, again, filter_bits))), _SNIPPETS)
+    else:
+        some = _joined_snippets(rows, again, length)
     dealt = some.repartition("h").sortWithinPartitions("h")
     found = ws.keep(dealt.mapInArrow(_sort_snippets(length, most_bytes, sort_bytes), _SNIPPETS), "found")
+    ws.drop("again")
     spans = found.where("snippet IS NULL").select("k1", "k2", "first", "last")
     if found.where("snippet IS NOT NULL").limit(1).count():
         spans = spans.unionByName(_wide(found, ws, length))
