@@ -7,8 +7,8 @@ Two implementations that must agree on every row:
   Arrow buffers: tokens are dictionary-encoded per batch, each distinct token
   is hashed once with vectorised FNV-1a, and per-row bit votes are summed
   with numpy.  No Python object is created per token and nothing shuffles.
-* ``simhash_frame`` - a pure DataFrame plan (count per row, hash distinct
-  tokens, join, sum votes) used as an independent cross-check.
+* ``simhash_frame`` - a pure DataFrame plan (hash tokens where they are cut,
+  sum votes per row) used as an independent cross-check.
 
 Fingerprints are unsigned 64-bit values carried in BIGINT (same bit
 pattern); Hamming distance is ``bit_count(a ^ b)``.
@@ -214,14 +214,39 @@ def fnv1a64_col(token: Column | str) -> Column:
     return F.aggregate(chars, F.lit(to_signed(FNV64_OFFSET)).cast("bigint"), _fnv_step)
 
 
+# characters of a token that are hashed by compiled steps, in words of 7 (a BIGINT holds 7 without its sign)
+STEP_CHARS, WORD_CHARS = 14, 7
+
+
+def _with_fnv(df: DataFrame, token: str, out: str, *others: Column) -> DataFrame:
+    """``others`` of ``df`` plus ``out``, the FNV-1a 64 of an ASCII ``token`` that is not null (empty: 0).
+
+    One projection per character: each refers to the state before it several times, so Spark keeps
+    them apart and compiles them with what follows.  A lambda is not compiled; only what a token
+    has beyond ``STEP_CHARS`` characters goes through it."""
+    t = F.col(token)
+    steps = df
+    for at in range(0, STEP_CHARS, WORD_CHARS):  # 7 bytes as a number, zeros beyond the end
+        word = F.conv(F.hex(F.rpad(F.substring(t, at + 1, WORD_CHARS), WORD_CHARS, "\0")), 16, 10).cast("bigint")
+        steps = steps.withColumn(f"_w{at}", F.coalesce(F.when(F.length(t) > at, word), F.lit(0)))
+    steps = steps.withColumn(out, F.lit(to_signed(FNV64_OFFSET)).cast("bigint"))
+    for i in range(STEP_CHARS):
+        code = F.shiftrightunsigned(F.col(f"_w{i - i % WORD_CHARS}"), 8 * (WORD_CHARS - 1 - i % WORD_CHARS)).bitwiseAND(F.lit(255).cast("bigint"))
+        steps = steps.withColumn("_k", code)
+        steps = steps.withColumn(out, F.when(F.col("_k") > 0, _fnv_step(F.col(out), F.col("_k"))).otherwise(F.col(out)))
+    rest = F.transform(F.split(F.substr(t, F.lit(STEP_CHARS + 1)), ""), lambda ch: F.ascii(ch).cast("bigint"))
+    whole = F.when(F.length(t) > STEP_CHARS, F.aggregate(rest, F.col(out), _fnv_step)).when(F.length(t) > 0, F.col(out)).otherwise(F.lit(0).cast("bigint"))
+    return steps.select(*others, whole.alias(out))
+
+
 def simhash_frame(df: DataFrame, text: str) -> DataFrame:
     """``df`` (minus the ``text`` column) plus ``fingerprint``, computed with a
     pure DataFrame plan; every row is kept, equal ones too.
 
-    Tokens are counted per row where they are cut, and kept once as a narrow
-    table (row number, token, count).  Each distinct token of it is hashed once
-    (native FNV-1a expression) and joined back; a hot token is one entry per
-    row, and the join may split it.  Votes of two bits are summed in one BIGINT,
+    Tokens are hashed where they are cut (native FNV-1a expression) and their
+    votes summed per row in the same task, so no token is shuffled or stored:
+    what is kept is a row's votes, twice (its first token's, the others'), whatever
+    its length.  Votes of two bits are summed in one BIGINT,
     in halves of 32 bits that an array's length cannot fill, so the aggregate has
     32 plain sums and stays small enough to be compiled.  The other columns
     travel with a row's first token alone.  A row with no token keeps its
@@ -233,14 +258,15 @@ def simhash_frame(df: DataFrame, text: str) -> DataFrame:
                          F.monotonically_increasing_id().alias("_row"))  # before the tokens are exploded
     occ = numbered.select("_row", "_c", F.posexplode_outer(tokens("_x")).alias("_p", "_t"))
     head = F.coalesce(F.col("_p"), F.lit(0)) == 0
-    counted = materialize(occ.groupBy("_row", "_t", head.alias("_head"), F.when(head, F.col("_c")).alias("_c")).agg(F.count("_t").alias("_n")))
-    hashed = counted.where("_t IS NOT NULL").select("_t").distinct().select("_t", fnv1a64_col("_t").alias("_h"))
+    occ = occ.select("_row", F.coalesce("_t", F.lit("")).alias("_t"), head.alias("_head"), F.when(head, F.col("_c")).alias("_c"))
+    hashed = _with_fnv(occ, "_t", "_h", *[F.col(c) for c in ("_row", "_head", "_c")], (F.col("_t") != "").cast("bigint").alias("_n"))
     half = HASH_BITS // 2
     low = F.lit(1).cast("bigint")
     pair = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(low).bitwiseOR(
         F.shiftleft(F.shiftrightunsigned("_h", i + half).bitwiseAND(low), 32))
-    both = counted.select("_row", "_t", "_n").join(hashed, "_t", "left")
-    votes = both.groupBy("_row").agg(F.sum("_n").alias("_n"), *[F.coalesce(F.sum(pair(i) * F.col("_n")), F.lit(0)).alias(f"_o{i}") for i in range(half)])
+    # sums of a task's rows before anything is moved
+    counted = materialize(hashed.groupBy("_row", "_head", "_c").agg(F.sum("_n").alias("_n"), *[F.sum(pair(i)).alias(f"_o{i}") for i in range(half)]))
+    votes = counted.groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("_n", *[f"_o{i}" for i in range(half)])])
     ones = lambda i: F.col(f"_o{i}").bitwiseAND(F.lit(0xFFFFFFFF)) if i < half else F.shiftrightunsigned(f"_o{i - half}", 32)
     fp = F.lit(0).cast("bigint")
     for i in range(HASH_BITS):

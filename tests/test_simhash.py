@@ -114,3 +114,18 @@ def test_kernel_slicing_matches_single_pass(monkeypatch):
     whole = S.simhash_texts(texts)
     monkeypatch.setattr(S, "CHUNK_TOKENS", 5)
     assert S.simhash_texts(texts) == whole
+
+
+def test_frame_keeps_votes_not_tokens(spark):
+    """What is kept and shuffled is at most two rows of votes a text, however many words it has."""
+    from respscore import session
+
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(20)], "k long, t string").repartition(4)
+    since = session.mark()
+    try:
+        out = S.simhash_frame(df, "t")
+        spark_, kind, what = session._held[-1]
+        kept = spark_.read.parquet(what) if kind == "table" else what
+        assert kept.count() == 40 and out.count() == 20
+    finally:
+        session.release(since)
