@@ -116,6 +116,15 @@ def test_kernel_slicing_matches_single_pass(monkeypatch):
     assert S.simhash_texts(texts) == whole
 
 
+def test_frame_hashes_tokens_of_any_length(spark):
+    """Word edges and what goes beyond the compiled steps, repeats, rows without tokens and equal rows."""
+    words = [("x7" * 40)[:n] for n in range(1, 35)]
+    texts = [" ".join(words), *words, "a " * 3000 + "b" * 200, "z" * 500, "", "...", None, "a b", "a b"]
+    df = spark.createDataFrame([(i % 40, t, "k") for i, t in enumerate(texts)], "k long, t string, more string")
+    got = sorted((r.k, r.more, r.fingerprint) for r in S.simhash_frame(df, "t").collect())
+    assert got == sorted((i % 40, "k", fp) for i, fp in enumerate(S.simhash_texts(texts)))
+
+
 def test_frame_keeps_votes_not_tokens(spark):
     """What is kept and shuffled is at most two rows of votes a text, however many words it has."""
     from respscore import session
