@@ -2,11 +2,10 @@
 
 Two implementations that must agree on every row:
 
-* ``simhash64`` - an Arrow UDF over the token array column.  Tokens are cut
-  on the JVM side (``regexp_extract_all``), so the Python worker only sees
-  Arrow buffers: tokens are dictionary-encoded per batch, each distinct token
-  is hashed once with vectorised FNV-1a, and per-row bit votes are summed
-  with numpy.  No Python object is created per token and nothing shuffles.
+* ``simhash64`` - an Arrow UDF over the lower-cased text column.  The Python
+  worker cuts, hashes (vectorised FNV-1a) and counts tokens in the Arrow
+  buffer of a batch's texts with numpy, so no string is made per token, on
+  the JVM side or in Python, and nothing shuffles.
 * ``simhash_frame`` - a pure DataFrame plan (hash tokens where they are cut,
   sum votes per row) used as an independent cross-check.
 
@@ -20,7 +19,6 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,95 +56,99 @@ def _offsets(arr: pa.Array) -> np.ndarray:
     return raw[arr.offset: arr.offset + len(arr) + 1].astype(np.int64)
 
 
-def fnv1a64_array(words: pa.Array) -> np.ndarray:
-    """Vectorised FNV-1a of every string in ``words`` (no nulls), as uint64.
+def _fnv1a64_spans(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Vectorised FNV-1a of the byte spans ``data[start: start + len]``, as uint64.
 
-    Strings are processed longest first, so at character position j the
-    still-active strings form a prefix and each step is one gather, one XOR
+    Spans are processed longest first, so at character position j the
+    still-active ones form a prefix and each step is one gather, one XOR
     and one wrapping multiply over that prefix."""
-    n = len(words)
-    h = np.full(n, FNV64_OFFSET, dtype=np.uint64)
-    if n == 0:
-        return h
-    offs = _offsets(words)
-    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)
-    lens = np.diff(offs)
-    order = np.argsort(-lens, kind="stable")
-    starts = offs[:-1][order]
+    hs = np.full(len(starts), FNV64_OFFSET, dtype=np.uint64)
+    if len(starts) == 0:
+        return hs
+    top = int(lens.max())
+    order = np.argsort((top - lens).astype(np.min_scalar_type(top)), kind="stable")  # narrow numbers sort by radix
+    at = starts[order]
     neg_lens = -lens[order]                      # ascending
-    hs = h[order]
     prime = np.uint64(FNV64_PRIME)
-    for j in range(int(-neg_lens[0])):
-        k = int(np.searchsorted(neg_lens, -j, side="left"))   # strings longer than j
+    for j in range(top):
+        k = int(np.searchsorted(neg_lens, -j, side="left"))   # spans longer than j
         head = hs[:k]
-        head ^= data[starts[:k] + j].astype(np.uint64)
+        head ^= data[at[:k] + j]
         head *= prime
     out = np.empty_like(hs)
     out[order] = hs
     return out
 
 
+def _bytes(arr: pa.Array) -> np.ndarray:
+    """The bytes that a string array's offsets point into."""
+    buf = arr.buffers()[2]
+    return np.zeros(0, dtype=np.uint8) if buf is None else np.frombuffer(buf, dtype=np.uint8)
+
+
+def fnv1a64_array(words: pa.Array) -> np.ndarray:
+    """Vectorised FNV-1a of every string in ``words`` (no nulls), as uint64."""
+    if len(words) == 0:
+        return np.zeros(0, dtype=np.uint64)
+    offs = _offsets(words)
+    return _fnv1a64_spans(_bytes(words), offs[:-1], np.diff(offs))
+
+
 # bit j of byte value v, for v in 0..255 (rows) and j in 0..7 (columns)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1,
                            bitorder="little").astype(np.int64)
 
+# bytes of a token: [a-z0-9]
+_TOKEN_BYTE = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8))
 
-# tokens per kernel slice: bounds worker memory (~30 bytes per token) whatever
-# the Arrow batch size; a single larger row is processed on its own
-CHUNK_TOKENS = 1 << 21
+# tokens hashed and counted at a time: bounds worker memory whatever the size
+# of an Arrow batch or of one text, and keeps the histograms in the cache
+CHUNK_TOKENS = 1 << 17
 
 
-def simhash_token_lists(lists: pa.Array) -> np.ndarray:
-    """SimHash (as int64 bit pattern) of each row of a list<string> array,
-    processed in row slices of at most CHUNK_TOKENS tokens."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    n_rows = len(lists)
-    if n_rows == 0:
-        return np.zeros(0, dtype=np.int64)
-    offs = _offsets(lists)
-    if offs[-1] - offs[0] <= CHUNK_TOKENS:
-        return _simhash_slice(lists)
-    out = np.empty(n_rows, dtype=np.int64)
-    start = 0
-    while start < n_rows:
-        end = int(np.searchsorted(offs, offs[start] + CHUNK_TOKENS, side="right")) - 1
-        end = min(n_rows, max(end, start + 1))
-        out[start:end] = _simhash_slice(lists.slice(start, end - start))
-        start = end
-    return out
+def _token_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of lower-cased texts that lie in ``data`` one after the other; a text's
+    edge ends a token even where the next text goes on with one."""
+    inside = _TOKEN_BYTE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offs[:-1][offs[:-1] < len(data)]
+    first[edges] = inside[edges]
+    last = inside
+    last[:-1] &= ~inside[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _simhash_slice(lists: pa.Array) -> np.ndarray:
-    """SimHash (as int64 bit pattern) of each row of a list<string> array.
+def simhash_lowered(texts: pa.Array) -> np.ndarray:
+    """SimHash (as int64 bit pattern) of each lower-cased text of a string array.
 
-    A null or empty list gives 0.  Bit i is set iff more than half of the
+    A null or a text without tokens gives 0.  Bit i is set iff more than half of the
     row's token occurrences have bit i set (vote > 0, ties give 0).
 
     Votes are counted a byte at a time: for byte position k of the token
     hashes, a bincount over (row, byte value) gives a rows x 256 histogram,
     and histogram @ bit-table(256 x 8) gives the set-bit counts of bits
-    8k..8k+7 for every row.  Work is a few linear passes over the tokens."""
-    n_rows = len(lists)
-    result = np.zeros(n_rows, dtype=np.uint64)
+    8k..8k+7 for every row.  A row's counts are summed over the chunks it reaches into."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    n_rows = len(texts)
     if n_rows == 0:
-        return result.view(np.int64)
-    offs = _offsets(lists)
-    counts = np.diff(offs)
-    if lists.null_count:
-        counts = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, counts)
-    flat = lists.flatten()
-    total = len(flat)
-    if total == 0:
-        return result.view(np.int64)
-    enc = pc.dictionary_encode(flat)
-    codes = enc.indices.to_numpy(zero_copy_only=False)
-    hash_bytes = fnv1a64_array(enc.dictionary).astype("<u8").view(np.uint8).reshape(-1, 8)
-    row_base = np.repeat(np.arange(n_rows, dtype=np.int64) * 256, counts)
-    ones = np.empty((n_rows, HASH_BITS), dtype=np.int64)
-    for k in range(8):
-        hist = np.bincount(row_base + hash_bytes[codes, k], minlength=n_rows * 256)
-        ones[:, 8 * k: 8 * k + 8] = hist.reshape(n_rows, 256) @ _BYTE_BITS
+        return np.zeros(0, dtype=np.int64)
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offs = _offsets(texts)
+    data, offs = _bytes(texts)[offs[0]: offs[-1]], offs - offs[0]
+    starts, ends = _token_spans(data, offs)
+    counts = np.diff(np.searchsorted(starts, offs))
+    ones = np.zeros((n_rows, HASH_BITS), dtype=np.int64)
+    for at in range(0, len(starts), CHUNK_TOKENS):
+        own = starts[at: at + CHUNK_TOKENS]
+        hash_bytes = _fnv1a64_spans(data, own, ends[at: at + CHUNK_TOKENS] - own).astype("<u8").view(np.uint8).reshape(-1, 8)
+        rows, place = np.unique(np.searchsorted(offs, own, side="right") - 1, return_inverse=True)  # rows with tokens here
+        base = place * 256
+        for k in range(8):
+            hist = np.bincount(base + hash_bytes[:, k], minlength=len(rows) * 256)
+            ones[rows, 8 * k: 8 * k + 8] += hist.reshape(-1, 256) @ _BYTE_BITS
     set_bits = (2 * ones > counts[:, None]).astype(np.uint8)
     packed = np.packbits(set_bits, axis=1, bitorder="little")
     return packed.view("<u8").reshape(-1).astype(np.uint64).view(np.int64)
@@ -154,12 +156,8 @@ def _simhash_slice(lists: pa.Array) -> np.ndarray:
 
 def simhash_texts(texts: list[str | None]) -> list[int]:
     """Convenience for tests: SimHash of Python strings (tokenised like Spark)."""
-    import re
-
-    rx = re.compile(r"[a-z0-9]+")
-    lists = pa.array([None if t is None else rx.findall(t.lower()) for t in texts],
-                     type=pa.list_(pa.string()))
-    return [int(v) for v in simhash_token_lists(lists)]
+    lowered = pa.array([None if t is None else t.lower() for t in texts], type=pa.string())
+    return [int(v) for v in simhash_lowered(lowered)]
 
 
 # Ship this module's code with the UDF (pickled by value), so executors need
@@ -169,20 +167,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 if hasattr(F, "arrow_udf"):  # Spark 4.1+: Arrow arrays in and out, no pandas
     @F.arrow_udf(LongType())
-    def _simhash_tokens_udf(token_lists: pa.Array) -> pa.Array:
-        return pa.array(simhash_token_lists(token_lists), type=pa.int64())
+    def _simhash_lowered_udf(texts: pa.Array) -> pa.Array:
+        return pa.array(simhash_lowered(texts), type=pa.int64())
 else:  # pragma: no cover - older Spark: the same kernel behind a pandas UDF
     import pandas as pd
 
     @F.pandas_udf(LongType())
-    def _simhash_tokens_udf(token_lists: pd.Series) -> pd.Series:
-        arr = pa.array(token_lists, type=pa.list_(pa.string()))
-        return pd.Series(simhash_token_lists(arr))
+    def _simhash_lowered_udf(texts: pd.Series) -> pd.Series:
+        return pd.Series(simhash_lowered(pa.array(texts, type=pa.string())))
 
 
 def simhash64(text: Column | str) -> Column:
     """SimHash of a text column (caller applies any truncation first)."""
-    return _simhash_tokens_udf(tokens(_col(text)))
+    return _simhash_lowered_udf(F.lower(_col(text)))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

@@ -138,3 +138,25 @@ def test_frame_keeps_votes_not_tokens(spark):
         assert kept.count() == 40 and out.count() == 20
     finally:
         session.release(since)
+
+
+def test_kernel_cuts_at_text_edges(monkeypatch):
+    """Texts lie in one buffer without a gap; chunks end within a text and slices begin within the buffer."""
+    texts = ["ab", "cd", "", "ef gh", None, "é9", "x", "", "İk 7\u00e9z", "q" * 300, " ", "zz", ""]
+    want = [0 if t is None else _brute(t) for t in texts]
+    lowered = pa.array([None if t is None else t.lower() for t in texts], type=pa.string())
+    for chunk in (1, 3, 1 << 17):
+        monkeypatch.setattr(S, "CHUNK_TOKENS", chunk)
+        assert S.simhash_texts(texts) == want
+        for at in range(len(texts)):
+            assert S.simhash_lowered(lowered.slice(at, 5)).tolist() == want[at: at + 5]
+        assert S.simhash_lowered(lowered.cast(pa.large_string())).tolist() == want
+
+
+def test_udf_gets_texts_not_token_lists(spark, capsys):
+    """No string is made per token on the JVM side."""
+    df = spark.createDataFrame([(1, "Hello, WORLD! hello")], "k long, t string").select(S.simhash64("t").alias("fp"))
+    df.explain()
+    p = capsys.readouterr().out
+    assert "ArrowEvalPython" in p and "regexp_extract_all" not in p
+    assert S.to_hex(df.first().fp) == dict(SIMHASH)["Hello, WORLD! hello"]
